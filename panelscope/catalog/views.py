@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.functions.clean import defect_name, panel_cols
+from panelscope.operators.mart import build_glass_stats
+from panelscope.session import settle
 
 _BASE = """
 SELECT CONCAT('G1M', CAST(o.o_custkey % 7 AS STRING), LPAD(CAST(l.l_orderkey AS STRING), 8, '0')) AS product_id,
@@ -106,3 +108,40 @@ def pnl_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("PN"), F.col("p_partkey").cast("string")).alias("part_no_name"),
         F.when(F.col("p_partkey") % 5 < 2, panels).alias("ref_panels"),
     )
+
+
+# SQL only: defect mart rows, keyed by day, product and defect
+_MART = """
+counts AS (
+  SELECT CAST(inspection_end_ymdhms AS DATE) AS stat_date, product_id, defect_name,
+    SUBSTR(product_id, 3, 2) AS model_code, panel_addr, COUNT(*) AS addr_count,
+    MAX(inspection_end_ymdhms) AS inspection_time
+  FROM inspection WHERE defect_name IS NOT NULL AND panel_addr IS NOT NULL GROUP BY ALL),
+defects AS (
+  SELECT stat_date, product_id, defect_name, model_code, MAX(inspection_time) AS inspection_time,
+    CAST(SUM(addr_count) AS BIGINT) AS total_defects,
+    LIST(addr_count ORDER BY panel_addr) AS panel_map, LIST(panel_addr ORDER BY panel_addr) AS panel_addrs
+  FROM counts GROUP BY ALL),
+latest_step AS (
+  SELECT * EXCLUDE (move_in_ymdhms, rn), move_in_ymdhms AS work_time FROM (
+    SELECT product_id, move_in_ymdhms, lot_id, process_code, equipment_line_id, equipment_machine_id,
+      equipment_path_id,
+      ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY move_in_ymdhms DESC, equipment_line_id DESC,
+        equipment_machine_id DESC, equipment_path_id DESC, lot_id DESC, process_code DESC) AS rn
+    FROM history) WHERE rn = 1),
+glass_stats AS (SELECT * FROM defects LEFT JOIN latest_step USING (product_id))
+"""
+
+
+def with_mart(body: str) -> str:
+    """SQL text with the facts and the defect mart (table glass_stats) in front."""
+    body = body.strip()
+    if body.upper().startswith("WITH "):
+        return with_facts(f"WITH {_MART},\n{body[5:]}")
+    return with_facts(f"WITH {_MART}\n{body}")
+
+
+def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defect mart of all days, written once as a job would."""
+    stats = build_glass_stats(inspection(spark, sf_dir), history(spark, sf_dir))
+    return settle(stats.drop("created_at"), "glass_stats")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions.clean import safe_rate
+from panelscope.operators.mart import panel_counts_map
 
 
 def model_layout(part_no: DataFrame, pnl_map: DataFrame) -> DataFrame:
@@ -26,26 +27,31 @@ def model_layout(part_no: DataFrame, pnl_map: DataFrame) -> DataFrame:
     )
 
 
-def _observed(addrs: Column, counts: Column) -> Column:
-    """Map from address to count; the addresses of one row are distinct."""
-    entries = F.filter(F.arrays_zip(addrs.alias("a"), counts.alias("n")), lambda e: e[0].isNotNull())
-    return F.map_from_entries(entries)
-
-
 def on_layout(df: DataFrame, ref: str = "ref_panels") -> DataFrame:
     """Panel arrays over every reference panel, 0 where nothing was found.
 
     Rows without a layout keep the observed panels.  Observed panels outside the layout are left out.
     """
-    has = F.size(ref) > 0
-    counts = F.coalesce(_observed(F.col("panel_addrs"), F.col("panel_map")), F.create_map().cast("map<string,bigint>"))
-    zeros = F.transform(F.col(ref), lambda p: F.coalesce(F.try_element_at(counts, p), F.lit(0).cast("long")))
-    return df.withColumns(
-        {
-            "panel_map": F.when(has, zeros).otherwise(F.col("panel_map").cast("array<bigint>")),
-            "panel_addrs": F.when(has, F.col(ref)).otherwise(F.col("panel_addrs")),
-        }
-    ).drop(ref)
+    panels = F.array_distinct(ref)
+    zeros = F.map_from_arrays(panels, F.array_repeat(F.lit(0).cast("long"), F.size(panels)))
+    found = panel_counts_map("panel_addrs", "panel_map").cast("map<string,bigint>")
+    # the merged map lists the reference panels first and in their order
+    merged = F.map_zip_with(
+        zeros, F.coalesce(found, F.create_map().cast("map<string,bigint>")), lambda _, zero, n: F.struct(zero.alias("zero"), n.alias("n"))
+    )
+    full = F.map_filter(merged, lambda _, v: v["zero"].isNotNull())
+    full = F.transform_values(full, lambda _, v: F.coalesce(v["n"], v["zero"]))
+    on_grid = F.col("_full").isNotNull()
+    return (
+        df.withColumn("_full", F.when(F.size(ref) > 0, full))
+        .withColumns(
+            {
+                "panel_map": F.when(on_grid, F.map_values("_full")).otherwise(F.col("panel_map").cast("array<bigint>")),
+                "panel_addrs": F.when(on_grid, F.map_keys("_full")).otherwise(F.col("panel_addrs")),
+            }
+        )
+        .drop(ref, "_full")
+    )
 
 
 def full_grid(defects: DataFrame, layout: DataFrame) -> DataFrame:

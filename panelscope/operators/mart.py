@@ -41,15 +41,27 @@ def panel_counts(i: DataFrame, days: Iterable = ()) -> DataFrame:
     )
 
 
-def panel_arrays(counted: Column | str) -> dict[str, Column]:
-    """The two parallel arrays of a list of (address, count) structs, sorted by address."""
-    panels = F.array_sort(counted)
+def panel(addr: Column | str, n: Column | str) -> Column:
+    """Entry of a panel list."""
+    addr, n = (F.col(c) if isinstance(c, str) else c for c in (addr, n))
+    return F.struct(addr.alias("addr"), n.alias("n"))
+
+
+def panel_arrays(panels: Column | str) -> dict[str, Column]:
+    """The two parallel arrays of a list of panels, sorted by address."""
+    panels = F.array_sort(panels)
     return {
-        "panel_addrs": F.transform(panels, lambda p: p[0]),
-        "panel_map": F.transform(panels, lambda p: p[1]),
+        "panel_addrs": F.transform(panels, lambda p: p["addr"]),
+        "panel_map": F.transform(panels, lambda p: p["n"]),
     }
 
 
+def panel_counts_map(addrs: Column | str, counts: Column | str) -> Column:
+    """Map from address to count of two parallel arrays with distinct addresses."""
+    known = F.filter(F.zip_with(addrs, counts, panel), lambda p: p["addr"].isNotNull())
+    return F.map_from_entries(known)
+
+
 def glass_defects(counts: DataFrame) -> DataFrame:
     """Per product and defect: total and the parallel lists of panel address and count.
 
@@ -60,7 +72,7 @@ def glass_defects(counts: DataFrame) -> DataFrame:
         .agg(
             F.max("inspection_time").alias("inspection_time"),
             F.sum("addr_count").alias("total_defects"),
-            F.collect_list(F.struct("panel_addr", "addr_count")).alias("_panels"),
+            F.collect_list(panel("panel_addr", "addr_count")).alias("_panels"),
         )
         .withColumns(panel_arrays("_panels"))
         .drop("_panels")

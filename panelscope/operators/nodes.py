@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.operators.mart import panel_arrays
+from panelscope.operators.mart import panel, panel_arrays
 
 # The levels, outermost first, and the column of each.
 LEVELS = {
@@ -55,7 +55,7 @@ def node_maps(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) -> D
         panels.groupBy(*NODE, *by, "panel_addrs")
         .agg(F.sum("panel_map").alias("panel_map"))
         .groupBy(*NODE, *by)
-        .agg(F.collect_list(F.struct("panel_addrs", "panel_map")).alias("_panels"))
+        .agg(F.collect_list(panel("panel_addrs", "panel_map")).alias("_panels"))
         .withColumns(panel_arrays("_panels"))
         .drop("_panels")
     )
@@ -89,16 +89,22 @@ def _days(start, end) -> Column:
 
 def fill_days(nodes: DataFrame, start, end) -> DataFrame:
     """Trend lists with every day of start..end, 0 where a node has no rows; other days are left out."""
-    known = F.filter("daily_dpu", lambda d: d["work_date"].isNotNull())
-    by_day = F.map_from_entries(known)
-
-    def one(day):
-        name = F.date_format(day, "yyyy-MM-dd")
-        return F.struct(name.alias("work_date"), F.coalesce(F.try_element_at(by_day, name), F.lit(0.0)).alias("dpu"))
-
-    # a node without any trend row has a NULL list
-    empty = F.transform(_days(start, end), lambda d: F.struct(F.date_format(d, "yyyy-MM-dd").alias("work_date"), F.lit(0.0).alias("dpu")))
-    return nodes.withColumn("daily_dpu", F.coalesce(F.transform(_days(start, end), one), empty))
+    names = F.transform(_days(start, end), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    zeros = F.map_from_arrays(names, F.array_repeat(F.lit(0.0), F.size(names)))
+    known = F.map_from_entries(F.filter("daily_dpu", lambda d: d["work_date"].isNotNull()))
+    merged = F.map_zip_with(
+        zeros,
+        F.coalesce(known, F.create_map().cast("map<string,double>")),
+        lambda _, zero, dpu: F.struct(zero.alias("zero"), dpu.alias("dpu")),
+    )
+    wanted = F.filter(F.map_entries(merged), lambda e: e["value"]["zero"].isNotNull())
+    filled = F.transform(
+        wanted,
+        lambda e: F.struct(
+            e["key"].alias("work_date"), F.coalesce(e["value"]["dpu"], e["value"]["zero"]).alias("dpu")
+        ),
+    )
+    return nodes.withColumn("daily_dpu", filled)
 
 
 def fill_day_rows(trend: DataFrame, start, end, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

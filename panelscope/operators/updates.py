@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelscope.operators.mart import panel, panel_arrays, panel_counts_map
+
 
 def _matched(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join on unique keys: columns ``o`` and ``n`` hold the two rows, NULL where absent."""
@@ -18,25 +20,18 @@ def _matched(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, same, "full")
 
 
-def _added_panels(prefix_old: str = "o", prefix_new: str = "n") -> dict[str, Column]:
-    """Counts of two panel maps added per address, as the two parallel arrays."""
+def _added_panels() -> dict[str, Column]:
+    """Counts of the old and the new panel map added per address, as the two parallel arrays."""
 
-    def entries(side):
-        pairs = F.arrays_zip(F.col(f"{side}.panel_addrs").alias("a"), F.col(f"{side}.panel_map").alias("n"))
-        known = F.filter(pairs, lambda e: e[0].isNotNull())
-        return F.coalesce(F.map_from_entries(known), F.create_map().cast("map<string,bigint>"))
+    def counts(side):
+        known = panel_counts_map(f"{side}.panel_addrs", f"{side}.panel_map").cast("map<string,bigint>")
+        return F.coalesce(known, F.create_map().cast("map<string,bigint>"))
 
     zero = F.lit(0).cast("long")
     merged = F.map_zip_with(
-        entries(prefix_old),
-        entries(prefix_new),
-        lambda _, a, b: F.coalesce(a.cast("long"), zero) + F.coalesce(b.cast("long"), zero),
+        counts("o"), counts("n"), lambda _, a, b: F.coalesce(a, zero) + F.coalesce(b, zero)
     )
-    panels = F.array_sort(F.map_entries(merged))
-    return {
-        "panel_addrs": F.transform(panels, lambda p: p["key"]),
-        "panel_map": F.transform(panels, lambda p: p["value"]),
-    }
+    return panel_arrays(F.transform(F.map_entries(merged), lambda e: panel(e["key"], e["value"])))
 
 
 def upsert_add(
@@ -72,12 +67,9 @@ def total_of_days(daily: DataFrame) -> DataFrame:
         .groupBy(*key, "panel_addrs")
         .agg(F.sum("panel_map").alias("panel_map"))
         .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("panel_addrs", "panel_map"))).alias("_panels"))
-        .select(
-            *key,
-            F.transform("_panels", lambda p: p["panel_addrs"]).alias("panel_addrs"),
-            F.transform("_panels", lambda p: p["panel_map"]).alias("panel_map"),
-        )
+        .agg(F.collect_list(panel("panel_addrs", "panel_map")).alias("_panels"))
+        .withColumns(panel_arrays("_panels"))
+        .drop("_panels")
     )
     rows = daily.groupBy(*key).agg(
         F.sum("total_defects").alias("total_defects"),
