@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelscope.catalog.registry import listed, query, rounded
 from panelscope.catalog.views import history, inspection, mart, part_no, pnl_map, with_facts, with_mart
 from panelscope.operators import cells, layout, mart as marts, nodes
-from panelscope.operators.glass import in_order
+from panelscope.operators.glass import Request, heatmap, in_order
 from panelscope.plans.daily import full_grid_stats
 from panelscope.plans.hierarchy import HierarchyParams, hierarchy_analysis
 
@@ -191,7 +191,6 @@ def model_layouts(spark, sf):
     ),
 )
 def full_grid(spark, sf):
-    # the smaller half of the models has no layout here, so both forms of the map occur
     rows = full_grid_stats(inspection(spark, sf), history(spark, sf), _layout(spark, sf))
     columns = ("stat_date", "product_id", "defect_name", "model_code", "lot_id", "work_date", "total_defects")
     return listed(rows.select(*columns, "panel_map", "panel_addrs"), "panel_map", "panel_addrs")
@@ -382,8 +381,6 @@ rates AS (SELECT CASE WHEN t.product_id IS NOT NULL THEN 'Target' ELSE 'Others'
 
 
 def _cells(spark, sf):
-    from panelscope.operators.glass import Request, heatmap
-
     return heatmap(history(spark, sf), inspection(spark, sf), Request(equipment_ids=("A1DEPO03",)))
 
 
