@@ -30,7 +30,7 @@ from panelscope.sources import export, extract, lake
 )
 def lake_inspection_days(spark, sf):
     root, i = scratch_path(spark, "inspection"), settle(inspection(spark, sf), "cleaned")
-    lake.write_inspection(i, root)
+    lake.write_inspection(i, root, tasks=spark.sparkContext.defaultParallelism)
     # days that are written again are replaced, the others stay
     lake.write_inspection(i.where(F.col("inspection_end_ymdhms") >= "2001-10-01"), root)
     rows = lake.read_lake(spark, root)
@@ -86,7 +86,7 @@ def lake_schema_evolution(spark, sf):
 )
 def lake_history_buckets(spark, sf):
     root = scratch_path(spark, "history")
-    lake.write_history(history(spark, sf), root)
+    lake.write_history(history(spark, sf), root, tasks=spark.sparkContext.defaultParallelism)
     rows = lake.read_lake(spark, root)
     bucket = F.lpad(F.col("bucket_id").cast("string"), 2, "0").alias("bucket_id")
     return rows.groupBy("facility_code", "model_code", bucket).agg(

@@ -31,7 +31,8 @@ def equipment_stats(h: DataFrame, i: DataFrame, defect: str = "") -> DataFrame:
         F.coalesce(F.sum("n_panels"), F.lit(0)).alias("n_own"),
     )
     shared = (
-        steps.join(panels.shared, ["product_id", "process_code"])
+        steps.where(panels.any_shared)
+        .join(panels.shared, ["product_id", "process_code"])
         .select(*key, "panel_id")
         .distinct()
         .groupBy(*key)

@@ -131,7 +131,7 @@ def daily_level(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:
     counted = label(per_visit, targets).groupBy("work_date", "group_type").agg(
         F.sum("n_panels").alias("total_defects"), F.count("product_id").alias("glass_count")
     )
-    at_process = steps.select("product_id", "process_code", day).distinct()
+    at_process = steps.where(panels.any_shared).select("product_id", "process_code", day).distinct()
     shared = (
         label(panels.shared.join(at_process, ["product_id", "process_code"]), targets)
         .select("work_date", "group_type", "panel_id")

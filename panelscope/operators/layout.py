@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions.clean import safe_rate
-from panelscope.operators.mart import panel_counts_map
 
 
 def model_layout(part_no: DataFrame, pnl_map: DataFrame) -> DataFrame:
@@ -32,26 +31,21 @@ def on_layout(df: DataFrame, ref: str = "ref_panels") -> DataFrame:
 
     Rows without a layout keep the observed panels.  Observed panels outside the layout are left out.
     """
-    panels = F.array_distinct(ref)
-    zeros = F.map_from_arrays(panels, F.array_repeat(F.lit(0).cast("long"), F.size(panels)))
-    found = panel_counts_map("panel_addrs", "panel_map").cast("map<string,bigint>")
-    # the merged map lists the reference panels first and in their order
-    merged = F.map_zip_with(
-        zeros, F.coalesce(found, F.create_map().cast("map<string,bigint>")), lambda _, zero, n: F.struct(zero.alias("zero"), n.alias("n"))
-    )
-    full = F.map_filter(merged, lambda _, v: v["zero"].isNotNull())
-    full = F.transform_values(full, lambda _, v: F.coalesce(v["n"], v["zero"]))
-    on_grid = F.col("_full").isNotNull()
-    return (
-        df.withColumn("_full", F.when(F.size(ref) > 0, full))
-        .withColumns(
-            {
-                "panel_map": F.when(on_grid, F.map_values("_full")).otherwise(F.col("panel_map").cast("array<bigint>")),
-                "panel_addrs": F.when(on_grid, F.map_keys("_full")).otherwise(F.col("panel_addrs")),
-            }
-        )
-        .drop(ref, "_full")
-    )
+
+    def count_of(addr: Column) -> Column:
+        # position 0 means not found, and index -1 gives NULL
+        place = F.array_position("panel_addrs", addr).cast("int") - 1
+        return F.coalesce(F.get("panel_map", place).cast("long"), F.lit(0).cast("long"))
+
+    has = F.size(ref) > 0
+    # a column of its own: inside a lambda "panel_addrs" must not mean the new panel_addrs
+    full = df.withColumn("_full", F.when(has, F.transform(ref, count_of)))
+    return full.withColumns(
+        {
+            "panel_map": F.coalesce(F.col("_full"), F.col("panel_map").cast("array<bigint>")),
+            "panel_addrs": F.when(has, F.col(ref)).otherwise(F.col("panel_addrs")),
+        }
+    ).drop(ref, "_full")
 
 
 def full_grid(defects: DataFrame, layout: DataFrame) -> DataFrame:

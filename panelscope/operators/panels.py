@@ -11,20 +11,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 class Panels(NamedTuple):
+    """Counted panels of one product; rows of the panels of several products; are there any of those."""
+
     own: DataFrame
     shared: DataFrame
+    any_shared: Column
 
 
-def _split(i: DataFrame, by: Sequence[str], extra: Sequence = ()) -> Panels:
-    """Panels of one product, with the product; and rows of the panels of several products.
+def _split(i: DataFrame, by: Sequence[str], extra: Sequence[Column] = ()) -> Panels:
+    """Panels of one product, with the product, and rows of the panels of several products.
 
     The rows are read again only to find the shared panels.  The scalar test in front of that join
-    drops them before the shuffle in the usual case that there are none.
+    drops them before the shuffle in the usual case that there are none; callers put the same test
+    in front of what they join to the shared rows.
     """
     columns = ["panel_id", "product_id", "process_code"]
     rows = i.select(*columns).dropna(subset=columns)
@@ -34,17 +38,20 @@ def _split(i: DataFrame, by: Sequence[str], extra: Sequence = ()) -> Panels:
     own = owners.where(F.col("product_id") == F.col("_last")).drop("_last")
     several = owners.where(F.col("product_id") != F.col("_last")).select(*by)
     any_shared = several.agg(F.count("*") > 0).scalar()
-    return Panels(own, rows.where(any_shared).join(several, list(by), "left_semi").distinct())
+    shared = rows.where(any_shared).join(several, list(by), "left_semi").distinct()
+    return Panels(own, shared, any_shared)
 
 
 def panels_per_step(i: DataFrame) -> Panels:
     """own: number of panels per (product, process); shared: rows (panel, product, process)."""
-    own, shared = _split(i, ["process_code", "panel_id"])
-    return Panels(own.groupBy("product_id", "process_code").agg(F.count("*").alias("n_panels")), shared)
+    panels = _split(i, ["process_code", "panel_id"])
+    counted = panels.own.groupBy("product_id", "process_code").agg(F.count("*").alias("n_panels"))
+    return panels._replace(own=counted)
 
 
 def panels_per_product(i: DataFrame) -> Panels:
     """own: number of panels per product and set of processes they were found in; shared: as above."""
     found_in = F.array_sort(F.collect_set("process_code")).alias("processes")
-    own, shared = _split(i, ["panel_id"], [found_in])
-    return Panels(own.groupBy("product_id", "processes").agg(F.count("*").alias("n_panels")), shared)
+    panels = _split(i, ["panel_id"], [found_in])
+    counted = panels.own.groupBy("product_id", "processes").agg(F.count("*").alias("n_panels"))
+    return panels._replace(own=counted)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelscope.session import settle
 
-# A page that ends within this many rows is a plain top-k; deeper pages go by position.
+# Up to this many rows are sorted by one task; more are numbered range by range.
 TOP_K_ROWS = 100_000
 
 # Thinning of target rows, (more rows than, keep every k-th).
@@ -56,10 +56,12 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[s
 
 def with_rank(df: DataFrame, order: Sequence[Column], limit: int = 0) -> DataFrame:
     """Rank 1..n in result order; a limit keeps the first rows only."""
-    if limit > 0:
-        top = df.orderBy(*order).limit(limit)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return numbered(df, order, "rank")
+    if 0 < limit <= TOP_K_ROWS:
+        df = df.orderBy(*order).limit(limit)
+    elif df.limit(TOP_K_ROWS + 1).count() > TOP_K_ROWS:
+        ranked = numbered(df, order, "rank")
+        return ranked.where(F.col("rank") <= limit) if limit else ranked
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def thin(df: DataFrame, label: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -54,15 +54,14 @@ def _per_target(pairs: Sequence[tuple[str, str]]) -> Column:
 
 def _split(totals: DataFrame, mine: DataFrame, keys: list[str], counts: list[str], pairs) -> DataFrame:
     """Target and Others rows per target: ``counts`` of ``mine``, and of ``totals`` minus ``mine``."""
-    every = totals.select(_per_target(pairs), *keys, *counts)
-    part = mine.select(*[F.col(c).alias(f"_{c}") for c in (*TARGET_KEY, *keys)], *[F.col(c).alias(f"_{c}") for c in counts])
-    same = F.lit(True)
-    for c in (*TARGET_KEY, *keys):
-        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-    zero = {c: F.coalesce(F.col(f"_{c}"), F.lit(0)).cast("long") for c in counts}
-    target = F.struct(F.lit("Target").alias("group_type"), *[zero[c].alias(c) for c in counts])
-    others = F.struct(F.lit("Others").alias("group_type"), *[(F.col(c) - zero[c]).alias(c) for c in counts])
-    return every.join(part, same, "left").select(*TARGET_KEY, *keys, F.inline(F.array(target, others)))
+    key = [*TARGET_KEY, *keys]
+    target, others = F.lit("Target").alias("group_type"), F.lit("Others").alias("group_type")
+    rows = (
+        totals.select(_per_target(pairs), *keys, others, *counts)
+        .unionByName(mine.select(*key, target, *counts))
+        .unionByName(mine.select(*key, others, *[(-F.col(c)).alias(c) for c in counts]))
+    )
+    return rows.groupBy(*key, "group_type").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _lots(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:

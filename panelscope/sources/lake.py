@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,34 +42,47 @@ def scan_glob(spark: SparkSession, root: str, facility: str, glob: str = "*.parq
     return reader.option("mergeSchema", True).parquet(f"{root}/facility_code={facility}")
 
 
-def write_inspection(df: DataFrame, root: str, ts: str = "inspection_end_ymdhms") -> None:
+def _spread(df: DataFrame, order: Sequence[str], tasks: int | None) -> DataFrame:
+    """Range-partitioned and sorted on the whole key, in a given number of tasks or as the size asks for.
+
+    A facility, day, model or product that holds most of the rows is still written by many tasks,
+    and each task writes few folders.
+    """
+    ranged = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
+
+
+def write_inspection(
+    df: DataFrame, root: str, ts: str = "inspection_end_ymdhms", tasks: int | None = None
+) -> None:
     """Write cleaned inspection rows by facility and day; days present in ``df`` are replaced.
 
-    Rows are range-partitioned on the whole key, so a facility or day that holds most of the rows is
-    written by many tasks.  No rows replace nothing.
+    No rows replace nothing.
     """
     day = {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)}
     order = [*INSPECTION_PARTITIONS, "product_id", ts]
-    _replace_partitions(df.withColumns(day), root, INSPECTION_PARTITIONS, order)
+    _replace_partitions(_spread(df.withColumns(day), order, tasks), root, INSPECTION_PARTITIONS)
 
 
 def with_bucket(df: DataFrame, buckets: int = 100) -> DataFrame:
     return df.withColumn("bucket_id", hash_bucket("product_id", buckets))
 
 
-def write_history(df: DataFrame, root: str, buckets: int = 100, mode: str = "append") -> None:
+def write_history(
+    df: DataFrame, root: str, buckets: int = 100, mode: str = "append", tasks: int | None = None
+) -> None:
     """Write cleaned history rows by facility, model and product hash, sorted by product.
 
-    Sorting gives narrow row-group ranges and the bloom filter serves lookups of one product.  The
-    range key ends in the time so that one hot product, too, is spread over tasks.
+    Sorting gives narrow row-group ranges and the bloom filter serves lookups of one product.
     """
     order = [*HISTORY_PARTITIONS, "product_id", "move_in_ymdhms"]
     rows = with_bucket(df, buckets).withColumn("model_code", F.coalesce("model_code", F.lit("UNKNOWN")))
-    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write
     (
-        writer.mode(mode)
+        _spread(rows, order, tasks)
+        .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#product_id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy(*HISTORY_PARTITIONS)
         .parquet(root)
     )
@@ -86,19 +100,14 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _replace_partitions(df: DataFrame, root: str, partitions, order) -> None:
-    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write
-    (
-        writer.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(root)
-    )
+def _replace_partitions(df: DataFrame, root: str, partitions: Sequence[str]) -> None:
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(root)
 
 
-def write_mart_days(df: DataFrame, root: str) -> None:
+def write_mart_days(df: DataFrame, root: str, tasks: int | None = None) -> None:
     """Write day-keyed mart rows; days present in ``df`` are replaced, so a rerun changes nothing."""
-    _replace_partitions(df, root, ("stat_date",), ["stat_date", "product_id", "defect_name"])
+    _replace_partitions(_spread(df, ["stat_date", "product_id", "defect_name"], tasks), root, ["stat_date"])
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
