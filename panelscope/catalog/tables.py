@@ -164,7 +164,7 @@ def conformed_columns(spark, sf):
 )
 def incremental_load(spark, sf):
     h, ts = history(spark, sf), "move_in_ymdhms"
-    marks = h.where(F.col(ts) < "1999-01-01").groupBy("facility_code").agg(F.max(ts).alias("high_water"))
+    marks = extract.facility_marks(h.where(F.col(ts) < "1999-01-01"), ts)
     rows = extract.incremental_by_facility(h, ts, marks, dt.datetime(2001, 1, 1))
     return rows.groupBy("facility_code").agg(F.count("*").alias("n"), F.min(ts).alias("first_time"))
 

@@ -175,4 +175,5 @@ def daily_masters(df: DataFrame, column: str, day=None, ts: str = "inspection_en
 def unique_lots(mart: DataFrame, h: DataFrame) -> DataFrame:
     """Number of lots the mart's products have in the history."""
     products = mart.select("product_id").distinct()
-    return h.join(products, "product_id", "left_semi").agg(F.countDistinct("lot_id").alias("unique_lots"))
+    lots = h.select("product_id", "lot_id").distinct()
+    return lots.join(products, "product_id", "left_semi").agg(F.countDistinct("lot_id").alias("unique_lots"))

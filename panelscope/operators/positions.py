@@ -17,14 +17,22 @@ TARGET_STRIDES = ((100_000, 10), (10_000, 2), (0, 1))
 OTHERS_POINTS = 2000
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = ()) -> DataFrame:
+def numbered(
+    df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = (), copies: bool = False
+) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` for groups of any size.
 
     Rows are range-partitioned by (keys, order), so a group that holds a third of the table is still
     spread over many tasks.  Rows are numbered inside their range; only the first group of a range
     can have started in an earlier one, so the missing offset is one value per range.  ``order`` has
-    to be a total order for repeatable numbers.
+    to be a total order for repeatable numbers.  If rows may be ``copies`` of each other in all
+    order columns, they first get a number that is stored with them, so that a large group of copies
+    can be split as well.
     """
+    columns = df.columns
+    if copies:
+        df = settle(df.withColumn("_copy", F.monotonically_increasing_id()), "copies")
+        order = [*order, F.col("_copy")]
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
     ranged = settle(ranged.withColumn("_range", F.spark_partition_id()), "numbered")
@@ -51,7 +59,7 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[s
         .select("_range", F.col("_group").alias("_first"), "_before")
     )
     before = F.when(F.col("_group").eqNullSafe(F.col("_first")), F.col("_before")).otherwise(0)
-    return ranged.join(offsets, "_range").select(*df.columns, (F.col("_n") + before).cast("long").alias(name))
+    return ranged.join(offsets, "_range").select(*columns, (F.col("_n") + before).cast("long").alias(name))
 
 
 def with_rank(df: DataFrame, order: Sequence[Column], limit: int = 0) -> DataFrame:
@@ -93,7 +101,7 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int =
         raise ValueError("limit and offset must not be negative")
     if limit + offset <= TOP_K_ROWS:
         return df.orderBy(*order).offset(offset).limit(limit)
-    rows = numbered(df, order, "_position")
+    rows = numbered(df, order, "_position", copies=True)
     wanted = rows.where((F.col("_position") > offset) & (F.col("_position") <= offset + limit))
     return wanted.orderBy("_position").select(*df.columns)
 

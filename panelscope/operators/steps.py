@@ -42,7 +42,7 @@ def dedup_products(h: DataFrame, ts: str = "move_in_ymdhms") -> DataFrame:
 
 def seq_num(h: DataFrame, ts: str = "move_in_ymdhms", keys: Sequence[str] = STEP_KEY) -> DataFrame:
     """Every row, numbered within its key from the newest (1) on."""
-    return numbered(h, _newest_first(h, keys, ts), "seq_num", keys)
+    return numbered(h, _newest_first(h, keys, ts), "seq_num", keys, copies=True)
 
 
 def product_history(

@@ -63,12 +63,9 @@ def hierarchy_analysis(
     """
     rows, level = hierarchy_filter(mart, params), level_of(params)
     keys = [*NODE, *by]
-    out = node_totals(rows, level, by)
-    for part in (node_maps(rows, level, by), node_trend(rows, level, by)):
-        values = [c for c in part.columns if c not in keys]
-        part = part.select(*[F.col(k).alias(f"_{k}") for k in keys], *values)
-        same = F.lit(True)
-        for k in keys:
-            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-        out = out.join(part, same, "left").drop(*[f"_{k}" for k in keys])
-    return out
+    # one row per node and part; a NULL in the node key groups like any other value
+    parts = [f(rows, level, by) for f in (node_totals, node_maps, node_trend)]
+    values = [c for part in parts for c in part.columns if c not in keys]
+    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    every = both.unionByName(parts[2], allowMissingColumns=True)
+    return every.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])

@@ -78,11 +78,19 @@ def incremental(df: DataFrame, ts: str, hwm, now: dt.datetime, first_days: int =
     return df.where(time_range(ts, start, now))
 
 
-def incremental_by_facility(df: DataFrame, ts: str, marks: DataFrame, now: dt.datetime, first_days: int = FIRST_LOAD_DAYS) -> DataFrame:
-    """The same for all facilities at once; ``marks`` has one high_water per facility_code."""
-    start = F.coalesce(
-        F.col("high_water") + F.expr("INTERVAL 1 SECOND"),
-        F.lit((now - dt.timedelta(days=first_days)).isoformat(sep=" ")).cast("timestamp_ntz"),
-    )
-    rows = df.where(time_range(ts, None, now)).join(marks, "facility_code", "left")
-    return rows.where(F.col(ts) >= start).select(*df.columns)
+def facility_marks(df: DataFrame, ts: str) -> dict[str, dt.datetime]:
+    """High-water mark of each facility, of which there are few: they are folders of the lake."""
+    rows = df.groupBy("facility_code").agg(F.max(ts).alias("high_water"))
+    return {r["facility_code"]: r["high_water"] for r in rows.collect()}
+
+
+def incremental_by_facility(
+    df: DataFrame, ts: str, marks: Mapping[str, dt.datetime], now: dt.datetime, first_days: int = FIRST_LOAD_DAYS
+) -> DataFrame:
+    """The same for all facilities at once, as one filter; facilities without a mark get the last days."""
+    known = F.coalesce(F.col("facility_code").isin(list(marks)), F.lit(False))
+    wanted = ~known & (F.col(ts) >= F.lit(str(now - dt.timedelta(days=first_days))).cast("timestamp_ntz"))
+    for facility, mark in marks.items():
+        start = F.lit(str(mark + dt.timedelta(seconds=1))).cast("timestamp_ntz")
+        wanted |= (F.col("facility_code") == facility) & (F.col(ts) >= start)
+    return df.where(time_range(ts, None, now) & wanted)

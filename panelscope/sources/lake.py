@@ -42,14 +42,14 @@ def scan_glob(spark: SparkSession, root: str, facility: str, glob: str = "*.parq
     return reader.option("mergeSchema", True).parquet(f"{root}/facility_code={facility}")
 
 
-def _spread(df: DataFrame, order: Sequence[str], tasks: int | None) -> DataFrame:
-    """Range-partitioned and sorted on the whole key, in a given number of tasks or as the size asks for.
+def _spread(df: DataFrame, folders: Sequence[str], order: Sequence[str], tasks: int | None) -> DataFrame:
+    """Rows of a folder together and sorted, in a given number of tasks or as the size asks for.
 
-    A facility, day, model or product that holds most of the rows is still written by many tasks,
-    and each task writes few folders.
+    Rebalancing splits a facility, day, model or bucket that holds most of the rows over many tasks
+    and packs small ones together.
     """
-    ranged = df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)
-    return ranged.sortWithinPartitions(*order)
+    together = df.repartition(tasks, *folders) if tasks else df.hint("rebalance", *[F.col(c) for c in folders])
+    return together.sortWithinPartitions(*folders, *order)
 
 
 def write_inspection(
@@ -60,8 +60,8 @@ def write_inspection(
     No rows replace nothing.
     """
     day = {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)}
-    order = [*INSPECTION_PARTITIONS, "product_id", ts]
-    _replace_partitions(_spread(df.withColumns(day), order, tasks), root, INSPECTION_PARTITIONS)
+    rows = _spread(df.withColumns(day), INSPECTION_PARTITIONS, ["product_id", ts], tasks)
+    _replace_partitions(rows, root, INSPECTION_PARTITIONS)
 
 
 def with_bucket(df: DataFrame, buckets: int = 100) -> DataFrame:
@@ -75,10 +75,9 @@ def write_history(
 
     Sorting gives narrow row-group ranges and the bloom filter serves lookups of one product.
     """
-    order = [*HISTORY_PARTITIONS, "product_id", "move_in_ymdhms"]
     rows = with_bucket(df, buckets).withColumn("model_code", F.coalesce("model_code", F.lit("UNKNOWN")))
     (
-        _spread(rows, order, tasks)
+        _spread(rows, HISTORY_PARTITIONS, ["product_id", "move_in_ymdhms"], tasks)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#product_id", "true")
@@ -107,7 +106,8 @@ def _replace_partitions(df: DataFrame, root: str, partitions: Sequence[str]) ->
 
 def write_mart_days(df: DataFrame, root: str, tasks: int | None = None) -> None:
     """Write day-keyed mart rows; days present in ``df`` are replaced, so a rerun changes nothing."""
-    _replace_partitions(_spread(df, ["stat_date", "product_id", "defect_name"], tasks), root, ["stat_date"])
+    rows = _spread(df, ["stat_date"], ["product_id", "defect_name"], tasks)
+    _replace_partitions(rows, root, ["stat_date"])
 
 
 def _versions(spark: SparkSession, root: str) -> list[int]:

@@ -118,9 +118,20 @@ def current_trend(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
     return rows.groupBy("work_date", *keys).agg(newest).select("work_date", *keys, "_v.*")
 
 
-def deduplicated(src: DataFrame, ts: str, key: Sequence[str], watermark: str = "2 days") -> DataFrame:
-    """First copy of each key; later copies within the watermark are dropped."""
-    return event_time(src, ts).withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(key))
+def deduplicated(
+    src: DataFrame, ts: str, key: Sequence[str], watermark: str = "2 days", salts: int = 16
+) -> DataFrame:
+    """First copy of each key; later copies within the watermark are dropped.
+
+    Copies are first dropped per key and salt, so that a key with very many copies is spread over
+    several tasks and only one copy per salt meets in one task.
+    """
+    key = list(key)
+    rows = event_time(src, ts).withWatermark(ts, watermark)
+    if salts > 1:
+        salted = rows.withColumn("_salt", F.floor(F.rand(0) * salts).cast("int"))
+        rows = salted.dropDuplicatesWithinWatermark([*key, "_salt"]).drop("_salt")
+    return rows.dropDuplicatesWithinWatermark(key)
 
 
 def dedup_stream(
