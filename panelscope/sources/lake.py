@@ -6,7 +6,7 @@ import hashlib
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +42,16 @@ def scan_glob(spark: SparkSession, root: str, facility: str, glob: str = "*.parq
     return reader.option("mergeSchema", True).parquet(f"{root}/facility_code={facility}")
 
 
+def _varying(name: str) -> Column:
+    """The text column ``name`` in a form that the optimizer does not see as a constant.
+
+    Sorting by a constant is optimized away, after which the writer would sort by folder again and
+    lose the order inside the files.
+    """
+    nothing = F.substring("product_id", 1, 0)
+    return F.when(F.col(name).isNotNull(), F.concat_ws("", F.col(name), nothing))
+
+
 def _spread(df: DataFrame, folders: Sequence[str], order: Sequence[str], tasks: int | None) -> DataFrame:
     """Rows of a folder together and sorted, in a given number of tasks or as the size asks for.
 
@@ -60,7 +70,8 @@ def write_inspection(
     No rows replace nothing.
     """
     day = {"year": F.year(ts), "month": F.month(ts), "day": F.dayofmonth(ts)}
-    rows = _spread(df.withColumns(day), INSPECTION_PARTITIONS, ["product_id", ts], tasks)
+    df = df.withColumns({**day, "facility_code": _varying("facility_code")})
+    rows = _spread(df, INSPECTION_PARTITIONS, ["product_id", ts], tasks)
     _replace_partitions(rows, root, INSPECTION_PARTITIONS)
 
 
@@ -75,7 +86,9 @@ def write_history(
 
     Sorting gives narrow row-group ranges and the bloom filter serves lookups of one product.
     """
-    rows = with_bucket(df, buckets).withColumn("model_code", F.coalesce("model_code", F.lit("UNKNOWN")))
+    df = df.withColumn("model_code", F.coalesce("model_code", F.lit("UNKNOWN")))
+    folders = {c: _varying(c) for c in ("facility_code", "model_code")}
+    rows = with_bucket(df, buckets).withColumns(folders)
     (
         _spread(rows, HISTORY_PARTITIONS, ["product_id", "move_in_ymdhms"], tasks)
         .write.mode(mode)

@@ -27,6 +27,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
+        .config("spark.sql.maxMetadataStringLength", "10000")
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         .getOrCreate()
     )
