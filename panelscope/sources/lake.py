@@ -95,6 +95,8 @@ def write_history(
         .option("partitionOverwriteMode", "dynamic")
         .option("parquet.bloom.filter.enabled#product_id", "true")
         .option("parquet.bloom.filter.adaptive.enabled", "true")
+        # Parquet leaves the filter out of a column that is all dictionary
+        .option("parquet.enable.dictionary#product_id", "false")
         .partitionBy(*HISTORY_PARTITIONS)
         .parquet(root)
     )
