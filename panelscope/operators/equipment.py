@@ -12,38 +12,29 @@ from panelscope.operators.panels import panels_per_step
 EQUIPMENT_KEY = ("process_code", "equipment_group_id", "equipment_line_id", "product_type_code")
 
 
-def equipment_stats(h: DataFrame, i: DataFrame, defect: str = "") -> DataFrame:
+def equipment_stats(h: DataFrame, i: DataFrame, defect: str = "", latest: bool = False) -> DataFrame:
     """Distinct products and distinct defective panels per process, group, line and product type.
 
     A left join of history and inspection on product and process, with the defect prefix applied to
     the inspection side.  Both sides arrive reduced to one row per join key and equipment, so the
-    join grows with products, never with defects times steps.
+    join grows with products, never with defects times steps.  ``latest`` says that the history is
+    already reduced to one step per product, process and line.
     """
-    key = list(EQUIPMENT_KEY)
-    steps = (
-        h.select("product_id", "process_code", "equipment_line_id", "product_type_code")
-        .distinct()
-        .withColumn("equipment_group_id", equip_group("equipment_line_id"))
-    )
+    key, on = list(EQUIPMENT_KEY), ["product_id", "process_code"]
+    steps = h.select("product_id", "process_code", "equipment_line_id", "product_type_code")
+    steps = steps if latest else steps.distinct()
+    steps = steps.withColumn("equipment_group_id", equip_group("equipment_line_id"))
     panels = panels_per_step(i.where(starts_with("defect_name", defect)))
-    counted = steps.join(panels.own, ["product_id", "process_code"], "left").groupBy(*key).agg(
+    stats = steps.join(panels.own, on, "left").groupBy(*key).agg(
         F.count("product_id").alias("product_count"),
-        F.coalesce(F.sum("n_panels"), F.lit(0)).alias("n_own"),
-    )
-    shared = (
-        steps.where(panels.any_shared)
-        .join(panels.shared, ["product_id", "process_code"])
-        .select(*key, "panel_id")
-        .distinct()
-        .groupBy(*key)
-        .agg(F.lit(0).cast("long").alias("product_count"), F.count("*").alias("n_own"))
-    )
-    return (
-        counted.unionByName(shared)
-        .groupBy(*key)
-        .agg(F.sum("product_count").alias("product_count"), F.sum("n_own").alias("total_defects"))
-        .withColumn("defect_rate", safe_rate("total_defects", "product_count"))
+        F.coalesce(F.sum("n_panels"), F.lit(0)).alias("total_defects"),
     )
+    if panels.shared is not None:
+        met = steps.join(panels.shared, on).select(*key, "panel_id").distinct()
+        more = met.groupBy(*key).agg(F.lit(0).cast("long").alias("product_count"), F.count("*").alias("total_defects"))
+        both = stats.unionByName(more).groupBy(*key)
+        stats = both.agg(*[F.sum(c).alias(c) for c in ("product_count", "total_defects")])
+    return stats.withColumn("defect_rate", safe_rate("total_defects", "product_count"))
 
 
 def overall(stats: DataFrame, min_n: int = 10) -> DataFrame:

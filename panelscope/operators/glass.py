@@ -128,23 +128,18 @@ def daily_level(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:
         .groupBy("product_id", "work_date")
         .agg(F.coalesce(F.sum(F.when(met, F.col("n_panels"))), F.lit(0)).alias("n_panels"))
     )
-    counted = label(per_visit, targets).groupBy("work_date", "group_type").agg(
+    days = ["work_date", "group_type"]
+    trend = label(per_visit, targets).groupBy(*days).agg(
         F.sum("n_panels").alias("total_defects"), F.count("product_id").alias("glass_count")
     )
-    at_process = steps.where(panels.any_shared).select("product_id", "process_code", day).distinct()
-    shared = (
-        label(panels.shared.join(at_process, ["product_id", "process_code"]), targets)
-        .select("work_date", "group_type", "panel_id")
-        .distinct()
-        .groupBy("work_date", "group_type")
-        .agg(F.count("*").alias("total_defects"), F.lit(0).cast("long").alias("glass_count"))
-    )
-    return (
-        counted.unionByName(shared)
-        .groupBy("work_date", "group_type")
-        .agg(F.sum("total_defects").alias("total_defects"), F.sum("glass_count").alias("glass_count"))
-        .withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
-    )
+    if panels.shared is not None:
+        at_process = steps.select("product_id", "process_code", day).distinct()
+        met = label(panels.shared.join(at_process, ["product_id", "process_code"]), targets)
+        more = met.select(*days, "panel_id").distinct().groupBy(*days)
+        more = more.agg(F.count("*").alias("total_defects"), F.lit(0).cast("long").alias("glass_count"))
+        both = trend.unionByName(more).groupBy(*days)
+        trend = both.agg(*[F.sum(c).alias(c) for c in ("total_defects", "glass_count")])
+    return trend.withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
 
 
 def product_cells(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:

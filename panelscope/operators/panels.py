@@ -14,44 +14,39 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelscope.session import settle
+
 
 class Panels(NamedTuple):
-    """Counted panels of one product; rows of the panels of several products; are there any of those."""
+    """Counted panels of one product; rows of the panels of several products, None if there are none."""
 
     own: DataFrame
-    shared: DataFrame
-    any_shared: Column
+    shared: DataFrame | None
 
 
-def _split(i: DataFrame, by: Sequence[str], extra: Sequence[Column] = ()) -> Panels:
-    """Panels of one product, with the product, and rows of the panels of several products.
+def _count(i: DataFrame, by: Sequence[str], per: Sequence[str], extra: Sequence[Column] = ()) -> Panels:
+    """Count the panels ``by`` identifies per product and ``per``.
 
-    The rows are read again only to find the shared panels.  The scalar test in front of that join
-    drops them before the shuffle in the usual case that there are none; callers put the same test
-    in front of what they join to the shared rows.
+    The counts, one row per product, are written once.  Panels of several products are counted under
+    no product there, which tells whether the rows have to be read again for them.
     """
     columns = ["panel_id", "product_id", "process_code"]
     rows = i.select(*columns).dropna(subset=columns)
-    owners = rows.groupBy(*by).agg(
-        F.min("product_id").alias("product_id"), F.max("product_id").alias("_last"), *extra
-    )
-    own = owners.where(F.col("product_id") == F.col("_last")).drop("_last")
-    several = owners.where(F.col("product_id") != F.col("_last")).select(*by)
-    any_shared = several.agg(F.count("*") > 0).scalar()
-    shared = rows.where(any_shared).join(several, list(by), "left_semi").distinct()
-    return Panels(own, shared, any_shared)
+    owners = rows.groupBy(*by).agg(F.min("product_id").alias("_first"), F.max("product_id").alias("_last"), *extra)
+    several = F.col("_first") != F.col("_last")
+    owner = F.when(~several, F.col("_first")).alias("product_id")
+    counts = settle(owners.groupBy(owner, *per).agg(F.count("*").alias("n_panels")), "panels")
+    own = counts.where(F.col("product_id").isNotNull())
+    if counts.where(F.col("product_id").isNull()).isEmpty():
+        return Panels(own, None)
+    return Panels(own, rows.join(owners.where(several).select(*by), list(by), "left_semi").distinct())
 
 
 def panels_per_step(i: DataFrame) -> Panels:
     """own: number of panels per (product, process); shared: rows (panel, product, process)."""
-    panels = _split(i, ["process_code", "panel_id"])
-    counted = panels.own.groupBy("product_id", "process_code").agg(F.count("*").alias("n_panels"))
-    return panels._replace(own=counted)
+    return _count(i, ["process_code", "panel_id"], ["process_code"])
 
 
 def panels_per_product(i: DataFrame) -> Panels:
     """own: number of panels per product and set of processes they were found in; shared: as above."""
-    found_in = F.array_sort(F.collect_set("process_code")).alias("processes")
-    panels = _split(i, ["panel_id"], [found_in])
-    counted = panels.own.groupBy("product_id", "processes").agg(F.count("*").alias("n_panels"))
-    return panels._replace(own=counted)
+    return _count(i, ["panel_id"], ["processes"], [F.array_sort(F.collect_set("process_code")).alias("processes")])

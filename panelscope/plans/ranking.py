@@ -24,7 +24,8 @@ def ranking_rows(
     """
     columns = ("product_id", "process_code", "equipment_line_id", "product_type_code", "move_in_ymdhms")
     steps = dedup_steps(h.where(time_range("move_in_ymdhms", start, end)).select(*columns))
-    stats = settle(equipment_stats(steps, i, defect).where(F.col("product_count") >= min_n), "equipment")
+    stats = equipment_stats(steps, i, defect, latest=True).where(F.col("product_count") >= min_n)
+    stats = settle(stats, "equipment")
     return with_delta(stats, overall(stats, min_n))
 
 
