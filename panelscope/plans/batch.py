@@ -2,8 +2,8 @@
 
 Each target splits the same baseline into its own products and all others.  Repeating the baseline
 per target would multiply it, so only the targets' own products are joined; what belongs to the
-others is the baseline total minus the target part.  Totals are small (per lot and defect count,
-per day, per panel position) and only these are repeated per target.
+others is the baseline total minus the target part.  Totals are small (per lot, per day, per panel
+position) and only these are repeated per target.
 """
 
 from __future__ import annotations
@@ -65,25 +65,50 @@ def _split(totals: DataFrame, mine: DataFrame, keys: list[str], counts: list[str
 
 
 def _lots(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
-    # a histogram of defect counts, unlike a maximum, can be subtracted
+    """Lot rows per target.
+
+    Number and sum of the others are total minus target.  Their maximum is the lot's own in every lot
+    the target did not touch; in touched lots it comes from a histogram of defect counts, which,
+    unlike a maximum, can be subtracted.
+    """
     n = F.count("*").alias("n")
-    split = _split(
-        baseline.groupBy("lot_id", "total_defects").agg(n),
-        members.groupBy(*TARGET_KEY, "lot_id", "total_defects").agg(n),
-        ["lot_id", "total_defects"],
-        ["n"],
-        pairs,
+    histogram = baseline.groupBy("lot_id", "total_defects").agg(n)
+    mine = members.groupBy(*TARGET_KEY, "lot_id", "total_defects").agg(n)
+    sums = [
+        F.sum("n").alias("glass_count"),
+        F.sum(F.col("n") * F.col("total_defects")).alias("total_defects"),
+        F.max("total_defects").alias("max_defects"),
+    ]
+    key = [*TARGET_KEY, "lot_id"]
+    of_lots = histogram.groupBy("lot_id").agg(*sums)
+    of_mine = mine.groupBy(*key).agg(*sums)
+
+    touched = of_mine.select(*TARGET_KEY, F.col("lot_id").alias("_lot"))
+    seen = histogram.join(touched, F.col("lot_id").eqNullSafe(F.col("_lot"))).drop("_lot")
+    left = (
+        seen.unionByName(mine.withColumn("n", -F.col("n")))
+        .groupBy(*key, "total_defects")
+        .agg(F.sum("n").alias("n"))
+        .where("n > 0")
+        .groupBy(*key)
+        .agg(F.max("total_defects").alias("_left"))
     )
-    return (
-        split.where("n > 0")
-        .groupBy(*TARGET_KEY, "lot_id", "group_type")
+    columns = [*key, "glass_count", "total_defects", "max_defects"]
+    others = (
+        of_lots.select(_per_target(pairs), "*")
+        .unionByName(of_mine.select(*key, *[(-F.col(c)).alias(c) for c in ("glass_count", "total_defects")]), True)
+        .unionByName(left, True)
+        .groupBy(*key)
         .agg(
-            F.sum("n").alias("glass_count"),
-            F.sum(F.col("n") * F.col("total_defects")).alias("total_defects"),
-            F.max("total_defects").alias("max_defects"),
+            F.sum("glass_count").alias("glass_count"),
+            F.sum("total_defects").alias("total_defects"),
+            F.coalesce(F.max("_left"), F.max("max_defects")).alias("max_defects"),
         )
-        .withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
+        .where("glass_count > 0")
     )
+    groups = ((of_mine, "Target"), (others, "Others"))
+    target, rest = (df.select(*columns, F.lit(g).alias("group_type")) for df, g in groups)
+    return target.unionByName(rest).withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
 
 
 def _days(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
@@ -167,7 +192,8 @@ def batch_analysis(
     req = replace(req, equipment_ids=(), process_codes=())
 
     product = [F.col("product_id").asc_nulls_last()]
-    baseline = settle(numbered(glass_rows(h, i, req), product, "_all"), "baseline")
+    glass = settle(glass_rows(h, i, req), "glass")
+    baseline = settle(numbered(glass, product, "_all"), "baseline")
     passed = settle(membership(h, pairs), "members")
     members = settle(
         numbered(passed.join(baseline, "product_id"), [F.col("_all").asc()], "_own", TARGET_KEY), "target"
