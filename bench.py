@@ -1,7 +1,7 @@
 """Time the headline analyses.  Prints one JSON line.
 
 BENCH_SF_DIR names the test tables, BENCH_CPUS the number of local cores, BENCH_RUNS how often each
-query is timed after one warm-up run (the median counts).
+query is timed after one warm-up run (the median counts).  BENCH_ONLY may name the queries to run.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.predicates import any_of, on_day, time_range
+from panelscope.functions.predicates import any_of, time_range
 from panelscope.operators.positions import numbered
 
 STEP_KEY = ("product_id", "process_code", "equipment_line_id")
@@ -89,7 +89,3 @@ def high_water(df: DataFrame, ts: str = "move_in_ymdhms") -> DataFrame:
 
 def distinct_products(h: DataFrame) -> DataFrame:
     return h.select("product_id").distinct()
-
-
-def steps_of_day(h: DataFrame, day) -> DataFrame:
-    return h.where(on_day("move_in_ymdhms", day))
