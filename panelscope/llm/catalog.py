@@ -1,6 +1,6 @@
 """All queries of the corpus operators."""
 
-from panelscope.llm import mixing, quality, sharding
+from panelscope.llm import decontaminate, jaccard, langid, lines, mixing, quality, repeats, sharding, urls, warc
 from panelscope.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixing", "quality", "sharding"]
+__all__ = ["ORACLES", "QUERIES", "decontaminate", "jaccard", "langid", "lines", "mixing", "quality", "repeats", "sharding", "urls", "warc"]
