@@ -27,7 +27,9 @@ LEAST_DOCUMENTS = 50
 #: Distance of a fence from its quartile, in distances between the quartiles.
 REACH = 3
 #: Margins of the metrics in their units: parts per million, and thousandths of a character for word length.
-MARGINS = {"symbols": 20_000, "dup_lines": 100_000, "repeats": 100_000, "word_length": 1_000}
+MARGINS = {"symbols": 20_000, "dup_lines": 300_000, "repeats": 300_000, "word_length": 1_000}
+#: Lines added to a text's own, so that one repeated line of a short text weighs little.
+FREE_LINES = 2
 #: Up to so many groups the thresholds are broadcast; beyond it they are joined by salted keys.
 BROADCAST_GROUPS = 100_000
 SALTS = 64
@@ -77,13 +79,13 @@ def metrics() -> dict[str, Column]:
     """What thresholds are set for, as whole numbers."""
 
     def per(part: str, whole: str, unit: int) -> Column:
-        return F.expr(f"{unit} * {part} div greatest({whole}, 1)")
+        return F.expr(f"{unit} * {part} div {whole}")
 
     return {
-        "symbols": per("n_symbols", "word_chars", 1_000_000),
-        "dup_lines": per("n_dup_lines", "n_lines", 1_000_000),
-        "repeats": per("n_repeat_words", "n_words", 1_000_000),
-        "word_length": per("word_chars", "n_words", 1_000),
+        "symbols": per("n_symbols", "greatest(word_chars, 1)", 1_000_000),
+        "dup_lines": per("n_dup_lines", f"(n_lines + {FREE_LINES})", 1_000_000),
+        "repeats": per("n_repeat_words", "greatest(n_words, 1)", 1_000_000),
+        "word_length": per("word_chars", "greatest(n_words, 1)", 1_000),
     }
 
 
@@ -177,7 +179,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 _METRIC_SQL = {
     "symbols": "1000000 * n_symbols // greatest(word_chars, 1)",
-    "dup_lines": "1000000 * n_dup_lines // greatest(n_lines, 1)",
+    "dup_lines": f"1000000 * n_dup_lines // (n_lines + {FREE_LINES})",
     "repeats": "1000000 * n_repeat_words // greatest(n_words, 1)",
     "word_length": "1000 * word_chars // greatest(n_words, 1)",
 }
