@@ -135,15 +135,21 @@ def defaults(df: DataFrame) -> DataFrame:
     return df.withColumn("defect_count", count)
 
 
-def clean_inspection(df: DataFrame, strict: bool = True) -> DataFrame:
-    """All inspection rules: times, numbers, defect name, panel position, empty keys dropped."""
+def clean_inspection(df: DataFrame, strict: bool = True, zero_numbers: bool = False) -> DataFrame:
+    """All inspection rules: times, numbers, defect name, panel position, empty keys dropped.
+
+    With ``zero_numbers`` unreadable and missing numbers are 0 and the two defect codes whole and not negative.
+    """
     term = "def_latest_summary_defect_term_name_s"
     rules: dict[str, Column] = {}
     if "inspection_end_ymdhms" in df.columns:
         rules["inspection_end_ymdhms"] = parse_ts("inspection_end_ymdhms")
-    for name in ("def_pnt_x", "def_pnt_y", "def_pnt_g", "def_pnt_d", "def_size"):
+    for name in ("def_pnt_x", "def_pnt_y", "def_size"):
+        if name in df.columns:
+            rules[name] = parse_num(name, null_as_zero=zero_numbers)
+    for name in ("def_pnt_g", "def_pnt_d"):
         if name in df.columns:
-            rules[name] = parse_num(name)
+            rules[name] = unsigned(name) if zero_numbers else parse_num(name)
     if term in df.columns:
         rules["defect_name"] = defect_name(term, strict)
     df = drop_empty_key(df).withColumns(rules) if rules else drop_empty_key(df)

@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.clean import safe_rate
 
-# Fixed value: cells summed from a flag map, ten per letter.
-SUMMED_CELLS = 100
+# Fixed value: cells per letter.
+CELLS_PER_LETTER = 10
 
 
-def sum_panel_flags(mart: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Element-wise sum of the flag maps as 10 x 10 cells with rate; no rows give no cells.
+def sum_panel_flags(mart: DataFrame, keys: Sequence[str] = (), cells: int | None = None) -> DataFrame:
+    """Element-wise sum of the flag maps as cells with rate, ten per letter; no rows give no cells.
 
-    Only set flags are exploded, so the work follows the defects and not products times cells.
+    Every cell of the longest map is summed; ``cells`` asks for a grid of the first so many.  Only set
+    flags are exploded, so the work follows the defects and not products times cells.
     """
     keys = list(keys)
-    sizes = mart.groupBy(*keys).agg(F.count("*").alias("total_glasses")).where("total_glasses > 0")
+    last = F.max(F.size("panel_map")) if cells is None else F.lit(cells)
+    sizes = mart.groupBy(*keys).agg(F.count("*").alias("total_glasses"), last.alias("_cells")).where("total_glasses > 0")
     numbered = F.transform("panel_map", lambda flag, n: F.struct(n.alias("pos"), flag.cast("long").alias("flag")))
-    hits = mart.select(*keys, F.inline(F.filter(numbered, lambda c: (c["flag"] != 0) & (c["pos"] < SUMMED_CELLS))))
+    hits = mart.select(*keys, F.inline(F.filter(numbered, lambda c: c["flag"] != 0)))
     sums = hits.groupBy(*keys, "pos").agg(F.sum("flag").alias("total_defects"))
-    every = sizes.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(SUMMED_CELLS - 1))))
+    every = sizes.where("_cells > 0").withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
     return every.join(sums, [*keys, "pos"], "left").select(
         *keys,
-        F.char(F.lit(65) + F.floor(F.col("pos") / 10)).alias("x"),
-        (F.col("pos") % 10).cast("string").alias("y"),
+        F.char(F.lit(65) + F.floor(F.col("pos") / CELLS_PER_LETTER)).alias("x"),
+        (F.col("pos") % CELLS_PER_LETTER).cast("string").alias("y"),
         F.coalesce("total_defects", F.lit(0)).alias("total_defects"),
         "total_glasses",
         safe_rate("total_defects", "total_glasses").alias("defect_rate"),

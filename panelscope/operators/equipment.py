@@ -41,21 +41,21 @@ def overall(stats: DataFrame, min_n: int = 10) -> DataFrame:
     """One row: unweighted mean, sum and number of the rates of equipment with enough products."""
     return stats.where(F.col("product_count") >= min_n).agg(
         F.avg("defect_rate").alias("overall_avg"),
-        F.count("*").alias("eq_count"),
-        F.sum("defect_rate").alias("sum_rates"),
+        F.count("*").alias("n_equipment"),
+        F.sum("defect_rate").alias("rate_total"),
     )
 
 
 def with_delta(stats: DataFrame, overall: DataFrame) -> DataFrame:
     """Mean rate of all other equipment minus the overall mean; negative is worse than the peers."""
-    one = overall.select(F.struct("overall_avg", "eq_count", "sum_rates")).scalar()
-    others = (F.col("_all.sum_rates") - F.col("defect_rate")) / (F.col("_all.eq_count") - 1)
+    one = overall.select(F.struct("overall_avg", "n_equipment", "rate_total")).scalar()
+    others = (F.col("_all.rate_total") - F.col("defect_rate")) / (F.col("_all.n_equipment") - 1)
     return (
         stats.withColumn("_all", one)
         .withColumn("overall_avg", F.coalesce("_all.overall_avg", F.lit(0.0)))
         .withColumn(
             "delta_loo",
-            F.when(F.col("_all.eq_count") > 1, others - F.col("overall_avg")).otherwise(F.lit(0.0)),
+            F.when(F.col("_all.n_equipment") > 1, others - F.col("overall_avg")).otherwise(F.lit(0.0)),
         )
         .drop("_all")
     )

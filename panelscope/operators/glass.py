@@ -16,6 +16,7 @@ from panelscope.functions.clean import safe_rate
 from panelscope.functions.predicates import any_of, equals_nfc, process_filter, time_range
 from panelscope.operators.panels import panels_per_product
 from panelscope.operators.steps import dedup_products, dedup_steps
+from panelscope.session import settle
 
 
 @dataclass(frozen=True)
@@ -45,11 +46,30 @@ def in_order(df: DataFrame, result: str) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in RESULT_ORDER[result]])
 
 
+# Up to so many products of a period are broadcast to the inspection scan.
+PRUNING_PRODUCTS = 200_000
+
+
 def rows_in_period(h: DataFrame, req: Request) -> DataFrame:
-    wanted = time_range("move_in_ymdhms", req.start, req.end)
+    """Steps of the period, models and processes that the request asks for."""
+    wanted = time_range("move_in_ymdhms", req.start, req.end) & process_filter(req.process_codes)
     return h.where(wanted & any_of("product_type_code", req.model_codes))
 
 
+def of_period(i: DataFrame, h: DataFrame, req: Request) -> DataFrame:
+    """Inspection rows of the products in the period; all rows if the request has no period.
+
+    The products are written first, one short row each.  If they are few they are broadcast, so that rows of
+    others leave the plan in the scan's stage and only what is asked for is shuffled.
+    """
+    if not (req.start or req.end):
+        return i
+    products = settle(rows_in_period(h, req).select("product_id").distinct(), "products")
+    if products.count() <= PRUNING_PRODUCTS:
+        products = F.broadcast(products)
+    return i.join(products, "product_id", "left_semi")
+
+
 def target_products(h: DataFrame, req: Request) -> DataFrame:
     """Distinct products that went through the chosen equipment."""
     wanted = any_of("equipment_line_id", req.equipment_ids) & process_filter(req.process_codes)
@@ -74,7 +94,7 @@ def glass_rows(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:
     With a defect name only products that have the defect stay; all their defects count.
     """
     latest = dedup_products(rows_in_period(h, req).select("product_id", "lot_id", "move_in_ymdhms"))
-    found = i.groupBy("product_id").agg(
+    found = of_period(i, h, req).groupBy("product_id").agg(
         F.count("panel_id").alias("n_defects"),
         F.max(equals_nfc("defect_name", req.defect_name)).alias("_has"),
     )
@@ -115,12 +135,12 @@ def daily_level(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:
     A product counts on every day it had a step, a panel on the days its product was in a process
     the panel was found in.  Panels come counted per product and set of processes.
     """
-    rows = rows_in_period(h, req).where(process_filter(req.process_codes))
+    rows = rows_in_period(h, req)
     steps = dedup_steps(rows.select("product_id", "process_code", "equipment_line_id", "move_in_ymdhms"))
     day = F.date_format("move_in_ymdhms", "yyyy-MM-dd").alias("work_date")
     visits = steps.groupBy("product_id", day).agg(F.collect_set("process_code").alias("visited"))
     targets = target_products(h, req)
-    panels = panels_per_product(i.where(equals_nfc("defect_name", req.defect_name)))
+    panels = panels_per_product(of_period(i.where(equals_nfc("defect_name", req.defect_name)), h, req))
 
     met = F.arrays_overlap("visited", "processes")
     per_visit = (
@@ -147,7 +167,7 @@ def product_cells(h: DataFrame, i: DataFrame, req: Request) -> DataFrame:
     passed = rows_in_period(h, req).select("product_id", "process_code").distinct()
     placed = F.col("panel_x").isNotNull() & F.col("panel_y").isNotNull()
     return (
-        i.where(equals_nfc("defect_name", req.defect_name) & placed)
+        of_period(i.where(equals_nfc("defect_name", req.defect_name) & placed), h, req)
         .groupBy("product_id", "process_code", "panel_x", "panel_y")
         .agg(F.count("panel_id").alias("n"))
         .join(passed, ["product_id", "process_code"], "left_semi")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions.clean import safe_rate
+from panelscope.operators.mart import panel_counts_map
 
 
 def model_layout(part_no: DataFrame, pnl_map: DataFrame) -> DataFrame:
@@ -29,27 +30,33 @@ def model_layout(part_no: DataFrame, pnl_map: DataFrame) -> DataFrame:
 def on_layout(df: DataFrame, ref: str = "ref_panels") -> DataFrame:
     """Panel arrays over every reference panel, 0 where nothing was found.
 
-    Rows without a layout keep the observed panels.  Observed panels outside the layout are left out.
+    Rows without a layout keep the observed panels.  Defects on observed panels outside the layout are
+    summed in ``outside_defects``: it and the panel map together are all defects of the row.
     """
-
-    def count_of(addr: Column) -> Column:
-        # position 0 means not found, and index -1 gives NULL
-        place = F.array_position("panel_addrs", addr).cast("int") - 1
-        return F.coalesce(F.get("panel_map", place).cast("long"), F.lit(0).cast("long"))
-
+    zero = F.lit(0).cast("long")
     has = F.size(ref) > 0
-    # a column of its own: inside a lambda "panel_addrs" must not mean the new panel_addrs
-    full = df.withColumn("_full", F.when(has, F.transform(ref, count_of)))
-    return full.withColumns(
-        {
-            "panel_map": F.coalesce(F.col("_full"), F.col("panel_map").cast("array<bigint>")),
-            "panel_addrs": F.when(has, F.col(ref)).otherwise(F.col("panel_addrs")),
-        }
-    ).drop(ref, "_full")
+    listed = F.array_distinct(F.filter(ref, lambda a: a.isNotNull()))
+    zeros = F.map_from_arrays(listed, F.transform(listed, lambda _: zero))
+    found = panel_counts_map("panel_addrs", "panel_map").cast("map<string,bigint>")
+    # one pass over both: entries of the layout come first and in its order
+    merged = F.map_zip_with(
+        zeros,
+        F.coalesce(found, F.create_map().cast("map<string,bigint>")),
+        lambda _, own, n: F.struct(own.isNotNull().alias("listed"), F.coalesce(n, zero).alias("n")),
+    )
+    full = df.withColumn("_full", F.when(has, F.map_entries(merged)))
+    inside = F.filter("_full", lambda e: e["value"]["listed"])
+    outside = F.filter("_full", lambda e: ~e["value"]["listed"])
+    return full.select(
+        *[c for c in df.columns if c not in (ref, "panel_map", "panel_addrs")],
+        F.when(has, F.transform(inside, lambda e: e["value"]["n"])).otherwise(F.col("panel_map").cast("array<bigint>")).alias("panel_map"),
+        F.when(has, F.transform(inside, lambda e: e["key"])).otherwise(F.col("panel_addrs")).alias("panel_addrs"),
+        F.coalesce(F.aggregate(outside, zero, lambda n, e: n + e["value"]["n"]), zero).alias("outside_defects"),
+    )
 
 
 def full_grid(defects: DataFrame, layout: DataFrame) -> DataFrame:
-    """Panel map of each product and defect over the whole layout of its model."""
+    """Panel map of each product and defect over the whole layout of its model, and what lies outside it."""
     ref = layout.select("model_code", "ref_panels")
     out = on_layout(defects.join(ref, "model_code", "left"))
     return out.withColumn("model_code", F.coalesce("model_code", F.lit("UNKNOWN")))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.clean import model_code
 from panelscope.functions.predicates import on_days
-from panelscope.operators.steps import dedup_products
+from panelscope.operators.steps import dedup_products, latest_per
 
 # Cells of the flag map, columns per letter.
 FLAG_CELLS = 260
 CELLS_PER_LETTER = 10
 
-DEFECT_KEY = ("stat_date", "product_id", "defect_name", "model_code")
+DEFECT_KEY = ("facility_code", "stat_date", "product_id", "defect_name", "model_code")
 STEP_ATTRIBUTES = (
     "lot_id",
     "process_code",
@@ -26,11 +26,12 @@ STEP_ATTRIBUTES = (
 
 
 def panel_counts(i: DataFrame, days: Iterable = ()) -> DataFrame:
-    """Defects per day, product, defect, model and panel, with the last inspection time."""
+    """Defects per facility, day, product, defect, model and panel, with the last inspection time."""
     known = F.col("defect_name").isNotNull() & F.col("panel_addr").isNotNull()
     return (
         i.where(known & on_days("inspection_end_ymdhms", days))
         .groupBy(
+            "facility_code",
             F.to_date("inspection_end_ymdhms").alias("stat_date"),
             "product_id",
             "defect_name",
@@ -80,22 +81,24 @@ def glass_defects(counts: DataFrame) -> DataFrame:
 
 
 def latest_steps(h: DataFrame) -> DataFrame:
-    """Latest step per product with the attributes a mart row carries."""
-    return dedup_products(h.select("product_id", "move_in_ymdhms", *STEP_ATTRIBUTES))
+    """Latest step per facility and product with the attributes a mart row carries."""
+    columns = ("facility_code", "product_id", "move_in_ymdhms", *STEP_ATTRIBUTES)
+    return latest_per(h.select(*columns), ("facility_code", "product_id"), "move_in_ymdhms")
 
 
 def with_steps(defects: DataFrame, h: DataFrame) -> DataFrame:
     """Attach lot, equipment and work time of the product's latest step, NULL without history."""
     steps = latest_steps(h).withColumnRenamed("move_in_ymdhms", "work_time")
-    return defects.join(steps, "product_id", "left")
+    return defects.join(steps, ["facility_code", "product_id"], "left")
 
 
 def build_glass_stats(i: DataFrame, h: DataFrame, days: Iterable = (), facility: str = "") -> DataFrame:
-    """Mart rows of some days (all without days), keyed by day, product and defect, in one job."""
+    """Mart rows of some days (all without days), keyed by facility, day, product and defect, in one job."""
     if facility:
         i, h = (df.where(F.col("facility_code") == facility) for df in (i, h))
     rows = with_steps(glass_defects(panel_counts(i, days)), h)
     return rows.select(
+        "facility_code",
         "stat_date",
         "product_id",
         "defect_name",
@@ -132,11 +135,17 @@ def panel_indices(i: DataFrame) -> DataFrame:
 
 
 def build_flag_mart(h: DataFrame, i: DataFrame) -> DataFrame:
-    """Per product of the history: lot, day, number of defects and a 0/1 map of 260 cells."""
-    readable = F.when(F.length("panel_addr") >= 2, panel_index())
+    """Per product of the history: lot, day, number of defects and a 0/1 map of 260 cells.
+
+    ``unreadable`` counts the rows whose address is no cell of the map.
+    """
+    long = F.length("panel_addr") >= 2
+    readable = F.when(long, panel_index())
     count = F.col("defect_count") if "defect_count" in i.columns else F.lit(1)
     found = i.groupBy("product_id").agg(
-        F.sum(count).alias("_defects"), F.collect_set(readable).alias("_cells")
+        F.sum(count).alias("_defects"),
+        F.collect_set(readable).alias("_cells"),
+        F.count_if(long & panel_index().isNull()).alias("unreadable"),
     )
     steps = dedup_products(h.select("product_id", "lot_id", "move_in_ymdhms"))
     cells = F.coalesce("_cells", F.array().cast("array<int>"))
@@ -149,6 +158,7 @@ def build_flag_mart(h: DataFrame, i: DataFrame) -> DataFrame:
         F.to_date("move_in_ymdhms").alias("work_date"),
         F.coalesce("_defects", F.lit(0)).cast("long").alias("total_defects"),
         flags.alias("panel_map"),
+        F.coalesce("unreadable", F.lit(0)).cast("long").alias("unreadable"),
         F.current_timestamp().alias("created_at"),
     )
 

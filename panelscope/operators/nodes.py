@@ -82,6 +82,37 @@ def node_trend(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) ->
     )
 
 
+def node_summary(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) -> DataFrame:
+    """Totals and trend of each node from one pass over the mart.
+
+    Rows are reduced to products per day first; each counts once for its day and once for the node.
+    """
+    keys, day = [*NODE, *by], F.date_format("work_time", "yyyy-MM-dd").alias("work_date")
+    products = at_level(mart, level).groupBy(*keys, day, "product_id").agg(F.sum("total_defects").alias("_defects"))
+    nothing = F.lit(None).cast("string")
+    scopes = F.inline(
+        F.array(
+            F.struct(F.lit(True).alias("_daily"), F.col("work_date").alias("_day")),
+            F.struct(F.lit(False).alias("_daily"), nothing.alias("_day")),
+        )
+    )
+    once = products.select(*keys, "product_id", "_defects", scopes).groupBy(*keys, "_daily", "_day", "product_id")
+    sums = once.agg(F.sum("_defects").alias("_defects")).groupBy(*keys, "_daily", "_day")
+    rows = sums.agg(F.sum("_defects").alias("_defects"), F.count("product_id").alias("_products"))
+    dpu = F.try_divide(F.col("_defects").cast("double"), F.col("_products"))
+
+    def whole(value: Column) -> Column:
+        return F.max(F.when(~F.col("_daily"), value))
+
+    entry = F.when(F.col("_daily"), F.struct(F.col("_day").alias("work_date"), dpu.alias("dpu")))
+    return rows.groupBy(*keys).agg(
+        whole(F.col("_products")).alias("total_products"),
+        whole(F.col("_defects")).alias("total_defects"),
+        whole(dpu).alias("dpu"),
+        F.array_sort(F.collect_list(entry)).alias("daily_dpu"),
+    )
+
+
 def _days(start, end) -> Column:
     first, last = (dt.date.fromisoformat(str(d)[:10]) for d in (start, end))
     return F.sequence(F.lit(first), F.lit(last))

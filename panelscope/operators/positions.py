@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from panelscope.session import settle
 
-# Up to this many rows are sorted by one task; more are numbered range by range.
-TOP_K_ROWS = 100_000
+# Groups of more rows are not sorted by one task.
+HOT_ROWS = 1_000_000
 
 # Thinning of target rows, (more rows than, keep every k-th).
 TARGET_STRIDES = ((100_000, 10), (10_000, 2), (0, 1))
@@ -31,7 +31,7 @@ def numbered(
     """
     columns = df.columns
     if copies:
-        df = settle(df.withColumn("_copy", F.monotonically_increasing_id()), "copies")
+        df = df.withColumn("_copy", F.monotonically_increasing_id())
         order = [*order, F.col("_copy")]
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order)
@@ -62,14 +62,33 @@ def numbered(
     return ranged.join(offsets, "_range").select(*columns, (F.col("_n") + before).cast("long").alias(name))
 
 
+def numbered_in_groups(
+    df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The same numbers with a plain window for the groups that one task can sort.
+
+    Only groups of more than ``hot_rows`` rows are numbered range by range; without any, nothing is written.
+    """
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).drop("_rows")
+    if hot.isEmpty():
+        return df.withColumn(name, F.row_number().over(plain).cast("long"))
+    marks = hot.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    small = df.join(marks, same, "left_anti").withColumn(name, F.row_number().over(plain).cast("long"))
+    return small.unionByName(numbered(df.join(marks, same, "left_semi"), order, name, keys, copies=True))
+
+
 def with_rank(df: DataFrame, order: Sequence[Column], limit: int = 0) -> DataFrame:
-    """Rank 1..n in result order; a limit keeps the first rows only."""
-    if 0 < limit <= TOP_K_ROWS:
-        df = df.orderBy(*order).limit(limit)
-    elif df.limit(TOP_K_ROWS + 1).count() > TOP_K_ROWS:
-        ranked = numbered(df, order, "rank")
-        return ranked.where(F.col("rank") <= limit) if limit else ranked
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """Rank 1..n in result order; a limit keeps the first rows only, 0 keeps all."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    if not limit:
+        return numbered(df, order, "rank")
+    first = df.orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def thin(df: DataFrame, label: str, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -99,11 +118,7 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int =
     """One page of rows in the given total order."""
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
-    if limit + offset <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    rows = numbered(df, order, "_position", copies=True)
-    wanted = rows.where((F.col("_position") > offset) & (F.col("_position") <= offset + limit))
-    return wanted.orderBy("_position").select(*df.columns)
+    return df.orderBy(*order).offset(offset).limit(limit)
 
 
 def page_info(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -126,5 +141,6 @@ def worst_best(df: DataFrame, n: int = 10, by: str = "delta_loo", ties: Sequence
 
 
 def first_targets(ranking: DataFrame, n: int = 20) -> DataFrame:
-    """Equipment and process of the first n ranking rows, as targets of a batch analysis."""
-    return ranking.orderBy("rank").limit(n).select("equipment_line_id", "process_code").distinct()
+    """The first n distinct equipment and process pairs in ranking order, as targets of a batch analysis."""
+    pairs = ranking.groupBy("equipment_line_id", "process_code").agg(F.min("rank").alias("_rank"))
+    return pairs.orderBy("_rank").limit(n).drop("_rank")

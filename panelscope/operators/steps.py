@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelscope.functions.predicates import any_of, time_range
-from panelscope.operators.positions import numbered
+from panelscope.operators.positions import HOT_ROWS, numbered_in_groups
 
 STEP_KEY = ("product_id", "process_code", "equipment_line_id")
 
@@ -40,9 +40,11 @@ def dedup_products(h: DataFrame, ts: str = "move_in_ymdhms") -> DataFrame:
     return latest_per(h, ("product_id",), ts)
 
 
-def seq_num(h: DataFrame, ts: str = "move_in_ymdhms", keys: Sequence[str] = STEP_KEY) -> DataFrame:
+def seq_num(
+    h: DataFrame, ts: str = "move_in_ymdhms", keys: Sequence[str] = STEP_KEY, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Every row, numbered within its key from the newest (1) on."""
-    return numbered(h, _newest_first(h, keys, ts), "seq_num", keys, copies=True)
+    return numbered_in_groups(h, _newest_first(h, keys, ts), "seq_num", keys, hot_rows)
 
 
 def product_history(

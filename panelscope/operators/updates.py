@@ -37,7 +37,7 @@ def _added_panels() -> dict[str, Column]:
 def upsert_add(
     old: DataFrame,
     new: DataFrame,
-    keys: Sequence[str] = ("product_id", "defect_name"),
+    keys: Sequence[str] = ("facility_code", "product_id", "defect_name"),
     keep_old: Sequence[str] = ("work_time",),
 ) -> DataFrame:
     """Accumulate new mart rows: totals and panel counts add up, attributes come from the new row.
@@ -59,8 +59,8 @@ def upsert_add(
 
 
 def total_of_days(daily: DataFrame) -> DataFrame:
-    """Day-keyed mart rows added up per product and defect."""
-    key = ["product_id", "defect_name"]
+    """Day-keyed mart rows added up per facility, product and defect."""
+    key = ["facility_code", "product_id", "defect_name"]
     attributes = [c for c in daily.columns if c not in (*key, "stat_date", "total_defects", "panel_map", "panel_addrs")]
     per_panel = (
         daily.select(*key, F.inline(F.arrays_zip("panel_addrs", "panel_map")))
@@ -93,10 +93,14 @@ def upsert_replace(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
 
 def retain(df: DataFrame, ts: str, days: int, as_of) -> DataFrame:
     """Rows not older than so many days."""
+    return df.where(F.col(ts) >= F.lit(retention_start(days, as_of).isoformat()).cast("timestamp_ntz"))
+
+
+def retention_start(days: int, as_of) -> dt.date:
+    """First day that stays."""
     if days <= 0:
         raise ValueError("retention needs a positive number of days")
-    cutoff = dt.date.fromisoformat(str(as_of)[:10]) - dt.timedelta(days=days)
-    return df.where(F.col(ts) >= F.lit(cutoff.isoformat()).cast("timestamp_ntz"))
+    return dt.date.fromisoformat(str(as_of)[:10]) - dt.timedelta(days=days)
 
 
 def evolve(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Each target splits the same baseline into its own products and all others.  Repeating the baseline
 per target would multiply it, so only the targets' own products are joined; what belongs to the
-others is the baseline total minus the target part.  Totals are small (per lot, per day, per panel
-position) and only these are repeated per target.
+others is the baseline total minus the target part.  Totals per day and panel position are small and
+repeated per target; lots grow with the data, so a target has rows of the lots it touched only and all
+share one row per lot.
 """
 
 from __future__ import annotations
@@ -25,18 +26,24 @@ TARGET_KEY = ["equipment_line_id", "process_code"]
 
 
 class BatchResult(NamedTuple):
-    """Frames keyed by equipment_line_id and process_code."""
+    """Frames keyed by equipment_line_id and process_code, and two that all targets share."""
 
     glass: DataFrame
     lot: DataFrame
     daily: DataFrame
     heatmap: DataFrame
     metrics: DataFrame
+    baseline: DataFrame
+    lot_baseline: DataFrame
 
+    def parts(self) -> dict[str, DataFrame]:
+        """The frames keyed by target."""
+        return {k: v for k, v in self._asdict().items() if k not in ("baseline", "lot_baseline")}
 
-def target_pairs(targets: DataFrame, n: int = 20) -> list[tuple[str, str]]:
-    """The first n targets as a request argument."""
-    return [tuple(r) for r in targets.select(*TARGET_KEY).limit(n).collect()]
+
+def target_pairs(targets: DataFrame) -> list[tuple[str, str]]:
+    """All targets as a request argument; ``first_targets`` says how many there are."""
+    return [tuple(r) for r in targets.select(*TARGET_KEY).collect()]
 
 
 def membership(h: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -64,50 +71,40 @@ def _split(totals: DataFrame, mine: DataFrame, keys: list[str], counts: list[str
     return rows.groupBy(*key, "group_type").agg(*[F.sum(c).alias(c) for c in counts])
 
 
-def _lots(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
-    """Lot rows per target.
+_SUMS = ("glass_count", "total_defects", "max_defects")
 
-    Number and sum of the others are total minus target.  Their maximum is the lot's own in every lot
-    the target did not touch; in touched lots it comes from a histogram of defect counts, which,
-    unlike a maximum, can be subtracted.
-    """
-    n = F.count("*").alias("n")
-    histogram = baseline.groupBy("lot_id", "total_defects").agg(n)
-    mine = members.groupBy(*TARGET_KEY, "lot_id", "total_defects").agg(n)
-    sums = [
-        F.sum("n").alias("glass_count"),
+
+def _sums():
+    return (
+        F.sum("n").cast("long").alias("glass_count"),
         F.sum(F.col("n") * F.col("total_defects")).alias("total_defects"),
         F.max("total_defects").alias("max_defects"),
-    ]
-    key = [*TARGET_KEY, "lot_id"]
-    of_lots = histogram.groupBy("lot_id").agg(*sums)
-    of_mine = mine.groupBy(*key).agg(*sums)
+    )
+
+
+def _all_lots(baseline: DataFrame) -> DataFrame:
+    """One row per lot over all products."""
+    lots = baseline.groupBy("lot_id", "total_defects").agg(F.count("*").alias("n")).groupBy("lot_id").agg(*_sums())
+    return lots.withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
+
 
-    touched = of_mine.select(*TARGET_KEY, F.col("lot_id").alias("_lot"))
+def _lots(baseline: DataFrame, members: DataFrame) -> DataFrame:
+    """Target and Others rows of the lots that a target touched.
+
+    In any other lot the others are all products of the lot, which the lot's baseline row has.  Others
+    come from the lot's histogram of defect counts minus the target's, since a histogram can be
+    subtracted and a maximum cannot.
+    """
+    n = F.count("*").alias("n")
+    mine = members.groupBy(*TARGET_KEY, "lot_id", "total_defects").agg(n)
+    touched = mine.select(*TARGET_KEY, F.col("lot_id").alias("_lot")).distinct()
+    histogram = baseline.groupBy("lot_id", "total_defects").agg(n)
     seen = histogram.join(touched, F.col("lot_id").eqNullSafe(F.col("_lot"))).drop("_lot")
-    left = (
-        seen.unionByName(mine.withColumn("n", -F.col("n")))
-        .groupBy(*key, "total_defects")
-        .agg(F.sum("n").alias("n"))
-        .where("n > 0")
-        .groupBy(*key)
-        .agg(F.max("total_defects").alias("_left"))
-    )
-    columns = [*key, "glass_count", "total_defects", "max_defects"]
-    others = (
-        of_lots.select(_per_target(pairs), "*")
-        .unionByName(of_mine.select(*key, *[(-F.col(c)).alias(c) for c in ("glass_count", "total_defects")]), True)
-        .unionByName(left, True)
-        .groupBy(*key)
-        .agg(
-            F.sum("glass_count").alias("glass_count"),
-            F.sum("total_defects").alias("total_defects"),
-            F.coalesce(F.max("_left"), F.max("max_defects")).alias("max_defects"),
-        )
-        .where("glass_count > 0")
-    )
-    groups = ((of_mine, "Target"), (others, "Others"))
-    target, rest = (df.select(*columns, F.lit(g).alias("group_type")) for df, g in groups)
+    key = [*TARGET_KEY, "lot_id"]
+    left = seen.unionByName(mine.withColumn("n", -F.col("n"))).groupBy(*key, "total_defects")
+    others = left.agg(F.sum("n").alias("n")).where("n > 0")
+    groups = ((mine, "Target"), (others, "Others"))
+    target, rest = (df.groupBy(*key).agg(*_sums()).select(*key, *_SUMS, F.lit(g).alias("group_type")) for df, g in groups)
     return target.unionByName(rest).withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
 
 
@@ -183,28 +180,40 @@ def _points(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
 
 
 def batch_analysis(
-    h: DataFrame, i: DataFrame, targets: Iterable[tuple[str, str]], req: Request
+    h: DataFrame, i: DataFrame, targets: Iterable[tuple[str, str]], req: Request, thin: bool = False
 ) -> BatchResult:
-    """Product (thinned), lot, day, panel and summary results for every (equipment, process) target."""
+    """Product, lot, day, panel and summary results for every (equipment, process) target.
+
+    ``glass`` has the products of each target; its others are the rows of ``baseline`` that it does not
+    have.  With ``thin`` it has the points of a plot instead: every k-th row of both groups.
+    """
     pairs = list(dict.fromkeys((str(e), str(p)) for e, p in targets))
     if not pairs:
         raise ValueError("at least one target is required")
     req = replace(req, equipment_ids=(), process_codes=())
 
-    product = [F.col("product_id").asc_nulls_last()]
-    glass = settle(glass_rows(h, i, req), "glass")
-    baseline = settle(numbered(glass, product, "_all"), "baseline")
-    passed = settle(membership(h, pairs), "members")
-    members = settle(
-        numbered(passed.join(baseline, "product_id"), [F.col("_all").asc()], "_own", TARGET_KEY), "target"
-    )
+    glass = glass_rows(h, i, req)
+    if thin:
+        baseline = numbered(glass, [F.col("product_id").asc_nulls_last()], "_all")
+    else:
+        baseline = settle(glass, "glass")
+    passed = membership(h, pairs)
+    members = passed.join(baseline, "product_id")
+    if thin:
+        members = numbered(members, [F.col("_all").asc()], "_own", TARGET_KEY)
+    else:
+        members = settle(members, "target")
     cells = settle(product_cells(h, i, req), "cells")
 
     daily = _days(baseline, members, pairs)
+    rows = ["product_id", "lot_id", "work_date", "total_defects"]
+    own = members.select(*TARGET_KEY, *rows, F.lit("Target").alias("group_type"))
     return BatchResult(
-        glass=_points(baseline, members, pairs),
-        lot=_lots(baseline, members, pairs),
+        glass=_points(baseline, members, pairs) if thin else own,
+        lot=_lots(baseline, members),
         daily=daily,
         heatmap=_cells(cells, passed, pairs),
         metrics=metrics(daily, TARGET_KEY),
+        baseline=baseline.select(*rows),
+        lot_baseline=_all_lots(baseline),
     )

@@ -8,14 +8,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.operators.layout import full_grid, model_layout
-from panelscope.operators.mart import build_glass_stats, daily_masters
-from panelscope.operators.updates import upsert_replace, upsert_touch
-from panelscope.sources.lake import facility_scan, read_latest, write_mart_days, write_version
+from panelscope.functions.clean import hash_bucket
+from panelscope.operators.mart import build_glass_stats, daily_masters, panel_counts
+from panelscope.operators.updates import upsert_add, upsert_replace, upsert_touch
+from panelscope.session import exists, settle
+from panelscope.sources.lake import (
+    clear_mart_days,
+    facility_scan,
+    read_lake,
+    read_latest,
+    replace_partitions,
+    write_mart_days,
+    write_version,
+)
 
 
 def refresh_mart(i: DataFrame, h: DataFrame, root: str, days: Iterable, facility: str) -> None:
-    """Rebuild the mart rows of some days in one job; other days stay as they are."""
-    write_mart_days(build_glass_stats(facility_scan(i, facility), facility_scan(h, facility), days), root)
+    """Rebuild the mart rows of some days of a facility in one job; all else stays as it is.
+
+    A day that has no rows any more is cleared.
+    """
+    days = [str(d)[:10] for d in days]
+    if not days:
+        raise ValueError("name the days to rebuild")
+    i, h = facility_scan(i, facility), facility_scan(h, facility)
+    write_mart_days(build_glass_stats(i, h, days), root)
+    present = {str(r["stat_date"]) for r in panel_counts(i, days).select("stat_date").distinct().collect()}
+    clear_mart_days(i.sparkSession, root, facility, set(days) - present)
+
+
+def accumulate(new: DataFrame, root: str, buckets: int = 100) -> None:
+    """Add mart rows, unique per facility, product and defect, to totals kept in folders by product hash.
+
+    Only the folders of the new products are read and replaced.
+    """
+    spark = new.sparkSession
+    new = settle(new.withColumn("bucket_id", hash_bucket("product_id", buckets)), "new-totals")
+    touched = [r["bucket_id"] for r in new.select("bucket_id").distinct().collect()]
+    merged = new
+    if exists(spark, root):
+        old = read_lake(spark, root).where(F.col("bucket_id").isin(touched)).select(*new.columns)
+        merged = settle(upsert_add(old, new), "merged-totals")  # it replaces the folders it comes from
+    replace_partitions(merged, root, ["bucket_id"])
 
 
 def refresh_master(new: DataFrame, root: str, key: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions.predicates import any_of, date_between, equals_nfc, process_filter
-from panelscope.operators.nodes import NODE, node_maps, node_totals, node_trend
+from panelscope.operators.nodes import NODE, node_maps, node_summary
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,7 @@ class HierarchyParams:
     end: str = ""
     product_ids: Sequence[str] = ()
     defect_name: str = ""
+    facility_code: str = ""
     model_code: str = ""
     process_code: str = ""
     equipment_line_id: str = ""
@@ -40,13 +41,12 @@ def level_of(params: HierarchyParams) -> str:
 
 
 def hierarchy_filter(mart: DataFrame, params: HierarchyParams) -> DataFrame:
-    """Mart rows of the request.  A product list replaces the date and model filters."""
+    """Mart rows of the request; all given filters must hold."""
     wanted = equals_nfc("defect_name", params.defect_name)
-    if params.product_ids:
-        wanted &= any_of("product_id", params.product_ids)
-    else:
-        wanted &= date_between(params.date_type, params.start, params.end)
-        wanted &= any_of("model_code", [params.model_code] if params.model_code else [])
+    wanted &= any_of("product_id", params.product_ids)
+    wanted &= date_between(params.date_type, params.start, params.end)
+    wanted &= any_of("facility_code", [params.facility_code] if params.facility_code else [])
+    wanted &= any_of("model_code", [params.model_code] if params.model_code else [])
     wanted &= process_filter([params.process_code] if params.process_code else [])
     for column in NODE[1:]:
         value = getattr(params, column)
@@ -64,8 +64,7 @@ def hierarchy_analysis(
     rows, level = hierarchy_filter(mart, params), level_of(params)
     keys = [*NODE, *by]
     # one row per node and part; a NULL in the node key groups like any other value
-    parts = [f(rows, level, by) for f in (node_totals, node_maps, node_trend)]
+    parts = [f(rows, level, by) for f in (node_summary, node_maps)]
     values = [c for part in parts for c in part.columns if c not in keys]
-    both = parts[0].unionByName(parts[1], allowMissingColumns=True)
-    every = both.unionByName(parts[2], allowMissingColumns=True)
+    every = parts[0].unionByName(parts[1], allowMissingColumns=True)
     return every.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])

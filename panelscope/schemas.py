@@ -1,4 +1,7 @@
-"""Declared schemas of the facts, dimensions and marts."""
+"""Declared schemas of the facts, dimensions and marts, with the columns of their folders.
+
+The column names are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +38,9 @@ INSPECTION = _struct(
     panel_addr=_STRING,
     panel_x=_STRING,
     panel_y=_STRING,
+    year=_INT,
+    month=_INT,
+    day=_INT,
     def_pnt_x=T.FloatType(),
     def_pnt_y=T.FloatType(),
     def_pnt_g=T.LongType(),
@@ -67,9 +73,15 @@ HISTORY = _struct(
     pre_equipment_status_code=_STRING,
     equipment_status_code=_STRING,
     lot_id=_STRING,
+    facility_code=_STRING,
+    model_code=_STRING,
+    bucket_id=_STRING,
+    load_day=_STRING,
 )
 
 GLASS_STATS = _struct(
+    facility_code=_STRING,
+    stat_date=T.DateType(),
     product_id=_STRING,
     defect_name=_STRING,
     model_code=_STRING,

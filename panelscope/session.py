@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+_held: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
@@ -20,16 +22,38 @@ def scratch_root(spark: SparkSession) -> str:
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that every executor can reach")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelscope-"))
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="panelscope-"))
     return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/panelscope/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, kept until ``release``."""
+    path = f"{scratch_root(spark)}/panelscope/{name}-{uuid.uuid4().hex}"
+    _held.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far by this program; call it when their readers are done."""
+    paths, _held[:] = list(_held), []
+    for path in paths:
+        delete(spark, path)
+    return len(paths)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark can reach."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

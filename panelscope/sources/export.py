@@ -7,8 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Records per JSON payload: a part with more records of one target is split into several lines.
-PAYLOAD_RECORDS = 10_000
+from panelscope.operators.positions import numbered
 
 # Column headings of the ranking export.
 RANKING_HEADINGS = {
@@ -56,20 +55,24 @@ def ranking_csv(ranking: DataFrame, path: str) -> None:
 
 
 def result_json(
-    parts: Mapping[str, DataFrame], keys: Sequence[str] = ("equipment_line_id", "process_code"), records: int = PAYLOAD_RECORDS
+    parts: Mapping[str, DataFrame], keys: Sequence[str] = ("equipment_line_id", "process_code"), records: int | None = None
 ) -> DataFrame:
-    """Result document per target: for each part a JSON array of its records.
+    """Result document per target: for each part a JSON array of its records, sorted.
 
-    A part that is large for a target comes in several chunks, so no task has to hold all of it.
+    With ``records`` a part comes in ordered chunks of so many records, for parts that one task should
+    not hold; without it every part is one chunk.
     """
+    if records is not None and records < 1:
+        raise ValueError("a chunk needs at least one record")
     keys, out = list(keys), None
     for name, df in parts.items():
         values = [c for c in df.columns if c not in keys]
-        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / records).cast("int").alias("_chunks"))
-        chunk = F.pmod(F.xxhash64(*values), F.col("_chunks")).cast("int").alias("chunk")
+        chunk = F.lit(0)
+        if records is not None:
+            df = numbered(df, [F.col(c) for c in values], "_record", keys, copies=True)
+            chunk = F.floor((F.col("_record") - 1) / records).cast("int")
         part = (
-            df.join(sizes, keys)
-            .groupBy(*keys, chunk)
+            df.groupBy(*keys, chunk.alias("chunk"))
             .agg(F.to_json(F.array_sort(F.collect_list(F.struct(*values)))).alias("payload"))
             .select(*keys, F.lit(name).alias("part"), "chunk", "payload")
         )
@@ -80,7 +83,7 @@ def result_json(
 
 
 def ndjson_rows(documents: DataFrame, targets: DataFrame, keys: Sequence[str] = ("equipment_line_id", "process_code")) -> DataFrame:
-    """One line per target (and chunk number): ``equipment_id``, ``result`` or ``error``."""
+    """One line per target, or per target and chunk of chunked documents: ``equipment_id``, ``result`` or ``error``."""
     keys = list(keys)
     result = F.map_from_entries(F.collect_list(F.struct("part", "payload")))
     lines = documents.groupBy(*keys, "chunk").agg(result.alias("result"))

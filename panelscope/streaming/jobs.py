@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from panelscope.operators.mart import glass_defects, panel_counts, with_steps
+from panelscope.sources.lake import write_mart_days
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -51,29 +52,42 @@ def increments(src: DataFrame, path: str, checkpoint: str, trigger: dict | None
     return writer.trigger(**(trigger or AVAILABLE_NOW)).start(path)
 
 
-def mart_stream(src: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep panel counts of cleaned inspection rows current.
+def mart_stream(
+    src: DataFrame, h: DataFrame, counts: str, mart: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the day-keyed mart of cleaned inspection rows current.
 
-    Each batch is aggregated to counts per day, product, defect and panel before it is written;
-    counts of several batches add up, so no batch has to read the state of earlier ones.
+    A batch is aggregated to counts per facility, day, product, defect and panel, which are written to a folder of
+    the batch by day.  Then the mart rows of the days it touched are built from the counts of all
+    batches for these days and replace what the mart has of them.  A batch that is retried
+    overwrites its own counts and builds the same rows again.
     """
+
+    def upkeep(batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, f"{counts}/batch_id={batch_id}"
+        panel_counts(batch).write.mode("overwrite").partitionBy("stat_date").parquet(own)
+        days = [r["stat_date"] for r in spark.read.schema(_COUNTS).parquet(own).select("stat_date").distinct().collect()]
+        if days:
+            touched = merged_counts(spark, counts, days)
+            write_mart_days(with_steps(glass_defects(touched), h).withColumn("created_at", F.current_timestamp()), mart)
+
     writer = src.writeStream.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(_batches_to(path, panel_counts)).start()
+    return writer.trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(upkeep).start()
 
 
-def merged_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Panel counts of all batches added up."""
-    keys = ["stat_date", "product_id", "defect_name", "model_code", "panel_addr"]
-    return (
-        spark.read.parquet(path)
-        .groupBy(*keys)
-        .agg(F.sum("addr_count").alias("addr_count"), F.max("inspection_time").alias("inspection_time"))
-    )
+_COUNTS = (
+    "facility_code string, product_id string, defect_name string, model_code string, panel_addr string, addr_count long, "
+    "inspection_time timestamp_ntz, batch_id long, stat_date date"
+)
 
 
-def streamed_mart(spark: SparkSession, path: str, h: DataFrame) -> DataFrame:
-    """Mart rows from the streamed counts and the current history."""
-    return with_steps(glass_defects(merged_counts(spark, path)), h)
+def merged_counts(spark: SparkSession, path: str, days: Sequence = ()) -> DataFrame:
+    """Panel counts of all batches added up, of some days or all; only the folders of these days are read."""
+    keys = ["facility_code", "stat_date", "product_id", "defect_name", "model_code", "panel_addr"]
+    rows = spark.read.schema(_COUNTS).parquet(path)
+    rows = rows.where(F.col("stat_date").isin(list(days))) if days else rows
+    sums = (F.sum("addr_count").alias("addr_count"), F.max("inspection_time").alias("inspection_time"))
+    return rows.groupBy(*keys).agg(*sums)
 
 
 def daily_trend(
