@@ -323,17 +323,27 @@ def ingested_history(spark, sf):
 @query(
     "ingested_inspection",
     with_facts(
-        """SELECT facility_code, process_code, defect_name, COUNT(*) AS n, CAST(SUM(def_size) AS DOUBLE) AS size_total,
-             MAX(inspection_end_ymdhms) AS last_time FROM inspection GROUP BY ALL"""
+        """SELECT facility_code, process_code, defect_name, COUNT(*) AS n, CAST(SUM(IF(def_size = 5, 0, def_size)) AS DOUBLE) AS size_total,
+             MAX(inspection_end_ymdhms) AS last_time, SUM(GREATEST(def_size - 10, 0))::BIGINT AS code_total,
+             SUM(def_size + 0.5) FILTER (def_size % 2 = 0)::DOUBLE AS point_total FROM inspection GROUP BY ALL"""
     ),
 )
 def ingested_inspection(spark, sf):
-    text = {c: F.col(c).cast("string") for c in ("def_size", "inspection_end_ymdhms")}
+    size = F.col("def_size")
+    text = {
+        "def_size": F.when(size != 5, size.cast("string")),
+        "inspection_end_ymdhms": F.col("inspection_end_ymdhms").cast("string"),
+        # negative codes, codes with a fraction, and points that are no numbers
+        "def_pnt_g": F.concat((size - 10).cast("string"), F.lit(".7")),
+        "def_pnt_x": F.when(size % 2 == 0, (size + 0.5).cast("string")).otherwise("n/a"),
+    }
     rows = ingest_inspection(raw_inspection(spark, sf).withColumns(text))
     return rows.groupBy("facility_code", "process_code", "defect_name").agg(
         F.count("*").alias("n"),
         F.sum("def_size").alias("size_total"),
         F.max("inspection_end_ymdhms").alias("last_time"),
+        F.sum("def_pnt_g").alias("code_total"),
+        F.nullif(F.sum("def_pnt_x"), F.lit(0.0)).alias("point_total"),
     )
 
 

@@ -12,7 +12,7 @@ from panelscope.plans.daily import full_grid_stats
 from panelscope.plans.hierarchy import HierarchyParams, hierarchy_analysis
 
 MART_COLUMNS = (
-    "stat_date, product_id, defect_name, model_code, lot_id, work_time, inspection_time, process_code, equipment_line_id, "
+    "facility_code, stat_date, product_id, defect_name, model_code, lot_id, work_time, inspection_time, process_code, equipment_line_id, "
     "equipment_machine_id, equipment_path_id, total_defects, array_to_string(panel_map, ',') AS panel_map, "
     "array_to_string(panel_addrs, ',') AS panel_addrs"
 )
@@ -29,7 +29,7 @@ def panel_counts(spark, sf):
 @query(
     "glass_defects",
     with_mart(
-        """SELECT stat_date, product_id, defect_name, model_code, inspection_time, total_defects,
+        """SELECT facility_code, stat_date, product_id, defect_name, model_code, inspection_time, total_defects,
              array_to_string(panel_map, ',') AS panel_map, array_to_string(panel_addrs, ',') AS panel_addrs FROM defects"""
     ),
 )
@@ -59,20 +59,34 @@ def glass_stats_of_days(spark, sf):
 
 # ---- flag mart -----------------------------------------------------------------------------------
 
+# a cell is found by its letter's place in the alphabet; each product of the history gets the whole grid, then marks
 FLAGS = """
-flags AS (
-  SELECT l.product_id, l.lot_id, CAST(l.move_in_ymdhms AS DATE) AS work_date, COALESCE(d.n, 0) AS total_defects,
-    [CASE WHEN list_contains(COALESCE(d.cells, []), c) THEN 1 ELSE 0 END for c in range(1, 261)] AS panel_map
-  FROM (SELECT * FROM (SELECT product_id, lot_id, move_in_ymdhms, ROW_NUMBER() OVER (PARTITION BY product_id
-          ORDER BY move_in_ymdhms DESC, lot_id DESC) AS rn FROM history) WHERE rn = 1) l
-  LEFT JOIN (SELECT product_id, COUNT(*) AS n, list_sort(list_distinct(LIST((ascii(SUBSTR(panel_addr, 1, 1)) - 65) * 10
-      + CAST(SUBSTR(panel_addr, 2, 1) AS INTEGER) + 1))) AS cells FROM inspection WHERE LENGTH(panel_addr) >= 2 GROUP BY 1) d
-    USING (product_id))
+hit AS (SELECT DISTINCT product_id, 10 * strpos('ABCDEFGHIJKLMNOPQRSTUVWXYZ', panel_addr[1]) - 9 + panel_addr[2]::INT AS cell
+  FROM {inspection} WHERE regexp_full_match(panel_addr, '[A-Z][0-9]')),
+seen AS (SELECT product_id, COUNT(*) AS n, COUNT_IF(LENGTH(panel_addr) >= 2 AND NOT regexp_full_match(panel_addr, '[A-Z][0-9]')) AS unreadable
+  FROM {inspection} GROUP BY product_id),
+last AS (SELECT product_id, MAX((move_in_ymdhms, lot_id)) AS step FROM history GROUP BY product_id),
+marks AS (SELECT last.product_id, list(IF(hit.cell IS NULL, 0, 1) ORDER BY g.cell) AS panel_map
+  FROM last, (SELECT unnest(range(1, 261)) AS cell) g LEFT JOIN hit ON hit.product_id = last.product_id AND hit.cell = g.cell GROUP BY last.product_id),
+flags AS (SELECT product_id, step[2] AS lot_id, step[1]::DATE AS work_date, COALESCE(n, 0) AS total_defects, panel_map, COALESCE(unreadable, 0) AS unreadable
+  FROM last JOIN marks USING (product_id) LEFT JOIN seen USING (product_id))
 """
 
 
-def flag_sql(body: str) -> str:
-    return with_facts(f"WITH {FLAGS}\n{body}")
+def flag_sql(body: str, inspection: str = "inspection", before: str = "") -> str:
+    return with_facts(f"WITH {before}{FLAGS.replace('{inspection}', inspection)}\n{body}")
+
+
+# addresses over all letters, and of two digits where the size has two
+WIDE = """wide AS (SELECT * REPLACE (chr(CAST(65 + def_size % 26 AS INTEGER)) || CAST(IF(def_size % 7 = 0, def_size, def_size % 10) AS VARCHAR) AS panel_addr)
+  FROM inspection),
+"""
+
+
+def _wide(spark, sf):
+    size = F.col("def_size")
+    number = F.when(size % 7 == 0, size).otherwise(size % 10)
+    return inspection(spark, sf).withColumn("panel_addr", F.concat(F.char(size % 26 + 65), number.cast("string")))
 
 
 def _flag_mart(spark, sf):
@@ -81,24 +95,36 @@ def _flag_mart(spark, sf):
 
 @query(
     "panel_indices",
-    with_facts(
-        """SELECT product_id, array_to_string(list_sort(list_distinct(LIST((ascii(SUBSTR(panel_addr, 1, 1)) - 65) * 10
-             + CAST(SUBSTR(panel_addr, 2, 1) AS INTEGER) + 1))), ',') AS defect_indices, 0 AS unreadable
-           FROM inspection WHERE LENGTH(panel_addr) >= 2 GROUP BY product_id"""
+    flag_sql(
+        """SELECT product_id, COALESCE(string_agg(cell, ',' ORDER BY cell), '') AS defect_indices, ANY_VALUE(unreadable) AS unreadable
+           FROM (SELECT product_id, unreadable FROM seen WHERE product_id IN (SELECT product_id FROM wide WHERE LENGTH(panel_addr) >= 2))
+           LEFT JOIN hit USING (product_id) GROUP BY product_id""",
+        "wide",
+        WIDE,
     ),
 )
 def panel_indices(spark, sf):
-    return listed(marts.panel_indices(inspection(spark, sf)), "defect_indices")
+    return listed(marts.panel_indices(_wide(spark, sf)), "defect_indices")
 
 
 @query(
     "flag_mart",
-    flag_sql("SELECT product_id, lot_id, work_date, total_defects, array_to_string(panel_map, ',') AS panel_map FROM flags"),
+    flag_sql("SELECT product_id, lot_id, work_date, total_defects, array_to_string(panel_map, ',') AS panel_map, unreadable FROM flags"),
 )
 def flag_mart(spark, sf):
     return listed(_flag_mart(spark, sf), "panel_map")
 
 
+@query(
+    "flag_mart_of_all_letters",
+    flag_sql(
+        "SELECT product_id, lot_id, work_date, total_defects, array_to_string(panel_map, ',') AS panel_map, unreadable FROM flags", "wide", WIDE
+    ),
+)
+def flag_mart_of_all_letters(spark, sf):
+    return listed(marts.build_flag_mart(history(spark, sf), _wide(spark, sf)).drop("created_at"), "panel_map")
+
+
 @query(
     "flag_mart_stats",
     flag_sql(
@@ -124,11 +150,14 @@ def lots_of_mart_products(spark, sf):
     flag_sql(
         """SELECT chr(CAST(65 + pos // 10 AS INTEGER)) AS x, CAST(pos % 10 AS VARCHAR) AS y, CAST(SUM(flag) AS BIGINT) AS total_defects,
              COUNT(*) AS total_glasses, ROUND(AVG(flag), 6) AS defect_rate
-           FROM (SELECT unnest(panel_map) AS flag, unnest(range(0, 260)) AS pos FROM flags) WHERE pos < 100 GROUP BY pos"""
+           FROM (SELECT unnest(panel_map) AS flag, unnest(range(0, 260)) AS pos FROM flags) GROUP BY pos""",
+        "wide",
+        WIDE,
     ),
 )
 def panel_flag_sums(spark, sf):
-    return rounded(cells.sum_panel_flags(_flag_mart(spark, sf)), "defect_rate")
+    flags = marts.build_flag_mart(history(spark, sf), _wide(spark, sf))
+    return rounded(cells.sum_panel_flags(flags), "defect_rate")
 
 
 # ---- masters and layouts -------------------------------------------------------------------------
@@ -160,8 +189,8 @@ grid70 AS (SELECT LIST(chr(CAST(65 + x AS INTEGER)) || CAST(y AS VARCHAR) ORDER
   FROM (SELECT unnest(range(0, 10)) AS x), (SELECT unnest(range(0, 7)) AS y)),
 part_no AS (SELECT 'M' || CAST(p_partkey % 7 AS VARCHAR) AS model_code, 'PN' || CAST(p_partkey AS VARCHAR) AS part_no_name FROM part),
 pnl_map AS (SELECT 'PN' || CAST(p_partkey AS VARCHAR) AS part_no_name, CASE WHEN p_partkey % 5 < 2 THEN panels END AS ref_panels FROM part, grid70),
-layout AS (SELECT pn.model_code, ANY_VALUE(pm.ref_panels) AS ref_panels FROM part_no pn JOIN pnl_map pm USING (part_no_name)
-  WHERE pm.ref_panels IS NOT NULL GROUP BY 1)
+layout AS (SELECT model_code, panels AS ref_panels FROM grid70, (SELECT DISTINCT model_code FROM part_no
+  WHERE part_no_name IN (SELECT part_no_name FROM pnl_map WHERE len(ref_panels) > 0)))
 """
 
 
@@ -186,14 +215,49 @@ def model_layouts(spark, sf):
             AND k.panel_addr = c.addr GROUP BY ALL)
         SELECT g.stat_date, g.product_id, g.defect_name, g.model_code, g.lot_id, CAST(g.work_time AS DATE) AS work_date, g.total_defects,
           array_to_string(COALESCE(f.panel_map, g.panel_map), ',') AS panel_map,
-          array_to_string(COALESCE(f.panel_addrs, g.panel_addrs), ',') AS panel_addrs
+          array_to_string(COALESCE(f.panel_addrs, g.panel_addrs), ',') AS panel_addrs,
+          IF(f.panel_map IS NULL, 0, g.total_defects - list_sum(f.panel_map)::BIGINT) AS outside_defects
         FROM glass_stats g LEFT JOIN filled f USING (stat_date, product_id, defect_name)"""
     ),
 )
 def full_grid(spark, sf):
     rows = full_grid_stats(inspection(spark, sf), history(spark, sf), _layout(spark, sf))
     columns = ("stat_date", "product_id", "defect_name", "model_code", "lot_id", "work_date", "total_defects")
-    return listed(rows.select(*columns, "panel_map", "panel_addrs"), "panel_map", "panel_addrs")
+    return listed(rows.select(*columns, "panel_map", "panel_addrs", "outside_defects"), "panel_map", "panel_addrs")
+
+
+@query(
+    "full_grid_outside",
+    with_mart(
+        f"""WITH {LAYOUT}
+        SELECT product_id, defect_name, stat_date, total_defects, IF(l.model_code IS NULL, 0, n)::BIGINT AS outside_defects, TRUE AS whole
+        FROM glass_stats g LEFT JOIN layout l USING (model_code)
+        JOIN (SELECT product_id, defect_name, stat_date, COUNT_IF(panel_y IN ('1', '3')) AS n FROM
+                (SELECT *, CAST(inspection_end_ymdhms AS DATE) AS stat_date FROM inspection) GROUP BY ALL) USING (product_id, defect_name, stat_date)"""
+    ),
+)
+def full_grid_outside(spark, sf):
+    """Addresses of two rows of panels lie outside every layout."""
+    i = inspection(spark, sf)
+    odd = F.when(F.col("panel_y").isin("1", "3"), F.concat(F.lit("Z"), "panel_addr")).otherwise(F.col("panel_addr"))
+    rows = full_grid_stats(i.withColumn("panel_addr", odd), history(spark, sf), _layout(spark, sf))
+    inside = F.aggregate("panel_map", F.lit(0).cast("long"), lambda n, x: n + x)
+    whole = (inside + F.col("outside_defects") == F.col("total_defects")).alias("whole")
+    return rows.select("product_id", "defect_name", "stat_date", "total_defects", "outside_defects", whole)
+
+
+@query(
+    "requested_models",
+    """SELECT model, model IN (SELECT 'M' || CAST(p_partkey % 5 AS VARCHAR) FROM part) AS known FROM (SELECT unnest(['M1', 'M6', 'M4', 'X9']) AS model)""",
+)
+def requested_models(spark, sf):
+    found, unknown = layout.known_requested(["M1", "M6", "M4", "X9"], _models(spark, sf))
+    return spark.createDataFrame([*((m, True) for m in found), *((m, False) for m in unknown)], "model string, known boolean")
+
+
+def _models(spark, sf):
+    number = F.substring("part_no_name", F.lit(3), F.length("part_no_name")).cast("int") % 5
+    return part_no(spark, sf).select(F.concat(F.lit("M"), number.cast("string")).alias("model_code"))
 
 
 @query(
@@ -205,10 +269,7 @@ def full_grid(spark, sf):
     ),
 )
 def known_models(spark, sf):
-    master = part_no(spark, sf).select(
-        F.concat(F.lit("M"), (F.substring("part_no_name", F.lit(3), F.length("part_no_name")).cast("int") % 5).cast("string")).alias("model_code")
-    )
-    kept, unknown = layout.known_models(mart(spark, sf), master)
+    kept, unknown = layout.known_models(mart(spark, sf), _models(spark, sf))
     parts = [
         df.groupBy(F.lit(known).alias("known"), "model_code").agg(F.count("*").alias("n"))
         for known, df in ((True, kept), (False, unknown))
@@ -227,16 +288,15 @@ def node_sql(body: str, level: str, where: str = "TRUE", extra: str = "") -> str
     keys = ", ".join([*columns, *([extra] if extra else [])])
     same = " AND ".join(f"p.{c} IS NOT DISTINCT FROM q.{c}" for c in keys.split(", "))
     ctes = f"""
-    rows_of AS (SELECT {node}{', ' + extra if extra else ''}, product_id, total_defects, panel_map, panel_addrs, work_time
+    rows_of AS (SELECT {node}{', ' + extra if extra else ''}, product_id, strftime(work_time, '%Y-%m-%d') AS work_date, total_defects, panel_map, panel_addrs
       FROM glass_stats WHERE {where}),
-    totals AS (SELECT {keys}, COUNT(DISTINCT product_id) AS total_products, CAST(SUM(total_defects) AS BIGINT) AS total_defects,
-      CAST(SUM(total_defects) AS DOUBLE) / COUNT(DISTINCT product_id) AS dpu FROM rows_of GROUP BY {keys}),
-    panels AS (SELECT {keys}, addr, CAST(SUM(cnt) AS BIGINT) AS cnt FROM (SELECT {keys}, unnest(panel_addrs) AS addr, unnest(panel_map) AS cnt FROM rows_of)
-      GROUP BY {keys}, addr),
-    maps AS (SELECT {keys}, LIST(addr ORDER BY addr) AS panel_addrs, LIST(cnt ORDER BY addr) AS panel_map FROM panels GROUP BY {keys}),
-    trend AS (SELECT {keys}, strftime(work_time, '%Y-%m-%d') AS work_date, CAST(SUM(total_defects) AS DOUBLE) / COUNT(DISTINCT product_id) AS dpu
-      FROM rows_of GROUP BY {keys}, strftime(work_time, '%Y-%m-%d')),
-    trends AS (SELECT {keys}, string_agg(work_date, ',' ORDER BY work_date) AS days, ROUND(SUM(dpu), 6) AS dpu_sum FROM trend GROUP BY {keys})
+    visits AS (SELECT {keys}, work_date, list(DISTINCT product_id) AS products, SUM(total_defects)::BIGINT AS n FROM rows_of GROUP BY {keys}, work_date),
+    trend AS (SELECT {keys}, work_date, n / len(products)::DOUBLE AS dpu FROM visits),
+    totals AS (SELECT {keys}, len(list_distinct(flatten(list(products)))) AS total_products, SUM(n)::BIGINT AS total_defects,
+      SUM(n) / len(list_distinct(flatten(list(products))))::DOUBLE AS dpu FROM visits GROUP BY {keys}),
+    trends AS (SELECT {keys}, string_agg(work_date, ',' ORDER BY work_date) AS days, ROUND(SUM(dpu), 6) AS dpu_sum FROM trend GROUP BY {keys}),
+    panels AS (SELECT {keys}, e[1] AS addr, SUM(e[2])::BIGINT AS cnt FROM (SELECT {keys}, unnest(list_zip(panel_addrs, panel_map)) AS e FROM rows_of) GROUP BY {keys}, addr),
+    maps AS (SELECT {keys}, LIST(addr ORDER BY addr) AS panel_addrs, LIST(cnt ORDER BY addr) AS panel_map FROM panels GROUP BY {keys})
     """
     return with_mart(f"WITH {ctes}\n{body.replace('{keys}', keys).replace('{same}', same)}")
 
@@ -312,6 +372,29 @@ def hierarchy_by_process_of_work_days(spark, sf):
     return _flat(hierarchy_analysis(mart(spark, sf), params))
 
 
+@query(
+    "hierarchy_of_products_and_days",
+    analysis_sql(
+        "machine",
+        """product_id IN (SELECT DISTINCT product_id FROM history WHERE equipment_line_id = 'A1CVD004') AND facility_code = 'A1T'
+           AND equipment_machine_id = 'A1CVD00404' AND CAST(inspection_time AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'""",
+    ),
+)
+def hierarchy_of_products_and_days(spark, sf):
+    """All filters hold together."""
+    h = history(spark, sf)
+    products = [r[0] for r in h.where("equipment_line_id = 'A1CVD004'").select("product_id").distinct().collect()]
+    params = HierarchyParams(
+        start="1996-01-01", end="1997-12-31", facility_code="A1T", product_ids=products, equipment_machine_id="A1CVD00404"
+    )
+    return _flat(hierarchy_analysis(mart(spark, sf), params))
+
+
+@query("hierarchy_of_path", analysis_sql("path", "equipment_path_id = 'A1CVD0040404'"))
+def hierarchy_of_path(spark, sf):
+    return _flat(hierarchy_analysis(mart(spark, sf), HierarchyParams(equipment_path_id="A1CVD0040404")))
+
+
 @query(
     "panel_rates",
     node_sql(

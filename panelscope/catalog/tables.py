@@ -13,7 +13,7 @@ from panelscope.catalog.registry import listed, query
 from panelscope.catalog.views import history, inspection, mart, part_no, pnl_map, table, with_facts, with_mart
 from panelscope.operators import glass, layout, mart as marts, updates
 from panelscope.plans.batch import batch_analysis
-from panelscope.plans.daily import refresh_mart
+from panelscope.plans.daily import accumulate, refresh_mart
 from panelscope.plans.ranking import equipment_ranking
 from panelscope.session import scratch_path, settle
 from panelscope.sources import export, extract, lake
@@ -50,6 +50,44 @@ def lake_facility_scan(spark, sf):
     return rows.groupBy("process_code").agg(F.count("*").alias("n"))
 
 
+NUMERIC = """SELECT IF(facility_code = 'A1T', '01', '02') AS facility_code, '0' || model_code[2] AS model_code, product_id, process_code,
+  move_in_ymdhms FROM history"""
+
+
+@query("lake_numeric_codes", with_facts(f"SELECT facility_code, model_code, process_code, COUNT(*) AS n FROM ({NUMERIC}) GROUP BY ALL"))
+def lake_numeric_codes(spark, sf):
+    """Codes of digits keep their zeros, with a declared schema and without, and a rerun changes nothing."""
+    root = scratch_path(spark, "history")
+    h = history(spark, sf).select(
+        F.when(F.col("facility_code") == "A1T", "01").otherwise("02").alias("facility_code"),
+        F.concat(F.lit("0"), F.substring("model_code", 2, 1)).alias("model_code"),
+        "product_id",
+        "process_code",
+        "move_in_ymdhms",
+    )
+    for _ in range(2):
+        lake.write_history(h, root, "2001-01-01", buckets=2)
+    parts = (
+        lake.facility_scan(lake.read_lake(spark, root), "01"),
+        lake.facility_scan(lake.read_history(spark, root), "02"),
+    )
+    key = ["facility_code", "model_code", "process_code"]
+    return parts[0].select(*key).unionByName(parts[1].select(*key)).groupBy(*key).agg(F.count("*").alias("n"))
+
+
+@query(
+    "expired_days",
+    with_facts("SELECT CAST(inspection_end_ymdhms AS DATE) AS day, COUNT(*) AS n FROM inspection WHERE inspection_end_ymdhms >= TIMESTAMP '1998-01-01' GROUP BY ALL"),
+)
+def expired_days(spark, sf):
+    """Day folders below the cutoff are removed, the others stay."""
+    root = scratch_path(spark, "inspection")
+    lake.write_inspection(inspection(spark, sf), root, tasks=spark.sparkContext.defaultParallelism)
+    lake.expire_days(spark, root, 365, "1999-01-01")
+    rows = lake.read_lake(spark, root)
+    return rows.groupBy(F.make_date("year", "month", "day").alias("day")).agg(F.count("*").alias("n"))
+
+
 @query(
     "lake_glob_scan",
     with_facts("SELECT facility_code, defect_name, COUNT(*) AS n FROM inspection WHERE facility_code = 'B2T' GROUP BY ALL"),
@@ -86,10 +124,11 @@ def lake_schema_evolution(spark, sf):
 )
 def lake_history_buckets(spark, sf):
     root = scratch_path(spark, "history")
-    lake.write_history(history(spark, sf), root, tasks=spark.sparkContext.defaultParallelism)
+    # a day that is loaded again replaces its first load
+    for part in (history(spark, sf).where("process_code > '2000'"), history(spark, sf)):
+        lake.write_history(part, root, "2001-01-01", tasks=spark.sparkContext.defaultParallelism)
     rows = lake.read_lake(spark, root)
-    bucket = F.lpad(F.col("bucket_id").cast("string"), 2, "0").alias("bucket_id")
-    return rows.groupBy("facility_code", "model_code", bucket).agg(
+    return rows.groupBy("facility_code", "model_code", "bucket_id").agg(
         F.count("*").alias("n"), F.countDistinct("product_id").alias("products")
     )
 
@@ -103,7 +142,7 @@ def lake_history_buckets(spark, sf):
 )
 def lake_product_lookup(spark, sf):
     root = scratch_path(spark, "history")
-    lake.write_history(history(spark, sf), root, buckets=10)
+    lake.write_history(history(spark, sf), root, "2001-01-01", buckets=10)
     rows = lake.read_lake(spark, root)
     product = rows.agg(F.max("product_id")).first()[0]
     found = lake.product_lookup(rows, product, buckets=10)
@@ -159,7 +198,7 @@ def conformed_columns(spark, sf):
         """SELECT h.facility_code, COUNT(*) AS n, MIN(move_in_ymdhms) AS first_time FROM history h
            JOIN (SELECT facility_code, MAX(move_in_ymdhms) AS mark FROM history WHERE move_in_ymdhms < TIMESTAMP '1999-01-01' GROUP BY 1) m
              USING (facility_code)
-           WHERE h.move_in_ymdhms >= m.mark + INTERVAL 1 SECOND AND h.move_in_ymdhms <= TIMESTAMP '2001-01-01' GROUP BY ALL"""
+           WHERE h.move_in_ymdhms > m.mark AND h.move_in_ymdhms <= TIMESTAMP '2001-01-01' GROUP BY ALL"""
     ),
 )
 def incremental_load(spark, sf):
@@ -177,7 +216,7 @@ def incremental_load(spark, sf):
     ),
 )
 def first_load(spark, sf):
-    rows = extract.incremental(history(spark, sf), "move_in_ymdhms", None, dt.datetime(2001, 1, 1))
+    rows = extract.incremental(history(spark, sf), "move_in_ymdhms", None, dt.datetime(2001, 1, 1), first_days=30)
     return rows.groupBy("process_code").agg(F.count("*").alias("n"))
 
 
@@ -202,49 +241,55 @@ def glass_export(spark, sf):
     equipment_sql(
         """SELECT CAST("rank" AS VARCHAR) AS "순위", equipment_line_id AS "설비 ID", process_code AS "공정", product_type_code AS "모델",
              printf('%.4f%%', ROUND(defect_rate * 100, 4)) AS "불량률", CAST(total_defects AS VARCHAR) AS "총 불량 수",
-             CAST(product_count AS VARCHAR) AS "제품 수", length("차이") > 0 AS "차이" FROM (SELECT *, printf('%.4f%%', delta_loo * 100) AS "차이" FROM ranking)"""
+             CAST(product_count AS VARCHAR) AS "제품 수", ROUND(CAST(printf('%.4f', delta_loo * 100) AS DOUBLE), 3) + 0 AS "차이" FROM ranking"""
     ),
 )
 def ranking_export(spark, sf):
     path = scratch_path(spark, "ranking_csv")
     export.ranking_csv(equipment_ranking(history(spark, sf), inspection(spark, sf)), path)
-    # the last digit of a delta depends on the order of a sum
-    return spark.read.csv(path, header=True).withColumn("차이", F.length("차이") > 0)
+    # the last of four digits depends on the order of a sum
+    delta = F.round(F.regexp_replace("차이", "%$", "").cast("double"), 3) + 0
+    return spark.read.csv(path, header=True).withColumn("차이", delta)
 
 
 def _documents(spark, sf):
     req = glass.Request(*PERIOD, defect_name="LINE-DARK")
     result = batch_analysis(history(spark, sf), inspection(spark, sf), PAIRS, req)
-    return export.result_json(result._asdict())
+    return export.result_json(result.parts())
 
 
 RECORDS = """
-  SELECT equipment_line_id, process_code, 'glass' AS part, COUNT(*) AS n FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY equipment_line_id, process_code, group_type ORDER BY product_id) AS pos,
-      COUNT(*) OVER (PARTITION BY equipment_line_id, process_code) AS rows_of_target FROM glass)
-  WHERE pos % (CASE WHEN group_type = 'Target' THEN (CASE WHEN rows_of_target > 100000 THEN 10 WHEN rows_of_target > 10000 THEN 2 ELSE 1 END)
-               ELSE GREATEST(1, rows_of_target // 2000) END) = 0 GROUP BY ALL
-  UNION ALL SELECT equipment_line_id, process_code, 'lot', COUNT(DISTINCT (lot_id, group_type)) FROM glass GROUP BY ALL
-  UNION ALL SELECT equipment_line_id, process_code, 'daily', COUNT(DISTINCT (work_date, group_type)) FROM glass GROUP BY ALL
-  UNION ALL SELECT equipment_line_id, process_code, 'heatmap', COUNT(*) FROM cells GROUP BY ALL
-  UNION ALL SELECT DISTINCT equipment_line_id, process_code, 'metrics', 1 FROM glass
+  SELECT equipment_line_id, process_code, 'glass' AS part, COUNT(*) AS n, SUM(total_defects)::BIGINT AS defects FROM glass
+  WHERE group_type = 'Target' GROUP BY ALL
+  UNION ALL SELECT equipment_line_id, process_code, 'lot', COUNT(DISTINCT (lot_id, group_type)), SUM(total_defects)::BIGINT FROM touched GROUP BY ALL
+  UNION ALL SELECT equipment_line_id, process_code, 'daily', COUNT(DISTINCT (work_date, group_type)), SUM(total_defects)::BIGINT FROM glass GROUP BY ALL
+  UNION ALL SELECT equipment_line_id, process_code, 'heatmap', COUNT(*), SUM(total_defects)::BIGINT FROM cells GROUP BY ALL
+  UNION ALL SELECT DISTINCT equipment_line_id, process_code, 'metrics', 1, NULL FROM glass
 """
 
 
 @query("result_documents", batch_sql(RECORDS))
 def result_documents(spark, sf):
     rows = _documents(spark, sf)
-    return rows.groupBy("equipment_line_id", "process_code", "part").agg(
-        F.sum(F.json_array_length("payload")).cast("long").alias("n")
+    records = rows.select("equipment_line_id", "process_code", "part", F.json_array_length("payload").alias("n"), _defects("payload").alias("defects"))
+    return records.groupBy("equipment_line_id", "process_code", "part").agg(
+        F.sum("n").cast("long").alias("n"), F.sum("defects").alias("defects")
     )
 
 
+def _defects(payload):
+    """Defects of the records of a JSON array."""
+    records = F.from_json(payload, "array<struct<total_defects: long>>")
+    counts = F.filter(F.transform(records, lambda r: r["total_defects"]), lambda n: n.isNotNull())
+    return F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n))
+
+
 @query(
     "result_lines",
     batch_sql(
-        f"""SELECT equipment_line_id AS equipment_id, process_code, COUNT(*) AS parts, CAST(SUM(n) AS BIGINT) AS records,
+        f"""SELECT equipment_line_id AS equipment_id, process_code, COUNT(*) AS parts, CAST(SUM(n) AS BIGINT) AS records, CAST(SUM(defects) AS BIGINT) AS defects,
               CAST(NULL AS VARCHAR) AS error FROM ({RECORDS}) GROUP BY ALL
-            UNION ALL SELECT 'A1GONE00', '9000', 0, 0, 'no result returned'"""
+            UNION ALL SELECT 'A1GONE00', '9000', 0, 0, 0, 'no result returned'"""
     ),
 )
 def result_lines(spark, sf):
@@ -255,9 +300,12 @@ def result_lines(spark, sf):
     lines = spark.read.schema(schema).json(path)
     sizes = F.transform(F.map_values("result"), lambda payload: F.json_array_length(payload))
     total = F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n)
+    each = F.transform(F.map_values("result"), lambda payload: F.coalesce(_defects(payload), F.lit(0).cast("long")))
+    defects = F.aggregate(each, F.lit(0).cast("long"), lambda acc, n: acc + n)
     return lines.groupBy("equipment_id", "process_code", "error").agg(
         F.max(F.coalesce(F.size("result"), F.lit(0))).cast("long").alias("parts"),
         F.sum(F.coalesce(total, F.lit(0))).cast("long").alias("records"),
+        F.sum(F.coalesce(defects, F.lit(0).cast("long"))).alias("defects"),
     )
 
 
@@ -265,13 +313,14 @@ def result_lines(spark, sf):
 
 SPLIT_DAY = "1998-01-01"
 TOTALS = """
-per_panel AS (SELECT product_id, defect_name, panel_addr, CAST(SUM(addr_count) AS BIGINT) AS n FROM counts GROUP BY ALL),
-lists AS (SELECT product_id, defect_name, array_to_string(LIST(panel_addr ORDER BY panel_addr), ',') AS panel_addrs,
+per_panel AS (SELECT facility_code, product_id, defect_name, panel_addr, CAST(SUM(addr_count) AS BIGINT) AS n FROM counts GROUP BY ALL),
+lists AS (SELECT facility_code, product_id, defect_name, array_to_string(LIST(panel_addr ORDER BY panel_addr), ',') AS panel_addrs,
   array_to_string(LIST(n ORDER BY panel_addr), ',') AS panel_map FROM per_panel GROUP BY ALL),
-sums AS (SELECT product_id, defect_name, model_code, lot_id, work_time, MAX(inspection_time) AS inspection_time, process_code,
+sums AS (SELECT facility_code, product_id, defect_name, model_code, lot_id, work_time, MAX(inspection_time) AS inspection_time, process_code,
   equipment_line_id, CAST(SUM(total_defects) AS BIGINT) AS total_defects FROM glass_stats GROUP BY ALL)
 """
 TOTAL_COLUMNS = (
+    "facility_code",
     "product_id",
     "defect_name",
     "model_code",
@@ -286,12 +335,12 @@ TOTAL_COLUMNS = (
 )
 
 
-@query("mart_totals", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (product_id, defect_name)"))
+@query("mart_totals", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (facility_code, product_id, defect_name)"))
 def mart_totals(spark, sf):
     return listed(updates.total_of_days(mart(spark, sf)).select(*TOTAL_COLUMNS), "panel_addrs", "panel_map")
 
 
-@query("mart_upsert", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (product_id, defect_name)"))
+@query("mart_upsert", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (facility_code, product_id, defect_name)"))
 def mart_upsert(spark, sf):
     rows = mart(spark, sf)
     old, new = (updates.total_of_days(rows.where(w)) for w in (F.col("stat_date") < SPLIT_DAY, F.col("stat_date") >= SPLIT_DAY))
@@ -324,24 +373,38 @@ def full_grid_upsert(spark, sf):
 @query(
     "mart_rerun",
     with_mart(
-        """SELECT stat_date, COUNT(*) AS n, CAST(SUM(total_defects) AS BIGINT) AS total_defects FROM glass_stats
-           JOIN (SELECT DISTINCT product_id FROM history WHERE facility_code = 'B2T') USING (product_id)
-           WHERE stat_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-05' GROUP BY ALL"""
+        """SELECT facility_code, stat_date, COUNT(*) AS n, CAST(SUM(total_defects) AS BIGINT) AS total_defects, COUNT(work_time) AS steps FROM glass_stats
+           WHERE stat_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-05' AND NOT (facility_code = 'A1T' AND stat_date = DATE '1997-06-03') GROUP BY ALL"""
     ),
 )
 def mart_rerun(spark, sf):
     root, facts = scratch_path(spark, "mart"), (inspection(spark, sf), history(spark, sf))
-    refresh_mart(*facts, root, [f"1997-06-0{d}" for d in range(1, 6)], "B2T")
+    days = [f"1997-06-0{d}" for d in range(1, 6)]
+    refresh_mart(*facts, root, days, "B2T")
+    refresh_mart(*facts, root, days, "A1T")
     refresh_mart(*facts, root, ["1997-06-02", "1997-06-04"], "B2T")
-    rows = spark.read.parquet(root)
-    return rows.groupBy("stat_date").agg(F.count("*").alias("n"), F.sum("total_defects").alias("total_defects"))
+    # a day whose rows are gone is emptied, for its facility only
+    late = facts[0].where("NOT (facility_code = 'A1T' AND to_date(inspection_end_ymdhms) = DATE '1997-06-03')")
+    refresh_mart(late, facts[1], root, ["1997-06-03", "1997-06-04"], "A1T")
+    rows = lake.read_mart(spark, root)
+    return rows.groupBy("facility_code", "stat_date").agg(
+        F.count("*").alias("n"), F.sum("total_defects").alias("total_defects"), F.count("work_time").alias("steps")
+    )
+
+
+@query("mart_accumulated", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (facility_code, product_id, defect_name)"))
+def mart_accumulated(spark, sf):
+    """The same totals, kept in folders of which an increment rewrites its own only."""
+    root, rows = scratch_path(spark, "totals"), mart(spark, sf)
+    for part in (F.col("stat_date") < SPLIT_DAY, F.col("stat_date") >= SPLIT_DAY):
+        accumulate(updates.total_of_days(rows.where(part)), root, buckets=4)
+    return listed(lake.read_lake(spark, root).select(*TOTAL_COLUMNS), "panel_addrs", "panel_map")
 
 
 @query(
     "master_upsert",
     with_facts(
-        """SELECT model_code, process_code, MAX(move_in_ymdhms) AS updated_at FROM history
-           WHERE move_in_ymdhms < TIMESTAMP '1999-01-01' GROUP BY ALL"""
+        "SELECT model_code, process_code, MAX(move_in_ymdhms) AS updated_at FROM history GROUP BY ALL"
     ),
 )
 def master_upsert(spark, sf):
@@ -349,7 +412,7 @@ def master_upsert(spark, sf):
     keys = ["model_code", "process_code"]
     old, new = (
         h.where(w).groupBy(*keys).agg(F.max(ts).alias("updated_at"))
-        for w in (ts < "1998-01-01", (ts >= "1998-01-01") & (ts < "1999-01-01"))
+        for w in (ts < "1998-01-01", ts >= "1998-01-01")
     )
     return updates.upsert_touch(old, new, keys)
 

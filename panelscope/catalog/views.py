@@ -110,26 +110,24 @@ def pnl_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# SQL only: defect mart rows, keyed by day, product and defect
+# SQL only: the defect mart.  Each inspection row is ranked among those of its panel and glass, and the lists are
+# read off the counted panels; the last step of a product is the greatest row of its history.
 _MART = """
-counts AS (
-  SELECT CAST(inspection_end_ymdhms AS DATE) AS stat_date, product_id, defect_name,
-    SUBSTR(product_id, 3, 2) AS model_code, panel_addr, COUNT(*) AS addr_count,
-    MAX(inspection_end_ymdhms) AS inspection_time
-  FROM inspection WHERE defect_name IS NOT NULL AND panel_addr IS NOT NULL GROUP BY ALL),
+finds AS (
+  SELECT facility_code, inspection_end_ymdhms::DATE AS stat_date, product_id, defect_name, product_id[3:4] AS model_code, panel_addr,
+    inspection_end_ymdhms AS found_at FROM inspection WHERE defect_name || panel_addr IS NOT NULL),
+counts AS (SELECT * EXCLUDE (found_at), COUNT(*) AS addr_count, MAX(found_at) AS inspection_time FROM finds GROUP BY ALL),
 defects AS (
-  SELECT stat_date, product_id, defect_name, model_code, MAX(inspection_time) AS inspection_time,
-    CAST(SUM(addr_count) AS BIGINT) AS total_defects,
-    LIST(addr_count ORDER BY panel_addr) AS panel_map, LIST(panel_addr ORDER BY panel_addr) AS panel_addrs
-  FROM counts GROUP BY ALL),
+  SELECT * EXCLUDE (panels), list_transform(panels, lambda p: p.n) AS panel_map, list_transform(panels, lambda p: p.a) AS panel_addrs
+  FROM (SELECT facility_code, stat_date, product_id, defect_name, model_code, MAX(inspection_time) AS inspection_time,
+      SUM(addr_count)::BIGINT AS total_defects, list_sort(list({a: panel_addr, n: addr_count})) AS panels
+    FROM counts GROUP BY ALL)),
 latest_step AS (
-  SELECT * EXCLUDE (move_in_ymdhms, rn), move_in_ymdhms AS work_time FROM (
-    SELECT product_id, move_in_ymdhms, lot_id, process_code, equipment_line_id, equipment_machine_id,
-      equipment_path_id,
-      ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY move_in_ymdhms DESC, equipment_line_id DESC,
-        equipment_machine_id DESC, equipment_path_id DESC, lot_id DESC, process_code DESC) AS rn
-    FROM history) WHERE rn = 1),
-glass_stats AS (SELECT * FROM defects LEFT JOIN latest_step USING (product_id))
+  SELECT facility_code, product_id, s[1] AS work_time, s[2] AS equipment_line_id, s[3] AS equipment_machine_id, s[4] AS equipment_path_id, s[5] AS lot_id,
+    s[6] AS process_code
+  FROM (SELECT facility_code, product_id, MAX((move_in_ymdhms, equipment_line_id, equipment_machine_id, equipment_path_id, lot_id, process_code)) AS s
+    FROM history GROUP BY facility_code, product_id)),
+glass_stats AS (SELECT * FROM defects LEFT JOIN latest_step USING (facility_code, product_id))
 """
 
 
