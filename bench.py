@@ -80,7 +80,8 @@ def main() -> None:
     h, i = (spark.read.parquet(path) for path in ingest())
     mart = spark.read.parquet(build_mart())
     layout = model_layout(views.part_no(spark, SF_DIR), views.pnl_map(spark, SF_DIR))
-    targets = target_pairs(first_targets(equipment_ranking(h, i, limit=100)))
+    targets = target_pairs(first_targets(equipment_ranking(h, i)))
+    week = Request("1997-06-01", "1997-06-07", equipment_ids=TARGET.equipment_ids)
     one_line = HierarchyParams(
         *PERIOD, model_code="M1", defect_name="SPOT-DARK", equipment_line_id="A1CVD000"
     )
@@ -99,6 +100,8 @@ def main() -> None:
         "lot_level": lambda: drain(lot_level(h, i, TARGET)),
         "daily_level": lambda: drain(daily_level(h, i, TARGET)),
         "heatmap": lambda: drain(heatmap(h, i, TARGET)),
+        "glass_level_of_a_week": lambda: drain(glass_level(h, i, week)),
+        "heatmap_of_a_week": lambda: drain(heatmap(h, i, week)),
         "batch_of_20_targets": lambda: drain(*batch_analysis(h, i, targets, Request(*PERIOD))),
     }
     only = os.environ.get("BENCH_ONLY", "").split()

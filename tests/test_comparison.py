@@ -165,15 +165,22 @@ def test_metrics_of_nothing(spark):
 
 def test_processes_and_models_filter_everywhere(facts):
     h, i = facts
-    all_ = {r[0] for r in glass.glass_level(h, i, REQ).where("group_type = 'Target'").select("product_id").collect()}
     some = Request(REQ.start, REQ.end, equipment_ids=REQ.equipment_ids, process_codes=["<2000"], model_codes=["M1"])
+    steps_ = h.where("process_code < '2000' and product_type_code = 'M1'")
+    at_line = {r[0] for r in steps_.where("equipment_line_id = 'A1CVD002'").select("product_id").collect()}
+    passed = {r[0] for r in steps_.where("move_in_ymdhms < '2026-01-05'").select("product_id").collect()}
     less = glass.glass_level(h, i, some)
-    want = h.where("equipment_line_id = 'A1CVD002' and process_code = '1000' and product_type_code = 'M1'")
-    members = {r[0] for r in want.select("product_id").collect()}
-    assert {r[0] for r in less.where("group_type = 'Target'").select("product_id").collect()} == members & {
-        r[0] for r in less.select("product_id").collect()
-    }
-    assert members < all_ | members
+    assert {(r["product_id"], r["group_type"]) for r in less.collect()} == {(p, "Target" if p in at_line else "Others") for p in passed}
+    assert 0 < len(passed) < glass.glass_level(h, i, REQ).count()
+    found = i.where(F.col("product_id").isin(list(passed)) & (F.col("process_code") < "2000")).count()
+    assert glass.heatmap(h, i, some).agg(F.sum("total_defects")).first()[0] == found
+    assert found < glass.heatmap(h, i, REQ).agg(F.sum("total_defects")).first()[0]
+
+
+def test_many_products_are_not_broadcast(facts, monkeypatch):
+    want = rows(glass.glass_level(*facts, REQ))
+    monkeypatch.setattr(glass, "PRUNING_PRODUCTS", 0)
+    assert rows(glass.glass_level(*facts, REQ)) == want
 
 
 def test_heatmap_counts_a_defect_once_per_label(history, inspection):
@@ -201,17 +208,34 @@ def test_grid(spark, facts):
         glass.heatmap_grid(h, i, Request(), grid)
 
 
+def h_of(h, equipment_id, process):
+    """History in which the equipment is the target at one process only."""
+    other = (F.col("equipment_line_id") == equipment_id) & (F.col("process_code") != process)
+    return h.withColumn("equipment_line_id", F.when(other, "ELSEWHERE").otherwise(F.col("equipment_line_id")))
+
+
 @pytest.mark.parametrize("defect", ["", "SPOT-DARK"])
 def test_batch_equals_single_requests(facts, defect):
     pairs = [("A1CVD000", "1000"), ("A1CVD002", "3000"), ("A1CVD002", "1000"), ("NONE", "1000")]
     req = Request("2026-01-01", "2026-01-04", defect_name=defect)
     batch = batch_analysis(*facts, pairs, req)
     for equipment_id, process in pairs:
-        single = target_analysis(*facts, Request(req.start, req.end, defect, [equipment_id], [process]))
         mine = (F.col("equipment_line_id") == equipment_id) & (F.col("process_code") == process)
-        for name in ("glass", "lot", "heatmap", "metrics"):
+        # in the period the single request keeps the steps of the process only, the batch all steps
+        single = target_analysis(h_of(facts[0], equipment_id, process), facts[1], Request(req.start, req.end, defect, [equipment_id]))
+        for name in ("heatmap", "metrics"):
             want = getattr(single, name)
             assert rows(getattr(batch, name).where(mine), *want.columns) == rows(want), (name, equipment_id)
+        columns = ("product_id", "lot_id", "work_date", "total_defects")
+        own = batch.glass.where(mine)
+        assert rows(own, *columns) == rows(single.glass.where("group_type = 'Target'"), *columns)
+        rest = batch.baseline.join(own, "product_id", "left_anti")
+        assert rows(rest, *columns) == rows(single.glass.where("group_type = 'Others'"), *columns)
+        touched = single.lot.join(own.select("lot_id").distinct(), "lot_id", "left_semi")
+        assert rows(batch.lot.where(mine), *touched.columns) == rows(touched)
+        untouched = single.lot.join(own.select("lot_id").distinct(), "lot_id", "left_anti").drop("group_type")
+        others = batch.lot_baseline.join(own.select("lot_id").distinct(), "lot_id", "left_anti")
+        assert rows(others, *untouched.columns) == rows(untouched)
         days = single.glass.groupBy("work_date", "group_type").agg(F.sum("total_defects"), F.count("*"))
         got = batch.daily.where(mine).select("work_date", "group_type", "total_defects", "glass_count")
         assert rows(got) == rows(days)
@@ -221,7 +245,7 @@ def test_batch_thins_like_a_single_plot(spark, history, inspection):
     h = [(f"P{n:05d}", "1000", f"A1CVD{n % 3:03d}", "2026-01-01T00:00:00") for n in range(5000)]
     h += [(f"P{n:05d}", "2000", "A1CVD009", "2026-01-01T00:00:00") for n in range(0, 3000)]
     pairs = [("A1CVD001", "1000"), ("A1CVD009", "2000"), ("NONE", "1")]
-    glass_ = batch_analysis(history(h), inspection([]), pairs, Request()).glass
+    glass_ = batch_analysis(history(h), inspection([]), pairs, Request(), thin=True).glass
     got = {(r[0], r[2]) for r in glass_.select("equipment_line_id", "process_code", "product_id").collect()}
     for e, p in pairs:
         members = {r[0] for r in h if (r[2], r[1]) == (e, p)}
@@ -236,7 +260,7 @@ def test_batch_needs_targets(facts):
 
 def test_documents_and_lines(spark, facts):
     pairs = [("A1CVD000", "1000"), ("A1CVD002", "3000")]
-    result = batch_analysis(*facts, pairs, Request())._asdict()
+    result = batch_analysis(*facts, pairs, Request()).parts()
     documents = result_json(result, records=5)
     for name, part in result.items():
         chunks = documents.where(F.col("part") == name)
@@ -244,6 +268,9 @@ def test_documents_and_lines(spark, facts):
     assert documents.where("part = 'glass'").select("chunk").distinct().count() > 1
     targets = spark.createDataFrame([*pairs, ("GONE", "1")], "equipment_line_id string, process_code string")
     lines = ndjson_rows(result_json(result), targets)
+    assert result_json(result).select("chunk").distinct().count() == 1
+    with pytest.raises(ValueError):
+        result_json(result, records=0)
     assert rows(lines, "equipment_id", "error") == [
         ("A1CVD000", None), ("A1CVD002", None), ("GONE", "no result returned"),
     ]

@@ -21,28 +21,28 @@ def four_rows(spark):
 
     def row(product, hour, n, total, panel_map, addrs):
         time = at(f"2026-01-01T{hour}:00:00")
-        node = (f"PROC_{n}", f"LINE_{'AB'[n - 1]}", f"MACH_{n}", f"PATH_{n}")
-        return (product, "Defect_A", "GS", time, *node, total, panel_map, addrs, time)
+        node = (f"STEP{n}", f"EQ{n}", f"UNIT{n}", f"WAY{n}")
+        return (product, "STAIN-WET", "Q7", time, *node, total, panel_map, addrs, time)
 
     data = [
-        row("PROD_1", 10, 1, 10, [1, 2], ["A1", "A2"]),
-        row("PROD_2", 11, 1, 5, [3], ["B1"]),
-        row("PROD_4", 12, 2, 20, [], []),
-        row("PROD_5", 13, 2, 15, [], []),
+        row("G-A", 16, 1, 9, [4, 5], ["C3", "D1"]),
+        row("G-B", 17, 1, 3, [3], ["A7"]),
+        row("G-C", 18, 2, 8, [], []),
+        row("G-D", 19, 2, 6, [], []),
     ]
     return spark.createDataFrame(data, MART)
 
 
 def test_hierarchy_of_four_rows(four_rows):
     got = {r["process_code"]: r for r in hierarchy_analysis(four_rows).collect()}
-    one, two = got["PROC_1"], got["PROC_2"]
-    assert (one["total_products"], one["total_defects"], one["dpu"]) == (2, 15, 7.5)
-    assert (one["panel_addrs"], one["panel_map"]) == (["A1", "A2", "B1"], [1, 2, 3])
-    assert [tuple(d) for d in one["daily_dpu"]] == [("2026-01-01", 7.5)]
-    assert (two["total_products"], two["total_defects"], two["dpu"]) == (2, 35, 17.5)
+    one, two = got["STEP1"], got["STEP2"]
+    assert (one["total_products"], one["total_defects"], one["dpu"]) == (2, 12, 6.0)
+    assert (one["panel_addrs"], one["panel_map"]) == (["A7", "C3", "D1"], [3, 4, 5])
+    assert [tuple(d) for d in one["daily_dpu"]] == [("2026-01-01", 6.0)]
+    assert (two["total_products"], two["total_defects"], two["dpu"]) == (2, 14, 7.0)
     assert two["panel_addrs"] is None and two["panel_map"] is None
-    assert [tuple(d) for d in two["daily_dpu"]] == [("2026-01-01", 17.5)]
-    assert one["equipment_path_id"] == "PATH_1"
+    assert [tuple(d) for d in two["daily_dpu"]] == [("2026-01-01", 7.0)]
+    assert one["equipment_path_id"] == "WAY1"
 
 
 def test_levels(four_rows):
@@ -59,7 +59,7 @@ def test_levels(four_rows):
 def test_unknown_nodes_stay(four_rows):
     blank = four_rows.withColumn("process_code", F.lit(None).cast("string")).withColumn("work_time", F.lit(None).cast("timestamp_ntz"))
     row = hierarchy_analysis(blank, HierarchyParams(analysis_level="process")).collect()
-    assert len(row) == 1 and row[0]["panel_addrs"] == ["A1", "A2", "B1"] and row[0]["daily_dpu"][0]["work_date"] is None
+    assert len(row) == 1 and row[0]["panel_addrs"] == ["A7", "C3", "D1"] and row[0]["daily_dpu"][0]["work_date"] is None
 
 
 def test_all_filters_apply(four_rows):
@@ -67,10 +67,12 @@ def test_all_filters_apply(four_rows):
         return hierarchy_filter(four_rows, HierarchyParams(**params)).count()
 
     assert count() == 4
-    assert count(product_ids=["PROD_1", "PROD_4"]) == 2
-    assert count(product_ids=["PROD_1"], model_code="XX", start="2030-01-01", end="2030-01-02") == 1
-    assert count(equipment_path_id="PATH_2") == 2 and count(equipment_machine_id="MACH_1") == 2
-    assert count(model_code="XX") == 0 and count(defect_name="Defect_A") == 4
+    assert count(product_ids=["G-A", "G-C"]) == 2
+    assert count(product_ids=["G-A"], start="2026-01-01", end="2026-01-01", model_code="Q7") == 1
+    assert count(product_ids=["G-A"], model_code="XX") == 0
+    assert count(product_ids=["G-A"], start="2030-01-01", end="2030-01-02") == 0
+    assert count(equipment_path_id="WAY2") == 2 and count(equipment_machine_id="UNIT1") == 2
+    assert count(model_code="XX") == 0 and count(defect_name="STAIN-WET") == 4
     assert count(start="2026-01-01", end="2026-01-01") == 4 and count(start="2026-01-02", end="2026-01-03") == 0
     assert count(start="2026-01-01", end="2026-01-01", date_type="work") == 4
 
@@ -80,8 +82,8 @@ def test_trend_is_in_date_order_and_filled(four_rows):
     found = hierarchy_analysis(four_rows.unionByName(later), HierarchyParams(analysis_level="process"))
     days = [d["work_date"] for d in found.first()["daily_dpu"]]
     assert days == ["2025-12-30", "2026-01-01"]
-    filled = nodes.fill_days(found.where("process_code = 'PROC_1'"), "2025-12-31", "2026-01-02").first()["daily_dpu"]
-    assert [tuple(d) for d in filled] == [("2025-12-31", 0.0), ("2026-01-01", 7.5), ("2026-01-02", 0.0)]
+    filled = nodes.fill_days(found.where("process_code = 'STEP1'"), "2025-12-31", "2026-01-02").first()["daily_dpu"]
+    assert [tuple(d) for d in filled] == [("2025-12-31", 0.0), ("2026-01-01", 6.0), ("2026-01-02", 0.0)]
     none = found.withColumn("daily_dpu", F.lit(None).cast("array<struct<work_date:string,dpu:double>>"))
     assert [d["dpu"] for d in nodes.fill_days(none, "2026-01-01", "2026-01-02").first()["daily_dpu"]] == [0.0, 0.0]
 
@@ -140,6 +142,10 @@ def test_flag_mart(history, inspection):
     assert got["P1M1001"]["total_defects"] == 5 and got["P1M1002"]["total_defects"] == 0
     assert [n + 1 for n, flag in enumerate(got["P1M1001"]["panel_map"]) if flag] == [2, 13]
     assert len(got["P1M1002"]["panel_map"]) == 260 and not any(got["P1M1002"]["panel_map"])
+    # the product without history has the unreadable address
+    assert got["P1M1001"]["unreadable"] == 0
+    odd = marts.build_flag_mart(history([("P1M1003", "1000", "A1CVD000", "2026-01-01T00:00:00")]), i).first()
+    assert (odd["total_defects"], sum(odd["panel_map"]), odd["unreadable"]) == (1, 0, 1)
     stats = marts.mart_stats(marts.build_flag_mart(h, i)).first()
     assert tuple(stats)[0] == 2 and stats["total_defects"] == 5 and stats["avg_defects_per_glass"] == 2.5
     assert marts.unique_lots(marts.glass_defects(marts.panel_counts(i)), h).first()[0] == 1
@@ -149,8 +155,9 @@ def test_flag_sums(spark):
     flags = [[1] + [0] * 258 + [1], [1, 1] + [0] * 258]
     df = spark.createDataFrame([(f,) for f in flags], "panel_map array<int>")
     got = cells.sum_panel_flags(df)
-    assert got.count() == 100
-    assert rows(got.where("total_defects > 0")) == [("A", "0", 2, 2, 1.0), ("A", "1", 1, 2, 0.5)]
+    assert got.count() == 260
+    assert rows(got.where("total_defects > 0")) == [("A", "0", 2, 2, 1.0), ("A", "1", 1, 2, 0.5), ("Z", "9", 1, 2, 0.5)]
+    assert cells.sum_panel_flags(df, cells=100).count() == 100
     assert cells.sum_panel_flags(df.limit(0)).count() == 0
 
 
@@ -183,28 +190,32 @@ def test_full_grid(spark, order):
     assert rows(got, "model_code", "panel_addrs", "panel_map") == [
         ("M1", grid, [0, 0, 0]), ("M1", grid, [0, 0, 0]), ("M1", grid, [0, 4, 0]), ("M2", ["B1"], [2]), ("UNKNOWN", ["C1"], [1]),
     ]
+    # what lies outside the layout is counted
+    assert rows(got, "outside_defects") == [(0,)] * 4 + [(7,)]
 
 
 def test_full_grid_of_built_rows(history, inspection, spark):
     ref = spark.createDataFrame([("M1", ["A0", "A1", "B2"])], "model_code string, ref_panels array<string>")
     got = full_grid_stats(inspection(DEFECTS), history(STEPS), ref, ["2026-01-05"])
-    assert rows(got, "product_id", "panel_map") == [("P1M1001", [0, 2, 1]), ("P1M1003", [0, 0, 0])]
+    assert rows(got, "product_id", "panel_map", "outside_defects") == [("P1M1001", [0, 2, 1], 0), ("P1M1003", [0, 0, 0], 1)]
+    whole = F.aggregate("panel_map", F.lit(0).cast("long"), lambda n, x: n + x) + F.col("outside_defects")
+    assert got.where(whole != F.col("total_defects")).isEmpty()
 
 
 def test_panel_rates(spark, four_rows):
-    ref = spark.createDataFrame([("GS", ["B1", "A2", "A1", "A0"])], "model_code string, ref_panels array<string>")
+    ref = spark.createDataFrame([("Q7", ["D1", "A7", "C3", "A0"])], "model_code string, ref_panels array<string>")
     found = hierarchy_analysis(four_rows, HierarchyParams(analysis_level="process"), by=("model_code",))
     got = {r["process_code"]: r for r in layout.panel_rates(found, ref).collect()}
-    assert got["PROC_1"]["panel_addrs"] == ["A0", "A1", "A2", "B1"]
-    assert got["PROC_1"]["panel_map"] == [0, 1, 2, 3] and got["PROC_1"]["panel_rates"] == [0.0, 0.5, 1.0, 1.5]
-    assert got["PROC_2"]["panel_rates"] == [0.0] * 4
+    assert got["STEP1"]["panel_addrs"] == ["A0", "A7", "C3", "D1"]
+    assert got["STEP1"]["panel_map"] == [0, 3, 4, 5] and got["STEP1"]["panel_rates"] == [0.0, 1.5, 2.0, 2.5]
+    assert got["STEP2"]["panel_rates"] == [0.0] * 4
 
 
 def test_unknown_models(spark, four_rows):
     master = spark.createDataFrame([("M1",)], "model_code string")
     kept, unknown = layout.known_models(four_rows, master)
-    assert kept.count() == 0 and rows(unknown) == [("GS",)]
-    assert layout.known_requested(["M1", "GS", "M1"], master) == (["M1", "M1"], ["GS"])
+    assert kept.count() == 0 and rows(unknown) == [("Q7",)]
+    assert layout.known_requested(["M1", "Q7", "M1"], master) == (["M1", "M1"], ["Q7"])
 
 
 # ---- updates -------------------------------------------------------------------------------------
@@ -227,7 +238,7 @@ def test_upsert_keeps_the_first_work_time(spark):
     schema = "product_id string, defect_name string, work_time string, lot_id string, total_defects long, panel_map array<long>, panel_addrs array<string>"
     old = spark.createDataFrame([("P", "D", "old", "L1", 3, [1, 2], ["A1", "B1"])], schema)
     new = spark.createDataFrame([("P", "D", "new", "L2", 4, [4], ["B1"]), ("Q", "D", "new", "L2", 1, None, None)], schema)
-    assert rows(updates.upsert_add(old, new)) == [
+    assert rows(updates.upsert_add(old, new, ["product_id", "defect_name"])) == [
         ("P", "D", "old", "L2", 7, [1, 6], ["A1", "B1"]), ("Q", "D", "new", "L2", 1, [], []),
     ]
 

@@ -87,6 +87,26 @@ def test_aggregates_combine_before_the_shuffle(lake):
         assert "partial_" in plan(frames(lake)[name]), name
 
 
+def test_a_week_shuffles_its_products_only(lake):
+    h, i, _ = lake
+    week = Request("1997-06-01", "1997-06-07")
+    for level in (glass.glass_level, glass.heatmap, glass.daily_level):
+        df = level(h, i, week)
+        text = plan(df)
+        scan = text.split("panel_id")  # the inspection side reads panels
+        assert len(scan) > 1
+        inspection_side = text[text.index("BroadcastHashJoin [product_id"):]
+        assert "LeftSemi" in inspection_side.split("\n")[0]
+    shuffled = glass.of_period(i, h, week)
+    assert "Exchange hashpartitioning" not in plan(shuffled)
+    products = h.where(time_range("move_in_ymdhms", week.start, week.end)).select("product_id").distinct()
+    assert shuffled.count() == i.join(products, "product_id", "left_semi").count() < i.count() / 10
+
+
+def test_the_mart_is_scanned_twice_for_a_hierarchy(lake):
+    assert plan(hierarchy_analysis(lake[2])).count("Scan parquet") == 2
+
+
 def test_pages_are_top_k(lake):
     assert "TakeOrderedAndProject" in plan(page(lake[0], [F.col("move_in_ymdhms").asc()], 10, 5))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelscope.operators import positions
 from panelscope.operators.positions import numbered, page, page_info, thin, with_rank, worst_best
+from panelscope.plans.batch import target_pairs
 
 
 @pytest.fixture(scope="module")
@@ -47,13 +48,26 @@ def test_copies_get_different_numbers(spark):
     assert got.columns == ["k", "n", "pos"]
 
 
-def test_ranks(spark, skewed, monkeypatch):
+def test_ranks(spark, skewed):
     order = [F.col("n").asc()]
     assert [r["rank"] for r in with_rank(skewed, order, 5).orderBy("n").collect()] == [1, 2, 3, 4, 5]
-    small = rows(with_rank(skewed, order))
-    monkeypatch.setattr(positions, "TOP_K_ROWS", 100)
-    assert rows(with_rank(skewed, order)) == small
+    assert sorted((r["n"], r["rank"]) for r in with_rank(skewed, order).collect()) == [(n, n + 1) for n in range(6000)]
     assert with_rank(skewed, order, 150).count() == 150
+    with pytest.raises(ValueError):
+        with_rank(skewed, order, -10)
+
+
+@pytest.mark.parametrize("hot_rows", [100, 10_000])
+def test_only_hot_groups_are_numbered_by_ranges(skewed, hot_rows):
+    got = positions.numbered_in_groups(skewed, [F.col("n").desc()], "pos", ["k"], hot_rows)
+    want = skewed.withColumn("pos", F.row_number().over(Window.partitionBy("k").orderBy(F.col("n").desc())))
+    assert rows(got, "k", "n", "pos") == rows(want)
+
+
+def test_targets_are_distinct_and_in_order(spark):
+    ranking = spark.createDataFrame([(n + 1, f"E{n // 2}", "1") for n in range(60)], "rank long, equipment_line_id string, process_code string")
+    assert [r[0] for r in positions.first_targets(ranking, 20).collect()] == [f"E{n}" for n in range(20)]
+    assert len(target_pairs(positions.first_targets(ranking, 25))) == 25
 
 
 @pytest.mark.parametrize("total, target_step, others_step", [(1500, 1, 1), (4500, 1, 2), (12000, 2, 6)])
@@ -73,11 +87,9 @@ def test_thinning_of_several_plots(spark):
     assert sorted(r[0] for r in got.groupBy("plot").count().select("count").collect()) == [3000, 3000]
 
 
-def test_pages(spark, skewed, monkeypatch):
+def test_pages(spark, skewed):
     order = [F.col("n").asc()]
     assert [r["n"] for r in page(skewed, order, 3, 10).collect()] == [10, 11, 12]
-    monkeypatch.setattr(positions, "TOP_K_ROWS", 5)
-    assert [r["n"] for r in page(skewed, order, 3, 10).collect()] == [10, 11, 12]
     assert page(skewed, order, 10, 5995).count() == 5
     assert tuple(page_info(skewed, 100, 5900).first()) == (100, 5900, 6000, False)
     assert page_info(skewed, 100, 5899).first()["has_more"]

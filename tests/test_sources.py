@@ -9,7 +9,7 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from panelscope.plans import daily
-from panelscope.session import scratch_root, settle
+from panelscope.session import release, scratch_root, settle
 from panelscope.sources import export, extract, lake
 
 DAYS = ["2026-01-01T05:00:00", "2026-01-02T06:00:00", "2026-02-01T00:00:00"]
@@ -55,7 +55,8 @@ def test_files_merge_by_column_name(spark, tmp_path):
 def test_history_buckets_and_lookup(spark, history, tmp_path):
     root = str(tmp_path / "history")
     h = history([(f"G1M{n % 2}{n:08d}", "1000", "A1CVD000", DAYS[n % 3]) for n in range(60)]).withColumn("model_code", F.substring("product_id", 3, 2))
-    lake.write_history(h, root, buckets=4)
+    for _ in range(2):  # running a day again changes nothing
+        lake.write_history(h, root, "2026-01-01", buckets=4)
     back = lake.read_lake(spark, root)
     assert back.count() == 60
     assert back.select("model_code", "bucket_id").distinct().count() == 8
@@ -63,8 +64,21 @@ def test_history_buckets_and_lookup(spark, history, tmp_path):
     assert one.count() == 1
     assert "bucket_id" in plan(one).split("PartitionFilters")[1].split("PushedFilters")[0]
     # more rows on another day are added
-    lake.write_history(h.limit(5), root, buckets=4)
+    lake.write_history(h.limit(5), root, "2026-01-02", buckets=4)
     assert lake.read_lake(spark, root).count() == 65
+    assert lake.expire_days(spark, root, 3, "2026-01-05") == [f"file:{root}/load_day=2026-01-01"]
+    assert lake.read_lake(spark, root).count() == 5
+
+
+def test_codes_of_digits_stay_text(spark, history, tmp_path):
+    root = str(tmp_path / "history")
+    h = history([("G1070000001", "1000", "A1CVD000", DAYS[0])]).withColumns({"facility_code": F.lit("01"), "model_code": F.lit("07")})
+    lake.write_history(h, root, "2026-01-01", buckets=7)
+    for df in (lake.read_lake(spark, root), lake.read_history(spark, root), lake.scan_glob(spark, f"{root}/load_day=2026-01-01", "01")):
+        row = df.first()
+        assert (row["facility_code"], row["model_code"], len(row["bucket_id"])) == ("01", "07", 2)
+    assert lake.facility_scan(lake.read_history(spark, root), "01").count() == 1
+    assert [f.name for f in lake.read_history(spark, root).schema if f.dataType.simpleString() == "int"] == ["apd_seq_no"]
 
 
 def bloom_bytes(spark, path) -> int:
@@ -82,7 +96,7 @@ def test_history_files_are_sorted_and_have_a_bloom_filter(spark, history, tmp_pa
     h = history([(f"G1M1{(n * 7919) % 997:08d}", "1000", "A1CVD000", DAYS[0]) for n in range(997)])
     # constant folders must not cost the order inside the files
     h = h.withColumns({"model_code": F.lit("M1"), "facility_code": F.lit("A1T")})
-    lake.write_history(h, str(root), buckets=1)
+    lake.write_history(h, str(root), "2026-01-01", buckets=1)
     files = list(root.rglob("*.parquet"))
     assert files
     for f in files:
@@ -97,7 +111,7 @@ def test_a_bucket_with_most_rows_is_split(spark, history, tmp_path):
     try:
         one = history([("G1M100000001", "1000", "A1CVD000", DAYS[0])]).withColumn("model_code", F.lit("M1"))
         copies = spark.range(20000).repartition(8).crossJoin(F.broadcast(one)).drop("id")
-        lake.write_history(copies, str(tmp_path / "h"))
+        lake.write_history(copies, str(tmp_path / "h"), "2026-01-01")
         assert len(list((tmp_path / "h").rglob("*.parquet"))) > 1
         assert lake.read_lake(spark, str(tmp_path / "h")).count() == 20000
     finally:
@@ -115,6 +129,10 @@ def test_versions(spark, tmp_path):
     old = spark.read.parquet(f"{root}/v1")
     lake.write_version(spark.range(9), root)
     assert old.count() == 1 and lake.read_latest(spark, root).count() == 9
+    lake.drop_versions(spark, root, keep=1)
+    assert lake.read_latest(spark, root).count() == 9 and not (tmp_path / "t" / "v2").exists()
+    with pytest.raises(ValueError):
+        lake.drop_versions(spark, root, keep=0)
 
 
 def test_append_by_name(spark, tmp_path):
@@ -145,6 +163,7 @@ def test_time_slices_cover_the_range(spark):
     df = spark.range(0, 86401, 600).select((F.lit("2026-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs="id")).alias("t"))
     hits = sum((F.expr(s).cast("int") for s in slices), F.lit(0))
     assert rows(df.select(hits.alias("n")).distinct()) == [(1,)]
+    assert extract.time_slices("t", a, b, 1, half_open=True) == [f"t >= '{a}' AND t < '{b}'"]
     with pytest.raises(ValueError):
         extract.time_slices("t", b, a, 2)
 
@@ -154,6 +173,9 @@ def test_incremental(history):
     now = at("2026-01-31T00:00:00")
     ts = "move_in_ymdhms"
     assert rows(extract.incremental(h, ts, at("2026-01-01T00:00:00"), now), "product_id") == [("P1",), ("P2",)]
+    late = h.withColumn(ts, F.expr("move_in_ymdhms + INTERVAL 0.5 SECOND"))
+    assert extract.incremental(late, ts, at("2026-01-01T00:00:00"), now).count() == 3
+    assert extract.incremental(h, ts, None, now).count() == 3
     assert extract.incremental(h, ts, None, now, first_days=27).count() == 1
     other = h.withColumn("facility_code", F.lit("B2T"))
     both = h.unionByName(other)
@@ -178,9 +200,9 @@ def test_csv_exports(spark, tmp_path):
 
 
 def test_grids(spark, tmp_path):
-    text = {"ABCDEF": {"x_list": ["A", "B"], "y_list": ["1"]}, "NEW_MODEL": {"x_list": [], "y_list": []}}
+    text = {"MODEL_X": {"x_list": ["A", "B"], "y_list": ["1"]}, "NEW_MODEL": {"x_list": [], "y_list": []}}
     (tmp_path / "grid.json").write_text(json.dumps(text, indent=2))
-    assert rows(export.read_grids(spark, str(tmp_path / "grid.json"))) == [("ABCDEF", ["A", "B"], ["1"]), ("NEW_MODEL", [], [])]
+    assert rows(export.read_grids(spark, str(tmp_path / "grid.json"))) == [("MODEL_X", ["A", "B"], ["1"]), ("NEW_MODEL", [], [])]
 
 
 def test_daily_batch_twice_is_once(spark, history, inspection, tmp_path):
@@ -200,11 +222,53 @@ def test_daily_batch_twice_is_once(spark, history, inspection, tmp_path):
     assert rows(lake.read_latest(spark, f"{tmp_path}/layouts"), "model_code", "ref_panels") == [("M1", ["A1"])]
 
 
+def test_one_facility_leaves_the_other_alone(spark, history, inspection, tmp_path):
+    """Facilities share days; a day without rows is cleared for its facility only."""
+    root = str(tmp_path / "mart")
+    h = history([("P1M1001", "1000", "A1CVD000", "2026-01-01T00:00:00")])
+    i = inspection([("P1M1001", "1000", f"P1M1001A{n}", "SPOT", DAYS[n % 2]) for n in range(4)])
+    both_h, both_i = (df.unionByName(df.withColumn("facility_code", F.lit("02"))) for df in (h, i))
+    days = ["2026-01-01", "2026-01-02"]
+    for facility in ("A1T", "02", "A1T"):
+        daily.refresh_mart(both_i, both_h, root, days, facility)
+    assert lake.read_mart(spark, root).count() == 4
+    daily.refresh_mart(both_i.where("facility_code = '02'"), both_h, root, ["2026-01-02"], "A1T")
+    assert rows(lake.read_mart(spark, root), "facility_code", "stat_date", "equipment_line_id") == [
+        ("02", dt.date(2026, 1, 1), "A1CVD000"), ("02", dt.date(2026, 1, 2), "A1CVD000"), ("A1T", dt.date(2026, 1, 1), "A1CVD000"),
+    ]
+    assert len(lake.expire_days(spark, root, 1, "2026-01-03")) == 2
+    assert lake.read_mart(spark, root).count() == 1
+    with pytest.raises(ValueError):
+        daily.refresh_mart(both_i, both_h, root, [], "A1T")
+
+
+def test_day_folders_expire(spark, three_days, tmp_path):
+    root = str(tmp_path / "lake")
+    lake.write_inspection(three_days, root)
+    assert len(lake.expire_days(spark, root, 30, "2026-02-01")) == 1
+    assert rows(lake.read_inspection(spark, root), "day") == [(1,), (2,)]
+    with pytest.raises(ValueError):
+        lake.expire_days(spark, root, 0, "2026-02-01")
+
+
+def test_accumulated_totals_replace_their_folders_only(spark, tmp_path):
+    schema = "facility_code string, product_id string, defect_name string, work_time string, total_defects long, panel_map array<long>, panel_addrs array<string>"
+    root = str(tmp_path / "totals")
+    for n in range(3):
+        daily.accumulate(spark.createDataFrame([("01", f"P{k}", "D", f"t{n}", 1, [1], ["A1"]) for k in range(n, n + 4)], schema), root, buckets=5)
+    got = rows(lake.read_lake(spark, root), "product_id", "work_time", "total_defects", "panel_map")
+    assert got == [(f"P{k}", f"t{max(0, k - 3)}", n, [n]) for k, n in enumerate([1, 2, 3, 3, 2, 1])]
+
+
 def test_intermediate_tables_go_to_the_shared_folder(spark):
     root = scratch_root(spark)
     assert root == spark.conf.get("spark.checkpoint.dir", root)
     df = settle(spark.range(5), "numbers")
     assert df.count() == 5 and all(root in f for f in df.inputFiles())
+    path = df.inputFiles()[0]
+    assert release(spark) > 0 and release(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
 
 
 class Session:
@@ -228,5 +292,8 @@ def test_a_cluster_has_to_name_its_shared_folder():
     assert scratch_root(Session("yarn", "/shared/tmp/")) == "/shared/tmp"
     with pytest.raises(RuntimeError):
         scratch_root(Session("yarn"))
+    chosen = Session("yarn")
+    chosen.setCheckpointDir("/shared/other")
+    assert scratch_root(chosen) == "/shared/other"
     local = Session("local[2]")
     assert scratch_root(local) == scratch_root(local)

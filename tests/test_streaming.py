@@ -5,6 +5,7 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from panelscope.operators.mart import build_glass_stats
+from panelscope.sources.lake import read_mart
 from panelscope.streaming import jobs
 
 EVENTS = "id long, ts timestamp_ntz, kind string, value double"
@@ -33,11 +34,22 @@ def test_streamed_mart_equals_batch(spark, history, inspection, tmp_path, paths)
     i = inspection([("P1M1001", "1000", f"P1M1001{'AB'[n % 2]}{n % 3}", "SPOT", f"2026-01-0{n % 2 + 1}T0{n}:00:00") for n in range(9)])
     source = str(tmp_path / "source")
     i.repartition(5).write.parquet(source)
-    jobs.mart_stream(jobs.file_source(spark, source, i.schema, max_files=2), *paths).awaitTermination()
-    got = jobs.streamed_mart(spark, paths[0], h)
+    counts, mart = (str(tmp_path / n) for n in ("counts", "mart"))
+
+    def run():
+        jobs.mart_stream(jobs.file_source(spark, source, i.schema, max_files=2), h, counts, mart, paths[1]).awaitTermination()
+        return rows(read_mart(spark, mart), *want.columns)
+
     want = build_glass_stats(i, h).drop("created_at")
-    assert spark.read.parquet(paths[0]).select("batch_id").distinct().count() == 3
-    assert rows(got, *want.columns) == rows(want)
+    assert run() == rows(want)
+    assert spark.read.parquet(counts).select("batch_id").distinct().count() == 3
+    # a batch that is run again, and a later increment
+    (tmp_path / "checkpoint" / "commits" / "2").unlink()
+    assert run() == rows(want)
+    more = inspection([("P1M1001", "1000", "P1M1001A0", "SPOT", "2026-01-02T23:00:00")])
+    more.write.mode("append").parquet(source)
+    want = build_glass_stats(i.unionByName(more), h).drop("created_at")
+    assert run() == rows(want)
 
 
 def test_retried_batch_replaces_its_rows(spark, tmp_path):
