@@ -47,8 +47,8 @@ def glass_stats(spark, sf):
 @query(
     "glass_stats_of_days",
     with_mart(
-        f"""SELECT {MART_COLUMNS} FROM defects JOIN (SELECT l.* FROM latest_step l JOIN (SELECT DISTINCT product_id FROM history WHERE facility_code = 'A1T') f USING (product_id)) s USING (product_id)
-            WHERE stat_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-10'"""
+        f"""SELECT {MART_COLUMNS} FROM glass_stats
+            WHERE facility_code = 'A1T' AND stat_date BETWEEN DATE '1997-06-01' AND DATE '1997-06-10'"""
     ),
 )
 def glass_stats_of_days(spark, sf):

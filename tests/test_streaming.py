@@ -5,6 +5,7 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from panelscope.operators.mart import build_glass_stats
+from panelscope.session import delete
 from panelscope.sources.lake import read_mart
 from panelscope.streaming import jobs
 
@@ -44,7 +45,7 @@ def test_streamed_mart_equals_batch(spark, history, inspection, tmp_path, paths)
     assert run() == rows(want)
     assert spark.read.parquet(counts).select("batch_id").distinct().count() == 3
     # a batch that is run again, and a later increment
-    (tmp_path / "checkpoint" / "commits" / "2").unlink()
+    delete(spark, f"{paths[1]}/commits/2")
     assert run() == rows(want)
     more = inspection([("P1M1001", "1000", "P1M1001A0", "SPOT", "2026-01-02T23:00:00")])
     more.write.mode("append").parquet(source)
