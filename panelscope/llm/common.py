@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelscope.session import settle
 
-__all__ = ["DOCUMENT", "DOCUMENT_SCHEMA", "by_bytes", "conform", "heavy_join", "letters_lowered", "read", "settle", "unit_hash"]
+__all__ = ["DOCUMENT", "DOCUMENT_SCHEMA", "by_bytes", "compact", "conform", "heavy_join", "letters_lowered", "read", "settle", "unit_hash"]
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,10 +22,22 @@ HEAVY_SHARE = 10_000
 HASH_BITS = 60
 
 
+#: Rows of texts that Spark sends to Python at once, unless the session says otherwise.
+ARROW_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; from now on the session sends them to Python in small batches, if it has no setting of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def compact(df: DataFrame, rows: int, per: int = 100_000, least: int = 1) -> DataFrame:
+    """In no more partitions than so many rows need; large frames stay as they are."""
+    return df.coalesce(max(least, rows // per + 1))
+
+
 def conform(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns of a document table; what else it carries is left out, whatever its name."""
     return docs.select(*(F.col(f"`{c}`") for c in (columns or DOCUMENT)))

@@ -13,8 +13,8 @@ BASE = 0x9E3779B97F4A7C17
 _INVERSE = pow(BASE, -1, 1 << 64)
 _tables = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
-#: Symbols hashed at once; longer inputs are cut between spans.
-SEGMENT = 1 << 21
+#: Symbols hashed at once, few enough for a core's cache; longer inputs are cut between spans.
+SEGMENT = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,7 +46,8 @@ LOWERED_VALUES[65:91] = BYTE_VALUES[97:123]
 def prefix(values: np.ndarray) -> np.ndarray:
     """Sums that ``span`` takes hashes from; one longer than ``values``."""
     up, _ = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return sums
 
@@ -59,9 +60,9 @@ def span(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def rolling(sums: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all spans of one width."""
+    """Values of all spans of one width, equal for equal strings, whose high bits order them at random."""
     n = len(sums) - width
-    return mix((sums[width:] - sums[:n]) * powers(len(sums))[1][:n])
+    return (sums[width:] - sums[:n]) * powers(len(sums))[1][:n]
 
 
 def hashed_spans(symbols: np.ndarray, values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -80,7 +81,9 @@ def hashed_spans(symbols: np.ndarray, values: np.ndarray, starts: np.ndarray, st
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and stops of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    framed = np.zeros(len(inside) + 2, bool)
+    framed[1:-1] = inside
+    edge = np.flatnonzero(framed[1:] != framed[:-1])
     return edge[::2], edge[1::2]
 
 
@@ -103,5 +106,12 @@ _WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 
 def plain_words(data: bytes) -> np.ndarray:
     """Hashes of the words of a UTF-8 text, cut at ASCII white space, with A-Z lowered."""
-    symbols = np.frombuffer(data, np.uint8)
-    return hashed_spans(symbols, LOWERED_VALUES, *runs(_WORD_BYTE[symbols]))
+    return words_of_all([data])[0]
+
+
+def words_of_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of several texts in a row, and where those of each text begin and the last end."""
+    symbols = np.frombuffer(b"\n".join(texts), np.uint8)
+    starts, stops = runs(_WORD_BYTE[symbols])
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashed_spans(symbols, LOWERED_VALUES, starts, stops), np.concatenate(([0], np.searchsorted(starts, ends)))

@@ -20,11 +20,11 @@ from panelscope.llm.hashing import mix
 
 #: Text bytes per bucket, and bounds for the number of buckets, as powers of two.
 BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 6, 20
-#: Filter bits as powers of two; within the bounds a bit for four bytes of text.
-LEAST_BITS, MOST_BITS, BYTES_PER_BIT = 20, 29, 4
+#: Filter bits as powers of two; within the bounds a bit for eight bytes of text.
+LEAST_BITS, MOST_BITS, BYTES_PER_BIT = 20, 29, 8
 PROBES = 4
 #: Hashes that a task sorts at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 Hashes = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
