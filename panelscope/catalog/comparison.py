@@ -143,6 +143,30 @@ def glass_report_defects(spark, sf):
     return lookup.glass_report(h, i, i.agg(F.max("product_id")).first()[0]).defects
 
 
+LAST_PRODUCT = "product_id = (SELECT MAX(product_id) FROM inspection)"
+
+
+@query(
+    "glass_report_history",
+    with_facts(f'SELECT process_code, equipment_line_id AS equipment_id, move_in_ymdhms AS "time" FROM history WHERE {LAST_PRODUCT}'),
+)
+def glass_report_history(spark, sf):
+    h, i = history(spark, sf), inspection(spark, sf)
+    return lookup.glass_report(h, i, i.agg(F.max("product_id")).first()[0]).history
+
+
+@query(
+    "glass_report_header",
+    with_facts(
+        f"""SELECT ANY_VALUE(product_id) AS glass_id, MAX((move_in_ymdhms, lot_id))[2] AS lot_id, strftime(MAX(move_in_ymdhms), '%Y-%m-%d') AS work_date,
+              (SELECT COUNT(*) FROM inspection WHERE {LAST_PRODUCT}) AS total_defects, COUNT(*) AS n_steps FROM history WHERE {LAST_PRODUCT}"""
+    ),
+)
+def glass_report_header(spark, sf):
+    h, i = history(spark, sf), inspection(spark, sf)
+    return lookup.glass_report(h, i, i.agg(F.max("product_id")).first()[0]).header
+
+
 @query(
     "table_row_counts",
     with_facts(
@@ -194,12 +218,26 @@ def equipment_stats(spark, sf):
     return rounded(stats, "defect_rate")
 
 
+# every fifth defect is reported on a panel that all products of its process share
+SHARED = """sharing AS (SELECT * REPLACE (IF(def_size % 5 = 0, 'SHARED' || process_code, panel_id) AS panel_id) FROM inspection),
+owners AS (SELECT process_code, panel_id, COUNT(DISTINCT product_id) AS n FROM sharing GROUP BY ALL)"""
+
+
 @query(
     "panels_per_step",
-    with_facts("SELECT product_id, process_code, COUNT(DISTINCT panel_id) AS n_panels FROM inspection GROUP BY ALL"),
+    with_facts(
+        f"""WITH {SHARED}
+        SELECT product_id, process_code, COUNT(DISTINCT panel_id) AS n_panels, n > 1 AS shared FROM sharing JOIN owners USING (process_code, panel_id) GROUP BY ALL"""
+    ),
 )
 def panels_of_steps(spark, sf):
-    return panels_per_step(inspection(spark, sf)).own
+    """Panels of one product counted, panels of several as rows."""
+    shared = F.concat(F.lit("SHARED"), "process_code")
+    i = inspection(spark, sf).withColumn("panel_id", F.when(F.col("def_size") % 5 == 0, shared).otherwise(F.col("panel_id")))
+    panels = panels_per_step(i)
+    rows = panels.shared.groupBy("product_id", "process_code").agg(F.count("*").alias("n_panels"))
+    own = panels.own.select("product_id", "process_code", "n_panels", F.lit(False).alias("shared"))
+    return own.unionByName(rows.withColumn("shared", F.lit(True)))
 
 
 @query(
