@@ -83,9 +83,10 @@ def test_join_finds_all_links(spark, rows):
     assert by_text(joined(frame(spark, rows, extra=True))) == by_text(plain_components(rows))
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_join_is_whole_without_rounds(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, long", [(0, 3), (1, 1)])
+def test_join_is_whole_whatever_the_rounds(spark, monkeypatch, rounds, long):
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "LONG_LIST", long)
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     rows = near_copies(8)
     assert by_text(joined(frame(spark, rows))) == by_text(plain_components(rows))
