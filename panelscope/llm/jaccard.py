@@ -11,9 +11,10 @@ Candidates are searched in blocks: a task holds a query and up to ``BLOCK`` cand
 lists of the query's shingles with a heap, skipping ahead as MergeSkip does, probes the long ones by binary search
 and keeps candidates that reach T.
 
-Lists of a group of copies would make all pairs of its members candidates.  So rounds come first in which every
-class meets one member of another component per round, and linked classes become one
-component; then all remaining candidate pairs between different components are searched, none left out.
+The pairs of short lists of few entries are candidates at once.  Longer ones, those of a group of copies, would make all
+pairs of its members candidates.  There rounds come first in which every class meets one member of another
+component per round, and linked classes become one component; then all remaining candidate
+pairs between different components are searched, none left out.
 
 Defined results.  Only doc_id and text are read.  Null texts and texts without words have empty sets and
 link with nothing, not even each other.  Rows with null ids are grouped like others; a component's id is its smallest
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import DOCUMENT, by_bytes, conform, heavy_join, read, settle
-from panelscope.llm.hashing import grams, mix, plain_words
+from panelscope.llm.common import DOCUMENT, by_bytes, compact, conform, heavy_join, read, settle
+from panelscope.llm.hashing import grams, mix, words_of_all
 from panelscope.llm.recurring import Filter, recurring
 from panelscope.llm.registry import query
 
@@ -43,8 +44,14 @@ CELL_BITS = 22
 BLOCK = 256
 #: Weight of a probe against a merge step, of DivideSkip.
 PROBE_WEIGHT = 0.01
-#: Rounds in which classes meet one partner each.
-ROUNDS = 3
+#: Partitions that small steps with much work to a row keep at least.
+TASKS = 12
+#: Bytes of text that a task hashes at once.
+SLICE = 1 << 18
+#: In longer lists classes meet one partner each in so many rounds, before all that is left.
+LONG_LIST, ROUNDS = 16, 2
+#: Up to so many classes (16 bytes each) are broadcast to find their texts.
+BROADCAST_CLASSES = 500_000
 
 
 def needed(a, b):
@@ -52,10 +59,17 @@ def needed(a, b):
     return (3 * (a + b) + 6) // 7
 
 
-def shingles(text: bytes | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a UTF-8 text."""
-    words = plain_words(text or b"")
-    return np.unique(grams(words, min(WORDS, max(1, len(words)))))
+def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each UTF-8 text."""
+    words, bounds = words_of_all([t or b"" for t in texts])
+    whole, out = grams(words, WORDS), []
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if 0 < high - low < WORDS:
+            own = grams(words[low:high], high - low)
+        else:
+            own = np.sort(whole[low : max(low, high - WORDS + 1)])
+        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own)
+    return out
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -73,8 +87,8 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep``, class (fingerprint) and set size of every row."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            own = [shingles(t) for t in raw(batch)]
+        for batch in by_bytes(batches, "text", SLICE):
+            own = shingles(raw(batch))
             arrays = [*(batch.column(c) for c in keep), pa.array([fingerprint(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "class", "n_shingles"])
 
@@ -88,9 +102,9 @@ def levels(docs: DataFrame) -> np.ndarray:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, waiting = np.zeros(size, np.int64), [], 0
-        for batch in by_bytes(batches, "text"):
-            for text in raw(batch):
-                held.append((shingles(text) >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+        for batch in by_bytes(batches, "text", SLICE):
+            for own in shingles(raw(batch)):
+                held.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 waiting += len(held[-1])
             if waiting > size:
                 counts += np.bincount(np.concatenate(held), minlength=size)
@@ -121,10 +135,9 @@ def postings(docs: DataFrame, level, shared) -> DataFrame:
     """Entries of the short lists: token, class, set size and rank of the token in the set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
+        for batch in by_bytes(batches, "text", SLICE):
             parts = []
-            for text in raw(batch):
-                own = shingles(text)
+            for own in shingles(raw(batch)):
                 short = rarest(own, level.value)
                 rank = np.flatnonzero(shared.value.has(short))
                 parts.append((short[rank].view(np.int64), np.full(len(rank), fingerprint(own)), np.full(len(rank), len(own)), rank))
@@ -135,20 +148,15 @@ def postings(docs: DataFrame, level, shared) -> DataFrame:
     return rows.groupBy("token", "class").agg(F.first("size").alias("size"), F.first("rank").alias("rank"))
 
 
-def texts_of(docs: DataFrame, level, shared) -> DataFrame:
-    """One text of every class that has a shared short list."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            texts, names = [], []
-            for text in raw(batch):
-                own = shingles(text)
-                if shared.value.has(rarest(own, level.value)).any():
-                    texts.append(text)
-                    names.append(fingerprint(own))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(texts, pa.binary())], ["class", "text"])
-
-    return docs.select("text").mapInArrow(emit, "class long, text binary").groupBy("class").agg(F.first("text").alias("text"))
+def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text of each wanted class; ``wanted`` is a written table of classes."""
+    named = rows.join(wanted, "class").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    named = settle(compact(named, wanted.count()), "class-names")
+    n = named.count()
+    if n <= BROADCAST_CLASSES:
+        named = F.broadcast(named)
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return compact(texts.join(named, "text_hash").groupBy("class").agg(F.first("text").alias("text")), n, 2_000, TASKS)
 
 
 def occurrences(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -207,7 +215,8 @@ def search(own: np.ndarray, members: list[np.ndarray]) -> list[int]:
 
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of the candidate pairs (a, b), a written table, those that are similar enough."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    n_pairs = pairs.count()
+    counts = settle(compact(pairs.groupBy("a").agg(F.count("*").alias("n")), n_pairs), "query-sizes")
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), blocks).alias("block"))
     asked = counts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
@@ -220,41 +229,52 @@ def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = [names[n] for n in search(own, members)] if members else []
             return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good) if key else [], pa.int64()), pa.array(good, pa.int64())], ["a", "b"])
 
-        for batch in by_bytes(batches, "text"):
-            for a, b, block, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "block", "text")), strict=True):
+        for batch in by_bytes(batches, "text", SLICE):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "block")), shingles(raw(batch)), strict=True)
+            for a, b, block, found in rows:
                 if (a, block) != key or len(members) >= 2 * BLOCK or size > 1 << 22:
                     yield done()
                     names, members, size, key = [], [], 0, (a, block)
                 if b is None:  # the query comes first
-                    own = shingles(text)
+                    own = found
                 else:
                     names.append(b)
-                    members.append(shingles(text))
-                    size += len(members[-1])
+                    members.append(found)
+                    size += len(found)
         yield done()
 
     sorted_rows = rows.select("a", "b", "block", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return sorted_rows.mapInArrow(find, "a long, b long")
+    return compact(sorted_rows.mapInArrow(find, "a long, b long"), n_pairs, 2_000, TASKS)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that links reach, for all nodes of the links (a, b)."""
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+    size = 2 * edges.count()
+    both = settle(compact(edges.select("a", "b").union(edges.select("b", "a")).distinct(), size), "edges")
+    labels = settle(compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), size), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        moved = settle(lower.join(jump, "next", "left").select("node", F.least("next", "beyond").alias("label"), (F.least("next", "beyond") < F.col("label")).alias("changed")), "labels")
+        best = F.least("next", "beyond")
+        moved = lower.join(jump, "next", "left").select("node", best.alias("label"), (best < F.col("label")).alias("changed"))
+        moved = settle(compact(moved, size), "labels")
         labels = moved.drop("changed")
         if moved.where("changed").isEmpty():
             return labels
 
 
-def _possible(size_a: Column, rank_a: Column, size_b: Column, rank_b: Column) -> Column:
-    """Whether sets of these sizes, with their first common short list at these ranks, can share enough."""
-    goal = F.floor((3 * (size_a + size_b) + 6) / 7)
-    return (4 * size_a >= 3 * size_b) & (4 * size_b >= 3 * size_a) & (F.least(size_a - rank_a, size_b - rank_b) >= goal)
+def _goal() -> Column:
+    return F.floor((3 * (F.col("size") + F.col("size_b")) + 6) / 7)
+
+
+def _near_in_size() -> Column:
+    return (4 * F.col("size") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size"))
+
+
+def _first_possible() -> Column:
+    """Whether sets whose first common short list is at these ranks can share enough."""
+    return F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= _goal()
 
 
 def _with_component(lists: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -270,51 +290,73 @@ def _mixed(lists: DataFrame) -> DataFrame:
 
 
 def _one_each(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): to each class b the member a of another component that heads most of its lists."""
-    head = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("k"), "class", "size", "rank", "part")).alias("head")
-    heads = lists.groupBy("token").agg(head)
-    met = lists.join(heads, "token").where(F.col("head.part") != F.col("part"))
-    met = met.where(_possible(F.col("size"), F.col("rank"), F.col("head.size"), F.col("head.rank")))
-    counted = met.groupBy(F.col("class").alias("b"), F.col("head.class").alias("a")).agg(F.count("*").alias("n"))
+    """Pairs (a, b): to each class b the member a of another component that heads most of its lists.
+
+    The head of a list is where the token comes earliest, so it has few shingles of its own: of edited copies it is one
+    near to the original, which most of the others are near to as well.  Later turns take other heads.
+    """
+    late = F.col("rank") + (F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(8)) * turn)
+    head = F.min(F.struct(late.alias("k"), "class", "size", "rank", "part")).alias("head")
+    heads = lists.groupBy("token").agg(head).select("token", *(F.col(f"head.{c}").alias(f"{c}_b") for c in ("class", "size", "rank", "part")))
+    met = lists.join(heads, "token").where((F.col("part") != F.col("part_b")) & _near_in_size() & _first_possible())
+    counted = met.groupBy(F.col("class").alias("b"), F.col("class_b").alias("a")).agg(F.count("*").alias("n"))
     return counted.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
 
 
 def _all_left(lists: DataFrame) -> DataFrame:
-    """All pairs between components that can still be similar."""
-    other = lists.select("token", *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "rank", "part")))
-    met = lists.join(other, "token").where((F.col("class") < F.col("class_b")) & (F.col("part") != F.col("part_b")))
-    met = met.where(_possible(F.col("size"), F.col("rank"), F.col("size_b"), F.col("rank_b")))
-    return met.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+    """All pairs between components that can still be similar.
+
+    Common shingles are in short lists of both, which are counted here, or behind the short lists of one of them.  Columns
+    ``spare`` say how many short lists of a class are not among ``lists``.
+    """
+    columns = ("class", "size", "rank", "part", "spare")
+    other = lists.select("token", *(F.col(c).alias(f"{c}_b") for c in columns))
+    met = lists.join(other, "token").where((F.col("class") < F.col("class_b")) & (F.col("part") != F.col("part_b")) & _near_in_size())
+    sums = met.groupBy(F.col("class").alias("a"), F.col("class_b").alias("b"), "size", "size_b").agg(
+        F.count("*").alias("n"), F.max(_first_possible()).alias("possible"), F.min(F.least("spare", "spare_b")).alias("spare")
+    )
+    behind = F.floor((3 * F.greatest("size", "size_b") + 3) / 4) - 1
+    earliest = F.col("possible") | (F.col("spare") > 0)  # else the first common list may be one of the spare
+    return sums.where(earliest & (F.col("n") + F.col("spare") + behind >= _goal())).select("a", "b")
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows with class and set size, and the component of each class that has links."""
     spark = docs.sparkSession
     docs = conform(docs, "doc_id", "text")
-    rows = settle(sized(docs), "shingle-sets")
+    rows = settle(sized(docs.withColumn("text_hash", F.xxhash64("text")), ("doc_id", "text_hash")), "shingle-sets")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     level = spark.sparkContext.broadcast(levels(docs))
 
     def short_lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in by_bytes(iter([batch]), "text"):
-            for text in raw(part):
-                yield rarest(shingles(text), level.value)
+        for part in by_bytes(iter([batch]), "text", SLICE):
+            for own in shingles(raw(part)):
+                yield rarest(own, level.value)
 
     shared = spark.sparkContext.broadcast(recurring(docs.select("text"), short_lists, total))
-    lists = settle(_mixed(settle(postings(docs, level, shared).withColumn("part", F.col("class")), "postings")).drop("part"), "short-lists")
-    if lists.isEmpty():
-        return rows, None
-    texts = settle(texts_of(docs, level, shared), "class-texts")
-    found, known = None, None
-    for turn in range(ROUNDS + 1):
-        left = settle(_mixed(_with_component(lists, found)), "mixed-lists")
-        pairs = _one_each(left, turn) if turn < ROUNDS else _all_left(left)
-        pairs = settle(pairs, "candidates")
-        if pairs.isEmpty():
+    entries = settle(compact(postings(docs, level, shared), total, 4 << 20, TASKS), "postings")
+    counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    lists = settle(compact(entries.join(counts, "token"), entries.count(), least=TASKS), "short-lists")
+    size = lists.count()
+    few, long = (lists.where(w).drop("n").withColumn("part", F.col("class")) for w in (F.col("n") <= LONG_LIST, F.col("n") > LONG_LIST))
+    # pairs with a common list among the few are found there; others have all of theirs among the long
+    spare = long.groupBy("class").agg(F.count("*").alias("spare"))
+    few = few.join(spare, "class", "left").fillna(0, ["spare"])
+    long = long.withColumn("spare", F.lit(0).cast("long"))
+    pairs = settle(compact(_all_left(few), size, least=TASKS), "candidates")
+    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long.select("class")).distinct()
+    texts = settle(texts_of(docs, rows, settle(compact(classes, size), "wanted-classes")), "class-texts")
+    known = settle(links(pairs, texts), "links")
+    found = None if known.isEmpty() else components(known)
+    size = long.count()
+    for turn in range(ROUNDS + 1 if size else 0):
+        left = settle(compact(_mixed(_with_component(long.drop("part"), found)), size), "mixed-lists")
+        if left.isEmpty():
             break
+        pairs = settle(compact(_one_each(left, turn) if turn < ROUNDS else _all_left(left), size), "candidates")
         new = settle(links(pairs, texts), "links")
-        known = new if known is None else known.unionByName(new)
         if not new.isEmpty():
+            known = known.unionByName(new)
             found = components(known)
     return rows, found
 
@@ -325,11 +367,13 @@ def join(docs: DataFrame) -> DataFrame:
     parts = rows.withColumn("part", F.col("class"))
     if found is not None:
         weighed = rows.groupBy("class").agg(F.count("*").alias("n")).join(found.withColumnRenamed("node", "class"), "class")
-        parts = heavy_join(rows, settle(weighed, "class-labels"), ["class"], "n", rows.count(), "left")
+        total = rows.count()
+        parts = heavy_join(rows, settle(compact(weighed, total), "class-labels"), ["class"], "n", total, "left")
         parts = parts.select("doc_id", "class", "n_shingles", F.coalesce("label", "class").alias("part"))
-    parts = settle(parts, "parts")
+    parts = settle(compact(parts, rows.count(), least=TASKS), "parts")
     groups = parts.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    out = heavy_join(parts, settle(groups, "components"), ["part"], "n", parts.count(), "left")
+    total = parts.count()
+    out = heavy_join(parts, settle(compact(groups, total), "components"), ["part"], "n", total, "left")
     whole = F.when((F.col("n_shingles") > 0) & F.col("n").isNotNull(), F.col("first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "class", "part", "n_shingles", whole.alias("component_id"))
 
