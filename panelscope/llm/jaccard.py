@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from panelscope.llm.registry import query
 WORDS = 5
 #: Cells of the sketch of shingle counts, as a power of two.
 CELL_BITS = 22
+#: Parts of the sketch that are added up side by side, as a power of two.
+CHUNK_BITS = 6
 #: Candidates of one query that are searched at once.
 BLOCK = 256
 #: Weight of a probe against a merge step, of DivideSkip.
@@ -97,32 +100,38 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def levels(docs: DataFrame) -> np.ndarray:
-    """A level per cell of shingle hashes: 0 for the usual count, more for each doubling of it."""
+    """A level per cell of shingle hashes: 0 for the usual count, more for each doubling of what exceeds it."""
     size = 1 << CELL_BITS
+    width = size >> CHUNK_BITS
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, waiting = np.zeros(size, np.int64), [], 0
+        counts, held, waiting = np.zeros(size, np.uint32), [], 0
         for batch in by_bytes(batches, "text", SLICE):
             for own in shingles(raw(batch)):
                 held.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 waiting += len(held[-1])
-            if waiting > size:
-                counts += np.bincount(np.concatenate(held), minlength=size)
+            if waiting > size // 4:
+                counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
                 held, waiting = [], 0
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=size)
-        seen = int(counts.sum())
-        # a task names the cells that stand out in it; the order needs no exact counts
-        cells = np.flatnonzero(counts >= 4 + 2 * seen // size)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *cells.tolist()], pa.int64()), pa.array([seen, *counts[cells].tolist()], pa.int64())], ["cell", "n"])
-
-    counted = settle(docs.select("text").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells")
-    total = counted.where("cell = -1").first()
-    usual = 4 + (total["n"] if total else 0) // size
-    found = counted.where((F.col("cell") >= 0) & (F.col("n") >= 2 * usual)).toArrow()  # at most a row per cell
-    out = np.zeros(size, np.uint8)
-    out[found.column("cell").to_numpy()] = np.log2(found.column("n").to_numpy() / usual).astype(np.uint8)
-    return out
+            counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+        codec = zstandard.ZstdCompressor(level=1)
+        parts = [codec.compress(counts[at : at + width].tobytes()) for at in range(0, size, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["chunk", "counts"])
+
+    def added(group: pa.Table) -> pa.Table:
+        codec, total = zstandard.ZstdDecompressor(), np.zeros(width, np.uint64)
+        for part in group.column("counts"):
+            total += np.frombuffer(codec.decompress(part.as_py(), max_output_size=4 * width), np.uint32)
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(tally, "chunk long, counts binary").groupBy("chunk").applyInArrow(added, "chunk long, counts binary")
+    counts = np.zeros(size, np.uint64)
+    for r in parts.toLocalIterator():  # the size of the sketch in all
+        counts[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint64)
+    usual = counts.mean()
+    above = counts - usual
+    return np.where(above >= 8 + 4 * np.sqrt(usual), np.log2(np.maximum(above, 8) / 4), 0).astype(np.uint8)
 
 
 def rarest(own: np.ndarray, level: np.ndarray) -> np.ndarray:
