@@ -37,15 +37,21 @@ TRIGGER = 20
 #: Rank of rows without an id.
 LAST = (1 << 63) - 1
 #: Window starts parsed at once, and phrases that a task combines at once.
-SEGMENT, CHUNK = 1 << 21, 1 << 20
-#: Sets aside: result kinds of the dictionary step.
+SEGMENT, CHUNK = 1 << 16, 1 << 17
+#: Bytes of text that a task parses at once.
+SLICE = 1 << 18
+#: Bytes of phrases that a task gathers before it sends them to be compared.
+CONTEXT_BYTES = 8 << 20
+#: Result kinds of the dictionary step.
 REPEATED, WANTED = 0, 1
 #: Groups for results that need no further step.
 SPREAD = 256
 
-_PLACE = np.uint64((1 << 22) - 1)
+_PLACE = np.uint64((1 << 20) - 1)
 _PHRASE = (("trigger", "<u8"), ("phrase", "<u8"), ("rank", "<i8"), ("text", "<i8"), ("start", "<u4"), ("count", "<u4"))
 _RUN = (("rank", "<i8"), ("text", "<i8"), ("start", "<u4"), ("count", "<u4"))
+_RUN_NAMES = ["rank", "text_hash", "start", "windows"]
+_RUN_ROWS = "rank long, text_hash long, start long, windows long"
 _CONTEXT = (("rank", "<i8"), ("text", "<i8"), ("start", "<u4"), ("count", "<u4"))
 
 
@@ -79,25 +85,24 @@ class Parse:
     def _segment(self, low: int):
         symbols = self.data[low : low + SEGMENT + LENGTH - 1]
         sums = prefix(BYTE_VALUES[symbols])
-        n = len(symbols) - TRIGGER + 1
         hashes = rolling(sums, TRIGGER)
-        best = (hashes & ~_PLACE) | np.arange(n, dtype=np.uint64)
+        best = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
         reach, width = 1, LENGTH - TRIGGER + 1
         while reach < width:  # minima of ever longer windows; ties go to the left
             step = min(reach, width - reach)
             best = np.minimum(best[: len(best) - step], best[step:])
             reach += step
-        places = (best & _PLACE).astype(np.int64)
-        starts = np.arange(len(places))
-        doc = np.searchsorted(self.stops, starts + low, side="right")
-        good = starts + low + LENGTH <= self.stops[doc]
-        starts, places, doc = starts[good], places[good], doc[good]
-        if not len(starts):
-            return doc, starts, starts, hashes[:0], hashes[:0]
-        first = np.flatnonzero(np.concatenate(([True], (places[1:] != places[:-1]) | (doc[1:] != doc[:-1]))))
-        counts = np.diff(np.concatenate((first, [len(starts)])))
-        begin = starts[first]
-        return doc[first], begin + low, counts, mix(hashes[places[first]]), span(sums, begin, begin + counts + LENGTH - 1)
+        places = best & _PLACE
+        n, one, last = len(places), *np.searchsorted(self.stops, (low, low + len(places)), side="right")
+        edges = np.concatenate((self.begins[one : last + 1], self.stops[one : last + 1] - LENGTH + 1)) - low
+        heads = np.flatnonzero(places[1:] != places[:-1]) + 1
+        begin = np.unique(np.concatenate(([0], heads, edges[(edges > 0) & (edges < n)])))
+        counts = np.diff(np.append(begin, n))
+        doc = np.searchsorted(self.stops, begin + low, side="right")
+        good = begin + low + LENGTH <= self.stops[doc]
+        begin, counts, doc = begin[good], counts[good], doc[good]
+        trigger = mix(hashes[places[begin].astype(np.int64)])
+        return doc, begin + low, counts, trigger, span(sums, begin, begin + counts + LENGTH - 1)
 
 
 def ranked(docs: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def ranked(docs: DataFrame) -> DataFrame:
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Parse, np.ndarray, np.ndarray]]:
     """Parses of slices, with rank and text hash of each phrase."""
-    for batch in by_bytes(batches, "data"):
+    for batch in by_bytes(batches, "data", SLICE):
         own = Parse(batch.column("data").to_pylist())
         if len(own.doc):
             ranks, names = (np.array(batch.column(c).to_pylist(), np.int64)[own.doc] for c in ("rank", "text_hash"))
@@ -208,22 +213,39 @@ def dictionary(docs: DataFrame, shared, bucket_bits: int, slice_bits: int) -> Da
 
 
 def compared(docs: DataFrame, wanted, bucket_bits: int) -> DataFrame:
-    """Packed runs of repeated windows among dictionary phrases that share a trigger but not all bytes."""
+    """Runs of repeated windows among dictionary phrases that share a trigger but not all bytes."""
+
+    def gathered(held: list[tuple]) -> pa.RecordBatch:
+        """A row per bucket with the contexts of several slices."""
+        trigger, rank, text, start, count = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
+        symbols = np.frombuffer(b"".join(x[5] for x in held), np.uint8)
+        begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+        to = (trigger >> np.uint64(64 - bucket_bits)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
+        buckets, heads, data = [], [], []
+        for low, high in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            own = order[low:high]
+            buckets.append(int(to[own[0]]))
+            heads.append(pack(_CONTEXT, [x[own] for x in (rank, text, start, count)]))
+            data.append(b"".join(symbols[s : s + c + LENGTH - 1].tobytes() for s, c in zip(begin[own].tolist(), count[own].tolist(), strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["bucket", "heads", "data"])
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for own, ranks, names in parsed(batches):
             at = np.flatnonzero(wanted.value.has(pair_hash(own.trigger, ranks, names, bucket_bits)))
-            to = (own.trigger[at] >> np.uint64(64 - bucket_bits)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            at, to = at[order], to[order]
-            buckets, heads, data = [], [], []
-            cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else []
-            for low, high in zip(cuts, [*cuts[1:], len(to)], strict=True) if len(to) else ():
-                own_at = at[low:high]
-                buckets.append(int(to[low]))
-                heads.append(pack(_CONTEXT, (ranks[own_at], names[own_at], own.within[own_at], own.count[own_at])))
-                data.append(b"".join(own.data[s : s + c + LENGTH - 1].tobytes() for s, c in zip(own.start[own_at].tolist(), own.count[own_at].tolist(), strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["bucket", "heads", "data"])
+            if not len(at):
+                continue
+            places = zip(own.start[at].tolist(), own.count[at].tolist(), strict=True)
+            data = b"".join(own.data[s : s + c + LENGTH - 1].tobytes() for s, c in places)
+            held.append((own.trigger[at], ranks[at], names[at], own.within[at], own.count[at], data))
+            size += len(data)
+            if size >= CONTEXT_BYTES:
+                yield gathered(held)
+                held, size = [], 0
+        if held:
+            yield gathered(held)
 
     def sort_windows(group: pa.Table) -> pa.Table:
         rank, text, start, count = (np.concatenate(x) for x in zip(*(unpack(_CONTEXT, b) for b in group.column("heads").to_pylist()), strict=True))
@@ -240,23 +262,21 @@ def compared(docs: DataFrame, wanted, bucket_bits: int) -> DataFrame:
         later = np.zeros(len(of), bool)
         later[order] = r > r[np.flatnonzero(new)][np.cumsum(new) - 1]
         at = np.flatnonzero(later)
-        if not len(at):
-            return pa.table({"data": pa.array([], pa.binary())})
-        heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (of[at][1:] != of[at][:-1]))))
+        heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (of[at][1:] != of[at][:-1])))[: len(at)])
         first = at[heads]
         lengths = np.diff(np.concatenate((heads, [len(at)])))
         runs = (rank[of[first]], text[of[first]], start[of[first]].astype(np.int64) + offset[first], lengths)
-        return pa.table({"data": pa.array([pack(_RUN, runs)], pa.binary())})
+        return pa.table([pa.array(x.astype(np.int64)) for x in runs], _RUN_NAMES)
 
     rows = docs.select("rank", "text_hash", "data").mapInArrow(scatter, "bucket long, heads binary, data binary")
-    return rows.groupBy("bucket").applyInArrow(sort_windows, "data binary")
+    return rows.groupBy("bucket").applyInArrow(sort_windows, _RUN_ROWS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("data").to_pylist():
             rank, text, start, count = unpack(_RUN, blob)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rank, text, start, count)], ["rank", "text_hash", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rank, text, start, count)], _RUN_NAMES)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -272,8 +292,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     for r in found.where(F.col("kind") == WANTED).toLocalIterator():  # the filter's size in all
         bits[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
     wanted = spark.sparkContext.broadcast(Filter(bucket_bits, slice_bits, bits))
-    packed = found.where(F.col("kind") == REPEATED).select("data").unionByName(compared(docs, wanted, bucket_bits))
-    return packed.mapInArrow(_runs, "rank long, text_hash long, start long, windows long")
+    packed = found.where(F.col("kind") == REPEATED).select("data")
+    return packed.mapInArrow(_runs, _RUN_ROWS).unionByName(compared(docs, wanted, bucket_bits))
 
 
 def covered(runs: list[dict], size: int) -> list[tuple[int, int]]:
@@ -295,7 +315,7 @@ def strip(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in by_bytes(batches, "data"):
+        for batch in by_bytes(batches, "data", SLICE):
             spans, kept = [], []
             for data, found in zip(batch.column("data").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 places = covered(found or [], len(data))
