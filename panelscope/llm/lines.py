@@ -4,8 +4,9 @@ Units are normalised (letters lowered, white space collapsed) and hashed to 128
 over the corpus; of each, the occurrence with the smallest (doc_id, unit number) stays.  Removed units are
 listed with their original offsets.
 
-Defined results.  Only doc_id and text are read.  Units of fewer than ``MIN_WORDS`` words are never
-removed, since short lines recur by chance.  Null ids rank last.  Rows with one doc_id rank together: a
+Defined results.  Only doc_id and text are read.  Every unit that is not empty once normalised counts, however
+short; ``min_words`` spares shorter ones, and the registered query sets it to ``MIN_WORDS``, as its SQL does.
+Words are counted at white space.  Null ids rank last.  Rows with one doc_id rank together: a
 unit that is the earliest in several of them stays in each.  A null text has no units and stays null.
 """
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import by_bytes, conform, heavy_join, read, settle
 from panelscope.llm.registry import query
 
+#: Words of the shortest unit that the registered query and its SQL remove.
 MIN_WORDS = 8
 #: Rank of rows without an id.
 LAST = (1 << 63) - 1
@@ -43,7 +45,7 @@ def normalised(unit: str) -> str:
     return _SPACE.sub(" ", unit.lower()).strip(" ")
 
 
-def units(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """A row per unit that may be removed: rank, text_hash, unit, start, stop and digest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +78,7 @@ def repeated(found: DataFrame) -> DataFrame:
     return joined.where("rank > first_rank OR unit > first_unit").select("rank", "text_hash", "unit", "start", "stop", "first_rank")
 
 
-def dedup(docs: DataFrame, kind: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     """Every document with its kept text and the removed units: unit, start, stop, first_doc_id."""
     gone = repeated(settle(units(docs, kind, min_words), "line-units"))
     known = F.when(F.col("first_rank") != LAST, F.col("first_rank")).alias("first_doc_id")
@@ -125,7 +127,7 @@ FROM documents t LEFT JOIN d USING (doc_id)
 
 @query("op9_line_dedup", SQL)
 def _op9(spark, sf_dir):
-    out = dedup(read(spark, sf_dir, "documents"))
+    out = dedup(read(spark, sf_dir, "documents"), min_words=MIN_WORDS)
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
     places = F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"), F.lit(":"), r["first_doc_id"].cast("string")))
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), size.alias("chars_removed"), F.concat_ws(" ", places).alias("removed"), "kept_text")

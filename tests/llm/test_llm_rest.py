@@ -159,6 +159,13 @@ def test_paragraphs(spark):
     assert rows[1][1][start:stop] == same
 
 
+def test_short_lines_are_removed_unless_spared(spark):
+    rows = [(1, "All rights reserved.\nfirst", "x", "y", 0), (2, "all rights  reserved.\n\nsecond\n", "x", "y", 0), (3, "版权所有\n版权所有", "x", "y", 0)]
+    kept = {r["doc_id"]: r["kept_text"] for r in lines.dedup(frame(spark, rows)).collect()}
+    assert kept == {1: rows[0][1], 2: "\nsecond\n", 3: "版权所有"}
+    assert all(r["kept_text"] == r["text"] for r in lines.dedup(frame(spark, rows), min_words=4).collect())
+
+
 def test_heavy_keys_join_like_others(spark):
     big = settle(spark.createDataFrame([(1, n) for n in range(50)] + [(n, 0) for n in range(2, 30)] + [(None, 5)], "k long, v long"), "t")
     small = settle(spark.createDataFrame([(1, "a", 50), (5, "b", 1), (90, "c", 1)], "k long, name string, n long"), "t")
