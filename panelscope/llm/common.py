@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelscope.session import settle
 
-__all__ = ["DOCUMENT", "DOCUMENT_SCHEMA", "by_bytes", "compact", "conform", "heavy_join", "letters_lowered", "read", "settle", "unit_hash"]
+__all__ = ["DOCUMENT", "DOCUMENT_SCHEMA", "below", "by_bytes", "compact", "conform", "hash_rank", "heavy_join", "least_hashes", "letters_lowered", "read", "settle", "unit_hash"]
 
 DOCUMENT_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -68,6 +69,46 @@ def heavy_join(big: DataFrame, small: DataFrame, keys: list[str], weight: str, t
     return first.unionByName(rest)
 
 
+def hash_rank(hashed: Column) -> Column:
+    """A 64-bit hash as a whole number of 62 bits, by which samples are ordered."""
+    return F.pmod(hashed, F.lit(1 << 62))
+
+
+@dataclass
+class Taken:
+    """Distinct hashes of a group, how many of the least are wanted, and a bound below which so many lie."""
+
+    distinct: int
+    wanted: int
+    bound: int
+
+
+def least_hashes(rows: DataFrame, group: str, hashed: str, wanted: Callable[[int], int]) -> dict[object, Taken]:
+    """For each group a bound below which its least ``wanted(number of groups)`` hashes lie, or all that it has.
+
+    Distinct hashes are counted by group and bit length, so no group meets in one task, and a bound passes about
+    twice the wanted ones.  ``hashed`` is of ``hash_rank``.
+    """
+    length = F.length(F.bin(hashed)).alias("bits")
+    found: dict[object, dict[int, int]] = {}
+    for r in rows.select(group, hashed).distinct().groupBy(group, length).count().collect():
+        found.setdefault(r[group], {})[r["bits"]] = r["count"]
+    most, out = wanted(len(found)) if found else 0, {}
+    for key, counts in found.items():
+        upto = 0
+        for bits in sorted(counts):
+            upto += counts[bits]
+            if upto >= most:
+                break
+        out[key] = Taken(sum(counts.values()), most, 1 << bits)
+    return out
+
+
+def below(spark: SparkSession, taken: dict[str, Taken]) -> DataFrame:
+    """The bounds as a table: of, bound."""
+    return spark.createDataFrame([(key, t.bound) for key, t in taken.items()], "of string, bound long")
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices with about ``limit`` bytes of ``column`` each; a longer value comes alone."""
     for batch in batches:

@@ -6,8 +6,9 @@ Nyström landmarks from the labelled sample give the kernel a finite map; one ri
 language is fitted in it.  The product of landmarks, map and weights is formed once, so a batch of texts is
 scored by one matrix product of its presence rows with a (bins x languages) matrix.
 
-Training reads a bounded sample (``PER_LANGUAGE`` labelled texts a language, ``MAX_SAMPLE`` in all), of
-which only packed presence bits reach the driver.  Prediction reads whole texts and nothing but texts.
+Training reads a bounded sample: of each language the texts with the smallest hashes, each text once, up to
+``PER_LANGUAGE`` and to an equal part of ``MAX_SAMPLE``, but one at least, so that no language is left out.  Only
+packed presence bits of the sample reach the driver.  Prediction reads whole texts and nothing but texts.
 
 Defined results.  A text that is null or has no letter is ``und`` with score 0; so is every text if nothing
 could be learned.  Rows with a null id are neither learned from nor held out.  Ties go to the language that sorts
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import by_bytes, conform, read
+from panelscope.llm.common import below, by_bytes, conform, hash_rank, least_hashes, read
 from panelscope.llm.registry import query
 
 BINS = 1 << 14
@@ -129,7 +130,11 @@ def fit_bits(bits: np.ndarray, labels: list[str]) -> Model:
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()  # a task sends copies of a text once
     for batch in by_bytes(batches, "text"):
+        keys = list(zip(batch.column("lang").to_pylist(), batch.column("pick").to_pylist(), strict=True))
+        new = [n for n, key in enumerate(keys) if key not in seen and not seen.add(key)]
+        batch = batch.take(pa.array(new, pa.int64()))
         for at in range(0, batch.num_rows, BLOCK_ROWS):
             part = batch.slice(at, BLOCK_ROWS)
             packed = [np.packbits(x).tobytes() for x in presence(part.column("text").to_pylist())]
@@ -139,19 +144,17 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Model:
     """Learn from text and language of the documents outside the held-out quarter."""
     labelled = conform(docs, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_SAMPLE).collect()}
-    if not counts:
+    labelled = labelled.select("text", "lang", hash_rank(F.xxhash64("text")).alias("pick"))
+    known = least_hashes(labelled, "lang", "pick", lambda n: max(1, min(PER_LANGUAGE, MAX_SAMPLE // n)))
+    if not known:
         return fit_bits(np.zeros((0, BINS), bool), [])
-    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.2 * PER_LANGUAGE / n))))
-    pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.select("text", "lang", pick.alias("pick")).where(F.col("pick") < F.element_at(shares, F.col("lang")))
-    bits = chosen.mapInArrow(_bits, "lang string, pick double, bits binary")
-    rows = bits.orderBy("pick", "lang", "bits").limit(MAX_SAMPLE).collect()
+    chosen = labelled.join(F.broadcast(below(docs.sparkSession, known)), F.col("lang") == F.col("of")).where("pick < bound")
+    rows = chosen.select("text", "lang", "pick").mapInArrow(_bits, "lang string, pick long, bits binary").dropDuplicates(["lang", "pick"]).collect()
     taken: dict[str, int] = {}
     sample = []
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["pick"], r["lang"])):
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= PER_LANGUAGE:
+        if taken[r["lang"]] <= known[r["lang"]].wanted:
             sample.append(r)
     unpacked = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample]).astype(bool)
     return fit_bits(unpacked, [r["lang"] for r in sample])

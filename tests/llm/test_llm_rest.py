@@ -267,6 +267,32 @@ def test_languages_are_told_apart(spark):
     assert len(judged) > 100 and sum(r["lang"] == r["lang_pred"] for r in judged) / len(judged) > 0.97
 
 
+def test_small_languages_are_learned_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    monkeypatch.setattr(langid, "MAX_SAMPLE", 60)
+    rng = random.Random(9)
+    large = [f"l{k}" for k in range(14)]
+    rows = [(n, f"{sentence(rng, 'en', 3)} {'abcdefghijklmn'[int(lang[1:])] * 3}", lang, "s", None) for n in range(300 * 14) for lang in [large[n % 14]]]
+    rows += [(9000 + n, sentence(rng, "fr", 20), "rare", "s", None) for n in range(24)]
+    rows += [(20_000 + n, "always the same text", "copied", "s", None) for n in range(500)]
+    model = langid.fit(frame(spark, rows))
+    assert model.languages == sorted([*large, "rare", "copied"])
+    assert model.predict([sentence(rng, "fr", 20)])[0] == ["rare"]
+
+
+def test_sample_has_each_text_once_and_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    seen = {}
+    monkeypatch.setattr(langid, "fit_bits", lambda bits, labels: seen.update(bits=bits, labels=labels))
+    rows = [(n, f"text {chr(97 + n % 26)} {chr(97 + n // 26)}", "en", "s", None) for n in range(200)] + [(n, "one text", "de", "s", None) for n in range(90)]
+    df = frame(spark, rows * 3)
+    langid.fit(df)
+    assert sorted(seen["labels"]) == ["de"] + ["en"] * 5
+    least = df.where(~langid.held_out() & (F.col("lang") == "en")).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 62)).alias("h")).distinct().orderBy("h").limit(5)
+    want = {x.tobytes() for x in langid.presence([r["text"] for r in least.collect()])}
+    assert {x.tobytes() for x, lang in zip(seen["bits"], seen["labels"], strict=True) if lang == "en"} == want
+
+
 def test_prediction_sees_nothing_but_the_text(spark):
     rows = corpus()
     df = frame(spark, rows)
