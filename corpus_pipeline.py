@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from panelscope.llm import decontaminate, jaccard, langid, mixing, sharding
 from panelscope.llm.common import DOCUMENT, conform, read, settle
 
-#: A document is rejected if its language is unknown or the best score is lower than this.
-LEAST_SCORE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in a language that the labels know."""
+    """Documents whose language can be told: texts with a letter, if any language could be learned.
+
+    Scores do not decide, since they fall with the length of a text and with the number of languages.
+    """
     docs = conform(docs)
     judged = langid.predict(docs, langid.fit(docs), *DOCUMENT)
-    return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*DOCUMENT)
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*DOCUMENT)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-from llm_data import frame, rough
+from llm_data import frame, rough, sentence
 from test_llm_pairs import parts_of, plain_sets
 from test_llm_rest import leaks
 
@@ -62,6 +63,14 @@ def plain_texts(spark):
     return [" ".join(words(r["text"])) for r in read(spark, SF_DIR, "benchmark").collect()]
 
 
+def test_short_texts_and_many_languages_are_not_rejected(spark):
+    rng = random.Random(3)
+    rows = [(n, sentence(rng, "en", 6), f"l{n % 14}", "s", None) for n in range(14 * 12)]
+    rows += [(1000, "A.", "l0", "s", None), (1001, "A.\nAll rights reserved.", "l0", "s", None), (1002, "zq", "l3", "s", None)]
+    none = [(2000, "123 ...", "l0", "s", None), (2001, "", "l0", "s", None), (2002, None, "l0", "s", None)]
+    assert rows_of(corpus_pipeline.language(spark, frame(spark, rows + none), "")) == sorted(rows, key=repr)
+
+
 def test_run_equals_its_stages(spark):
     last = staged(spark, read(spark, SF_DIR, "documents"), SF_DIR)[-1]
     assert rows_of(corpus_pipeline.run(spark, SF_DIR)) == rows_of(last)
