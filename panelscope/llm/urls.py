@@ -2,7 +2,8 @@
 
 Rules name a host and a path prefix; a rule fits its host and all subdomains, and the longest rule wins.
 The URLs that a rule decides are the labelled ones.  Boosted trees learn from lexical features of a bounded,
-hash-picked sample of them and judge the rest.
+hash-picked sample of them and judge the rest.  Where not all fit, each label has its own half of the sample, so a rare
+one is never left out, and weights restore how many rows each label has.
 
 Features: lengths of url, host and path, depth, share of digits, entropy of the characters, number of
 parameters, hyphens and labels, and for the last two labels of the host the smoothed share of
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from panelscope.llm.common import conform, heavy_join, letters_lowered, read, settle
+from panelscope.llm.common import conform, hash_rank, heavy_join, least_hashes, letters_lowered, read, settle
 from panelscope.llm.registry import query
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -105,6 +107,21 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*(c.cast("double") for c in columns)))).drop("u")
 
 
+def sampled(labelled: DataFrame, stats: DataFrame, rows: dict[str, float]) -> DataFrame:
+    """Up to half of ``MAX_TRAINING`` URLs of each label, each once, weighted so that a label's weights sum to its ``rows``."""
+    picked = labelled.withColumn("pick", hash_rank(F.xxhash64("url")))
+    least = least_hashes(picked, "label", "pick", lambda _: max(1, MAX_TRAINING // 2))
+    parts = []
+    for label, taken in least.items():
+        few = picked.where((F.col("label") == label) & (F.col("pick") < taken.bound))
+        few = few.groupBy("url", "host", "path", "suffix", "label", "pick").agg(F.count("*").cast("double").alias("copies"))
+        parts.append(settle(few.orderBy("pick").limit(taken.wanted), "url-label"))
+    shares = {p.first()["label"]: p.agg(F.sum("copies")).first()[0] for p in parts}
+    both = reduce(DataFrame.unionByName, parts)
+    weight = reduce(lambda w, x: w.when(F.col("label") == x, F.col("copies") * (rows[x] / shares[x])), shares, F)
+    return both.withColumn("weight", weight).join(stats, "suffix", "left")
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Every page's url with host, path, rule and verdict."""
     rows = parsed(pages, rules)
@@ -122,17 +139,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     total = stats.agg(F.sum("n_rows")).first()[0]
     joined = heavy_join(rows, stats, ["suffix"], "n_rows", total, "left").withColumn("overall_share", F.lit(overall))
     ready = features(joined)
-    pick = F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, MAX_TRAINING / n))
     # every second one is learned as if its suffix were new, since suffixes without rules are what is judged
     known = F.pmod(F.xxhash64("url", F.lit(SEED)), F.lit(2)) == 0
     half = {c: F.when(known, F.col(c)) for c in ("suffix_share", "suffix_seen")}
-    sample = features(joined.where(F.col("label").isNotNull() & pick).withColumns(half)).select("url", blocked.alias("label"), "features")
-    sample = settle(sample.orderBy(F.xxhash64("url")).limit(MAX_TRAINING), "url-sample")
-    kinds = sample.agg(F.min("label"), F.max("label")).first()
-    if kinds[0] is None or kinds[0] == kinds[1]:
-        only = "block" if overall >= 0.5 else "allow"
-        return ready.select("page_id", "host", "path", "rule", F.coalesce("label", F.lit(only)).alias("verdict"), F.lit(overall).alias("block_score"))
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1).fit(sample.coalesce(1))
+    chosen = joined.where("label IS NOT NULL").withColumn("weight", F.lit(1.0)) if n <= MAX_TRAINING else sampled(labelled, stats, {"block": bad, "allow": n - bad})
+    sample = features(chosen.withColumns({"overall_share": F.lit(overall), **half})).select("url", blocked.alias("label"), "weight", "features")
+    sample = settle(sample.orderBy(F.xxhash64("url")), "url-sample")
+    model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, stepSize=0.3, checkpointInterval=-1).fit(sample.coalesce(1))
     scored = model.transform(ready)
     odds = vector_to_array("probability")[1]
     verdict = F.coalesce("label", F.when(odds > 0.5, "block").otherwise("allow"))

@@ -245,6 +245,28 @@ def test_trees_learn_what_rules_say(spark):
     assert out[643]["verdict"] == out[600]["verdict"] and out[640]["host"] == ""
 
 
+def test_rare_labels_are_learned_from_large_tables(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_TRAINING", 100)
+    monkeypatch.setattr(urls, "SMOOTHING", 1.0)
+    rng = random.Random(2)
+    good = [f"https://w{rng.randrange(30)}.example.net/en/{sentence(rng, 'en', 2).replace(' ', '-')}" for _ in range(3000)]
+    bad = [f"http://t.x.net/{rng.randrange(10**9)}?a={rng.randrange(10**6)}&b=1" for _ in range(6)]
+    asked = [f"http://t.y.com/{rng.randrange(10**9)}?a={rng.randrange(10**6)}&b=1" for _ in range(20)]
+    df = spark.createDataFrame([(n, u) for n, u in enumerate(good + bad + asked)], "page_id long, url string")
+    out = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert len(out) == len(good + bad + asked)
+    assert sum(out[3006 + n]["verdict"] == "block" for n in range(20)) >= 18
+
+
+def test_weights_of_a_sample_sum_to_the_rows_of_its_label(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_TRAINING", 40)
+    pages = [(n, f"http://a{n % 90}.net/{n % 90}") for n in range(900)] + [(n, "https://example.net/en/one") for n in range(70)]
+    labelled = urls.parsed(spark.createDataFrame(pages, "page_id long, url string"))
+    stats = spark.createDataFrame([], "suffix string, n_rows long, suffix_seen long, suffix_share double")
+    got = urls.sampled(labelled, stats, {"block": 900.0, "allow": 70.0}).groupBy("label").agg(F.count("*"), F.round(F.sum("weight"), 6))
+    assert rows_of(got) == [("allow", 1, 70.0), ("block", 20, 900.0)]
+
+
 @pytest.mark.parametrize("pages", [[], [(1, "http://a.com/")], [(1, "http://a.net/"), (2, "http://b.com/")]])
 def test_urls_without_two_kinds_of_labels(spark, pages):
     out = urls.judge(spark.createDataFrame(pages, "page_id long, url string")).collect()
