@@ -150,7 +150,7 @@ def combined(phrases: list[np.ndarray], bucket_bits: int) -> pa.RecordBatch:
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1] + c[:-1])))
         at = np.flatnonzero(new)
         runs = (a[at], b[at], s[at], np.add.reduceat(c, at))
-        to = (runs[1] % SPREAD).astype(np.int64)
+        to = (mix(runs[0].astype(np.uint64) ^ mix(runs[1].astype(np.uint64))) % np.uint64(SPREAD)).astype(np.int64)  # copies of one text apart
         for k in np.unique(to):
             buckets.append(-1 - int(k))
             data.append(pack(_RUN, [x[to == k] for x in runs]))

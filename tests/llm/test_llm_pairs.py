@@ -187,6 +187,16 @@ def test_small_segments_and_chunks_change_nothing(spark, monkeypatch):
     assert by_text(stripped(frame(spark, rows))) == by_text(plain_repeats(rows))
 
 
+def test_runs_of_copies_of_one_text_are_dealt_apart():
+    n = 2_000
+    one = np.ones(n, np.uint64)
+    phrases = [one, one, np.arange(n, dtype=np.int64), np.full(n, 77, np.int64), np.zeros(n, np.uint32), np.ones(n, np.uint32)]
+    batch = repeats.combined(phrases, 4)
+    held = [repeats.unpack(repeats._RUN, d)[0] for b, d in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True) if b < 0]
+    assert sorted(np.concatenate(held).tolist()) == list(range(1, n))
+    assert max(map(len, held)) < 40
+
+
 def test_word_hashes_are_by_content(monkeypatch):
     a = plain_words("The quick BROWN\tfox é".encode())
     b = plain_words("  xx the quick brown fox é ".encode())
