@@ -13,7 +13,8 @@ from panelscope.catalog.registry import listed, query
 from panelscope.catalog.views import history, inspection, mart, part_no, pnl_map, table, with_facts, with_mart
 from panelscope.operators import glass, layout, mart as marts, updates
 from panelscope.plans.batch import batch_analysis
-from panelscope.plans.daily import accumulate, refresh_mart
+from panelscope.functions.clean import hash_bucket
+from panelscope.plans.daily import accumulate, applied_loads, read_totals, refresh_mart
 from panelscope.plans.ranking import equipment_ranking
 from panelscope.session import scratch_path, settle
 from panelscope.sources import export, extract, lake
@@ -396,9 +397,31 @@ def mart_rerun(spark, sf):
 def mart_accumulated(spark, sf):
     """The same totals, kept in folders of which an increment rewrites its own only."""
     root, rows = scratch_path(spark, "totals"), mart(spark, sf)
-    for part in (F.col("stat_date") < SPLIT_DAY, F.col("stat_date") >= SPLIT_DAY):
-        accumulate(updates.total_of_days(rows.where(part)), root, buckets=4)
-    return listed(lake.read_lake(spark, root).select(*TOTAL_COLUMNS), "panel_addrs", "panel_map")
+    for load, part in (("early", F.col("stat_date") < SPLIT_DAY), ("late", F.col("stat_date") >= SPLIT_DAY)):
+        accumulate(updates.total_of_days(rows.where(part)), root, load, buckets=4)
+    return listed(read_totals(spark, root).select(*TOTAL_COLUMNS), "panel_addrs", "panel_map")
+
+
+@query("mart_accumulated_again", with_mart(f"WITH {TOTALS} SELECT * FROM sums JOIN lists USING (facility_code, product_id, defect_name)"))
+def mart_accumulated_again(spark, sf):
+    """The same again with loads that are repeated, the first one after it had reached some of its folders only."""
+    root, rows = scratch_path(spark, "totals"), mart(spark, sf)
+    early, late = (updates.total_of_days(rows.where(w)) for w in (F.col("stat_date") < SPLIT_DAY, F.col("stat_date") >= SPLIT_DAY))
+    accumulate(early.where(hash_bucket("product_id", 4).isin("00", "02")), root, "early", buckets=4)
+    for load, part in (("early", early), ("late", late), ("early", early), ("late", late)):
+        accumulate(part, root, load, buckets=4)
+    return listed(read_totals(spark, root).select(*TOTAL_COLUMNS), "panel_addrs", "panel_map")
+
+
+@query("loads_applied", with_mart("""
+    SELECT CASE WHEN stat_date < DATE '1997-01-01' THEN 'early' ELSE 'late' END AS load_id, COUNT(DISTINCT product_id) > 0 AS known FROM glass_stats GROUP BY ALL"""))
+def loads_applied(spark, sf):
+    """Which loads are in the totals, after one of them came twice."""
+    root, rows = scratch_path(spark, "totals"), mart(spark, sf)
+    for load in ("early", "late", "early"):
+        part = F.col("stat_date") < "1997-01-01" if load == "early" else F.col("stat_date") >= "1997-01-01"
+        accumulate(updates.total_of_days(rows.where(part)), root, load, buckets=4)
+    return applied_loads(spark, root).groupBy("load_id").agg((F.count("*") == F.countDistinct("bucket_id")).alias("known"))
 
 
 @query(

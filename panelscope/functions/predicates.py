@@ -77,21 +77,70 @@ def on_day(column: Column | str, day) -> Column:
 
 def on_days(column: Column | str, days: Iterable) -> Column:
     """Any of several calendar days; neighbouring days become one range."""
-    dates = sorted({dt.date.fromisoformat(str(d)[:10]) for d in days})
-    if not dates:
+    runs = _runs(days)
+    if not runs:
         return everything()
-    runs = [[dates[0], dates[0]]]
-    for day in dates[1:]:
-        if day - runs[-1][1] == dt.timedelta(days=1):
-            runs[-1][1] = day
-        else:
-            runs.append([day, day])
     out = time_range(column, *runs[0])
     for run in runs[1:]:
         out = out | time_range(column, *run)
     return out
 
 
+def _runs(days: Iterable) -> list[list[dt.date]]:
+    """First and last day of each run of neighbouring days."""
+    runs: list[list[dt.date]] = []
+    for day in sorted({dt.date.fromisoformat(str(d)[:10]) for d in days}):
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    return runs
+
+
+def _day_folder(df: DataFrame, column: str) -> Column | None:
+    """The day of a row's folder as a number like 20260131, where folders are named after ``column``.
+
+    Inspection has year, month and day of its inspection end as folders, marts the day of their inspection time.
+    """
+    if column == "inspection_end_ymdhms" and {"year", "month", "day"} <= set(df.columns):
+        return F.col("year") * 10_000 + F.col("month") * 100 + F.col("day")
+    if column == "inspection_time" and "stat_date" in df.columns:
+        day = F.col("stat_date")
+        return F.year(day) * 10_000 + F.month(day) * 100 + F.dayofmonth(day)
+    return None
+
+
+def _number(day) -> int:
+    return int(str(day).strip()[:10].replace("-", ""))
+
+
+def in_folders(df: DataFrame, column: str, ranges: Iterable[tuple]) -> Column:
+    """What ranges of days of a time say about the folders of ``df``; no condition where folders say nothing.
+
+    Only folder columns are compared, so folders outside of the ranges are neither listed nor opened.  Rows without a folder pass.
+    """
+    folder, ranges = _day_folder(df, column), list(ranges)
+    if folder is None or not ranges:
+        return everything()
+    out = folder.isNull()
+    for start, end in ranges:
+        low = folder >= _number(start) if start else F.lit(True)
+        out = out | (low & (folder <= _number(end)) if end else low)
+    return out
+
+
+def within(df: DataFrame, column: str, start=None, end=None) -> Column:
+    """``time_range`` on a column of ``df``, and what it says about its day folders."""
+    found = time_range(column, start, end)
+    return found & in_folders(df, column, [(start, end)]) if start or end else found
+
+
+def within_days(df: DataFrame, column: str, days: Iterable) -> Column:
+    """``on_days`` on a column of ``df``, and what it says about its day folders."""
+    days = list(days)
+    return on_days(column, days) & in_folders(df, column, _runs(days))
+
+
 def date_between(kind: str, start=None, end=None) -> Column:
     """Days start..end of the work time when kind is "work", else of the inspection time."""
     column = "work_time" if kind == "work" else "inspection_time"

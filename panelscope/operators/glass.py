@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from panelscope.functions.clean import safe_rate
 from panelscope.functions.predicates import any_of, equals_nfc, process_filter, time_range
 from panelscope.operators.panels import panels_per_product
-from panelscope.operators.steps import dedup_products, dedup_steps
-from panelscope.session import settle
+from panelscope.operators.steps import dedup_products, dedup_steps, rows_of
 
 
 @dataclass(frozen=True)
@@ -46,10 +45,6 @@ def in_order(df: DataFrame, result: str) -> DataFrame:
     return df.orderBy(*[F.col(c).asc_nulls_last() for c in RESULT_ORDER[result]])
 
 
-# Up to so many products of a period are broadcast to the inspection scan.
-PRUNING_PRODUCTS = 200_000
-
-
 def rows_in_period(h: DataFrame, req: Request) -> DataFrame:
     """Steps of the period, models and processes that the request asks for."""
     wanted = time_range("move_in_ymdhms", req.start, req.end) & process_filter(req.process_codes)
@@ -57,17 +52,10 @@ def rows_in_period(h: DataFrame, req: Request) -> DataFrame:
 
 
 def of_period(i: DataFrame, h: DataFrame, req: Request) -> DataFrame:
-    """Inspection rows of the products in the period; all rows if the request has no period.
-
-    The products are written first, one short row each.  If they are few they are broadcast, so that rows of
-    others leave the plan in the scan's stage and only what is asked for is shuffled.
-    """
+    """Inspection rows of the products in the period; all rows if the request has no period."""
     if not (req.start or req.end):
         return i
-    products = settle(rows_in_period(h, req).select("product_id").distinct(), "products")
-    if products.count() <= PRUNING_PRODUCTS:
-        products = F.broadcast(products)
-    return i.join(products, "product_id", "left_semi")
+    return rows_of(i, rows_in_period(h, req), ["product_id"])
 
 
 def target_products(h: DataFrame, req: Request) -> DataFrame:

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.functions.clean import model_code
-from panelscope.functions.predicates import on_days
-from panelscope.operators.steps import dedup_products, latest_per
+from panelscope.functions.predicates import within_days
+from panelscope.operators.steps import dedup_products, latest_per, rows_of
+from panelscope.session import settle
 
 # Cells of the flag map, columns per letter.
 FLAG_CELLS = 260
 CELLS_PER_LETTER = 10
 
 DEFECT_KEY = ("facility_code", "stat_date", "product_id", "defect_name", "model_code")
+PRODUCT = ("facility_code", "product_id")
 STEP_ATTRIBUTES = (
     "lot_id",
     "process_code",
@@ -29,7 +31,7 @@ def panel_counts(i: DataFrame, days: Iterable = ()) -> DataFrame:
     """Defects per facility, day, product, defect, model and panel, with the last inspection time."""
     known = F.col("defect_name").isNotNull() & F.col("panel_addr").isNotNull()
     return (
-        i.where(known & on_days("inspection_end_ymdhms", days))
+        i.where(known & within_days(i, "inspection_end_ymdhms", days))
         .groupBy(
             "facility_code",
             F.to_date("inspection_end_ymdhms").alias("stat_date"),
@@ -93,10 +95,18 @@ def with_steps(defects: DataFrame, h: DataFrame) -> DataFrame:
 
 
 def build_glass_stats(i: DataFrame, h: DataFrame, days: Iterable = (), facility: str = "") -> DataFrame:
-    """Mart rows of some days (all without days), keyed by facility, day, product and defect, in one job."""
+    """Mart rows of some days (all without days), keyed by facility, day, product and defect.
+
+    The counts of days are written first, and of the history only the steps of their products are shuffled.
+    """
     if facility:
         i, h = (df.where(F.col("facility_code") == facility) for df in (i, h))
-    rows = with_steps(glass_defects(panel_counts(i, days)), h)
+    days = list(days)
+    counts = panel_counts(i, days)
+    if days:
+        counts = settle(counts, "day-counts")
+        h = rows_of(h, counts, PRODUCT)
+    rows = with_steps(glass_defects(counts), h)
     return rows.select(
         "facility_code",
         "stat_date",
@@ -178,7 +188,7 @@ def mart_stats(mart: DataFrame) -> DataFrame:
 def daily_masters(df: DataFrame, column: str, day=None, ts: str = "inspection_end_ymdhms") -> DataFrame:
     """Distinct known values of a column on one day, stamped with the time of the run."""
     days = [day] if day else []
-    values = df.where(F.col(column).isNotNull() & on_days(ts, days)).select(column).distinct()
+    values = df.where(F.col(column).isNotNull() & within_days(df, ts, days)).select(column).distinct()
     return values.withColumn("updated_at", F.current_timestamp())
 
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.functions.predicates import any_of, time_range
+from panelscope.functions.predicates import any_of, time_range, within
 from panelscope.operators.positions import HOT_ROWS, numbered_in_groups
+from panelscope.session import settle
 
 STEP_KEY = ("product_id", "process_code", "equipment_line_id")
 
@@ -69,12 +70,28 @@ def product_history(
 
 def inspections(i: DataFrame, start=None, end=None, process_code: str = "", defect: str = "") -> DataFrame:
     """Raw inspection rows by time, process and defect; page the result with ``page``."""
-    wanted = time_range("inspection_end_ymdhms", start, end)
+    wanted = within(i, "inspection_end_ymdhms", start, end)
     wanted &= any_of("process_code", [process_code] if process_code else [])
     wanted &= any_of("defect_name", [defect] if defect else [])
     return i.where(wanted)
 
 
+# Up to so many keys are broadcast to the scan that they reduce.
+FEW_KEYS = 200_000
+
+
+def rows_of(df: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose columns are among ``keys``.
+
+    The keys are written first, one short row each.  If they are few they are broadcast, so that rows of others leave the
+    plan in the scan's stage and only what is asked for is shuffled.
+    """
+    keys = settle(keys.select(*columns).distinct(), "keys")
+    if keys.count() <= FEW_KEYS:
+        keys = F.broadcast(keys)
+    return df.join(keys, list(columns), "left_semi")
+
+
 def row_counts(**tables: DataFrame) -> DataFrame:
     """One row per table with its row count."""
     counts = [t.agg(F.lit(name).alias("table_name"), F.count("*").alias("row_count")) for name, t in tables.items()]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelscope.operators.layout import full_grid, model_layout
@@ -37,19 +37,41 @@ def refresh_mart(i: DataFrame, h: DataFrame, root: str, days: Iterable, facility
     clear_mart_days(i.sparkSession, root, facility, set(days) - present)
 
 
-def accumulate(new: DataFrame, root: str, buckets: int = 100) -> None:
-    """Add mart rows, unique per facility, product and defect, to totals kept in folders by product hash.
+def accumulate(new: DataFrame, root: str, load: str, buckets: int = 100) -> list[str]:
+    """Add the mart rows of a load, unique per facility, product and defect, to totals kept in folders by product hash.
 
-    Only the folders of the new products are read and replaced.
+    Only the folders of the new products are read and replaced.  A folder also holds the ids of the loads that are in its
+    totals, written with them in one swap: a load that comes again, or that stopped between two folders, is added only
+    where it is missing.  Returns the folders it was added to.
     """
     spark = new.sparkSession
     new = settle(new.withColumn("bucket_id", hash_bucket("product_id", buckets)), "new-totals")
-    touched = [r["bucket_id"] for r in new.select("bucket_id").distinct().collect()]
-    merged = new
+    touched = {r["bucket_id"] for r in new.select("bucket_id").distinct().collect()}
+    totals, ledger = new, None
     if exists(spark, root):
-        old = read_lake(spark, root).where(F.col("bucket_id").isin(touched)).select(*new.columns)
-        merged = settle(upsert_add(old, new), "merged-totals")  # it replaces the folders it comes from
+        old = read_lake(spark, root).where(F.col("bucket_id").isin(sorted(touched)))
+        ledger = old.where("load_id IS NOT NULL").select("bucket_id", "load_id")
+        touched -= {r["bucket_id"] for r in ledger.where(F.col("load_id") == load).select("bucket_id").distinct().collect()}
+        todo = F.col("bucket_id").isin(sorted(touched))
+        totals = upsert_add(old.where(todo & F.col("load_id").isNull()).select(*new.columns), new.where(todo))
+        ledger = ledger.where(todo)
+    if not touched:
+        return []
+    own = spark.createDataFrame([(b, load) for b in sorted(touched)], "bucket_id string, load_id string")
+    ledger = own if ledger is None else ledger.unionByName(own)
+    merged = settle(totals.unionByName(ledger, allowMissingColumns=True), "merged-totals")  # it replaces the folders it comes from
     replace_partitions(merged, root, ["bucket_id"])
+    return sorted(touched)
+
+
+def read_totals(spark: SparkSession, root: str) -> DataFrame:
+    """The totals that ``accumulate`` keeps, without the ids of loads."""
+    return read_lake(spark, root).where("load_id IS NULL").drop("load_id")
+
+
+def applied_loads(spark: SparkSession, root: str) -> DataFrame:
+    """The folders (bucket_id) that each load (load_id) is in."""
+    return read_lake(spark, root).where("load_id IS NOT NULL").select("load_id", "bucket_id")
 
 
 def refresh_master(new: DataFrame, root: str, key: str) -> str:

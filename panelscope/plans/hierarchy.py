@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.functions.predicates import any_of, date_between, equals_nfc, process_filter
+from panelscope.functions.predicates import any_of, date_between, equals_nfc, in_folders, process_filter
 from panelscope.operators.nodes import NODE, node_maps, node_summary
 
 
@@ -45,6 +45,8 @@ def hierarchy_filter(mart: DataFrame, params: HierarchyParams) -> DataFrame:
     wanted = equals_nfc("defect_name", params.defect_name)
     wanted &= any_of("product_id", params.product_ids)
     wanted &= date_between(params.date_type, params.start, params.end)
+    if params.date_type != "work" and params.start and params.end:
+        wanted &= in_folders(mart, "inspection_time", [(params.start, params.end)])
     wanted &= any_of("facility_code", [params.facility_code] if params.facility_code else [])
     wanted &= any_of("model_code", [params.model_code] if params.model_code else [])
     wanted &= process_filter([params.process_code] if params.process_code else [])

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from panelscope.operators.mart import glass_defects, panel_counts, with_steps
+from panelscope.operators.mart import PRODUCT, glass_defects, panel_counts, with_steps
+from panelscope.operators.steps import rows_of
 from panelscope.sources.lake import write_mart_days
 
+# Folder of merged counts; Spark's readers skip names that begin with an underscore.
+MERGED = "_merged"
 AVAILABLE_NOW = {"availableNow": True}
 
 
@@ -53,14 +56,15 @@ def increments(src: DataFrame, path: str, checkpoint: str, trigger: dict | None
 
 
 def mart_stream(
-    src: DataFrame, h: DataFrame, counts: str, mart: str, checkpoint: str, trigger: dict | None = None
+    src: DataFrame, h: DataFrame, counts: str, mart: str, checkpoint: str, trigger: dict | None = None, merge_every: int = 0
 ) -> StreamingQuery:
     """Keep the day-keyed mart of cleaned inspection rows current.
 
     A batch is aggregated to counts per facility, day, product, defect and panel, which are written to a folder of
     the batch by day.  Then the mart rows of the days it touched are built from the counts of all
-    batches for these days and replace what the mart has of them.  A batch that is retried
-    overwrites its own counts and builds the same rows again.
+    batches for these days and replace what the mart has of them; of the history only the steps of their products are
+    shuffled.  A batch that is retried overwrites its own counts and builds the same rows again.  With ``merge_every``, every so many
+    batches the counts of all batches before are merged, see ``merge_counts``.
     """
 
     def upkeep(batch: DataFrame, batch_id: int) -> None:
@@ -69,7 +73,10 @@ def mart_stream(
         days = [r["stat_date"] for r in spark.read.schema(_COUNTS).parquet(own).select("stat_date").distinct().collect()]
         if days:
             touched = merged_counts(spark, counts, days)
-            write_mart_days(with_steps(glass_defects(touched), h).withColumn("created_at", F.current_timestamp()), mart)
+            steps = rows_of(h, touched, PRODUCT)
+            write_mart_days(with_steps(glass_defects(touched), steps).withColumn("created_at", F.current_timestamp()), mart)
+        if merge_every and batch_id and batch_id % merge_every == 0:
+            merge_counts(spark, counts, batch_id - 1)  # those before this one are committed
 
     writer = src.writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(upkeep).start()
@@ -81,10 +88,51 @@ _COUNTS = (
 )
 
 
-def merged_counts(spark: SparkSession, path: str, days: Sequence = ()) -> DataFrame:
-    """Panel counts of all batches added up, of some days or all; only the folders of these days are read."""
+def _merged(spark: SparkSession, path: str) -> list[int]:
+    """Complete merged states: the last batch in each, oldest first."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{MERGED}")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    found = [s.getPath() for s in fs.listStatus(folder)]
+    done = [p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(name.removeprefix("upto=")) for name in done)
+
+
+def merge_counts(spark: SparkSession, path: str, upto: int) -> None:
+    """Merge the counts of all batches up to a committed one into one state, by day.
+
+    The state is written beside the batches and counts once it is complete; from then on readers skip the batches in it, so
+    one that is retried after all is not counted twice.  Then batches and states that nobody reads are removed; a run that
+    stops before that leaves them to the next.
+    """
+    if max(_merged(spark, path), default=-1) < upto:
+        merged_counts(spark, path, upto=upto).write.mode("overwrite").partitionBy("stat_date").parquet(f"{path}/{MERGED}/upto={upto}")
+    newest = max(_merged(spark, path))
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [(s.getPath(), "batch_id=") for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=*"))]
+    old += [(s.getPath(), "upto=") for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/{MERGED}/upto=*"))]
+    for folder, prefix in old:
+        number = int(folder.getName().removeprefix(prefix))
+        if number < newest or (number == newest and prefix == "batch_id="):
+            fs.delete(folder, True)
+
+
+def merged_counts(spark: SparkSession, path: str, days: Sequence = (), upto: int | None = None) -> DataFrame:
+    """Panel counts of all batches added up, of some days or all; only the folders of these days are read.
+
+    ``upto`` leaves later batches out.
+    """
     keys = ["facility_code", "stat_date", "product_id", "defect_name", "model_code", "panel_addr"]
-    rows = spark.read.schema(_COUNTS).parquet(path)
+    base = max((n for n in _merged(spark, path) if upto is None or n <= upto), default=-1)
+    rows = spark.read.schema(_COUNTS).option("basePath", path).parquet(path)
+    rows = rows.where(F.col("batch_id") > base) if base >= 0 else rows
+    rows = rows if upto is None else rows.where(F.col("batch_id") <= upto)
+    if base >= 0:
+        state = spark.read.schema(_COUNTS).parquet(f"{path}/{MERGED}/upto={base}")
+        rows = rows.drop("batch_id").unionByName(state.drop("batch_id"))
     rows = rows.where(F.col("stat_date").isin(list(days))) if days else rows
     sums = (F.sum("addr_count").alias("addr_count"), F.max("inspection_time").alias("inspection_time"))
     return rows.groupBy(*keys).agg(*sums)

@@ -179,7 +179,7 @@ def test_processes_and_models_filter_everywhere(facts):
 
 def test_many_products_are_not_broadcast(facts, monkeypatch):
     want = rows(glass.glass_level(*facts, REQ))
-    monkeypatch.setattr(glass, "PRUNING_PRODUCTS", 0)
+    monkeypatch.setattr(steps, "FEW_KEYS", 0)
     assert rows(glass.glass_level(*facts, REQ)) == want
 
 

@@ -111,3 +111,62 @@ def test_pages_are_top_k(lake):
 def test_trend_and_maps_are_counted_before_lists_are_collected(lake):
     text = plan(nodes.node_maps(lake[2], "line"))
     assert text.index("collect_list") < text.index("sum(panel_map")
+
+
+@pytest.fixture(scope="module")
+def folders(lake, tmp_path_factory):
+    from panelscope.sources import lake as store
+
+    root, (h, i, _) = str(tmp_path_factory.mktemp("folders")), lake
+    spark = i.sparkSession
+    june = i.where(time_range("inspection_end_ymdhms", "1997-06-01", "1997-06-20"))
+    store.write_inspection(june, f"{root}/inspection", tasks=4)
+    read = store.read_inspection(spark, f"{root}/inspection")
+    store.write_mart_days(marts.build_glass_stats(read, h), f"{root}/mart", tasks=4)
+    return h, june, read, store.read_mart(spark, f"{root}/mart")
+
+
+def files_of(df):
+    """Folders that the scan of a plan has left after pruning."""
+    return {n for f in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan(df)) for n in re.findall(r"(year|month|day|stat_date)#", f)}
+
+
+def test_days_reach_the_folders(folders):
+    h, june, read, mart = folders
+    for days in (["1997-06-03"], ["1997-06-03", "1997-06-04", "1997-06-09"]):
+        counts = marts.panel_counts(read, days)
+        assert files_of(counts) == {"year", "month", "day"}
+        assert sorted(map(str, counts.collect())) == sorted(map(str, marts.panel_counts(june, days).collect()))
+    assert files_of(marts.panel_counts(read)) == set()
+    for found in (steps.inspections(read, "1997-06-03 10:00:00", "1997-06-05"), steps.inspections(read, start="1997-06-05"), steps.inspections(read, end="1997-06-05 01:00:00")):
+        assert files_of(found) == {"year", "month", "day"}
+    assert steps.inspections(read, "1997-06-03 10:00:00", "1997-06-05").count() == june.where(time_range("inspection_end_ymdhms", "1997-06-03 10:00:00", "1997-06-05")).count()
+    assert files_of(marts.daily_masters(read, "defect_name", "1997-06-03")) == {"year", "month", "day"}
+
+
+def test_dates_of_a_hierarchy_reach_the_folders(folders):
+    mart = folders[3]
+    week = hierarchy_analysis(mart, HierarchyParams(start="1997-06-03", end="1997-06-09"))
+    assert files_of(week) == {"stat_date"}
+    plain = mart.where(time_range("inspection_time", "1997-06-03", "1997-06-09"))
+    assert sorted(map(str, week.collect())) == sorted(map(str, hierarchy_analysis(plain).collect()))
+    assert files_of(hierarchy_analysis(mart, HierarchyParams(start="1997-06-03", end="1997-06-09", date_type="work"))) == set()
+
+
+def test_rows_without_folder_values_pass(lake):
+    from panelscope.functions.predicates import within_days
+
+    i = lake[1].withColumns({c: F.lit(None).cast("int") for c in ("year", "month", "day")})
+    days = ["1997-06-03", "1997-06-07"]
+    assert i.where(within_days(i, "inspection_end_ymdhms", days)).count() == lake[1].where(on_day("inspection_end_ymdhms", days[0]) | on_day("inspection_end_ymdhms", days[1])).count()
+
+
+def test_a_rebuilt_day_shuffles_the_steps_of_its_products_only(lake):
+    h, i, _ = lake
+    text = plan(marts.build_glass_stats(i, h, ["1997-06-15"], "A1T"))
+    above, below = text.split("WindowGroupLimit", 1)
+    assert "BroadcastHashJoin" in below and "LeftSemi" in below
+    assert below.index("Exchange hashpartitioning") < below.index("LeftSemi")  # the join lies under the shuffle
+    whole = marts.build_glass_stats(i, h).where("facility_code = 'A1T' AND stat_date = DATE '1997-06-15'").drop("created_at")
+    one = marts.build_glass_stats(i, h, ["1997-06-15"], "A1T").drop("created_at")
+    assert sorted(map(str, one.collect())) == sorted(map(str, whole.collect()))

@@ -255,11 +255,27 @@ def test_accumulated_totals_replace_their_folders_only(spark, tmp_path):
     schema = "facility_code string, product_id string, defect_name string, work_time string, total_defects long, panel_map array<long>, panel_addrs array<string>"
     root = str(tmp_path / "totals")
     for n in range(3):
-        daily.accumulate(spark.createDataFrame([("01", f"P{k}", "D", f"t{n}", 1, [1], ["A1"]) for k in range(n, n + 4)], schema), root, buckets=5)
-    got = rows(lake.read_lake(spark, root), "product_id", "work_time", "total_defects", "panel_map")
+        daily.accumulate(spark.createDataFrame([("01", f"P{k}", "D", f"t{n}", 1, [1], ["A1"]) for k in range(n, n + 4)], schema), root, f"load {n}", buckets=5)
+    got = rows(daily.read_totals(spark, root), "product_id", "work_time", "total_defects", "panel_map")
     assert got == [(f"P{k}", f"t{max(0, k - 3)}", n, [n]) for k, n in enumerate([1, 2, 3, 3, 2, 1])]
 
 
+def test_a_load_is_added_once_to_each_folder(spark, tmp_path):
+    schema = "facility_code string, product_id string, defect_name string, work_time string, total_defects long, panel_map array<long>, panel_addrs array<string>"
+    root = str(tmp_path / "totals")
+    load = spark.createDataFrame([("01", f"P{k}", "D", "t", 1, [1], ["A1"]) for k in range(12)], schema)
+    part = daily.accumulate(load.where("product_id IN ('P0', 'P1')"), root, "monday", buckets=5)
+    rest = daily.accumulate(load.where(~daily.hash_bucket("product_id", 5).isin(part)), root, "monday", buckets=5)
+    assert part and rest and not set(part) & set(rest)
+    assert daily.accumulate(load, root, "monday", buckets=5) == []
+    once = rows(daily.read_totals(spark, root), "product_id", "total_defects", "panel_map")
+    assert daily.accumulate(load, root, "tuesday", buckets=5) == sorted({*part, *rest})
+    twice = rows(daily.read_totals(spark, root), "product_id", "total_defects", "panel_map")
+    assert {n for _, n, _ in once} == {1} and {x[0]: x[1] for x in twice} == {f"P{k}": 1 + any(f"P{k}" == x[0] for x in once) for k in range(12)}
+    assert daily.applied_loads(spark, root).count() == 2 * len({*part, *rest})
+    assert daily.accumulate(load.limit(0), root, "nothing", buckets=5) == []
+
+
 def test_intermediate_tables_go_to_the_shared_folder(spark):
     root = scratch_root(spark)
     assert root == spark.conf.get("spark.checkpoint.dir", root)

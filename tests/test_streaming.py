@@ -34,7 +34,8 @@ def test_streamed_mart_equals_batch(spark, history, inspection, tmp_path, paths)
     h = history([("P1M1001", "1000", "A1CVD000", "2026-01-01T00:00:00")])
     i = inspection([("P1M1001", "1000", f"P1M1001{'AB'[n % 2]}{n % 3}", "SPOT", f"2026-01-0{n % 2 + 1}T0{n}:00:00") for n in range(9)])
     source = str(tmp_path / "source")
-    i.repartition(5).write.parquet(source)
+    for n in range(5):  # five files, whatever the number of cores
+        i.where(F.floor(F.hour("inspection_end_ymdhms") / 2) == n).coalesce(1).write.mode("append").parquet(source)
     counts, mart = (str(tmp_path / n) for n in ("counts", "mart"))
 
     def run():
@@ -53,6 +54,32 @@ def test_streamed_mart_equals_batch(spark, history, inspection, tmp_path, paths)
     assert run() == rows(want)
 
 
+def test_merged_counts_survive_retries_and_stay_few(spark, history, inspection, tmp_path, paths):
+    h = history([("P1M1001", "1000", "A1CVD000", "2026-01-01T00:00:00")])
+    i = inspection([("P1M1001", "1000", f"P1M1001{'AB'[n % 2]}{n % 3}", "SPOT", f"2026-01-0{n % 2 + 1}T0{n}:00:00") for n in range(9)])
+    source, counts, mart = (str(tmp_path / n) for n in ("source", "counts", "mart"))
+    for n in range(9):
+        i.where(F.hour("inspection_end_ymdhms") == n).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        src = jobs.file_source(spark, source, i.schema, max_files=1)
+        jobs.mart_stream(src, h, counts, mart, paths[1], merge_every=3).awaitTermination()
+        return rows(read_mart(spark, mart), *want.columns)
+
+    want = build_glass_stats(i, h).drop("created_at")
+    assert run() == rows(want)
+    left = spark.read.parquet(counts).select("batch_id").distinct()
+    assert rows(left) == [(6,), (7,), (8,)] and jobs._merged(spark, counts) == [5]
+    # the last batch again; then a merge that stops before it has removed anything
+    delete(spark, f"{paths[1]}/commits/8")
+    assert run() == rows(want)
+    jobs.merged_counts(spark, counts, upto=7).write.partitionBy("stat_date").parquet(f"{counts}/{jobs.MERGED}/upto=7")
+    assert rows(jobs.merged_counts(spark, counts).agg(F.sum("addr_count"))) == [(9,)]
+    jobs.merge_counts(spark, counts, 7)
+    assert rows(spark.read.parquet(counts).select("batch_id").distinct()) == [(8,)] and jobs._merged(spark, counts) == [7]
+    assert rows(jobs.merged_counts(spark, counts, ["2026-01-01"]).agg(F.sum("addr_count"))) == [(5,)]
+
+
 def test_retried_batch_replaces_its_rows(spark, tmp_path):
     write_batch = jobs._batches_to(str(tmp_path / "t"), lambda batch: batch)
     for _ in range(2):
