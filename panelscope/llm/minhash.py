@@ -26,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import by_bytes, compact, conform, read, settle
+from panelscope.llm.common import by_bytes, conform, read, settle
 from panelscope.llm.hashing import mix
 from panelscope.llm.registry import query
-from panelscope.llm.sets import SLICE, TASKS, Rule, components, fingerprint, grouped, matching, mixed, one_each, raw, shingles, texts_of, verified, with_component
+from panelscope.llm.sets import SLICE, Rule, between, fingerprint, grouped, linked_classes, matching, mixed, rarely_apart, raw, shingles, with_component
 
 RULE = Rule(words=4, percent=80)
 #: Bins of a signature, a power of two, and bins of a band.
 BINS, ROWS = 128, 4
 #: Rounds in which every document meets one centre.
 ROUNDS = 2
+#: Buckets that a document shares at least with the centre it meets in a round; links share 13 of 32 as a rule.
+SHARED = 4
 #: Buckets of so many members left are finished by pairs between components, larger ones by rare shingles.
 SMALL = 16
 
@@ -103,18 +105,6 @@ def buckets(rows: DataFrame) -> DataFrame:
     return entries.join(shared, "key")
 
 
-def stars(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each class with the centre of another component that it shares most buckets with."""
-    return one_each(lists, "key", F.xxhash64("class", F.lit(turn)), ("size",), RULE.near_in_size())
-
-
-def between(lists: DataFrame, key: str) -> DataFrame:
-    """All pairs of classes of different components that meet in a list."""
-    other = lists.select(key, *(F.col(c).alias(f"{c}_b") for c in ("class", "size", "part")))
-    met = lists.join(other, key).where((F.col("class") < F.col("class_b")) & (F.col("part") != F.col("part_b")) & RULE.near_in_size())
-    return met.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
-
-
 def rare_lists(texts: DataFrame) -> DataFrame:
     """token, class and size: every class with its rarest shingles, of which it shares one with any similar class.
 
@@ -131,21 +121,21 @@ def rare_lists(texts: DataFrame) -> DataFrame:
     entries = settle(texts.mapInArrow(listed, "token long, class long, size long"), "left-shingles")
     counts = entries.groupBy("token").agg(F.count("*").alias("n"))
     counted = entries.join(counts, "token")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "token"))
-    return counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.expr(f"({RULE.percent} * size + 99) div 100") + 1) & (F.col("n") > 1))
+    rank = (F.row_number().over(Window.partitionBy("class").orderBy("n", "token")) - 1).cast("long")
+    return counted.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - RULE.own_least()) & (F.col("n") > 1))
 
 
 def rest(lists: DataFrame, texts: DataFrame, found: DataFrame | None) -> DataFrame:
-    """All candidate pairs of mixed buckets; ``lists`` is a written table with components."""
+    """All candidate pairs of mixed buckets."""
     sizes = lists.groupBy("key").agg(F.count("*").alias("n"))
     counted = lists.join(sizes, "key")
-    pairs = between(counted.where(F.col("n") <= SMALL), "key")
+    pairs = between(counted.where(F.col("n") <= SMALL).drop("n"), "key", RULE.near_in_size()).select("a", "b")
     large = settle(counted.where(F.col("n") > SMALL).select("class").distinct(), "left-classes")
     if large.isEmpty():
         return pairs
-    rare = rare_lists(texts.join(large, "class", "left_semi")).select("token", "class", "size")
+    rare = rare_lists(texts.join(large, "class", "left_semi")).select("token", "class", "size", "rank")
     rare = settle(mixed(with_component(rare, found), "token"), "rare-lists")
-    return pairs.union(between(rare, "token")).distinct()
+    return pairs.union(rarely_apart(rare, RULE)).distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -153,19 +143,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = conform(docs, "doc_id", "text")
     rows = settle(signed(docs), "signatures")
     lists = settle(buckets(rows), "buckets")
-    size, find, found, known = lists.count(), matching(RULE), None, None
-    texts = None
-    for turn in range(ROUNDS + 1 if size else 0):
-        left = settle(compact(mixed(with_component(lists, found), "key"), size, least=TASKS), "mixed-buckets")
-        if left.isEmpty():
-            break
-        if texts is None:
-            texts = settle(texts_of(docs, rows, settle(compact(left.select("class").distinct(), size), "wanted-classes")), "class-texts")
-        pairs = settle(compact(stars(left, turn) if turn < ROUNDS else rest(left, texts, found), size, least=TASKS), "candidates")
-        new = settle(verified(pairs, texts, RULE, find), "links")
-        if not new.isEmpty():
-            known = new if known is None else known.unionByName(new)
-            found = components(known)
+    found = linked_classes(docs, rows, lists, "key", RULE, matching(RULE), ROUNDS, ("size",), RULE.near_in_size(), SHARED, rest)
     whole = grouped(rows.drop("keys", "text_hash"), found)
     return whole.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -47,6 +47,18 @@ class Rule:
         """``needed`` of the columns size and size_b."""
         return F.expr(f"({self.percent} * (size + size_b) + {99 + self.percent}) div {100 + self.percent}")
 
+    def own_least(self) -> Column:
+        """``least`` of the column size."""
+        return F.expr(f"({self.percent} * size + 99) div 100")
+
+    def rare_shared(self) -> Column:
+        """Shingles that similar sets of sizes size and size_b share at least among the rarest ones of both, ``least`` of them left out."""
+        return F.greatest(F.lit(1), self.goal() - F.expr(f"({self.percent} * greatest(size, size_b) + 99) div 100") + 1)
+
+    def first_possible(self) -> Column:
+        """Whether sets whose first common shingle has these ranks (rank, rank_b) in one order of all can share enough."""
+        return F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= self.goal()
+
     def near_in_size(self) -> Column:
         return (100 * F.col("size") >= self.percent * F.col("size_b")) & (100 * F.col("size_b") >= self.percent * F.col("size"))
 
@@ -135,8 +147,9 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, find: Find, block:
                     size += len(own_set)
         yield done()
 
-    sorted_rows = rows.select("a", "b", "block", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return compact(sorted_rows.mapInArrow(check, "a long, b long"), n_pairs, 2_000, TASKS)
+    # as many partitions as there is work: coalesced ones would hold the Arrow buffers of all their parts until the task ends
+    dealt_out = rows.select("a", "b", "block", "text").repartition(max(TASKS, n_pairs // 2_000 + 1), "a", "block")
+    return dealt_out.sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,16 +182,91 @@ def mixed(lists: DataFrame, key: str) -> DataFrame:
     return lists.join(keys.select(key), key, "left_semi")
 
 
-def one_each(lists: DataFrame, key: str, head: Column, columns: tuple[str, ...], possible: Column) -> DataFrame:
-    """Pairs (a, b): to each class b the class a of another component that heads most of its lists.
+def stars(lists: DataFrame, key: str, columns: tuple[str, ...], possible: Column, least: int, turn: int, checked: DataFrame | None) -> DataFrame:
+    """Pairs (a, b): each class b with that centre a of another component which it shares most lists with.
 
-    The head of a list has the smallest ``head``; ``columns`` are those of it that ``possible`` reads, with ``_b``.
+    The centre of a list is its member with most company in all of its lists: of edited copies one that is near to
+    the original, and so to most others.  Later turns weigh company by chance, which brings other centres up.
+    ``columns`` are those that ``possible`` reads, of the centre with ``_b``.  Pairs in ``checked`` are left out, as are those
+    that share fewer than ``least`` lists: they are seldom links, and what rounds leave is searched completely.
     """
-    first = F.min(F.struct(head.alias("k"), "class", "part", *columns)).alias("head")
-    heads = lists.groupBy(key).agg(first).select(key, *(F.col(f"head.{c}").alias(f"{c}_b") for c in ("class", "part", *columns)))
+    sizes = lists.groupBy(key).agg(F.count("*").alias("n"))
+    company = lists.join(sizes, key).groupBy("class").agg(F.sum("n").cast("double").alias("company"))
+    chance = F.lit(1.0) if turn == 0 else (F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1000)) + 1) / 1000.0
+    counted = lists.join(company, "class").withColumn("k", -F.col("company") * chance)
+    heads = counted.groupBy(key).agg(F.min(F.struct("k", "class", "part", *columns)).alias("head"))
+    heads = heads.select(key, *(F.col(f"head.{c}").alias(f"{c}_b") for c in ("class", "part", *columns)))
     met = lists.join(heads, key).where((F.col("part") != F.col("part_b")) & possible)
-    counted = met.groupBy(F.col("class").alias("b"), F.col("class_b").alias("a")).agg(F.count("*").alias("n"))
-    return counted.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
+    edges = met.groupBy(F.col("class").alias("b"), F.col("class_b").alias("a")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    if checked is not None:
+        edges = edges.join(checked, ["a", "b"], "left_anti")
+    return edges.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
+
+
+def between(lists: DataFrame, key: str, possible: Column) -> DataFrame:
+    """All pairs (a, b, size, size_b) of classes of different components that meet in a list, where ``possible`` holds.
+
+    Every pair has one class outside of the component that has most of the list; only those are joined with the list.
+    Sizes need not be in the order of the classes.
+    """
+    per = lists.groupBy(key, "part").agg(F.count("*").alias("n"))
+    main = per.groupBy(key).agg(F.max(F.struct("n", "part")).alias("most")).select(key, F.col("most.part").alias("main"))
+    flagged = lists.join(main, key).withColumn("outside", F.col("part") != F.col("main")).drop("main")
+    other = flagged.select(key, *(F.col(c).alias(f"{c}_b") for c in flagged.columns if c != key))
+    once = (F.col("class") < F.col("class_b")) | ~F.col("outside_b")
+    met = flagged.where("outside").drop("outside").join(other, key).where(once & (F.col("part") != F.col("part_b")) & possible)
+    ends = (("class", "a", "b"), ("size", "size", "size_b"))
+    return met.select(*(f(c, f"{c}_b").alias(name) for c, *names in ends for f, name in zip((F.least, F.greatest), names, strict=True))).distinct()
+
+
+def rarely_apart(lists: DataFrame, rule: Rule) -> DataFrame:
+    """All pairs (a, b) between components that can be similar by their rarest shingles (token, class, size, rank, part).
+
+    The first shingle in common, by one order of all, makes a pair; then the common ones are counted.  Shingles that are not
+    in ``lists`` are common to no two components.
+    """
+    pairs = settle(between(lists, "token", rule.near_in_size() & rule.first_possible()), "met-classes")
+    own = lists.groupBy("class").agg(F.collect_list("token").alias("tokens"))
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    return pairs.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= rule.rare_shared()).select("a", "b")
+
+
+def linked_classes(
+    docs: DataFrame,
+    rows: DataFrame,
+    lists: DataFrame,
+    key: str,
+    rule: Rule,
+    find: Find,
+    rounds: int,
+    columns: tuple[str, ...],
+    possible: Column,
+    least: int,
+    rest: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame],
+    block: int | None = None,
+) -> DataFrame | None:
+    """The components of the links between classes that meet in ``lists``, a written table; None without links.
+
+    Rounds of stars come first; what is mixed after them goes to ``rest`` (lists, texts, components), whose pairs are all that
+    remain.
+    """
+    size = lists.count()
+    found = known = checked = texts = None
+    for turn in range(rounds + 1 if size else 0):
+        left = settle(compact(mixed(with_component(lists, found), key), size, least=TASKS), "mixed-lists")
+        if left.isEmpty():
+            break
+        if texts is None:
+            texts = settle(texts_of(docs, rows, settle(compact(left.select("class").distinct(), size), "wanted-classes")), "class-texts")
+        pairs = stars(left, key, columns, possible, least, turn, checked) if turn < rounds else rest(left, texts, found)
+        pairs = settle(compact(pairs, size, least=TASKS), "candidates")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        new = settle(verified(pairs, texts, rule, find, block), "links")
+        if not new.isEmpty():
+            known = new if known is None else known.unionByName(new)
+            found = components(known)
+    return found
 
 
 def grouped(rows: DataFrame, found: DataFrame | None) -> DataFrame:
