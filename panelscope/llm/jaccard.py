@@ -7,15 +7,15 @@ occurrence in the short lists suffices.  That is how candidates are found over t
 enters only its rarest shingles (a quarter of them), whose lists are grouped by shingle.  Frequent shingles are known from a
 sketch of counts, which only decides the order.
 
+Lists do not emit their pairs.  In rounds every class meets one centre of its lists, which lies in another component, and
+linked classes become one component.  Lists within one component are done; the others are then
+searched completely, between components.  The first shingle that two sets have in common, in the order of all, must come early
+enough in both to leave T within reach, and of their rarest shingles similar sets share several.
+
 Candidates are searched in blocks: a task holds a query and up to ``BLOCK`` candidates, merges the short
 lists of the query's shingles with a heap, skipping ahead as MergeSkip does, probes the long ones by binary search
 and keeps candidates that reach T.
 
-The pairs of short lists of few entries are candidates at once.  Longer ones, those of a group of copies, would make all
-pairs of its members candidates.  There rounds come first in which every class meets one member of another
-component per round, and linked classes become one component; then all remaining candidate
-pairs between different components are searched, none left out.
-
 Defined results.  Only doc_id and text are read.  Null texts and texts without words have empty sets and
 link with nothing, not even each other.  Rows with null ids are grouped like others; a component's id is its smallest
 id, null if it has none.  Equal rows are in one component.
@@ -30,15 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.llm.common import DOCUMENT, by_bytes, compact, conform, heavy_join, read, settle
-from panelscope.llm.hashing import grams, mix, words_of_all
-from panelscope.llm.recurring import Filter, recurring
+from panelscope.llm.common import DOCUMENT, by_bytes, compact, conform, read, settle
+from panelscope.llm.recurring import recurring
 from panelscope.llm.registry import query
+from panelscope.llm.sets import SLICE, TASKS, Rule, fingerprint, grouped, linked_classes, rarely_apart, raw, shingles
 
-WORDS = 5
+RULE = Rule(words=5, percent=75)
 #: Cells of the sketch of shingle counts, as a power of two.
 CELL_BITS = 22
 #: Parts of the sketch that are added up side by side, as a power of two.
@@ -47,43 +47,10 @@ CHUNK_BITS = 6
 BLOCK = 256
 #: Weight of a probe against a merge step, of DivideSkip.
 PROBE_WEIGHT = 0.01
-#: Partitions that small steps with much work to a row keep at least.
-TASKS = 12
-#: Bytes of text that a task hashes at once.
-SLICE = 1 << 18
-#: In longer lists classes meet one partner each in so many rounds, before all that is left.
-LONG_LIST, ROUNDS = 16, 2
-#: Up to so many classes (16 bytes each) are broadcast to find their texts.
-BROADCAST_CLASSES = 500_000
-
-
-def needed(a, b):
-    """Shingles that sets of these sizes must share: 100 x >= 75 (a + b - x)."""
-    return (3 * (a + b) + 6) // 7
-
-
-def shingles(texts: list[bytes | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each UTF-8 text."""
-    words, bounds = words_of_all([t or b"" for t in texts])
-    whole, out = grams(words, WORDS), []
-    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if 0 < high - low < WORDS:
-            own = grams(words[low:high], high - low)
-        else:
-            own = np.sort(whole[low : max(low, high - WORDS + 1)])
-        out.append(own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own)
-    return out
-
-
-def fingerprint(own: np.ndarray) -> int:
-    """A 64-bit name of a set, as a signed number."""
-    total = np.uint64(len(own)) + np.add.reduce(mix(own ^ np.uint64(0xC3A5C85C97CB3127)), dtype=np.uint64)
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
-
-
-def raw(batch: pa.RecordBatch) -> list[bytes | None]:
-    """Texts as bytes, whatever they hold."""
-    return batch.column("text").cast(pa.binary()).to_pylist()
+#: Rounds in which every class meets one centre, before all that is left.
+ROUNDS = 2
+#: Short lists that a class shares at least with the centre it meets in a round.
+SHARED = 3
 
 
 def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -91,7 +58,7 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
-            own = shingles(raw(batch))
+            own = shingles(raw(batch), RULE.words)
             arrays = [*(batch.column(c) for c in keep), pa.array([fingerprint(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "class", "n_shingles"])
 
@@ -99,15 +66,19 @@ def sized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return docs.mapInArrow(name, f"{kept}, class long, n_shingles long")
 
 
-def levels(docs: DataFrame) -> np.ndarray:
-    """A level per cell of shingle hashes: 0 for the usual count, more for each doubling of what exceeds it."""
+def levels(docs: DataFrame, rows: DataFrame) -> np.ndarray:
+    """A level per cell of shingle hashes: 0 for the usual count, more for each doubling of what exceeds it.
+
+    Tasks count cells and chunks of cells are added up side by side; only the levels, a byte per cell, reach the driver.
+    """
     size = 1 << CELL_BITS
     width = size >> CHUNK_BITS
+    usual = float(rows.agg(F.sum("n_shingles")).first()[0] or 0) / size
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, held, waiting = np.zeros(size, np.uint32), [], 0
         for batch in by_bytes(batches, "text", SLICE):
-            for own in shingles(raw(batch)):
+            for own in shingles(raw(batch), RULE.words):
                 held.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int64))
                 waiting += len(held[-1])
             if waiting > size // 4:
@@ -123,21 +94,21 @@ def levels(docs: DataFrame) -> np.ndarray:
         codec, total = zstandard.ZstdDecompressor(), np.zeros(width, np.uint64)
         for part in group.column("counts"):
             total += np.frombuffer(codec.decompress(part.as_py(), max_output_size=4 * width), np.uint32)
-        return pa.table({"chunk": group.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    parts = docs.select("text").mapInArrow(tally, "chunk long, counts binary").groupBy("chunk").applyInArrow(added, "chunk long, counts binary")
-    counts = np.zeros(size, np.uint64)
-    for r in parts.toLocalIterator():  # the size of the sketch in all
-        counts[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["counts"], np.uint64)
-    usual = counts.mean()
-    above = counts - usual
-    return np.where(above >= 8 + 4 * np.sqrt(usual), np.log2(np.maximum(above, 8) / 4), 0).astype(np.uint8)
+        above = total - usual
+        level = np.where(above >= 8 + 4 * np.sqrt(usual), np.log2(np.maximum(above, 8) / 4), 0).astype(np.uint8)
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "level": pa.array([level.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(tally, "chunk long, counts binary").groupBy("chunk").applyInArrow(added, "chunk long, level binary")
+    found = np.zeros(size, np.uint8)
+    for r in parts.collect():  # the size of the levels in all
+        found[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["level"], np.uint8)
+    return found
 
 
 def rarest(own: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The set's short lists: its shingles from the rarest on, all but the T - 1 last for the smallest partner."""
     order = np.argsort(level[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
-    return own[order[: len(own) - (3 * len(own) + 3) // 4 + 1]] if len(own) else own
+    return own[order[: len(own) - RULE.least(len(own)) + 1]] if len(own) else own
 
 
 def postings(docs: DataFrame, level, shared) -> DataFrame:
@@ -146,7 +117,7 @@ def postings(docs: DataFrame, level, shared) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE):
             parts = []
-            for own in shingles(raw(batch)):
+            for own in shingles(raw(batch), RULE.words):
                 short = rarest(own, level.value)
                 rank = np.flatnonzero(shared.value.has(short))
                 parts.append((short[rank].view(np.int64), np.full(len(rank), fingerprint(own)), np.full(len(rank), len(own)), rank))
@@ -157,17 +128,6 @@ def postings(docs: DataFrame, level, shared) -> DataFrame:
     return rows.groupBy("token", "class").agg(F.first("size").alias("size"), F.first("rank").alias("rank"))
 
 
-def texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text of each wanted class; ``wanted`` is a written table of classes."""
-    named = rows.join(wanted, "class").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
-    named = settle(compact(named, wanted.count()), "class-names")
-    n = named.count()
-    if n <= BROADCAST_CLASSES:
-        named = F.broadcast(named)
-    texts = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return compact(texts.join(named, "text_hash").groupBy("class").agg(F.first("text").alias("text")), n, 2_000, TASKS)
-
-
 def occurrences(lists: list[list[int]], least: int) -> dict[int, int]:
     """Ids in at least ``least`` of the sorted lists, with their number: a heap merge that skips (MergeSkip)."""
     heap = [(own[0], n) for n, own in enumerate(lists) if own]
@@ -196,7 +156,7 @@ def occurrences(lists: list[list[int]], least: int) -> dict[int, int]:
 def search(own: np.ndarray, members: list[np.ndarray]) -> list[int]:
     """The members that share enough with the query, by DivideSkip over an index of the members."""
     sizes = [len(m) for m in members]
-    goals = [needed(len(own), n) if 4 * n >= 3 * len(own) and 4 * len(own) >= 3 * n else 0 for n in sizes]
+    goals = [RULE.needed(len(own), n) if 4 * n >= 3 * len(own) and 4 * len(own) >= 3 * n else 0 for n in sizes]
     fitting = [n for n, goal in enumerate(goals) if goal]
     if not fitting:
         return []
@@ -222,169 +182,35 @@ def search(own: np.ndarray, members: list[np.ndarray]) -> list[int]:
     return found
 
 
-def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the candidate pairs (a, b), a written table, those that are similar enough."""
-    n_pairs = pairs.count()
-    counts = settle(compact(pairs.groupBy("a").agg(F.count("*").alias("n")), n_pairs), "query-sizes")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), blocks).alias("block"))
-    asked = counts.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    rows = asked.join(texts.withColumnRenamed("class", "a"), "a").unionByName(dealt.join(texts.withColumnRenamed("class", "b"), "b"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names, members, size, key = None, [], [], 0, None
-
-        def done() -> pa.RecordBatch:
-            good = [names[n] for n in search(own, members)] if members else []
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(good) if key else [], pa.int64()), pa.array(good, pa.int64())], ["a", "b"])
-
-        for batch in by_bytes(batches, "text", SLICE):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "block")), shingles(raw(batch)), strict=True)
-            for a, b, block, found in rows:
-                if (a, block) != key or len(members) >= 2 * BLOCK or size > 1 << 22:
-                    yield done()
-                    names, members, size, key = [], [], 0, (a, block)
-                if b is None:  # the query comes first
-                    own = found
-                else:
-                    names.append(b)
-                    members.append(found)
-                    size += len(found)
-        yield done()
-
-    sorted_rows = rows.select("a", "b", "block", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return compact(sorted_rows.mapInArrow(find, "a long, b long"), n_pairs, 2_000, TASKS)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node that links reach, for all nodes of the links (a, b)."""
-    size = 2 * edges.count()
-    both = settle(compact(edges.select("a", "b").union(edges.select("b", "a")).distinct(), size), "edges")
-    labels = settle(compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), size), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("beyond"))
-        best = F.least("next", "beyond")
-        moved = lower.join(jump, "next", "left").select("node", best.alias("label"), (best < F.col("label")).alias("changed"))
-        moved = settle(compact(moved, size), "labels")
-        labels = moved.drop("changed")
-        if moved.where("changed").isEmpty():
-            return labels
-
-
-def _goal() -> Column:
-    return F.floor((3 * (F.col("size") + F.col("size_b")) + 6) / 7)
-
-
-def _near_in_size() -> Column:
-    return (4 * F.col("size") >= 3 * F.col("size_b")) & (4 * F.col("size_b") >= 3 * F.col("size"))
-
-
-def _first_possible() -> Column:
-    """Whether sets whose first common short list is at these ranks can share enough."""
-    return F.least(F.col("size") - F.col("rank"), F.col("size_b") - F.col("rank_b")) >= _goal()
-
-
-def _with_component(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return lists.withColumn("part", F.col("class"))
-    return lists.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("label", "class")).drop("label")
-
-
-def _mixed(lists: DataFrame) -> DataFrame:
-    """Lists whose classes are in more than one component."""
-    tokens = lists.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    return lists.join(tokens.select("token"), "token", "left_semi")
-
-
-def _one_each(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): to each class b the member a of another component that heads most of its lists.
-
-    The head of a list is where the token comes earliest, so it has few shingles of its own: of edited copies it is one
-    near to the original, which most of the others are near to as well.  Later turns take other heads.
-    """
-    late = F.col("rank") + (F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(8)) * turn)
-    head = F.min(F.struct(late.alias("k"), "class", "size", "rank", "part")).alias("head")
-    heads = lists.groupBy("token").agg(head).select("token", *(F.col(f"head.{c}").alias(f"{c}_b") for c in ("class", "size", "rank", "part")))
-    met = lists.join(heads, "token").where((F.col("part") != F.col("part_b")) & _near_in_size() & _first_possible())
-    counted = met.groupBy(F.col("class").alias("b"), F.col("class_b").alias("a")).agg(F.count("*").alias("n"))
-    return counted.groupBy("b").agg(F.max(F.struct("n", "a")).alias("best")).select("best.a", "b")
-
-
-def _all_left(lists: DataFrame) -> DataFrame:
-    """All pairs between components that can still be similar.
-
-    Common shingles are in short lists of both, which are counted here, or behind the short lists of one of them.  Columns
-    ``spare`` say how many short lists of a class are not among ``lists``.
-    """
-    columns = ("class", "size", "rank", "part", "spare")
-    other = lists.select("token", *(F.col(c).alias(f"{c}_b") for c in columns))
-    met = lists.join(other, "token").where((F.col("class") < F.col("class_b")) & (F.col("part") != F.col("part_b")) & _near_in_size())
-    sums = met.groupBy(F.col("class").alias("a"), F.col("class_b").alias("b"), "size", "size_b").agg(
-        F.count("*").alias("n"), F.max(_first_possible()).alias("possible"), F.min(F.least("spare", "spare_b")).alias("spare")
-    )
-    behind = F.floor((3 * F.greatest("size", "size_b") + 3) / 4) - 1
-    earliest = F.col("possible") | (F.col("spare") > 0)  # else the first common list may be one of the spare
-    return sums.where(earliest & (F.col("n") + F.col("spare") + behind >= _goal())).select("a", "b")
-
-
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Rows with class and set size, and the component of each class that has links."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     docs = conform(docs, "doc_id", "text")
     rows = settle(sized(docs.withColumn("text_hash", F.xxhash64("text")), ("doc_id", "text_hash")), "shingle-sets")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    level = spark.sparkContext.broadcast(levels(docs))
+    level = context.broadcast(levels(docs, rows))
 
     def short_lists(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in by_bytes(iter([batch]), "text", SLICE):
-            for own in shingles(raw(part)):
+            for own in shingles(raw(part), RULE.words):
                 yield rarest(own, level.value)
 
-    shared = spark.sparkContext.broadcast(recurring(docs.select("text"), short_lists, total))
+    shared = context.broadcast(recurring(docs.select("text"), short_lists, total))
     entries = settle(compact(postings(docs, level, shared), total, 4 << 20, TASKS), "postings")
-    counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    for sent in (level, shared):
+        sent.destroy()
+    counts = entries.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
     lists = settle(compact(entries.join(counts, "token"), entries.count(), least=TASKS), "short-lists")
-    size = lists.count()
-    few, long = (lists.where(w).drop("n").withColumn("part", F.col("class")) for w in (F.col("n") <= LONG_LIST, F.col("n") > LONG_LIST))
-    # pairs with a common list among the few are found there; others have all of theirs among the long
-    spare = long.groupBy("class").agg(F.count("*").alias("spare"))
-    few = few.join(spare, "class", "left").fillna(0, ["spare"])
-    long = long.withColumn("spare", F.lit(0).cast("long"))
-    pairs = settle(compact(_all_left(few), size, least=TASKS), "candidates")
-    classes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(long.select("class")).distinct()
-    texts = settle(texts_of(docs, rows, settle(compact(classes, size), "wanted-classes")), "class-texts")
-    known = settle(links(pairs, texts), "links")
-    found = None if known.isEmpty() else components(known)
-    size = long.count()
-    for turn in range(ROUNDS + 1 if size else 0):
-        left = settle(compact(_mixed(_with_component(long.drop("part"), found)), size), "mixed-lists")
-        if left.isEmpty():
-            break
-        pairs = settle(compact(_one_each(left, turn) if turn < ROUNDS else _all_left(left), size), "candidates")
-        new = settle(links(pairs, texts), "links")
-        if not new.isEmpty():
-            known = known.unionByName(new)
-            found = components(known)
-    return rows, found
+    def rest(left: DataFrame, texts: DataFrame, found: DataFrame | None) -> DataFrame:
+        return rarely_apart(left, RULE)
+
+    return rows, linked_classes(docs, rows, lists, "token", RULE, search, ROUNDS, ("size", "rank"), RULE.near_in_size() & RULE.first_possible(), SHARED, rest, BLOCK)
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_shingles and component_id of every row."""
+    """doc_id, class, part, n_shingles and component_id of every row."""
     rows, found = linked(docs)
-    parts = rows.withColumn("part", F.col("class"))
-    if found is not None:
-        weighed = rows.groupBy("class").agg(F.count("*").alias("n")).join(found.withColumnRenamed("node", "class"), "class")
-        total = rows.count()
-        parts = heavy_join(rows, settle(compact(weighed, total), "class-labels"), ["class"], "n", total, "left")
-        parts = parts.select("doc_id", "class", "n_shingles", F.coalesce("label", "class").alias("part"))
-    parts = settle(compact(parts, rows.count(), least=TASKS), "parts")
-    groups = parts.where("n_shingles > 0").groupBy("part").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    total = parts.count()
-    out = heavy_join(parts, settle(compact(groups, total), "components"), ["part"], "n", total, "left")
-    whole = F.when((F.col("n_shingles") > 0) & F.col("n").isNotNull(), F.col("first")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "class", "part", "n_shingles", whole.alias("component_id"))
+    return grouped(rows, found)
 
 
 def first_of_components(docs: DataFrame) -> DataFrame:
