@@ -118,11 +118,11 @@ def deviations(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", centred, centred))
 
 
-def first_centroids(vectors: DataFrame, number: int = CENTROIDS, seed: int = SEED) -> np.ndarray:
+def first_centroids(vectors: DataFrame, number: int = CENTROIDS, seed: int = SEED, components: int = COMPONENTS) -> np.ndarray:
     """The vectors whose ids hash least."""
     hashed = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.select(hashed.alias("hashed"), "e").orderBy(F.col("hashed").asc_nulls_last(), "e").limit(number).collect()
-    return np.array([r["e"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["e"] for r in rows], np.int64).reshape(len(rows), components)
 
 
 def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def cluster(vectors: DataFrame, number: int = CENTROIDS, rounds: int = ROUNDS, c
     """vec_id, cluster, distance, cluster_inertia and inertia of every kept vector, and the final centroids."""
     spark = vectors.sparkSession
     kept = settle(integers(vectors, components), "integer-vectors")
-    centroids = first_centroids(kept, number, seed)
+    centroids = first_centroids(kept, number, seed, components)
     if not len(centroids):
         empty = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long"
         return spark.createDataFrame([], empty), np.zeros((0, components), np.int64)
