@@ -5,8 +5,7 @@ over the corpus; of each, the occurrence with the smallest (doc_id, unit number)
 listed with their original offsets.
 
 Defined results.  Only doc_id and text are read.  Every unit that is not empty once normalised counts, however
-short; ``min_words`` spares shorter ones, and the registered query sets it to ``MIN_WORDS``, as its SQL does.
-Words are counted at white space.  Null ids rank last.  Rows with one doc_id rank together: a
+short; ``min_words`` spares units of fewer words (cut at white space).  Null ids rank last.  Rows with one doc_id rank together: a
 unit that is the earliest in several of them stays in each.  A null text has no units and stays null.
 """
 
@@ -23,8 +22,6 @@ from pyspark.sql import functions as F
 from panelscope.llm.common import by_bytes, conform, heavy_join, read, settle
 from panelscope.llm.registry import query
 
-#: Words of the shortest unit that the registered query and its SQL remove.
-MIN_WORDS = 8
 #: Rank of rows without an id.
 LAST = (1 << 63) - 1
 
@@ -102,7 +99,7 @@ def dedup(docs: DataFrame, kind: str = "line", min_words: int = 1) -> DataFrame:
     return joined.mapInArrow(keep, schema)
 
 
-SQL = f"""
+SQL = """
 WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS unit_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
   FROM documents WHERE text <> ''
@@ -110,16 +107,16 @@ WITH l AS (
   SELECT *, sum(length(unit_text) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(unit_text) - 1 AS start,
     trim(regexp_replace(lower(unit_text), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l
 ), f AS (
-  SELECT *, CASE WHEN len(string_split(norm, ' ')) >= {MIN_WORDS} THEN min(struct_pack(d := doc_id, u := unit)) OVER (PARTITION BY norm) END AS first FROM u
+  SELECT *, CASE WHEN norm <> '' THEN min(struct_pack(d := doc_id, u := unit)) OVER (PARTITION BY norm) END AS first FROM u
 ), g AS (
   SELECT *, first IS NOT NULL AND (first.d < doc_id OR first.u < unit) AS gone FROM f
 ), d AS (
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(unit_text)) FILTER (gone), 0)::BIGINT AS chars_removed,
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(unit_text)) FILTER (gone), 0)::BIGINT AS chars_removed,
     coalesce(string_agg(start || '-' || start + length(unit_text) || ':' || first.d, ' ' ORDER BY unit) FILTER (gone), '') AS removed,
     coalesce(string_agg(unit_text, chr(10) ORDER BY unit) FILTER (NOT gone), '') AS kept_text
   FROM g GROUP BY doc_id
 )
-SELECT t.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed,
+SELECT t.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed,
   coalesce(removed, '') AS removed, coalesce(kept_text, t.text) AS kept_text
 FROM documents t LEFT JOIN d USING (doc_id)
 """
@@ -127,7 +124,7 @@ FROM documents t LEFT JOIN d USING (doc_id)
 
 @query("op9_line_dedup", SQL)
 def _op9(spark, sf_dir):
-    out = dedup(read(spark, sf_dir, "documents"), min_words=MIN_WORDS)
+    out = dedup(read(spark, sf_dir, "documents"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
     places = F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["stop"].cast("string"), F.lit(":"), r["first_doc_id"].cast("string")))
-    return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), size.alias("chars_removed"), F.concat_ws(" ", places).alias("removed"), "kept_text")
+    return out.select("doc_id", F.size("removed").cast("long").alias("n_removed"), size.alias("chars_removed"), F.concat_ws(" ", places).alias("removed"), "kept_text")
