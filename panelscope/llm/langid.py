@@ -11,7 +11,7 @@ Training reads a bounded sample: of each language the texts with the smallest ha
 packed presence bits of the sample reach the driver.  Prediction reads whole texts and nothing but texts.
 
 Defined results.  A text that is null or has no letter is ``und`` with score 0; so is every text if nothing
-could be learned.  Rows with a null id are neither learned from nor held out.  Ties go to the language that sorts
+could be learned.  Rows with a null id are not learned from and count as not held out.  Ties go to the language that sorts
 first.
 """
 
@@ -105,28 +105,46 @@ class Model:
         )
 
 
-def fit_bits(bits: np.ndarray, labels: list[str]) -> Model:
-    """Nyström map and ridge regressions from presence rows and their languages."""
+def dense(bits: list[bytes]) -> np.ndarray:
+    """Packed presence rows as a matrix of 0 and 1."""
+    packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), BINS // 8)
+    return np.unpackbits(packed, axis=1).astype(np.float32)
+
+
+def fit_bits(bits: list[bytes], labels: list[str]) -> Model:
+    """Nyström map and ridge regressions from packed presence rows and their languages.
+
+    Rows are unpacked in blocks, whose shares of the regressions' matrices (landmarks x landmarks) are added up; so the
+    landmarks and one block are all that is held unpacked.
+    """
     names = sorted(set(labels))
     if not names:
         return Model([], np.zeros((BINS, 0), np.float32))
-    rows = bits.astype(np.float64)
-    rows /= np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
     of = np.array([names.index(x) for x in labels])
     turn = np.zeros(len(of), int)  # landmarks take the languages in turn
     for k in range(len(names)):
         turn[of == k] = np.arange((of == k).sum())
-    marks = rows[np.lexsort((of, turn))[:LANDMARKS]]
-    values, vectors = np.linalg.eigh(marks @ marks.T)
+    marks = dense([bits[n] for n in np.lexsort((of, turn))[:LANDMARKS]])
+    length = np.sqrt(np.maximum(marks.sum(1), 1)).astype(np.float64)
+
+    def kernel(rows: np.ndarray) -> np.ndarray:
+        common = (rows @ marks.T).astype(np.float64)  # whole numbers, exact
+        return common / np.sqrt(np.maximum(rows.sum(1, dtype=np.float64), 1))[:, None] / length
+
+    values, vectors = np.linalg.eigh(kernel(marks))
     good = values > 1e-9 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    mapped = rows @ marks.T @ root
-    share = np.array([(of == k).sum() for k in range(len(names))])
+    share = np.bincount(of)
     weight = (1.0 / share)[of] * len(of) / len(names)  # languages count alike, however many texts they have
-    target = np.where(of[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
-    gram = (mapped * weight[:, None]).T @ mapped + RIDGE * len(of) * np.eye(mapped.shape[1]) / 100
-    solved = np.linalg.solve(gram, (mapped * weight[:, None]).T @ target)
-    return Model(names, (marks.T @ (root @ solved)).astype(np.float32))
+    gram, cross = RIDGE * len(of) * np.eye(root.shape[1]) / 100, np.zeros((root.shape[1], len(names)))
+    for low in range(0, len(of), BLOCK_ROWS):
+        part = slice(low, low + BLOCK_ROWS)
+        mapped = kernel(dense(bits[part])) @ root
+        weighed = mapped * weight[part, None]
+        gram += weighed.T @ mapped
+        cross += weighed.T @ np.where(of[part, None] == np.arange(len(names)), 1.0, -1.0)
+    solved = (root @ np.linalg.solve(gram, cross)) / length[:, None]
+    return Model(names, marks.T @ solved.astype(np.float32))
 
 
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,7 @@ def fit(docs: DataFrame) -> Model:
     labelled = labelled.select("text", "lang", hash_rank(F.xxhash64("text")).alias("pick"))
     known = least_hashes(labelled, "lang", "pick", lambda n: max(1, min(PER_LANGUAGE, MAX_SAMPLE // n)))
     if not known:
-        return fit_bits(np.zeros((0, BINS), bool), [])
+        return fit_bits([], [])
     chosen = labelled.join(F.broadcast(below(docs.sparkSession, known)), F.col("lang") == F.col("of")).where("pick < bound")
     rows = chosen.select("text", "lang", "pick").mapInArrow(_bits, "lang string, pick long, bits binary").dropDuplicates(["lang", "pick"]).collect()
     taken: dict[str, int] = {}
@@ -156,8 +174,7 @@ def fit(docs: DataFrame) -> Model:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
         if taken[r["lang"]] <= known[r["lang"]].wanted:
             sample.append(r)
-    unpacked = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample]).astype(bool)
-    return fit_bits(unpacked, [r["lang"] for r in sample])
+    return fit_bits([r["bits"] for r in sample], [r["lang"] for r in sample])
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -182,4 +199,4 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 def _op10(spark, sf_dir):
     docs = conform(read(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     judged = predict(docs.select("doc_id", "text"), fit(docs), "doc_id")
-    return judged.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return judged.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -6,9 +6,11 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -311,8 +313,53 @@ def test_sample_has_each_text_once_and_the_least_hashes(spark, monkeypatch):
     langid.fit(df)
     assert sorted(seen["labels"]) == ["de"] + ["en"] * 5
     least = df.where(~langid.held_out() & (F.col("lang") == "en")).select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 62)).alias("h")).distinct().orderBy("h").limit(5)
-    want = {x.tobytes() for x in langid.presence([r["text"] for r in least.collect()])}
-    assert {x.tobytes() for x, lang in zip(seen["bits"], seen["labels"], strict=True) if lang == "en"} == want
+    want = {np.packbits(x).tobytes() for x in langid.presence([r["text"] for r in least.collect()])}
+    assert {x for x, lang in zip(seen["bits"], seen["labels"], strict=True) if lang == "en"} == want
+
+
+def test_model_equals_a_kernel_ridge_regression_on_plain_ngram_sets(spark, monkeypatch):
+    """With every text a landmark the Nyström map is exact; the regression is then solved in the kernel itself."""
+    monkeypatch.setattr(langid, "BLOCK_ROWS", 7)
+    rng = random.Random(12)
+    texts = [(sentence(rng, lang, rng.randint(4, 12)), lang) for _ in range(20) for lang in LANGUAGES] + [(sentence(rng, "en", 5), "en") for _ in range(9)]
+    bits = [np.packbits(x).tobytes() for x in langid.presence([t for t, _ in texts])]
+    model = langid.fit_bits(bits, [lang for _, lang in texts])
+
+    def ngrams(text):
+        kept = "".join(c if c.isalpha() else " " for c in text.lower())
+        kept = " " + " ".join(kept.split()) + " "
+        return {kept[i : i + n] for n in (1, 2, 3) for i in range(len(kept) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+
+    own, names = [ngrams(t) for t, _ in texts], sorted(LANGUAGES)
+    of = np.array([names.index(lang) for _, lang in texts])
+    weight = (1 / np.bincount(of))[of] * len(of) / len(names)
+    k = kernel(own, own)
+    # weighted kernel ridge regression: (K + ridge / weight) alpha = y
+    alpha = np.linalg.solve(k + np.diag(langid.RIDGE * len(of) / 100 / weight), np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0))
+    new = [sentence(rng, lang, 15) for lang in LANGUAGES for _ in range(15)]
+    want, got = kernel([ngrams(t) for t in new], own) @ alpha, model.scores(langid.presence(new))
+    assert np.abs(want - got).max() < 0.1 and (want.argmax(1) == got.argmax(1)).all()
+
+
+def test_fitting_the_largest_sample_needs_little_memory():
+    rng = np.random.default_rng(3)
+    bits = [rng.integers(0, 256, langid.BINS // 8).astype(np.uint8).tobytes() for _ in range(langid.MAX_SAMPLE)]
+    tracemalloc.start()
+    langid.fit_bits(bits, [f"l{n % 15}" for n in range(len(bits))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_a_text_of_many_megabytes_has_a_language(spark):
+    rng = random.Random(2)
+    rows = [(n, sentence(rng, lang, 30), lang, "s", None) for n, lang in enumerate(list(LANGUAGES) * 40)]
+    model = langid.fit(frame(spark, rows))
+    long = " ".join(sentence(rng, "de", 400) for _ in range(2000))
+    assert len(long) > 3 << 20 and model.predict([long])[0] == ["de"]
 
 
 def test_prediction_sees_nothing_but_the_text(spark):
