@@ -343,6 +343,19 @@ def node_trend_by_process(spark, sf):
     return rounded(trend.select(*nodes.NODE, F.inline("daily_dpu")), "dpu")
 
 
+def _totals_sql(level: str) -> str:
+    depth = list(nodes.LEVELS).index(level) + 1
+    keys = [c if n < depth else f"NULL AS {c}" for n, c in enumerate(nodes.NODE)]
+    return f"""SELECT '{level}' AS level, {', '.join(keys)}, COUNT(DISTINCT product_id) AS total_products, SUM(total_defects)::BIGINT AS total_defects,
+      ROUND(SUM(total_defects)::DOUBLE / NULLIF(COUNT(DISTINCT product_id), 0), 6) AS dpu
+      FROM glass_stats GROUP BY {', '.join(nodes.NODE[:depth])}"""
+
+
+@query("node_totals_of_all_levels", with_mart(" UNION ALL ".join(_totals_sql(level) for level in nodes.LEVELS)))
+def node_totals_of_all_levels(spark, sf):
+    return rounded(nodes.totals_of_all_levels(nodes.product_bitmaps(mart(spark, sf))), "dpu")
+
+
 @query("hierarchy_by_path", analysis_sql("path"))
 def hierarchy_by_path(spark, sf):
     return _flat(hierarchy_analysis(mart(spark, sf)))

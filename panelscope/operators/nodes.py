@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.operators.mart import panel, panel_arrays
+from panelscope.operators.positions import numbered
 
 # The levels, outermost first, and the column of each.
 LEVELS = {
@@ -45,6 +46,35 @@ def node_totals(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) ->
     )
 
 
+def product_bitmaps(mart: DataFrame) -> DataFrame:
+    """Per path, and per range of product numbers: a bitmap of its products, and their defects.
+
+    Products are numbered densely, range by range.  Bitmaps are exact and merge: those of several paths, days or
+    loads combine by ``bitmap_or_agg``, without the products being read again.  A product without id has no bit.
+    """
+    products = numbered(mart.select("product_id").where("product_id IS NOT NULL").distinct(), [F.col("product_id")], "_number")
+    rows = mart.join(products, "product_id", "left")
+    return rows.groupBy(*NODE, F.bitmap_bucket_number("_number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("bits"), F.sum("total_defects").alias("total_defects")
+    )
+
+
+def totals_of_all_levels(bitmaps: DataFrame) -> DataFrame:
+    """``node_totals`` of all four levels at once, with the level's name, from ``product_bitmaps`` in one pass.
+
+    Paths are merged into the nodes above them; products that several paths share are counted once by their bit.
+    """
+    sets = [[*NODE[: n + 1], "bucket"] for n in range(len(NODE))]
+    merged = bitmaps.groupingSets(sets, *NODE, "bucket").agg(
+        F.grouping_id().alias("_set"), F.bitmap_or_agg("bits").alias("bits"), F.sum("total_defects").alias("total_defects")
+    )
+    # a column that a set leaves out sets its bit; bucket, the last one, is in all sets
+    names = F.create_map(*(F.lit(x) for n, level in enumerate(LEVELS) for x in (2 ** (len(NODE) - n) - 2, level)))
+    totals = merged.groupBy("_set", *NODE).agg(F.sum(F.bitmap_count("bits")).alias("total_products"), F.sum("total_defects").alias("total_defects"))
+    dpu = F.try_divide(F.col("total_defects").cast("double"), F.col("total_products"))
+    return totals.select(F.element_at(names, F.col("_set").cast("int")).alias("level"), *NODE, "total_products", "total_defects", dpu.alias("dpu"))
+
+
 def node_maps(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) -> DataFrame:
     """Defects per panel address of each node, as parallel arrays sorted by address.
 

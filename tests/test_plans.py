@@ -170,3 +170,19 @@ def test_a_rebuilt_day_shuffles_the_steps_of_its_products_only(lake):
     whole = marts.build_glass_stats(i, h).where("facility_code = 'A1T' AND stat_date = DATE '1997-06-15'").drop("created_at")
     one = marts.build_glass_stats(i, h, ["1997-06-15"], "A1T").drop("created_at")
     assert sorted(map(str, one.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_all_levels_come_from_one_pass_without_distinct(lake):
+    from panelscope.session import settle
+
+    mart = lake[2].withColumn("equipment_path_id", F.expr("nullif(equipment_path_id, 'A1CVD0040404')"))
+    mart = mart.unionByName(mart.limit(3).withColumn("product_id", F.lit(None).cast("string")))
+    bitmaps = settle(nodes.product_bitmaps(mart), "bitmaps")
+    whole = nodes.totals_of_all_levels(bitmaps)
+    text = plan(whole)
+    assert text.count("Scan parquet") == 1 and "distinct" not in text and "Expand" in text
+    for level in nodes.LEVELS:
+        got = whole.where(F.col("level") == level).drop("level")
+        assert sorted(map(str, got.collect())) == sorted(map(str, nodes.node_totals(mart, level).select(*got.columns).collect())), level
+    halves = nodes.product_bitmaps(mart).hint("rebalance")  # merged in any order
+    assert sorted(map(str, nodes.totals_of_all_levels(halves).collect())) == sorted(map(str, whole.collect()))
