@@ -161,6 +161,40 @@ def test_paragraphs(spark):
     assert rows[1][1][start:stop] == same
 
 
+def plain_units(rows, kind):
+    """Kept text and removed (unit, start, stop, first id) of each row, from a dictionary of normalised units."""
+    cut, glue = ("\n", "\n") if kind == "line" else ("\n[ \t\r\x0b\x0c]*(?:\n[ \t\r\x0b\x0c]*)+", "\n\n")
+    listed = []
+    for doc, text, *_ in rows:
+        ends = [m.span() for m in re.finditer(cut, text or "")]
+        starts, stops = [0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text or "")]
+        listed.append([(n, a, b, " ".join(re.split("[ \t\n\r\x0b\x0c]+", text[a:b].lower())).strip()) for n, (a, b) in enumerate(zip(starts, stops, strict=True))] if text else [])
+    first = {}
+    for (doc, *_), units in zip(rows, listed, strict=True):
+        for n, _, _, key in units:
+            first[key] = min(first.get(key, (doc, n)), (doc, n))
+    out = []
+    for (doc, text, *_), units in zip(rows, listed, strict=True):
+        gone = [(n, a, b, first[key][0]) for n, a, b, key in units if key and first[key] != (doc, n)]
+        left = [text[a:b] for n, a, b, _ in units if n not in {g[0] for g in gone}]
+        out.append((doc, text if not gone else glue.join(left), gone))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["line", "paragraph"])
+def test_units_equal_the_plain_version(spark, kind):
+    rng = random.Random(6)
+    parts = [sentence(rng, "en", rng.randint(1, 6)) for _ in range(12)]
+    breaks = ["\n", "\n\n", "\n \t\n", "\n\n\n", " "]
+    rows = [(n, "".join(rng.choice(parts) + rng.choice(breaks) for _ in range(rng.randint(0, 9))), "en", "s", None) for n in range(80)]
+    line = sentence(rng, "de", 60_000)  # a very long line, twice
+    rows += [(500, f"first\n{line}", "de", "s", None), (501, line + "\nlast", "de", "s", None)]
+    out = lines.dedup(frame(spark, rows, extra=True), kind).collect()
+    got = sorted(((r["doc_id"], r["kept_text"], [tuple(x) for x in r["removed"]]) for r in out), key=repr)
+    assert got == sorted(plain_units(rows, kind), key=repr)
+    assert kind != "line" or [r["kept_text"] for r in out if r["doc_id"] == 501] == ["last"]
+
+
 def test_short_lines_are_removed_unless_spared(spark):
     rows = [(1, "All rights reserved.\nfirst", "x", "y", 0), (2, "all rights  reserved.\n\nsecond\n", "x", "y", 0), (3, "版权所有\n版权所有", "x", "y", 0)]
     kept = {r["doc_id"]: r["kept_text"] for r in lines.dedup(frame(spark, rows)).collect()}
