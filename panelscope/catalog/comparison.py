@@ -9,11 +9,13 @@ from panelscope.catalog.views import history, inspection, with_facts
 from panelscope.functions.predicates import narrow
 from panelscope.operators import equipment, glass, lookup, positions, steps
 from panelscope.operators.glass import Request
-from panelscope.operators.panels import panels_per_step
+from panelscope.operators.panels import panels_in_buckets, panels_per_step
 from panelscope.plans.batch import TARGET_KEY, batch_analysis, membership, target_pairs
 from panelscope.plans.ranking import RANK_ORDER, equipment_ranking, ranking_rows
 from panelscope.plans.target import target_analysis
+from panelscope.session import scratch_path
 from panelscope.sources.export import grids
+from panelscope.sources.facts import write_facts
 
 PERIOD = ("1996-01-01", "1999-12-31")
 IN_PERIOD = "move_in_ymdhms >= TIMESTAMP '1996-01-01' AND move_in_ymdhms < TIMESTAMP '2000-01-01'"
@@ -273,6 +275,29 @@ def ranking_top(spark, sf):
     return _plain(_ranking(spark, sf, start=PERIOD[0], end=PERIOD[1], defect="SPOT", limit=100))
 
 
+@query("equipment_ranking_of_buckets", equipment_sql(RANKING, IN_PERIOD, "i.defect_name LIKE 'SPOT%'"))
+def ranking_of_buckets(spark, sf):
+    facts = write_facts(history(spark, sf), inspection(spark, sf), scratch_path(spark, "facts"), buckets=16)
+    return _plain(equipment_ranking(facts.history, facts.inspection, *PERIOD, "SPOT", shared=facts.shared))
+
+
+@query(
+    "panels_in_buckets",
+    with_facts(
+        f"""WITH {SHARED}
+        SELECT product_id, process_code, COUNT(DISTINCT panel_id) AS n_panels, n > 1 AS shared FROM sharing JOIN owners USING (process_code, panel_id) GROUP BY ALL"""
+    ),
+)
+def panels_of_buckets(spark, sf):
+    name = F.concat(F.lit("SHARED"), "process_code")
+    i = inspection(spark, sf).withColumn("panel_id", F.when(F.col("def_size") % 5 == 0, name).otherwise(F.col("panel_id")))
+    facts = write_facts(history(spark, sf), i, scratch_path(spark, "facts"), buckets=16)
+    panels = panels_in_buckets(facts.inspection, facts.shared)
+    rows = panels.shared.groupBy("product_id", "process_code").agg(F.count("*").alias("n_panels"))
+    own = panels.own.select("product_id", "process_code", "n_panels", F.lit(False).alias("shared"))
+    return own.unionByName(rows.withColumn("shared", F.lit(True)))
+
+
 @query(
     "ranking_narrowed",
     equipment_sql(

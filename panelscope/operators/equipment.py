@@ -7,24 +7,28 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.clean import equip_group, safe_rate
 from panelscope.functions.predicates import starts_with
-from panelscope.operators.panels import panels_per_step
+from panelscope.operators.panels import panels_in_buckets, panels_per_step
 
 EQUIPMENT_KEY = ("process_code", "equipment_group_id", "equipment_line_id", "product_type_code")
 
 
-def equipment_stats(h: DataFrame, i: DataFrame, defect: str = "", latest: bool = False) -> DataFrame:
+def equipment_stats(
+    h: DataFrame, i: DataFrame, defect: str = "", latest: bool = False, shared: DataFrame | None = None
+) -> DataFrame:
     """Distinct products and distinct defective panels per process, group, line and product type.
 
     A left join of history and inspection on product and process, with the defect prefix applied to
     the inspection side.  Both sides arrive reduced to one row per join key and equipment, so the
     join grows with products, never with defects times steps.  ``latest`` says that the history is
-    already reduced to one step per product, process and line.
+    already reduced to one step per product, process and line.  With the ``shared`` panels of
+    bucketed facts nothing is exchanged before the join.
     """
     key, on = list(EQUIPMENT_KEY), ["product_id", "process_code"]
     steps = h.select("product_id", "process_code", "equipment_line_id", "product_type_code")
     steps = steps if latest else steps.distinct()
     steps = steps.withColumn("equipment_group_id", equip_group("equipment_line_id"))
-    panels = panels_per_step(i.where(starts_with("defect_name", defect)))
+    found = i.where(starts_with("defect_name", defect))
+    panels = panels_per_step(found) if shared is None else panels_in_buckets(found, shared)
     stats = steps.join(panels.own, on, "left").groupBy(*key).agg(
         F.count("product_id").alias("product_count"),
         F.coalesce(F.sum("n_panels"), F.lit(0)).alias("total_defects"),

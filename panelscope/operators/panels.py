@@ -47,6 +47,27 @@ def panels_per_step(i: DataFrame) -> Panels:
     return _count(i, ["process_code", "panel_id"], ["process_code"])
 
 
+def shared_panels(i: DataFrame) -> DataFrame:
+    """Panels that were reported under several products, as (process, panel)."""
+    rows = i.select("process_code", "panel_id", "product_id").dropna()
+    owners = rows.groupBy("process_code", "panel_id").agg(F.min("product_id").alias("_first"), F.max("product_id").alias("_last"))
+    return owners.where("_first != _last").select("process_code", "panel_id")
+
+
+def panels_in_buckets(i: DataFrame, shared: DataFrame) -> Panels:
+    """The same as ``panels_per_step`` where ``shared`` is known: counted inside the buckets of (product, process).
+
+    ``shared`` may have been found over more rows than ``i`` has; its panels are made distinct after the join.
+    """
+    columns = ["panel_id", "product_id", "process_code"]
+    rows, by = i.select(*columns).dropna(), ["process_code", "panel_id"]
+    counted = ["product_id", "process_code"]
+    if shared.isEmpty():
+        return Panels(rows.distinct().groupBy(*counted).agg(F.count("*").alias("n_panels")), None)
+    own = rows.join(shared, by, "left_anti").distinct()
+    return Panels(own.groupBy(*counted).agg(F.count("*").alias("n_panels")), rows.join(shared, by, "left_semi").distinct())
+
+
 def panels_per_product(i: DataFrame) -> Panels:
     """own: number of panels per product and set of processes they were found in; shared: as above."""
     return _count(i, ["panel_id"], ["processes"], [F.array_sort(F.collect_set("process_code")).alias("processes")])

@@ -15,23 +15,30 @@ RANK_ORDER = ("delta_loo", "equipment_line_id", "process_code", "product_type_co
 
 
 def ranking_rows(
-    h: DataFrame, i: DataFrame, start=None, end=None, defect: str = "", min_n: int = 10
+    h: DataFrame, i: DataFrame, start=None, end=None, defect: str = "", min_n: int = 10, shared: DataFrame | None = None
 ) -> DataFrame:
     """Ranked equipment without the rank number.
 
     The statistics, one row per equipment, are written once: the overall row and the ranking both
-    read them.
+    read them.  Bucketed facts (``sources.facts``) come with their ``shared`` panels.
     """
     columns = ("product_id", "process_code", "equipment_line_id", "product_type_code", "move_in_ymdhms")
     steps = dedup_steps(h.where(time_range("move_in_ymdhms", start, end)).select(*columns))
-    stats = equipment_stats(steps, i, defect, latest=True).where(F.col("product_count") >= min_n)
+    stats = equipment_stats(steps, i, defect, latest=True, shared=shared).where(F.col("product_count") >= min_n)
     stats = settle(stats, "equipment")
     return with_delta(stats, overall(stats, min_n))
 
 
 def equipment_ranking(
-    h: DataFrame, i: DataFrame, start=None, end=None, defect: str = "", limit: int = 0, min_n: int = 10
+    h: DataFrame,
+    i: DataFrame,
+    start=None,
+    end=None,
+    defect: str = "",
+    limit: int = 0,
+    min_n: int = 10,
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Equipment by leave-one-out delta, worst first; limit 0 keeps all."""
-    rows = ranking_rows(h, i, start, end, defect, min_n)
+    rows = ranking_rows(h, i, start, end, defect, min_n, shared)
     return with_rank(rows, [F.col(c).asc_nulls_last() for c in RANK_ORDER], limit)

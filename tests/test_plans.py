@@ -11,6 +11,7 @@ from panelscope.operators.glass import Request
 from panelscope.operators.positions import page
 from panelscope.plans.hierarchy import HierarchyParams, hierarchy_analysis
 from panelscope.plans.ranking import ranking_rows
+from panelscope.sources.facts import read_facts, write_facts
 
 
 def plan(df) -> str:
@@ -186,3 +187,26 @@ def test_all_levels_come_from_one_pass_without_distinct(lake):
         assert sorted(map(str, got.collect())) == sorted(map(str, nodes.node_totals(mart, level).select(*got.columns).collect())), level
     halves = nodes.product_bitmaps(mart).hint("rebalance")  # merged in any order
     assert sorted(map(str, nodes.totals_of_all_levels(halves).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_bucketed_facts_meet_without_an_exchange(spark, lake, tmp_path):
+    h, i, _ = lake
+    root = str(tmp_path / "facts")
+    facts = write_facts(h, i, root, buckets=8)
+    with pytest.raises(ValueError):
+        write_facts(h, i, root)
+    other = spark.newSession()
+    for session in (spark, other):
+        session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for opened in (facts, read_facts(other, root)):
+            latest = steps.dedup_steps(opened.history)
+            stats = equipment.equipment_stats(latest, opened.inspection, "SPOT", latest=True, shared=opened.shared)
+            text = plan(stats)
+            # the only exchange gathers the counts of an equipment, after the join
+            assert len(re.findall(r"Exchange hashpartitioning\(", text)) == 1, text
+            assert "Exchange" not in text[text.index("SortMergeJoin") :], text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = equipment.equipment_stats(steps.dedup_steps(h), i, "SPOT")
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, plain.collect()))
