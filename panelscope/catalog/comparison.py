@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from panelscope.catalog.registry import listed, query, rounded
@@ -13,7 +15,7 @@ from panelscope.operators.panels import panels_in_buckets, panels_per_step
 from panelscope.plans.batch import TARGET_KEY, batch_analysis, membership, target_pairs
 from panelscope.plans.ranking import RANK_ORDER, equipment_ranking, ranking_rows
 from panelscope.plans.target import target_analysis
-from panelscope.session import scratch_path
+from panelscope.session import scratch_path, settle
 from panelscope.sources.export import grids
 from panelscope.sources.facts import write_facts
 
@@ -106,6 +108,28 @@ def inspection_page(spark, sf):
     return positions.page(rows, [F.col(c).asc_nulls_last() for c in order], limit=100, offset=50)
 
 
+PAGED = ("inspection_end_ymdhms", "panel_id", "process_code", "product_id", "defect_name")
+
+
+@query(
+    "inspection_pages",
+    with_facts(
+        f"""SELECT {', '.join(PAGED)}, (ROW_NUMBER() OVER (ORDER BY {', '.join(PAGED)}) - 1) // 2000 AS page
+            FROM inspection WHERE defect_name = 'LINE-DARK'"""
+    ),
+)
+def inspection_pages(spark, sf):
+    """All pages of 2,000 rows, each one found by the last row of the page before."""
+    rows = settle(steps.inspections(inspection(spark, sf), defect="LINE-DARK").select(*PAGED), "paged")
+    schema, path, token = rows.schema.add("page", "long"), scratch_path(spark, "pages"), None
+    for n in itertools.count():
+        found = positions.page_after(rows, PAGED, 2000, token).collect()
+        spark.createDataFrame([(*r, n) for r in found], schema).write.mode("append").parquet(path)
+        if len(found) < 2000:
+            return spark.read.schema(schema).parquet(path)
+        token = positions.next_token(found, PAGED, token)
+
+
 @query(
     "inspection_page_info",
     with_facts(

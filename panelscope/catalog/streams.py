@@ -87,3 +87,45 @@ def streamed_without_copies(spark, sf):
     jobs.dedup_stream(stream, path, checkpoint, "ts", ["event_id"]).awaitTermination()
     rows = spark.read.parquet(path)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+# two increments, the later half of the time first; the rest is behind the watermark but for its last days
+_EVENT_PARTS = """parts AS (SELECT *, ts >= (SELECT MIN(ts) + (MAX(ts) - MIN(ts)) / 2 FROM events) AS first FROM events),
+  closed AS (SELECT MAX(ts) - INTERVAL 2 DAY AS mark FROM parts WHERE first)"""
+
+
+def _late_first(spark, sf, name):
+    """The table of rows on time and late ones, and the schema of its rows."""
+    source, (path, checkpoint) = scratch_path(spark, "events"), _paths(spark, name)
+    events = table(spark, sf, "events")
+    middle = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2)).scalar()
+    for part in (F.col("ts") >= middle, F.col("ts") < middle):
+        events.where(part).write.mode("append").parquet(source)
+        jobs.split_late_stream(jobs.file_source(spark, source, events.schema), path, checkpoint, "ts").awaitTermination()
+    # the last batch once more, as after a lost checkpoint
+    delete(spark, f"{checkpoint}/commits/1")
+    jobs.split_late_stream(jobs.file_source(spark, source, events.schema), path, checkpoint, "ts").awaitTermination()
+    return path, events.schema
+
+
+@query(
+    "streamed_late_rows",
+    f"""WITH {_EVENT_PARTS}
+    SELECT event_type, NOT first AND date_trunc('day', ts) + INTERVAL 1 DAY <= mark AS late, COUNT(*) AS n, COUNT(DISTINCT event_id) AS ids
+    FROM parts, closed GROUP BY ALL""",
+)
+def streamed_late_rows(spark, sf):
+    rows = jobs.split_rows(spark, *_late_first(spark, sf, "late"))
+    return rows.groupBy("event_type", "late").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("streamed_trend_with_late_rows", f"SELECT * FROM ({DAILY}) WHERE CAST(work_date AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT MAX(ts) - INTERVAL 2 DAY FROM events)")
+def streamed_trend_with_late_rows(spark, sf):
+    """Closed days from the rows on time, and the late rows added to them."""
+    split, schema = _late_first(spark, sf, "late-trend")
+    path, checkpoint = _paths(spark, "closed")
+    keys = ["event_type"]
+    on_time = f"{split}/batch_id=*/late=false"
+    jobs.trend_stream(jobs.file_source(spark, on_time, schema), path, checkpoint, "ts", keys, "value", mode="append").awaitTermination()
+    trend = jobs.with_late_rows(spark.read.parquet(path), jobs.split_rows(spark, split, schema, late=True), "ts", keys, "value")
+    return trend.withColumn("total", F.round("total", 2))

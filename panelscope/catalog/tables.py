@@ -16,8 +16,8 @@ from panelscope.plans.batch import batch_analysis
 from panelscope.functions.clean import hash_bucket
 from panelscope.plans.daily import accumulate, applied_loads, read_totals, refresh_mart
 from panelscope.plans.ranking import equipment_ranking
-from panelscope.session import scratch_path, settle
-from panelscope.sources import export, extract, lake
+from panelscope.session import delete, scratch_path, settle
+from panelscope.sources import export, extract, lake, loads
 
 # ---- lake ----------------------------------------------------------------------------------------
 
@@ -209,6 +209,41 @@ def incremental_load(spark, sf):
     return rows.groupBy("facility_code").agg(F.count("*").alias("n"), F.min(ts).alias("first_time"))
 
 
+def _loaded(spark, sf, name):
+    """Loads of a year each, of everything before 1999."""
+    h, root = history(spark, sf), scratch_path(spark, name)
+    for year in range(1992, 1999):
+        loads.write_load(h.where(F.year("move_in_ymdhms") == year), root, str(year), "move_in_ymdhms")
+    return h, root
+
+
+@query(
+    "incremental_load_by_marks",
+    with_facts(
+        """SELECT h.facility_code, COUNT(*) AS n, MIN(move_in_ymdhms) AS first_time FROM history h
+           JOIN (SELECT facility_code, MAX(move_in_ymdhms) AS mark FROM history WHERE move_in_ymdhms < TIMESTAMP '1999-01-01' GROUP BY 1) m
+             USING (facility_code)
+           WHERE h.move_in_ymdhms > m.mark AND h.move_in_ymdhms <= TIMESTAMP '2001-01-01' GROUP BY ALL"""
+    ),
+)
+def incremental_load_by_marks(spark, sf):
+    h, root = _loaded(spark, sf, "loads")
+    rows = loads.new_rows(h, root, "move_in_ymdhms", dt.datetime(2001, 1, 1))
+    return rows.groupBy("facility_code").agg(F.count("*").alias("n"), F.min("move_in_ymdhms").alias("first_time"))
+
+
+@query(
+    "recorded_marks",
+    with_facts("SELECT facility_code, COUNT(*) AS row_count, MAX(move_in_ymdhms) AS high_water FROM history WHERE move_in_ymdhms < TIMESTAMP '1999-01-01' GROUP BY ALL"),
+)
+def recorded_marks(spark, sf):
+    """With one load written twice and one of which the marks are lost."""
+    h, root = _loaded(spark, sf, "marks")
+    loads.write_load(h.where(F.year("move_in_ymdhms") == 1995), root, "1995", "move_in_ymdhms")
+    delete(spark, f"{root}/{loads.MARKS}/load=1998")
+    return loads.marks(spark, root, "move_in_ymdhms")
+
+
 @query(
     "first_load",
     with_facts(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelscope.session import settle
 
@@ -121,6 +124,68 @@ def page(df: DataFrame, order: Sequence[Column], limit: int = 100, offset: int =
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+class PageToken(NamedTuple):
+    """Where a page ended: the order columns of its last row, and how many rows with these values were given."""
+
+    key: tuple
+    given: int
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    return F.lit(str(value) if isinstance(value, dt.date) else value).cast(kind)
+
+
+def _from_key(df: DataFrame, order: Sequence[str], key: Sequence) -> Column:
+    """Rows at or behind a key in ascending order, NULL last.
+
+    The first column's part stands alone, so that it reaches the scan as a range.
+    """
+    first, *_ = order
+    behind = F.lit(True)  # all later columns equal
+    for name, value in reversed(list(zip(order, key, strict=True))):
+        column = F.col(name)
+        if value is None:
+            behind = column.isNull() & behind
+        else:
+            at = _literal(value, df.schema[name].dataType)
+            behind = (column > at) | column.isNull() | ((column == at) & behind)
+    if key[0] is None:
+        return F.col(first).isNull() & behind
+    return ((F.col(first) >= _literal(key[0], df.schema[first].dataType)) | F.col(first).isNull()) & behind
+
+
+def page_after(df: DataFrame, order: Sequence[str], limit: int = 100, token: PageToken | None = None) -> DataFrame:
+    """The page behind a token, the first one without.
+
+    Unlike an offset, which sorts all pages before again, the token is a filter on the order columns.  Rows that
+    are equal in all of them have to be equal in every column, as only their number is remembered.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    rows = df if token is None else df.where(_from_key(df, order, token.key))
+    rows = rows.orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return (rows.offset(token.given) if token else rows).limit(limit)
+
+
+def next_token(rows: Sequence[Row], order: Sequence[str], token: PageToken | None = None) -> PageToken | None:
+    """The token behind the rows of a page that ``token`` led to; None behind an empty page."""
+    if not rows:
+        return None
+    key = tuple(rows[-1][c] for c in order)
+    given = sum(tuple(r[c] for c in order) == key for r in rows)
+    return PageToken(key, given + (token.given if token and token.key == key else 0))
+
+
+def pages(df: DataFrame, order: Sequence[str], limit: int = 100) -> Iterator[list[Row]]:
+    """All pages one after the other, for a reader that shows or sends them; only one is held at a time."""
+    token = None
+    while rows := page_after(df, order, limit, token).collect():
+        yield rows
+        if len(rows) < limit:
+            return
+        token = next_token(rows, order, token)
+
+
 def page_info(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     """limit, offset, total_count and has_more of a paged result."""
     total = F.count("*")

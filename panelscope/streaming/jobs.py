@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from panelscope.operators.mart import PRODUCT, glass_defects, panel_counts, with_steps
 from panelscope.operators.steps import rows_of
+from panelscope.session import exists
 from panelscope.sources.lake import write_mart_days
 
 # Folder of merged counts; Spark's readers skip names that begin with an underscore.
@@ -138,6 +139,72 @@ def merged_counts(spark: SparkSession, path: str, days: Sequence = (), upto: int
     return rows.groupBy(*keys).agg(*sums)
 
 
+# Folder with the newest time seen up to each batch.
+SEEN = "_seen"
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """Keep the state of streaming queries that start from now on in RocksDB instead of executor memory.
+
+    State may then be larger than memory; a batch checkpoints its changes only.  A query goes on with
+    the store it was first started with.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def split_late_stream(
+    src: DataFrame, path: str, checkpoint: str, ts: str, delay: str = "2 days", trigger: dict | None = None
+) -> StreamingQuery:
+    """Write rows in folders by batch and by whether they are late, so that none is lost.
+
+    A row is late if its day ended ``delay`` or more before the newest time of all earlier batches: from then on a trend
+    with this watermark has closed its day.  Rows without a time are on time.  A batch is written in one pass and the
+    newest time is read from what it wrote; a batch that is retried compares with the batches before it only and
+    overwrites what it wrote.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark, own = batch.sparkSession, f"{path}/batch_id={batch_id}"
+        before = _seen(spark, path, batch_id)
+        late = F.lit(False)
+        if before is not None:
+            day_end = F.date_trunc("day", F.col(ts)) + F.expr("interval 1 day")
+            closed = F.lit(str(before)).cast("timestamp_ntz") - F.expr(f"interval {delay}")
+            late = F.coalesce(day_end.cast("timestamp_ntz") <= closed, F.lit(False))
+        batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(own)
+        newest = spark.read.schema(batch.schema).parquet(own).agg(F.max(F.col(ts).cast("timestamp_ntz")).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/{SEEN}/batch_id={batch_id}")
+
+    writer = src.writeStream.option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or AVAILABLE_NOW)).foreachBatch(split).start()
+
+
+def _seen(spark: SparkSession, path: str, batch_id: int):
+    """Newest time of the batches before this one; None if there is none."""
+    if not exists(spark, f"{path}/{SEEN}"):
+        return None
+    seen = spark.read.schema("newest timestamp_ntz, batch_id long").parquet(f"{path}/{SEEN}")
+    return seen.where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+
+
+def split_rows(spark: SparkSession, path: str, schema: T.StructType, late: bool | None = None) -> DataFrame:
+    """What ``split_late_stream`` wrote: the rows on time, the late ones, or both with a column that says which."""
+    folders = T.StructType([*schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch_id", T.LongType())])
+    rows = spark.read.schema(folders).option("basePath", path).parquet(path).drop("batch_id")
+    return rows if late is None else rows.where(F.col("late") == late).drop("late")
+
+
+def with_late_rows(final: DataFrame, late: DataFrame, ts: str, keys: Sequence[str], value: str | None = None) -> DataFrame:
+    """A trend of closed days with the late rows added to it."""
+    columns = ["work_date", *keys]
+    sums = [F.sum(value).alias("total")] if value else []
+    more = late.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("work_date"), *keys).agg(F.count("*").alias("n"), *sums)
+    names = ["n", *(["total"] if value else [])]
+    both = final.select(*columns, *names).unionByName(more.select(*columns, *names))
+    return both.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in names])
+
+
 def daily_trend(
     src: DataFrame, ts: str, keys: Sequence[str], value: str | None = None, watermark: str = "2 days"
 ) -> DataFrame:

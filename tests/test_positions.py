@@ -1,9 +1,10 @@
 """Numbering, thinning and paging against plain windows."""
 
 import random
+import re
 
 import pytest
-from conftest import rows
+from conftest import at, rows
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -102,3 +103,22 @@ def test_worst_and_best(spark):
     got = worst_best(df, 2)
     assert rows(got.where("side = 'worst'"), "n") == [(0,), (1,)]
     assert rows(got.where("side = 'best'"), "n") == [(6,), (7,)]
+
+
+def test_pages_by_key_equal_the_whole_order(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(rng.choice([None, 1, 2, 2, 3]), rng.choice([None, "a", "b"]), rng.choice([None, at("2026-01-01T00:00:00"), at("2026-01-02T12:00:00.5")])) for _ in range(120)]
+    schema = "a int, b string, c timestamp_ntz"
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "rows"))
+    df, order = spark.read.parquet(str(tmp_path / "rows")), ("a", "b", "c")
+    want = [tuple(r) for r in df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).collect()]
+    for limit in (7, 40, 120, 500):
+        found = list(positions.pages(df, order, limit))
+        assert [tuple(r) for page in found for r in page] == want
+        assert all(len(page) == limit for page in found[:-1])
+    second = positions.page_after(df, order, 7, positions.PageToken((2, "a", None), 1))
+    pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", second._jdf.queryExecution().executedPlan().toString())
+    assert "GreaterThanOrEqual(a,2)" in pushed[0], pushed
+    with pytest.raises(ValueError):
+        positions.page_after(df, order, 0)
+    assert positions.next_token([], order) is None

@@ -9,8 +9,8 @@ from conftest import at, rows
 from pyspark.sql import functions as F
 
 from panelscope.plans import daily
-from panelscope.session import release, scratch_root, settle
-from panelscope.sources import export, extract, lake
+from panelscope.session import delete, release, scratch_root, settle
+from panelscope.sources import export, extract, lake, loads
 
 DAYS = ["2026-01-01T05:00:00", "2026-01-02T06:00:00", "2026-02-01T00:00:00"]
 
@@ -313,3 +313,25 @@ def test_a_cluster_has_to_name_its_shared_folder():
     assert scratch_root(chosen) == "/shared/other"
     local = Session("local[2]")
     assert scratch_root(local) == scratch_root(local)
+
+
+def test_marks_of_loads_read_no_older_load(spark, history, tmp_path):
+    root, ts = str(tmp_path / "loads"), "move_in_ymdhms"
+    assert loads.marks(spark, root, ts).count() == 0
+    for n in range(1, 4):
+        rows_ = [(f"P{n}{k}", "1000", "A1CVD000", f"2026-01-0{n}T0{k}:00:00") for k in range(n)]
+        loads.write_load(history(rows_), root, f"day-{n}", ts)
+    marks = loads.marks(spark, root, ts)
+    assert rows(marks) == [("A1T", 6, at("2026-01-03T02:00:00"))]
+    assert all(loads.MARKS in f for f in marks.inputFiles())
+    # an older load whose files are gone does not matter, one that was not recorded is read, one written again counts once
+    source = history([("P9", "1000", "A1CVD000", "2026-01-03T02:00:00"), ("P9", "2000", "A1CVD000", "2026-01-04T00:00:00")])
+    delete(spark, f"{root}/{loads.MARKS}/load=day-3")
+    assert loads.record(spark, root, ts) == ["day-3"] and loads.record(spark, root, ts) == []
+    loads.write_load(history([("P1", "1000", "A1CVD000", "2026-01-01T00:00:00")]), root, "day-1", ts)
+    assert rows(loads.marks(spark, root, ts)) == [("A1T", 6, at("2026-01-03T02:00:00"))]
+    fresh = loads.new_rows(source, root, ts, at("2026-02-01T00:00:00"))
+    assert rows(fresh, "process_code") == [("2000",)]
+    assert loads.read_loads(spark, root).count() == 6
+    with pytest.raises(ValueError):
+        loads.write_load(source, root, "a/b", ts)

@@ -124,3 +124,43 @@ def test_copies_are_dropped(spark, tmp_path, paths, salts):
     got = spark.read.parquet(paths[0])
     assert got.columns == ["id", "ts", "kind", "value"]
     assert rows(got, "id") == [(k,) for k in sorted(range(20), key=lambda k: repr((k,)))]
+
+
+def test_late_rows_go_beside_the_others(spark, tmp_path, paths):
+    source = str(tmp_path / "source")
+    parts = [
+        [(1, at("2026-01-10T12:00:00"), "a", 1.0), (2, None, "a", 1.0)],
+        # the 10th at noon minus two days closes the 7th but not the 8th
+        [(3, at("2026-01-07T23:00:00"), "a", 1.0), (4, at("2026-01-08T01:00:00"), "b", 1.0), (5, at("2026-01-20T00:00:00"), "a", 1.0)],
+        [(6, at("2026-01-17T23:59:59"), "b", 2.0), (7, at("2026-01-18T00:00:00"), "b", 1.0), (8, None, None, None)],
+    ]
+
+    def run():
+        src = jobs.file_source(spark, source, schema)
+        jobs.split_late_stream(src, *paths, "ts").awaitTermination()
+        return rows(jobs.split_rows(spark, paths[0], schema), "id", "late")
+
+    for part in parts:  # each run goes on after a restart
+        write(spark, source, part)
+        schema = spark.read.parquet(source).schema
+        found = run()
+    want = [(n, n in (3, 6)) for n in range(1, 9)]
+    assert found == want
+    for batch in (2, 1):
+        delete(spark, f"{paths[1]}/commits/{batch}")
+    assert run() == want  # batches that are run again split as before
+    late = jobs.split_rows(spark, paths[0], schema, late=True)
+    trend = jobs.with_late_rows(spark.createDataFrame([("2026-01-07", "a", 2, 5.0)], "work_date string, kind string, n long, total double"), late, "ts", ["kind"], "value")
+    assert rows(trend) == [("2026-01-07", "a", 3, 6.0), ("2026-01-17", "b", 1, 2.0)]
+
+
+def test_copies_are_dropped_after_a_restart_with_state_in_rocksdb(spark, tmp_path, paths):
+    session, source = spark.newSession(), str(tmp_path / "source")
+    jobs.rocksdb_state(session)
+    for n in range(3):
+        write(session, source, [(k, at("2026-01-01T00:00:00"), "a", 1.0) for k in range(n + 2)] * 2)
+        src = jobs.file_source(session, source, session.read.parquet(source).schema)
+        jobs.dedup_stream(src, *paths, "ts", ["id"]).awaitTermination()
+        assert rows(session.read.parquet(paths[0]), "id") == [(k,) for k in range(n + 2)]
+    changes = [f for f in (tmp_path / "checkpoint" / "state").rglob("*.changelog")]
+    assert changes
