@@ -18,6 +18,8 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -80,17 +82,34 @@ def _windows(tokens: list[int], marked: bytearray, size: int) -> Iterator[tuple[
             yield n - size + 1, key
 
 
+def _free(covered: bytearray, taken: bytearray, p: int, t: int, k: int) -> list[tuple[int, int]]:
+    """(offset, length) of the stretches of a match without a marked word."""
+    if 1 not in covered[p : p + k] and 1 not in taken[t : t + k]:
+        return [(0, k)]
+    marked = bytes(map(or_, covered[p : p + k], taken[t : t + k]))
+    return [(m.start(), m.end() - m.start()) for m in re.finditer(b"\0+", marked)]
+
+
 def tile(item: list[int], text: list[int], taken: bytearray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item start, text start, length); words of ``text`` marked in ``taken`` are left out."""
+    """Greedy tiles (item start, text start, length), always the longest match that is left.
+
+    Equally long ones go by item start, then text start.  What earlier tiles leave of a match waits for its turn
+    by its new length.  Words of ``text`` marked in ``taken`` are left out.
+    """
     covered, tiles, size = bytearray(len(item)), [], max(least, min(FIRST_WINDOW, len(item)))
     while True:
-        found = _matches(item, text, covered, taken, size)
-        for k, p, t in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not any(covered[p : p + k]) and not any(taken[t : t + k]):
-                covered[p : p + k] = taken[t : t + k] = b"\1" * k
-                tiles.append((p, t, k))
-        if found:
-            continue  # what overlapped a tile may go on as a shorter run
+        queue = [(-k, p, t) for k, p, t in _matches(item, text, covered, taken, size)]
+        heapify(queue)
+        while queue:
+            k, p, t = heappop(queue)
+            rest = _free(covered, taken, p, t, -k)
+            if rest == [(0, -k)]:
+                covered[p : p - k] = taken[t : t - k] = b"\1" * -k
+                tiles.append((p, t, -k))
+                continue
+            for at, left in rest:
+                if left >= size:  # shorter ones are found again with the next window
+                    heappush(queue, (-left, p + at, t + at))
         if size == least:
             return sorted(tiles)
         size = max(least, size // 2)
