@@ -695,3 +695,21 @@ def batch_of_worst_equipment(spark, sf):
     return batch_analysis(h, i, pairs, Request()).metrics.select(
         "equipment_line_id", "process_code", "target_glass_count"
     )
+
+
+@query(
+    "batch_of_target_frame",
+    with_facts(
+        """WITH chosen AS (SELECT DISTINCT equipment_line_id, process_code, product_id FROM history WHERE equipment_line_id LIKE 'A1%'),
+             found AS (SELECT product_id, COUNT(panel_id) AS n FROM inspection GROUP BY ALL),
+             lots AS (SELECT product_id, MAX((move_in_ymdhms, lot_id))[2] AS lot_id FROM history GROUP BY ALL)
+           SELECT equipment_line_id, process_code, COUNT(*) AS products, COUNT(DISTINCT lot_id) AS lots, CAST(SUM(COALESCE(n, 0)) AS BIGINT) AS defects
+           FROM chosen JOIN lots USING (product_id) LEFT JOIN found USING (product_id) GROUP BY ALL"""
+    ),
+)
+def batch_of_target_frame(spark, sf):
+    """Every equipment of a plant as a target, named by a frame."""
+    h, i = _facts(spark, sf)
+    result = batch_analysis(h, i, h.where(F.col("equipment_line_id").startswith("A1")).select(*TARGET_KEY), Request())
+    own = result.glass.groupBy(*TARGET_KEY)
+    return own.agg(F.count("*").alias("products"), F.countDistinct("lot_id").alias("lots"), F.sum("total_defects").alias("defects"))

@@ -403,6 +403,16 @@ def hierarchy_of_products_and_days(spark, sf):
     return _flat(hierarchy_analysis(mart(spark, sf), params))
 
 
+@query(
+    "hierarchy_of_product_frame",
+    analysis_sql("line", "product_id IN (SELECT product_id FROM history WHERE equipment_line_id LIKE 'A1CVD%') AND facility_code = 'A1T'"),
+)
+def hierarchy_of_product_frame(spark, sf):
+    """Products of any number as a frame."""
+    products = history(spark, sf).where(F.col("equipment_line_id").startswith("A1CVD"))
+    return _flat(hierarchy_analysis(mart(spark, sf), HierarchyParams(facility_code="A1T", analysis_level="line", products=products)))
+
+
 @query("hierarchy_of_path", analysis_sql("path", "equipment_path_id = 'A1CVD0040404'"))
 def hierarchy_of_path(spark, sf):
     return _flat(hierarchy_analysis(mart(spark, sf), HierarchyParams(equipment_path_id="A1CVD0040404")))

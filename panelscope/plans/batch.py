@@ -9,11 +9,11 @@ share one row per lot.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ from panelscope.operators.glass import Request, glass_rows, metrics, product_cel
 from panelscope.operators.positions import numbered, others_stride, stride
 from panelscope.session import settle
 
+Targets = Iterable[tuple[str, str]] | DataFrame
 TARGET_KEY = ["equipment_line_id", "process_code"]
 
 
@@ -46,25 +47,32 @@ def target_pairs(targets: DataFrame) -> list[tuple[str, str]]:
     return [tuple(r) for r in targets.select(*TARGET_KEY).collect()]
 
 
-def membership(h: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Distinct (equipment, process, product) of the target steps."""
+def target_frame(spark: SparkSession, targets: Targets) -> DataFrame:
+    """Distinct targets as a frame: a list becomes a local table, a frame of any size is written once."""
+    if isinstance(targets, DataFrame):
+        return settle(targets.select(*[F.col(c).cast("string") for c in TARGET_KEY]).dropna().distinct(), "targets")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in TARGET_KEY])
-    targets = h.sparkSession.createDataFrame(pairs, schema)
-    return h.select(*TARGET_KEY, "product_id").join(targets, TARGET_KEY, "left_semi").distinct()
+    return spark.createDataFrame(list(dict.fromkeys((str(e), str(p)) for e, p in targets)), schema)
+
 
+def membership(h: DataFrame, targets: Targets) -> DataFrame:
+    """Distinct (equipment, process, product) of the target steps."""
+    frame = target_frame(h.sparkSession, targets)
+    return h.select(*TARGET_KEY, "product_id").join(frame, TARGET_KEY, "left_semi").distinct()
 
-def _per_target(pairs: Sequence[tuple[str, str]]) -> Column:
-    """Generator: one row per target."""
-    one = [F.struct(*[F.lit(v).alias(c) for c, v in zip(TARGET_KEY, p)]) for p in pairs]
-    return F.inline(F.array(*one))
 
+def _split(totals: DataFrame, mine: DataFrame, keys: list[str], counts: list[str], targets: DataFrame) -> DataFrame:
+    """Target and Others rows per target: ``counts`` of ``mine``, and of ``totals`` minus ``mine``.
 
-def _split(totals: DataFrame, mine: DataFrame, keys: list[str], counts: list[str], pairs) -> DataFrame:
-    """Target and Others rows per target: ``counts`` of ``mine``, and of ``totals`` minus ``mine``."""
+    The totals are a row per day or per cell of a grid; each target gets them as one list.
+    """
     key = [*TARGET_KEY, *keys]
     target, others = F.lit("Target").alias("group_type"), F.lit("Others").alias("group_type")
+    listed = totals.agg(F.collect_list(F.struct(*keys, *counts))).scalar()
     rows = (
-        totals.select(_per_target(pairs), *keys, others, *counts)
+        targets.withColumn("_totals", listed)
+        .select(*TARGET_KEY, F.inline("_totals"))
+        .select(*key, others, *counts)
         .unionByName(mine.select(*key, target, *counts))
         .unionByName(mine.select(*key, others, *[(-F.col(c)).alias(c) for c in counts]))
     )
@@ -108,33 +116,33 @@ def _lots(baseline: DataFrame, members: DataFrame) -> DataFrame:
     return target.unionByName(rest).withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
 
 
-def _days(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
+def _days(baseline: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("glass_count"), F.sum("total_defects").alias("total_defects")]
     split = _split(
         baseline.groupBy("work_date").agg(*sums),
         members.groupBy(*TARGET_KEY, "work_date").agg(*sums),
         ["work_date"],
         ["glass_count", "total_defects"],
-        pairs,
+        targets,
     )
     return split.where("glass_count > 0").withColumn("avg_defects", safe_rate("total_defects", "glass_count"))
 
 
-def _cells(cells: DataFrame, members: DataFrame, pairs) -> DataFrame:
+def _cells(cells: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
     sums = [F.sum("n").alias("total_defects"), F.count("product_id").alias("total_glasses")]
     split = _split(
         cells.groupBy("x", "y").agg(*sums),
         cells.join(members, "product_id").groupBy(*TARGET_KEY, "x", "y").agg(*sums),
         ["x", "y"],
         ["total_defects", "total_glasses"],
-        pairs,
+        targets,
     )
     return split.where("total_glasses > 0").withColumn(
         "defect_rate", safe_rate("total_defects", "total_glasses")
     )
 
 
-def _points(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
+def _points(baseline: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
     """Thinned product rows per target, equal to numbering each target's two groups by product.
 
     ``baseline`` is numbered once (_all) and ``members`` within their target (_own).  A member has
@@ -151,10 +159,8 @@ def _points(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
     )
     adds = ahead.groupBy(*TARGET_KEY, "_slot").agg(F.count("*").alias("_members"))
     sizes = members.groupBy(*TARGET_KEY).agg(F.count("*").alias("_mine"))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in TARGET_KEY])
     slots = (
-        baseline.sparkSession.createDataFrame(pairs, schema)
-        .join(sizes, TARGET_KEY, "left")
+        targets.join(sizes, TARGET_KEY, "left")
         .withColumn("_k", others_stride(rows))
         .withColumn("_last", F.floor((rows - F.coalesce("_mine", F.lit(0))) / F.col("_k")).cast("long"))
         .where("_last >= 1")
@@ -180,15 +186,16 @@ def _points(baseline: DataFrame, members: DataFrame, pairs) -> DataFrame:
 
 
 def batch_analysis(
-    h: DataFrame, i: DataFrame, targets: Iterable[tuple[str, str]], req: Request, thin: bool = False
+    h: DataFrame, i: DataFrame, targets: Targets, req: Request, thin: bool = False
 ) -> BatchResult:
     """Product, lot, day, panel and summary results for every (equipment, process) target.
 
     ``glass`` has the products of each target; its others are the rows of ``baseline`` that it does not
-    have.  With ``thin`` it has the points of a plot instead: every k-th row of both groups.
+    have.  With ``thin`` it has the points of a plot instead: every k-th row of both groups.  ``targets`` is a list or,
+    for any number of them, a frame.
     """
-    pairs = list(dict.fromkeys((str(e), str(p)) for e, p in targets))
-    if not pairs:
+    targets = target_frame(h.sparkSession, targets)
+    if targets.isEmpty():
         raise ValueError("at least one target is required")
     req = replace(req, equipment_ids=(), process_codes=())
 
@@ -197,7 +204,7 @@ def batch_analysis(
         baseline = numbered(glass, [F.col("product_id").asc_nulls_last()], "_all")
     else:
         baseline = settle(glass, "glass")
-    passed = membership(h, pairs)
+    passed = membership(h, targets)
     members = passed.join(baseline, "product_id")
     if thin:
         members = numbered(members, [F.col("_all").asc()], "_own", TARGET_KEY)
@@ -205,14 +212,14 @@ def batch_analysis(
         members = settle(members, "target")
     cells = settle(product_cells(h, i, req), "cells")
 
-    daily = _days(baseline, members, pairs)
+    daily = _days(baseline, members, targets)
     rows = ["product_id", "lot_id", "work_date", "total_defects"]
     own = members.select(*TARGET_KEY, *rows, F.lit("Target").alias("group_type"))
     return BatchResult(
-        glass=_points(baseline, members, pairs) if thin else own,
+        glass=_points(baseline, members, targets) if thin else own,
         lot=_lots(baseline, members),
         daily=daily,
-        heatmap=_cells(cells, passed, pairs),
+        heatmap=_cells(cells, passed, targets),
         metrics=metrics(daily, TARGET_KEY),
         baseline=baseline.select(*rows),
         lot_baseline=_all_lots(baseline),

@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.predicates import any_of, date_between, equals_nfc, in_folders, process_filter
 from panelscope.operators.nodes import NODE, node_maps, node_summary
+from panelscope.operators.steps import rows_of
 
 
 @dataclass(frozen=True)
 class HierarchyParams:
-    """Filters of a hierarchy analysis; empty fields do not filter."""
+    """Filters of a hierarchy analysis; empty fields do not filter.
+
+    Products come as a list or, in any number, as a frame with their ids; rows of both must be in both.
+    """
 
     start: str = ""
     end: str = ""
@@ -28,6 +32,11 @@ class HierarchyParams:
     equipment_path_id: str = ""
     analysis_level: str = ""
     date_type: str = "inspection"
+    products: DataFrame | None = None
+
+
+# Longer lists of products are joined as a table instead of being written into the plan.
+LONG_LIST = 1_000
 
 
 def level_of(params: HierarchyParams) -> str:
@@ -43,7 +52,8 @@ def level_of(params: HierarchyParams) -> str:
 def hierarchy_filter(mart: DataFrame, params: HierarchyParams) -> DataFrame:
     """Mart rows of the request; all given filters must hold."""
     wanted = equals_nfc("defect_name", params.defect_name)
-    wanted &= any_of("product_id", params.product_ids)
+    long_list = len(params.product_ids) > LONG_LIST
+    wanted &= any_of("product_id", () if long_list else params.product_ids)
     wanted &= date_between(params.date_type, params.start, params.end)
     if params.date_type != "work" and params.start and params.end:
         wanted &= in_folders(mart, "inspection_time", [(params.start, params.end)])
@@ -53,7 +63,13 @@ def hierarchy_filter(mart: DataFrame, params: HierarchyParams) -> DataFrame:
     for column in NODE[1:]:
         value = getattr(params, column)
         wanted &= any_of(column, [value] if value else [])
-    return mart.where(wanted)
+    rows = mart.where(wanted)
+    if long_list:
+        listed = mart.sparkSession.createDataFrame([(str(p),) for p in params.product_ids], "product_id string")
+        rows = rows_of(rows, listed, ["product_id"])
+    if params.products is not None:
+        rows = rows_of(rows, params.products, ["product_id"])
+    return rows.select(*mart.columns)
 
 
 def hierarchy_analysis(

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from panelscope.operators import equipment, glass, steps
 from panelscope.operators.glass import Request
+from panelscope.operators.mart import build_glass_stats
 from panelscope.plans.batch import batch_analysis
+from panelscope.plans.hierarchy import HierarchyParams, hierarchy_filter
 from panelscope.plans.ranking import equipment_ranking
 from panelscope.plans.target import target_analysis
 from panelscope.sources.export import ndjson_rows, result_json
@@ -253,9 +255,43 @@ def test_batch_thins_like_a_single_plot(spark, history, inspection):
         assert {product for name, product in got if name == e} == members | set(others)
 
 
-def test_batch_needs_targets(facts):
-    with pytest.raises(ValueError):
-        batch_analysis(*facts, [], Request())
+def test_batch_needs_targets(spark, facts):
+    none = spark.createDataFrame([(None, "1000")], "equipment_line_id string, process_code string")
+    for targets in ([], none):
+        with pytest.raises(ValueError):
+            batch_analysis(*facts, targets, Request())
+
+
+@pytest.mark.parametrize("thin", [False, True])
+def test_targets_of_a_frame_are_those_of_a_list(spark, facts, thin):
+    pairs = [("A1CVD000", "1000"), ("A1CVD002", "3000"), ("NONE", "1000"), ("A1CVD000", "1000")]
+    frame = spark.createDataFrame([(p, "x", e) for e, p in [*pairs, (None, "1000")]], "process_code string, extra string, equipment_line_id string")
+    listed, framed = (batch_analysis(*facts, t, Request(), thin=thin) for t in (pairs, frame))
+    for name, part in listed.parts().items():
+        assert rows(part) == rows(getattr(framed, name), *part.columns), name
+
+
+def test_long_requests_stay_out_of_the_plan(spark, facts, tmp_path):
+    h, i = facts
+
+    def size(targets):
+        result = batch_analysis(h, i, targets, Request())
+        return len(result.daily._jdf.queryExecution().analyzed().toString())
+
+    many = [(f"E{n}", "1000") for n in range(1000)]
+    assert size(spark.createDataFrame(many, "equipment_line_id string, process_code string")) < 1.2 * size(many[:1])
+
+    mart = build_glass_stats(i, h)
+    mart.write.parquet(str(tmp_path / "mart"))
+    mart = spark.read.parquet(str(tmp_path / "mart"))
+    wanted = sorted({r[0] for r in mart.select("product_id").collect()})[::2]
+    ids = [*wanted, *(f"gone{n}" for n in range(100_000))]
+    frame = spark.createDataFrame([(p,) for p in ids], "product_id string")
+    few = rows(hierarchy_filter(mart, HierarchyParams(product_ids=wanted)))
+    for params in (HierarchyParams(product_ids=ids), HierarchyParams(products=frame), HierarchyParams(product_ids=ids, products=frame)):
+        found = hierarchy_filter(mart, params)
+        assert rows(found) == few and few
+        assert len(found._jdf.queryExecution().analyzed().toString()) < 10_000
 
 
 def test_documents_and_lines(spark, facts):
