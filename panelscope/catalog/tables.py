@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelscope.catalog.cleaning import BUCKET_SQL
 from panelscope.catalog.comparison import PAIRS, PERIOD, TARGET, batch_sql, equipment_sql, target_sql
 from panelscope.catalog.marts import LAYOUT, flag_sql
-from panelscope.catalog.registry import listed, query
+from panelscope.catalog.registry import ORACLES, listed, query, rounded
 from panelscope.catalog.views import history, inspection, mart, part_no, pnl_map, table, with_facts, with_mart
 from panelscope.operators import glass, layout, mart as marts, updates
 from panelscope.plans.batch import batch_analysis
@@ -320,6 +321,42 @@ def _defects(payload):
     return F.when(F.size(counts) > 0, F.aggregate(counts, F.lit(0).cast("long"), lambda acc, n: acc + n))
 
 
+def _parsed(payloads, part):
+    """Records of JSON payloads as rows of the part they came from."""
+    keys = ["equipment_line_id", "process_code"]
+    kind = T.ArrayType(T.StructType([f for f in part.schema if f.name not in keys]))
+    return payloads.select(*keys, F.inline(F.from_json("payload", kind)))
+
+
+def _document_query(name: str, oracle: str, *doubles: str) -> None:
+    """Whole records of a part: written as JSON in chunks, parsed, and compared like the part itself."""
+
+    @query(f"result_documents_of_{name}", oracle)
+    def documents(spark, sf):
+        req = glass.Request(*PERIOD, defect_name="LINE-DARK")
+        part = getattr(batch_analysis(history(spark, sf), inspection(spark, sf), PAIRS, req), name)
+        return rounded(_parsed(export.result_json({name: part}, records=1000), part), *doubles)
+
+
+_document_query("glass", ORACLES["batch_glass_full"])
+_document_query("lot", ORACLES["batch_lot"], "avg_defects")
+_document_query("daily", ORACLES["batch_daily"], "avg_defects")
+_document_query("heatmap", ORACLES["batch_heatmap"], "defect_rate")
+
+
+@query("result_lines_of_daily", ORACLES["batch_daily"])
+def result_lines_of_daily(spark, sf):
+    """Whole records of a part of the result lines, from the written file."""
+    path, req = scratch_path(spark, "ndjson"), glass.Request(*PERIOD, defect_name="LINE-DARK")
+    parts = batch_analysis(history(spark, sf), inspection(spark, sf), PAIRS, req).parts()
+    targets = spark.createDataFrame(PAIRS, "equipment_line_id string, process_code string")
+    export.ndjson(export.result_json(parts, records=1000), targets, path)
+    schema = "equipment_id string, process_code string, chunk int, result map<string,string>, error string"
+    lines = spark.read.schema(schema).json(path).withColumnRenamed("equipment_id", "equipment_line_id")
+    payloads = lines.select("equipment_line_id", "process_code", F.col("result")["daily"].alias("payload"))
+    return rounded(_parsed(payloads, parts["daily"]), "avg_defects")
+
+
 @query(
     "result_lines",
     batch_sql(
