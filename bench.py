@@ -24,6 +24,7 @@ from panelscope.plans.batch import batch_analysis, target_pairs
 from panelscope.plans.hierarchy import HierarchyParams, hierarchy_analysis
 from panelscope.plans.ranking import equipment_ranking
 from panelscope.session import scratch_path
+from panelscope.sources.facts import write_facts
 from panelscope.sources.lake import write_version
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -80,6 +81,7 @@ def main() -> None:
     h, i = (spark.read.parquet(path) for path in ingest())
     mart = spark.read.parquet(build_mart())
     layout = model_layout(views.part_no(spark, SF_DIR), views.pnl_map(spark, SF_DIR))
+    facts = write_facts(h, i, f"{lake}/facts", buckets=int(CPUS) * 2)
     targets = target_pairs(first_targets(equipment_ranking(h, i)))
     week = Request("1997-06-01", "1997-06-07", equipment_ids=TARGET.equipment_ids)
     one_line = HierarchyParams(
@@ -91,6 +93,7 @@ def main() -> None:
         "equipment_ranking_top100": lambda: drain(equipment_ranking(h, i, limit=100)),
         "equipment_ranking_all": lambda: drain(equipment_ranking(h, i)),
         "equipment_ranking_of_defect": lambda: drain(equipment_ranking(h, i, *PERIOD, defect="SPOT", limit=100)),
+        "equipment_ranking_of_buckets": lambda: drain(equipment_ranking(facts.history, facts.inspection, shared=facts.shared)),
         "mart_build": build_mart,
         "flag_mart_build": lambda: drain(build_flag_mart(h, i)),
         "full_grid": lambda: drain(full_grid(mart, layout)),
