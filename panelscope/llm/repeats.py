@@ -7,8 +7,12 @@ smallest document that contains it.  All windows of a phrase that came in a smal
 without a look at them.  That settles copies of any length by one row per phrase.
 
 Left are dictionary phrases around the same trigger that differ in their bytes, at the ends of passages and at edits.
-Their windows are sorted as suffixes of the dictionary by their first ``LENGTH`` bytes (by hash: corpus order is needed only as
-far as it puts equal strings together), and of equal ones the smallest document is the first.
+Their suffixes are sorted by their first ``LENGTH`` bytes, by prefix doubling, and those that share them by document: this is
+the corpus order of the windows of a trigger.  A window never leaves its phrase, so the parse adds to the order only which documents
+have the phrase.  Neighbours with ``LENGTH`` common bytes are copies, and of those the smallest document is the first.
+
+No group holds more than the distinct phrases or windows of a bounded share of the hashes: phrases are dealt by phrase, triggers are
+summed up per task, and the windows of a trigger with ``HOT`` phrases or more are dealt one by one and reduced per task first.
 
 Triggers that occur in one document only are left out by a filter that never misses a recurring one.
 
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelscope.llm.common import by_bytes, conform, read, settle
-from panelscope.llm.hashing import BYTE_VALUES, mix, prefix, rolling, span
+from panelscope.llm.hashing import BYTE_VALUES, hashed_spans, mix, prefix, rolling, span
 from panelscope.llm.recurring import BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS, Filter, positions, power_of_two, low_part, recurring
 from panelscope.llm.registry import query
 
@@ -42,9 +46,13 @@ SEGMENT, CHUNK = 1 << 16, 1 << 17
 SLICE = 1 << 18
 #: Bytes of phrases that a task gathers before it sends them to be compared.
 CONTEXT_BYTES = 8 << 20
-#: Result kinds of the dictionary step.
-REPEATED, WANTED = 0, 1
-#: Groups for results that need no further step.
+#: From so many phrases on, the windows of a trigger are dealt one by one; and bytes of such phrases that a task reduces at once.
+HOT, HOT_BYTES = 1 << 14, 2 << 20
+#: Result kinds of the dictionary step: repeated runs, and filter slices of first phrases, of triggers with several, and of hot ones.
+REPEATED, FIRST, SEVERAL, CROWDED = 0, 1, 2, 3
+#: Hot triggers are few: their filter is smaller by so many powers of two.
+FEWER_BITS = 6
+#: Groups for results that need no further step, at least.
 SPREAD = 256
 
 _PLACE = np.uint64((1 << 20) - 1)
@@ -52,7 +60,8 @@ _PHRASE = (("trigger", "<u8"), ("phrase", "<u8"), ("rank", "<i8"), ("text", "<i8
 _RUN = (("rank", "<i8"), ("text", "<i8"), ("start", "<u4"), ("count", "<u4"))
 _RUN_NAMES = ["rank", "text_hash", "start", "windows"]
 _RUN_ROWS = "rank long, text_hash long, start long, windows long"
-_CONTEXT = (("rank", "<i8"), ("text", "<i8"), ("start", "<u4"), ("count", "<u4"))
+_TRIGGER = (("trigger", "<u8"), ("phrases", "<i8"), ("low", "<u8"), ("high", "<u8"), ("least", "<i8"), ("most", "<i8"))
+_WINDOW = (("window", "<u8"), ("rank", "<i8"), ("text", "<i8"), ("start", "<u4"))
 
 
 def pack(kind, columns) -> bytes:
@@ -128,47 +137,90 @@ def _triggers(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield values[np.concatenate(([True], (values[1:] != values[:-1]) | (docs[1:] != docs[:-1])))]
 
 
-def pair_hash(triggers: np.ndarray, ranks: np.ndarray, names: np.ndarray, bucket_bits: int) -> np.ndarray:
-    """A hash of trigger and document that stays in the trigger's bucket."""
-    both = mix(triggers ^ mix(mix(ranks.view(np.uint64)) ^ names.view(np.uint64)))
+def pair_hash(hashes: np.ndarray, ranks: np.ndarray, names: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """A hash of phrase and document that stays in the phrase's bucket."""
+    both = mix(hashes ^ mix(mix(ranks.view(np.uint64)) ^ names.view(np.uint64)))
     top = np.uint64(64 - bucket_bits)
-    return (triggers >> top << top) | (both >> np.uint64(bucket_bits))
+    return (hashes >> top << top) | (both >> np.uint64(bucket_bits))
+
+
+def bucket_of(hashes: np.ndarray, bucket_bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bucket_bits)).astype(np.int64)
+
+
+def heads_of(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+
+
+def dealt(to: np.ndarray, kind, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """A packed row per bucket."""
+    if not len(to):
+        return
+    order = np.argsort(to, kind="stable")
+    to, columns = to[order], [x[order] for x in columns]
+    cuts = heads_of(to)
+    for low, high in zip(cuts, [*cuts[1:], len(to)], strict=True):
+        yield int(to[low]), pack(kind, [x[low:high] for x in columns])
+
+
+def apart(ranks: np.ndarray, names: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Negative buckets for finished runs, so that copies of one text come apart."""
+    spread = np.uint64(max(SPREAD, 1 << bucket_bits))
+    return -1 - (mix(ranks.astype(np.uint64) ^ mix(names.astype(np.uint64))) % spread).astype(np.int64)
+
+
+def after_first(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Which rows have a hash that a smaller document has too."""
+    order = np.lexsort((ranks, hashes))
+    h, r = hashes[order], ranks[order]
+    head = heads_of(h)
+    later = np.zeros(len(order), bool)
+    later[order] = r > np.repeat(r[head], np.diff(np.append(head, len(h))))
+    return later
 
 
 def combined(phrases: list[np.ndarray], bucket_bits: int) -> pa.RecordBatch:
-    """Of each phrase of a chunk the smallest documents go on to the dictionary; the others are repeated."""
+    """Of each phrase of a chunk the smallest documents go on to the dictionary, in the phrase's bucket; the others are repeated.
+
+    Runs have negative buckets, and sums over triggers those above the phrases'.
+    """
     trigger, phrase, rank, text, start, count = phrases
-    order = np.lexsort((start, text, rank, phrase))
-    p, r = phrase[order], rank[order]
-    group = np.cumsum(np.concatenate(([0], p[1:] != p[:-1])))
-    lowest = r[np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))]
-    later = np.zeros(len(order), bool)
-    later[order] = r > lowest[group]
-    buckets, data = [], []
+    order = np.lexsort((start, text, rank))
+    trigger, phrase, rank, text, start, count = (x[order] for x in (trigger, phrase, rank, text, start, count))
+    later, rows = after_first(phrase, rank), []
     if later.any():  # neighbours of one document are one run
         a, b, s, c = rank[later], text[later], start[later], count[later]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1] + c[:-1])))
         at = np.flatnonzero(new)
-        runs = (a[at], b[at], s[at], np.add.reduceat(c, at))
-        to = (mix(runs[0].astype(np.uint64) ^ mix(runs[1].astype(np.uint64))) % np.uint64(SPREAD)).astype(np.int64)  # copies of one text apart
-        for k in np.unique(to):
-            buckets.append(-1 - int(k))
-            data.append(pack(_RUN, [x[to == k] for x in runs]))
-    keep = [x[order[r == lowest[group]]] for x in phrases]
+        rows += dealt(apart(a[at], b[at], bucket_bits), _RUN, [a[at], b[at], s[at], np.add.reduceat(c, at)])
+    order = np.flatnonzero(~later)
+    order = order[np.argsort(phrase[order], kind="stable")]
+    keep = [x[order] for x in (trigger, phrase, rank, text, start, count)]
     new = np.concatenate(([True], (keep[1][1:] != keep[1][:-1]) | (keep[3][1:] != keep[3][:-1]) | (keep[4][1:] != keep[4][:-1])))
     keep = [x[new] for x in keep]  # equal rows once
-    to = (keep[0] >> np.uint64(64 - bucket_bits)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    keep, to = [x[order] for x in keep], to[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-    for low, high in zip(cuts, [*cuts[1:], len(to)], strict=True):
-        buckets.append(int(to[low]))
-        data.append(pack(_PHRASE, [x[low:high] for x in keep]))
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(data, pa.binary())], ["bucket", "data"])
+    rows += dealt(bucket_of(keep[1], bucket_bits), _PHRASE, keep)
+    order = np.argsort(keep[0], kind="stable")
+    t, p, r = (x[order] for x in keep[:3])
+    head = heads_of(t)
+    sums = [t[head], np.diff(np.append(head, len(t))), *(f.reduceat(x, head) for x in (p, r) for f in (np.minimum, np.maximum))]
+    rows += dealt(bucket_of(t[head], bucket_bits) + (1 << bucket_bits), _TRIGGER, sums)
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["bucket", "data"])
+
+
+def filter_slice(hashes: np.ndarray, bucket_bits: int, slice_bits: int) -> bytes:
+    bits = np.zeros(1 << slice_bits, bool)
+    for at in positions(low_part(hashes, bucket_bits), slice_bits):
+        bits[at.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def filter_bits(kind: int, slice_bits: int) -> int:
+    return max(6, slice_bits - FEWER_BITS) if kind == CROWDED else slice_bits
 
 
 def dictionary(docs: DataFrame, shared, bucket_bits: int, slice_bits: int) -> DataFrame:
-    """Repeated phrases as packed runs, and filter slices of the phrases whose windows must be compared."""
+    """Repeated phrases as packed runs, and filter slices that tell which phrases must be compared by their windows."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -182,90 +234,163 @@ def dictionary(docs: DataFrame, shared, bucket_bits: int, slice_bits: int) -> Da
         if size:
             yield combined([np.concatenate(x) for x in zip(*held, strict=True)], bucket_bits)
 
+    def first_phrases(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        _, phrase, rank, text, start, count = (np.concatenate(x) for x in zip(*(unpack(_PHRASE, b) for b in blobs), strict=True))
+        later = after_first(phrase, rank)
+        if later.any():
+            yield REPEATED, pack(_RUN, [x[later] for x in (rank, text, start, count)])
+        yield FIRST, filter_slice(pair_hash(phrase[~later], rank[~later], text[~later], bucket_bits), bucket_bits, slice_bits)
+
+    def sums_of_triggers(blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        sums = [np.concatenate(x) for x in zip(*(unpack(_TRIGGER, b) for b in blobs), strict=True)]
+        order = np.argsort(sums[0], kind="stable")
+        trigger, phrases, low, high, least, most = (x[order] for x in sums)
+        head = heads_of(trigger)
+        # several phrases, in several documents
+        several = (np.minimum.reduceat(low, head) < np.maximum.reduceat(high, head)) & (np.minimum.reduceat(least, head) < np.maximum.reduceat(most, head))
+        crowded = several & (np.add.reduceat(phrases, head) >= HOT)
+        for kind, which in ((SEVERAL, several), (CROWDED, crowded)):
+            if which.any():
+                yield kind, filter_slice(trigger[head][which], bucket_bits, filter_bits(kind, slice_bits))
+
     def settle_bucket(group: pa.Table) -> pa.Table:
         bucket, blobs = group.column("bucket")[0].as_py(), group.column("data").to_pylist()
         if bucket < 0:
-            return pa.table({"kind": pa.array([REPEATED] * len(blobs), pa.int32()), "bucket": pa.array([bucket] * len(blobs), pa.int64()), "data": pa.array(blobs, pa.binary())})
-        trigger, phrase, rank, text, start, count = (np.concatenate(x) for x in zip(*(unpack(_PHRASE, b) for b in blobs), strict=True))
-        order = np.lexsort((rank, phrase, trigger))
-        trigger, phrase, rank, text, start, count = (x[order] for x in (trigger, phrase, rank, text, start, count))
-        new = np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (trigger[1:] != trigger[:-1])))
-        later = rank > rank[np.flatnonzero(new)][np.cumsum(new) - 1]
-        # a trigger with several phrases, in several documents
-        head = np.flatnonzero(np.concatenate(([True], trigger[1:] != trigger[:-1])))
-        size = np.diff(np.concatenate((head, [len(trigger)])))
-        several = (np.add.reduceat(new.astype(np.int64), head) > 1) & (np.minimum.reduceat(rank, head) < np.maximum.reduceat(rank, head))
-        wanted = np.repeat(several, size) & ~later
-        kinds, data = [], []
-        if later.any():
-            kinds.append(REPEATED)
-            data.append(pack(_RUN, [x[later] for x in (rank, text, start, count)]))
-        if wanted.any():
-            bits = np.zeros(1 << slice_bits, bool)
-            for at in positions(low_part(pair_hash(trigger[wanted], rank[wanted], text[wanted], bucket_bits), bucket_bits), slice_bits):
-                bits[at.astype(np.int64)] = True
-            kinds.append(WANTED)
-            data.append(np.packbits(bits, bitorder="little").tobytes())
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array([bucket] * len(kinds), pa.int64()), "data": pa.array(data, pa.binary())})
+            out = [(REPEATED, b) for b in blobs]
+        elif bucket < 1 << bucket_bits:
+            out = list(first_phrases(blobs))
+        else:
+            bucket -= 1 << bucket_bits
+            out = list(sums_of_triggers(blobs))
+        kinds, data = [x[0] for x in out], [x[1] for x in out]
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int64()), "data": pa.array(data, pa.binary())})
 
     rows = docs.select("rank", "text_hash", "data").mapInArrow(scatter, "bucket long, data binary")
     return rows.groupBy("bucket").applyInArrow(settle_bucket, "kind int, bucket long, data binary")
 
 
-def compared(docs: DataFrame, wanted, bucket_bits: int) -> DataFrame:
-    """Runs of repeated windows among dictionary phrases that share a trigger but not all bytes."""
+def filters(found: DataFrame, bucket_bits: int, slice_bits: int) -> dict[int, Filter]:
+    """The filters of the dictionary step from their slices."""
+    out = {}
+    for kind in (FIRST, SEVERAL, CROWDED):
+        bits = filter_bits(kind, slice_bits)
+        out[kind] = Filter(bucket_bits, bits, np.zeros(1 << (bucket_bits + bits - 3), np.uint8))
+    for r in found.where(F.col("kind") != REPEATED).toLocalIterator():  # the filters' size in all
+        width = 1 << (out[r["kind"]].slice_bits - 3)
+        out[r["kind"]].data[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes by their first ``LENGTH`` bytes, equal for equal ones, by prefix doubling; those that are shorter have none that counts."""
+    n, reach = len(symbols), 8
+    padded = np.concatenate((symbols, np.zeros(reach, np.uint8)))
+    key = np.zeros(n, np.uint64)
+    for k in range(reach):
+        key = key << np.uint64(8) | padded[k : k + n]
+    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    while reach < LENGTH:
+        step = min(reach, LENGTH - reach)
+        after = np.concatenate((rank[step:], np.zeros(min(n, step), np.uint64)))
+        rank = np.unique(rank << np.uint64(32) | after, return_inverse=True)[1].astype(np.uint64)
+        reach += step
+    return rank
+
+
+def windows_of(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of phrases that lie one after the other: phrase, place in it, place among all bytes."""
+    count = count.astype(np.int64)
+    begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+    of = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return of, offset, begin[of] + offset
+
+
+def runs_of(later: np.ndarray, of: np.ndarray, offset: np.ndarray, rank: np.ndarray, text: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Repeated windows as runs."""
+    at = np.flatnonzero(later)
+    heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (of[at][1:] != of[at][:-1])))[: len(at)])
+    first = at[heads]
+    lengths = np.diff(np.concatenate((heads, [len(at)])))
+    return [rank[of[first]], text[of[first]], start[of[first]].astype(np.int64) + offset[first], lengths]
+
+
+def compared(docs: DataFrame, sent, bucket_bits: int) -> DataFrame:
+    """Runs of repeated windows among dictionary phrases that share a trigger but not all bytes.
+
+    Phrases meet in the bucket of their trigger; windows of hot triggers have buckets above, finished runs negative ones.
+    """
+
+    def together(held: list[tuple]) -> tuple[list[np.ndarray], np.ndarray]:
+        return [np.concatenate(x) for x in list(zip(*held, strict=True))[:5]], np.frombuffer(b"".join(x[5] for x in held), np.uint8)
+
+    def batch_of(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "heads", "data"])
 
     def gathered(held: list[tuple]) -> pa.RecordBatch:
         """A row per bucket with the contexts of several slices."""
-        trigger, rank, text, start, count = (np.concatenate(x) for x in list(zip(*held, strict=True))[:5])
-        symbols = np.frombuffer(b"".join(x[5] for x in held), np.uint8)
+        (trigger, rank, text, start, count), symbols = together(held)
         begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-        to = (trigger >> np.uint64(64 - bucket_bits)).astype(np.int64)
+        to = bucket_of(trigger, bucket_bits)
         order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
-        buckets, heads, data = [], [], []
+        cuts, rows = heads_of(to[order]), []
         for low, high in zip(cuts, [*cuts[1:], len(to)], strict=True):
             own = order[low:high]
-            buckets.append(int(to[own[0]]))
-            heads.append(pack(_CONTEXT, [x[own] for x in (rank, text, start, count)]))
-            data.append(b"".join(symbols[s : s + c + LENGTH - 1].tobytes() for s, c in zip(begin[own].tolist(), count[own].tolist(), strict=True)))
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(heads, pa.binary()), pa.array(data, pa.binary())], ["bucket", "heads", "data"])
+            places = zip(begin[own].tolist(), count[own].tolist(), strict=True)
+            data = b"".join(symbols[s : s + c + LENGTH - 1].tobytes() for s, c in places)
+            rows.append((int(to[own[0]]), pack(_RUN, [x[own] for x in (rank, text, start, count)]), data))
+        return batch_of(rows)
+
+    def reduced(held: list[tuple]) -> pa.RecordBatch:
+        """Windows of hot triggers: those that a smaller document of the task has are repeated, the others go on by hash."""
+        (_, rank, text, start, count), symbols = together(held)
+        of, offset, places = windows_of(count)
+        keys = hashed_spans(symbols, BYTE_VALUES, places, places + LENGTH)
+        later, rows = after_first(keys, rank[of]), []
+        runs = runs_of(later, of, offset, rank, text, start)
+        rows += dealt(apart(runs[0], runs[1], bucket_bits), _RUN, runs)
+        left = np.flatnonzero(~later)
+        to = bucket_of(keys[left], bucket_bits) + (1 << bucket_bits)
+        rows += dealt(to, _WINDOW, [keys[left], rank[of[left]], text[of[left]], start[of[left]] + offset[left]])
+        return batch_of([(b, d, b"") for b, d in rows])
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        found = sent.value
+        held, sizes = {False: [], True: []}, {False: 0, True: 0}
+        finish, limits = {False: gathered, True: reduced}, {False: CONTEXT_BYTES, True: HOT_BYTES}
         for own, ranks, names in parsed(batches):
-            at = np.flatnonzero(wanted.value.has(pair_hash(own.trigger, ranks, names, bucket_bits)))
-            if not len(at):
-                continue
-            places = zip(own.start[at].tolist(), own.count[at].tolist(), strict=True)
-            data = b"".join(own.data[s : s + c + LENGTH - 1].tobytes() for s, c in places)
-            held.append((own.trigger[at], ranks[at], names[at], own.within[at], own.count[at], data))
-            size += len(data)
-            if size >= CONTEXT_BYTES:
-                yield gathered(held)
-                held, size = [], 0
-        if held:
-            yield gathered(held)
+            at = np.flatnonzero(found[SEVERAL].has(own.trigger))
+            at = at[found[FIRST].has(pair_hash(own.phrase[at], ranks[at], names[at], bucket_bits))]
+            crowded = found[CROWDED].has(own.trigger[at])
+            for hot, some in ((False, at[~crowded]), (True, at[crowded])):
+                if not len(some):
+                    continue
+                places = zip(own.start[some].tolist(), own.count[some].tolist(), strict=True)
+                data = b"".join(own.data[s : s + c + LENGTH - 1].tobytes() for s, c in places)
+                held[hot].append((own.trigger[some], ranks[some], names[some], own.within[some], own.count[some], data))
+                sizes[hot] += len(data)
+                if sizes[hot] >= limits[hot]:
+                    yield finish[hot](held[hot])
+                    held[hot], sizes[hot] = [], 0
+        for hot in (False, True):
+            if held[hot]:
+                yield finish[hot](held[hot])
 
     def sort_windows(group: pa.Table) -> pa.Table:
-        rank, text, start, count = (np.concatenate(x) for x in zip(*(unpack(_CONTEXT, b) for b in group.column("heads").to_pylist()), strict=True))
-        count = count.astype(np.int64)
-        symbols = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint8)
-        begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
-        of = np.repeat(np.arange(len(count)), count)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        places = begin[of] + offset
-        keys = span(prefix(BYTE_VALUES[symbols]), places, places + LENGTH)
-        order = np.lexsort((rank[of], keys))
-        k, r = keys[order], rank[of][order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
-        later = np.zeros(len(of), bool)
-        later[order] = r > r[np.flatnonzero(new)][np.cumsum(new) - 1]
-        at = np.flatnonzero(later)
-        heads = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (of[at][1:] != of[at][:-1])))[: len(at)])
-        first = at[heads]
-        lengths = np.diff(np.concatenate((heads, [len(at)])))
-        runs = (rank[of[first]], text[of[first]], start[of[first]].astype(np.int64) + offset[first], lengths)
+        bucket, heads = group.column("bucket")[0].as_py(), group.column("heads").to_pylist()
+        single = bucket >= 1 << bucket_bits
+        columns = [np.concatenate(x) for x in zip(*(unpack(_WINDOW if single else _RUN, b) for b in heads), strict=True)]
+        if bucket < 0:
+            runs = columns
+        elif single:
+            later = after_first(columns[0], columns[1])
+            runs = [*(x[later] for x in columns[1:]), np.ones(int(later.sum()), np.int64)]
+        else:
+            rank, text, start, count = columns
+            of, offset, places = windows_of(count)
+            order = suffix_ranks(np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint8))[places]
+            runs = runs_of(after_first(order, rank[of]), of, offset, rank, text, start)
         return pa.table([pa.array(x.astype(np.int64)) for x in runs], _RUN_NAMES)
 
     rows = docs.select("rank", "text_hash", "data").mapInArrow(scatter, "bucket long, heads binary, data binary")
@@ -288,10 +413,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     bucket_bits = power_of_two(total / BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS)
     slice_bits = shared.slice_bits
     found = settle(dictionary(docs, sent, bucket_bits, slice_bits), "phrases")
-    bits, width = np.zeros_like(shared.data), 1 << (slice_bits - 3)
-    for r in found.where(F.col("kind") == WANTED).toLocalIterator():  # the filter's size in all
-        bits[r["bucket"] * width : (r["bucket"] + 1) * width] = np.frombuffer(r["data"], np.uint8)
-    wanted = spark.sparkContext.broadcast(Filter(bucket_bits, slice_bits, bits))
+    wanted = spark.sparkContext.broadcast(filters(found, bucket_bits, slice_bits))
     packed = found.where(F.col("kind") == REPEATED).select("data")
     return packed.mapInArrow(_runs, _RUN_ROWS).unionByName(compared(docs, wanted, bucket_bits))
 

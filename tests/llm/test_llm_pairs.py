@@ -186,6 +186,48 @@ def test_small_segments_and_chunks_change_nothing(spark, monkeypatch):
     assert by_text(stripped(frame(spark, rows))) == by_text(plain_repeats(rows))
 
 
+@pytest.mark.parametrize("rows", [shared_passages(11), rough(12)], ids=["passages", "rough"])
+def test_windows_of_hot_triggers_equal_the_plain_version(spark, monkeypatch, rows):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "HOT_BYTES", 500)
+    assert by_text(stripped(frame(spark, rows, extra=True))) == by_text(plain_repeats(rows))
+
+
+def test_some_triggers_hot_and_others_not(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 12)
+    rng = random.Random(2)
+    rows = shared_passages(13) + [(10**7 + n, sentence(rng, "en", 5) + "the one passage that very many of these documents have in common" + sentence(rng, "fr", 5), "en", "s", None) for n in range(60)]
+    assert by_text(stripped(frame(spark, rows))) == by_text(plain_repeats(rows))
+
+
+def test_suffixes_are_in_corpus_order():
+    rng = random.Random(9)
+    phrases = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randint(50, 90))) for _ in range(40)]
+    phrases += [p[: rng.randint(50, len(p))] for p in phrases]
+    ranks = np.array([rng.randint(0, 9) for _ in phrases], np.int64)
+    of, offset, places = repeats.windows_of(np.array([len(p) - repeats.LENGTH + 1 for p in phrases]))
+    order = repeats.suffix_ranks(np.frombuffer(b"".join(phrases), np.uint8))[places]
+    windows = [phrases[p][o : o + repeats.LENGTH] for p, o in zip(of.tolist(), offset.tolist(), strict=True)]
+    by_rank = np.lexsort((ranks[of], order)).tolist()
+    assert [(windows[n], ranks[of[n]]) for n in by_rank] == sorted(zip(windows, ranks[of].tolist(), strict=True))
+    assert len(set(order.tolist())) == len(set(windows)) < len(windows)
+    least = {}
+    for w, r in zip(windows, ranks[of].tolist(), strict=True):
+        least[w] = min(r, least.get(w, r))
+    assert repeats.after_first(order, ranks[of]).tolist() == [r > least[w] for w, r in zip(windows, ranks[of].tolist(), strict=True)]
+
+
+def test_phrases_of_one_trigger_are_dealt_apart_and_summed_up():
+    n, rng = 2_000, np.random.default_rng(4)
+    phrase = rng.integers(1, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    phrases = [np.full(n, 7 << 40, np.uint64), phrase, np.arange(n), rng.integers(0, 99, n), np.zeros(n, np.int64), np.ones(n, np.int64)]
+    rows = dict(zip(*repeats.combined(phrases, 6).to_pydict().values(), strict=True))
+    sizes = [len(repeats.unpack(repeats._PHRASE, d)[0]) for b, d in rows.items() if 0 <= b < 64]
+    sums = [repeats.unpack(repeats._TRIGGER, d) for b, d in rows.items() if b >= 64]
+    assert sum(sizes) == n and max(sizes) < 80
+    assert [[x.tolist() for x in s] for s in sums] == [[[7 << 40], [n], [int(phrase.min())], [int(phrase.max())], [0], [n - 1]]]
+
+
 def test_runs_of_copies_of_one_text_are_dealt_apart():
     n = 2_000
     one = np.ones(n, np.uint64)
