@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelscope.functions.clean import defect_name, panel_cols
+from panelscope.functions.clean import defect_name, once, panel_cols
 from panelscope.operators.mart import build_glass_stats
 from panelscope.session import settle
 
@@ -71,7 +71,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_BASE, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    base = spark.sql(_BASE, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    return once(base, "product_id", "product_id")
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,13 +55,23 @@ def defect_name(term: Column | str, strict: bool = True) -> Column:
     return F.when(F.size(parts) >= 4, F.concat_ws("-", second, fourth)).otherwise(short)
 
 
+def once(df: DataFrame, name: str, value: Column | str) -> DataFrame:
+    """A column that is computed once per row, however often filters and keys use it.
+
+    A projected expression is copied to every place that names it, a generated one is not.
+    """
+    rest = [c for c in df.columns if c != name]
+    out = df.select(*[F.col(f"`{c}`") for c in rest], F.explode(F.array(_col(value))).alias(name))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns]) if name in df.columns else out
+
+
 def panel_cols(df: DataFrame) -> DataFrame:
     """panel_addr is panel_id without its product_id prefix; its last character is panel_y."""
     addr = F.when(
         F.startswith("panel_id", "product_id"),
         F.substring("panel_id", F.length("product_id") + 1, F.length("panel_id")),
     )
-    return df.withColumn("panel_addr", addr).withColumns(
+    return once(df, "panel_addr", addr).withColumns(
         {
             "panel_x": F.substring("panel_addr", F.lit(1), F.length("panel_addr") - 1),
             "panel_y": F.right("panel_addr", F.lit(1)),
