@@ -159,9 +159,12 @@ def build_flag_mart(h: DataFrame, i: DataFrame) -> DataFrame:
     )
     steps = dedup_products(h.select("product_id", "lot_id", "move_in_ymdhms"))
     cells = F.coalesce("_cells", F.array().cast("array<int>"))
-    flags = F.transform(
-        F.sequence(F.lit(1), F.lit(FLAG_CELLS)), lambda n: F.array_contains(cells, n).cast("int")
-    )
+    none = F.array_repeat(F.lit(0), FLAG_CELLS)
+
+    def marked(grid: Column, n: Column) -> Column:
+        return F.concat(F.slice(grid, F.lit(1), n - 1), F.array(F.lit(1)), F.slice(grid, n + 1, F.lit(FLAG_CELLS)))
+
+    flags = F.aggregate(cells, none, marked)  # a row writes its few cells only
     return steps.join(found, "product_id", "left").select(
         "product_id",
         "lot_id",

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from panelscope.functions import clean
+from panelscope.operators import cells
 
 TOTAL = "facility_code string, product_id string, defect_name string, stat_date string, lot_id string, total_defects long, panel_map array<long>, panel_addrs array<string>"
 
@@ -12,6 +13,19 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_flag_sums_read_the_mart_once(spark):
+    df = spark.createDataFrame([("P1", [0, 1, 1]), ("P2", [1]), ("P3", []), ("P4", None), ("P5", [None, 1])], "product_id string, panel_map array<int>")
+    out = cells.sum_panel_flags(df)
+    assert rows(out, "x", "y", "total_defects", "total_glasses") == [("A", "0", 1, 5), ("A", "1", 2, 5), ("A", "2", 1, 5)]
+    assert out.inputFiles() and all("flag-sums" in f for f in out.inputFiles())
+
+
+def test_matrix_and_intensity_compute_the_cells_once(spark):
+    df = spark.createDataFrame([("Target", "A", "1", 0.5), ("Others", "B", "1", 0.25)], "group_type string, x string, y string, defect_rate double")
+    for out in (cells.heatmap_matrix(df), cells.intensity(df)):
+        assert out.inputFiles() and all("/cells-" in f for f in out.inputFiles())
+
+
 def test_panel_address_is_computed_once(spark):
     df = spark.createDataFrame([("G1", "G1A1"), ("G1", "X9")], "product_id string, panel_id string")
     out = clean.panel_cols(df.select(F.concat("product_id", F.lit("")).alias("product_id"), "panel_id"))
