@@ -4,7 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from panelscope.functions import clean
-from panelscope.operators import cells
+from panelscope.operators import cells, positions
 
 TOTAL = "facility_code string, product_id string, defect_name string, stat_date string, lot_id string, total_defects long, panel_map array<long>, panel_addrs array<string>"
 
@@ -13,6 +13,14 @@ def executed(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_all_pages_in_one_job_equal_pages_one_by_one(spark):
+    data = [(k % 7 or None, "a" if k % 3 else None) for k in range(60)]
+    df = spark.createDataFrame(data, "n int, t string").repartition(3)
+    one_by_one = [(*r, n) for n, page in enumerate(positions.pages(df, ("n", "t"), 8)) for r in page]
+    assert sorted(map(str, (tuple(r) for r in positions.numbered_pages(df, ("n", "t"), 8).collect()))) == sorted(map(str, one_by_one))
+    assert positions.numbered_pages(df.limit(0), ("n", "t"), 8).count() == 0
+
+
 def test_flag_sums_read_the_mart_once(spark):
     df = spark.createDataFrame([("P1", [0, 1, 1]), ("P2", [1]), ("P3", []), ("P4", None), ("P5", [None, 1])], "product_id string, panel_map array<int>")
     out = cells.sum_panel_flags(df)
