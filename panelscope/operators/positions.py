@@ -70,13 +70,15 @@ def numbered_in_groups(
 ) -> DataFrame:
     """The same numbers with a plain window for the groups that one task can sort.
 
-    Only groups of more than ``hot_rows`` rows are numbered range by range; without any, nothing is written.
+    Only groups of more than ``hot_rows`` rows are numbered range by range.  Their keys, one in ``hot_rows`` rows at most,
+    are written and broadcast: a join by the key would bring each of these groups into one task.
     """
     plain = Window.partitionBy(*keys).orderBy(*order)
     hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).drop("_rows")
+    hot = settle(hot, "hot")
     if hot.isEmpty():
         return df.withColumn(name, F.row_number().over(plain).cast("long"))
-    marks = hot.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    marks = F.broadcast(hot.select(*[F.col(k).alias(f"_{k}") for k in keys]))
     same = F.lit(True)
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -1,5 +1,7 @@
 """Steps whose cost must not grow faster than their input, read off plans."""
 
+import re
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -21,6 +23,18 @@ def test_all_pages_in_one_job_equal_pages_one_by_one(spark):
     assert positions.numbered_pages(df.limit(0), ("n", "t"), 8).count() == 0
 
 
+def test_hot_keys_are_not_shuffled_by_key(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(300).select((F.col("id") % 3).alias("k"), "id").where("k < 2 OR id < 9")
+        out = positions.numbered_in_groups(df, [F.col("id")], "n", ["k"], hot_rows=50)
+        assert "BroadcastHashJoin" in executed(out) and "LeftAnti" in executed(out)
+        assert not re.search(r"SortMergeJoin.*LeftAnti", executed(out))
+        assert out.groupBy("k").agg(F.max("n")).orderBy("k").collect() == [(0, 100), (1, 100), (2, 3)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_flag_sums_read_the_mart_once(spark):
     df = spark.createDataFrame([("P1", [0, 1, 1]), ("P2", [1]), ("P3", []), ("P4", None), ("P5", [None, 1])], "product_id string, panel_map array<int>")
     out = cells.sum_panel_flags(df)
