@@ -44,16 +44,21 @@ def accumulate(new: DataFrame, root: str, load: str, buckets: int = 100) -> list
     totals, written with them in one swap: a load that comes again, or that stopped between two folders, is added only
     where it is missing.  Returns the folders it was added to.
     """
-    spark = new.sparkSession
-    new = settle(new.withColumn("bucket_id", hash_bucket("product_id", buckets)), "new-totals")
-    touched = {r["bucket_id"] for r in new.select("bucket_id").distinct().collect()}
-    totals, ledger = new, None
+    spark, old, ledger = new.sparkSession, None, None
+    new = new.withColumn("bucket_id", hash_bucket("product_id", buckets))
     if exists(spark, root):
-        old = read_lake(spark, root).where(F.col("bucket_id").isin(sorted(touched)))
+        old = read_lake(spark, root)
         ledger = old.where("load_id IS NOT NULL").select("bucket_id", "load_id")
-        touched -= {r["bucket_id"] for r in ledger.where(F.col("load_id") == load).select("bucket_id").distinct().collect()}
+        done = sorted({r["bucket_id"] for r in ledger.where(F.col("load_id") == load).select("bucket_id").distinct().collect()})
+        if {f"{n:0{max(2, len(str(buckets - 1)))}d}" for n in range(buckets)} <= set(done):
+            return []  # nothing of the load is computed
+        new = new.where(~F.col("bucket_id").isin(done)) if done else new
+    new = settle(new, "new-totals")
+    touched = {r["bucket_id"] for r in new.select("bucket_id").distinct().collect()}
+    totals = new
+    if old is not None:
         todo = F.col("bucket_id").isin(sorted(touched))
-        totals = upsert_add(old.where(todo & F.col("load_id").isNull()).select(*new.columns), new.where(todo))
+        totals = upsert_add(old.where(todo & F.col("load_id").isNull()).select(*new.columns), new)
         ledger = ledger.where(todo)
     if not touched:
         return []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions import clean
 from panelscope.operators import cells, positions
+from panelscope.plans import daily
 
 TOTAL = "facility_code string, product_id string, defect_name string, stat_date string, lot_id string, total_defects long, panel_map array<long>, panel_addrs array<string>"
 
@@ -35,6 +36,14 @@ def test_hot_keys_are_not_shuffled_by_key(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_repeated_load_is_not_computed(spark, tmp_path):
+    root = str(tmp_path / "totals")
+    load = spark.createDataFrame([("A", f"P{n}", "D", "2026-01-01", "L", 1, [1], ["A1"]) for n in range(40)], TOTAL).drop("stat_date")
+    assert len(daily.accumulate(load, root, "monday", buckets=3)) == 3
+    broken = load.withColumn("lot_id", F.raise_error(F.lit("computed again")).cast("string"))
+    assert daily.accumulate(broken, root, "monday", buckets=3) == []
+
+
 def test_flag_sums_read_the_mart_once(spark):
     df = spark.createDataFrame([("P1", [0, 1, 1]), ("P2", [1]), ("P3", []), ("P4", None), ("P5", [None, 1])], "product_id string, panel_map array<int>")
     out = cells.sum_panel_flags(df)
