@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelscope.catalog.registry import listed, query, rounded
-from panelscope.catalog.views import history, inspection, mart, part_no, pnl_map, with_facts, with_mart
+from panelscope.catalog.views import facts, history, inspection, mart, mart_of, part_no, pnl_map, with_facts, with_mart
 from panelscope.operators import cells, layout, mart as marts, nodes
 from panelscope.operators.glass import Request, heatmap, in_order
 from panelscope.plans.daily import full_grid_stats
@@ -409,8 +409,9 @@ def hierarchy_of_products_and_days(spark, sf):
 )
 def hierarchy_of_product_frame(spark, sf):
     """Products of any number as a frame."""
-    products = history(spark, sf).where(F.col("equipment_line_id").startswith("A1CVD"))
-    return _flat(hierarchy_analysis(mart(spark, sf), HierarchyParams(facility_code="A1T", analysis_level="line", products=products)))
+    h, i = facts(spark, sf)
+    products = h.where(F.col("equipment_line_id").startswith("A1CVD"))
+    return _flat(hierarchy_analysis(mart_of(h, i), HierarchyParams(facility_code="A1T", analysis_level="line", products=products)))
 
 
 @query("hierarchy_of_path", analysis_sql("path", "equipment_path_id = 'A1CVD0040404'"))

@@ -84,10 +84,20 @@ def raw_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_inspection(spark, sf_dir)
+    return _cleaned(raw_inspection(spark, sf_dir))
+
+
+def _cleaned(raw: DataFrame) -> DataFrame:
     return panel_cols(raw.withColumn("defect_name", defect_name("def_latest_summary_defect_term_name_s")))
 
 
+def facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """History and inspection for queries that read them several times: the join they come from is written once."""
+    base = spark.sql(_BASE, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+    base = settle(base, "base")
+    return spark.sql(_HISTORY, base=base), _cleaned(spark.sql(_INSPECTION, base=base))
+
+
 def part_no(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of a model."""
     return table(spark, sf_dir, "part").select(
@@ -142,5 +152,10 @@ def with_mart(body: str) -> str:
 
 def mart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defect mart of all days, written once as a job would."""
-    stats = build_glass_stats(inspection(spark, sf_dir), history(spark, sf_dir))
+    return mart_of(*facts(spark, sf_dir))
+
+
+def mart_of(h: DataFrame, i: DataFrame) -> DataFrame:
+    """Defect mart of given facts, written once."""
+    stats = build_glass_stats(i, h)
     return settle(stats.drop("created_at"), "glass_stats")

@@ -2,12 +2,16 @@
 
 import re
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from panelscope.catalog import registry, tables, views  # noqa: F401  the tables register their queries
 from panelscope.functions import clean
-from panelscope.operators import cells, positions
+from panelscope.operators import cells, mart, positions, updates
 from panelscope.plans import daily
+from panelscope.sources import lake
+from panelscope.streaming import jobs
 
 TOTAL = "facility_code string, product_id string, defect_name string, stat_date string, lot_id string, total_defects long, panel_map array<long>, panel_addrs array<string>"
 
@@ -63,3 +67,20 @@ def test_panel_address_is_computed_once(spark):
     out = out.where("panel_x IS NOT NULL AND panel_y IS NOT NULL").groupBy("panel_x", "panel_y").count()
     assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("startswith") == 1
     assert rows(out) == [("A", "1", 1)]
+
+
+@pytest.fixture
+def facts_dir(spark, tmp_path):
+    """Small orders and lineitem tables."""
+    spark.range(12).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    line = """SELECT id % 12 AS l_orderkey, id % 9 AS l_suppkey, id % 17 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber,
+      IF(id % 4 = 0, 'N', 'R') AS l_returnflag, 'F' AS l_linestatus, CAST(id % 30 AS DOUBLE) AS l_quantity,
+      TIMESTAMP_NTZ '1997-06-01 00:00:00' + make_dt_interval(CAST(id % 6 AS INT)) AS l_shipdate FROM range(90)"""
+    spark.sql(line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_facts_of_many_reads_are_joined_once(spark, facts_dir):
+    h, i = views.facts(spark, facts_dir)
+    assert all("/base-" in f for df in (h, i) for f in df.inputFiles()) and h.inputFiles()
+    assert rows(h) == rows(views.history(spark, facts_dir)) and rows(i) == rows(views.inspection(spark, facts_dir))
