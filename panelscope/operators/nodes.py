@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelscope.operators.mart import panel, panel_arrays
+from panelscope.operators.mart import panel
 from panelscope.operators.positions import numbered
 
 # The levels, outermost first, and the column of each.
@@ -85,8 +85,8 @@ def node_maps(mart: DataFrame, level: str = "path", by: Sequence[str] = ()) -> D
         panels.groupBy(*NODE, *by, "panel_addrs")
         .agg(F.sum("panel_map").alias("panel_map"))
         .groupBy(*NODE, *by)
-        .agg(F.collect_list(panel("panel_addrs", "panel_map")).alias("_panels"))
-        .withColumns(panel_arrays("_panels"))
+        .agg(F.sort_array(F.collect_list(panel("panel_addrs", "panel_map"))).alias("_panels"))
+        .withColumns({"panel_addrs": F.col("_panels.addr"), "panel_map": F.col("_panels.n")})
         .drop("_panels")
     )
 

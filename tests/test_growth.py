@@ -84,3 +84,49 @@ def test_facts_of_many_reads_are_joined_once(spark, facts_dir):
     h, i = views.facts(spark, facts_dir)
     assert all("/base-" in f for df in (h, i) for f in df.inputFiles()) and h.inputFiles()
     assert rows(h) == rows(views.history(spark, facts_dir)) and rows(i) == rows(views.inspection(spark, facts_dir))
+
+
+DAILY = [
+    ("A", "P1", "D", "2026-01-01", "L1", 3, [1, 2], ["A1", "B1"]),
+    ("A", "P1", "D", "2026-01-02", "L2", 5, [4, 1], ["B1", "C1"]),
+    ("A", "P2", "D", "2026-01-01", "L1", 3, [1, 2], ["B1", "A1"]),
+    ("A", "P3", "D", "2026-01-01", "L1", 3, [3, None], [None, "A1"]),
+    ("A", "P4", "D", "2026-01-01", "L1", 0, None, None),
+    ("A", None, "D", "2026-01-01", "L1", 1, [1], ["A1"]),
+    ("A", "P5", "D", "2026-01-01", "L1", 3, [1, 2], ["A1", "A1"]),
+]
+
+
+def test_days_are_added_up_in_one_shuffle(spark):
+    out = updates.total_of_days(spark.createDataFrame(DAILY, TOTAL))
+    assert executed(out).count("Exchange hashpartitioning") == 1
+    assert rows(out, "product_id", "lot_id", "total_defects", "panel_addrs", "panel_map") == sorted(
+        [
+            ("P1", "L2", 8, ["A1", "B1", "C1"], [1, 6, 1]),
+            ("P2", "L1", 3, ["A1", "B1"], [2, 1]),
+            ("P3", "L1", 3, [None, "A1"], [3, None]),
+            ("P4", "L1", 0, None, None),
+            (None, "L1", 1, None, None),
+            ("P5", "L1", 3, ["A1"], [3]),
+        ],
+        key=repr,
+    )
+
+
+def test_panels_of_an_upsert_are_merged_once(spark):
+    sides = (
+        [("P1", [1, 0], ["A1", "B1"]), ("P2", [1, None], ["A1", "B1"]), ("P3", [5], ["B1"]), ("P4", [1, 2], ["B1", "A1"]), ("P5", None, None)],
+        [("P1", [2, 3], ["A1", "B1"]), ("P3", [1, 2], ["A1", "B1"]), ("P6", [7, 8], [None, "A1"]), ("P7", [4], ["A1"])],
+    )
+    old, new = (spark.createDataFrame([("A", p, "D", "2026-01-01", "L", 1, m, a) for p, m, a in side], TOTAL) for side in sides)
+    out = updates.upsert_add(old, new)
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("map_zip_with") == 1
+    assert rows(out, "product_id", "panel_addrs", "panel_map") == [
+        ("P1", ["A1", "B1"], [3, 3]),
+        ("P2", ["A1", "B1"], [1, 0]),
+        ("P3", ["A1", "B1"], [1, 7]),
+        ("P4", ["A1", "B1"], [2, 1]),
+        ("P5", [], []),
+        ("P6", ["A1"], [8]),
+        ("P7", ["A1"], [4]),
+    ]
