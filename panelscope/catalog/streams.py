@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from panelscope.catalog.marts import MART_COLUMNS
 from panelscope.catalog.registry import listed, query
-from panelscope.catalog.views import history, inspection, table, with_mart
-from panelscope.session import delete, scratch_path, settle
+from panelscope.catalog.views import facts, table, with_mart
+from panelscope.session import delete, scratch_path
 from panelscope.sources.lake import read_mart
 from panelscope.streaming import jobs
 
@@ -38,10 +38,10 @@ def streamed_increments(spark, sf):
 def streamed_mart(spark, sf):
     """Two increments, and the second one once more as after a lost checkpoint."""
     source, (counts, checkpoint), root = scratch_path(spark, "inspection"), _paths(spark, "mart"), scratch_path(spark, "mart")
-    rows, h = inspection(spark, sf), settle(history(spark, sf), "history")
+    h, rows = facts(spark, sf)
     early = F.col("inspection_end_ymdhms") < "1998-01-01"
     for part in (early, ~early):
-        rows.where(part).repartition(2).write.mode("append").parquet(source)
+        rows.where(part).write.mode("append").parquet(source)
         stream = jobs.file_source(spark, source, rows.schema)
         jobs.mart_stream(stream, h, counts, root, checkpoint).awaitTermination()
     delete(spark, f"{checkpoint}/commits/1")

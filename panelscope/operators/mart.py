@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelscope.functions.clean import model_code
 from panelscope.functions.predicates import within_days
-from panelscope.operators.steps import dedup_products, latest_per, rows_of
+from panelscope.operators.steps import dedup_products, few_keys, latest_per
 from panelscope.session import settle
 
 # Cells of the flag map, columns per letter.
@@ -68,16 +68,18 @@ def panel_counts_map(addrs: Column | str, counts: Column | str) -> Column:
 def glass_defects(counts: DataFrame) -> DataFrame:
     """Per product and defect: total and the parallel lists of panel address and count.
 
-    The lists hold one entry per distinct panel of a glass; rows were counted before.
+    The lists hold one entry per distinct panel of a glass; rows were counted before.  They are shuffled by product, so
+    that what joins the result by product finds it in place.
     """
     return (
-        counts.groupBy(*DEFECT_KEY)
+        counts.repartition(*PRODUCT)
+        .groupBy(*DEFECT_KEY)
         .agg(
             F.max("inspection_time").alias("inspection_time"),
             F.sum("addr_count").alias("total_defects"),
-            F.collect_list(panel("panel_addr", "addr_count")).alias("_panels"),
+            F.sort_array(F.collect_list(panel("panel_addr", "addr_count"))).alias("_panels"),
         )
-        .withColumns(panel_arrays("_panels"))
+        .withColumns({"panel_addrs": F.col("_panels.addr"), "panel_map": F.col("_panels.n")})
         .drop("_panels")
     )
 
@@ -88,6 +90,16 @@ def latest_steps(h: DataFrame) -> DataFrame:
     return latest_per(h.select(*columns), ("facility_code", "product_id"), "move_in_ymdhms")
 
 
+def steps_of(h: DataFrame, counts: DataFrame) -> DataFrame:
+    """Steps to attach to counts: those of the counted products, or all if these are many.
+
+    Few products are broadcast, so that no step of others is shuffled.  Beside many a join would shuffle all steps, while
+    ``latest_steps`` leaves one row per product of a task to shuffle; steps of others find no counts.
+    """
+    few, keys = few_keys(counts, PRODUCT)
+    return h.join(keys, list(PRODUCT), "left_semi") if few else h
+
+
 def with_steps(defects: DataFrame, h: DataFrame) -> DataFrame:
     """Attach lot, equipment and work time of the product's latest step, NULL without history."""
     steps = latest_steps(h).withColumnRenamed("move_in_ymdhms", "work_time")
@@ -105,7 +117,7 @@ def build_glass_stats(i: DataFrame, h: DataFrame, days: Iterable = (), facility:
     counts = panel_counts(i, days)
     if days:
         counts = settle(counts, "day-counts")
-        h = rows_of(h, counts, PRODUCT)
+        h = steps_of(h, counts)
     rows = with_steps(glass_defects(counts), h)
     return rows.select(
         "facility_code",

@@ -86,10 +86,14 @@ def rows_of(df: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame
     The keys are written first, one short row each.  If they are few they are broadcast, so that rows of others leave the
     plan in the scan's stage and only what is asked for is shuffled.
     """
+    return df.join(few_keys(keys, columns)[1], list(columns), "left_semi")
+
+
+def few_keys(keys: DataFrame, columns: Sequence[str]) -> tuple[bool, DataFrame]:
+    """Whether there are few distinct keys, and the keys: written, and to be broadcast if they are few."""
     keys = settle(keys.select(*columns).distinct(), "keys")
-    if keys.count() <= FEW_KEYS:
-        keys = F.broadcast(keys)
-    return df.join(keys, list(columns), "left_semi")
+    few = keys.count() <= FEW_KEYS
+    return few, F.broadcast(keys) if few else keys
 
 
 def row_counts(**tables: DataFrame) -> DataFrame:

@@ -69,21 +69,30 @@ def test_panel_address_is_computed_once(spark):
     assert rows(out) == [("A", "1", 1)]
 
 
-@pytest.fixture
-def facts_dir(spark, tmp_path):
-    """Small orders and lineitem tables."""
-    spark.range(12).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
-    line = """SELECT id % 12 AS l_orderkey, id % 9 AS l_suppkey, id % 17 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber,
-      IF(id % 4 = 0, 'N', 'R') AS l_returnflag, 'F' AS l_linestatus, CAST(id % 30 AS DOUBLE) AS l_quantity,
-      TIMESTAMP_NTZ '1997-06-01 00:00:00' + make_dt_interval(CAST(id % 6 AS INT)) AS l_shipdate FROM range(90)"""
-    spark.sql(line).write.parquet(str(tmp_path / "lineitem.parquet"))
-    return str(tmp_path)
+def test_counts_of_a_day_come_from_few_tasks(spark, history, inspection, tmp_path):
+    found = [(f"P{n}", "1000", f"P{n}A1", "SPOT", f"2026-01-0{1 + n % 3}T00:00:00") for n in range(60)]
+    i, paths = inspection(found).repartition(8), [str(tmp_path / p) for p in ("rows", "counts", "mart", "checkpoint")]
+    i.write.parquet(paths[0])
+    src = jobs.file_source(spark, paths[0], i.schema)
+    jobs.mart_stream(src, history([("P1", "1000", "L1", "2026-01-01T00:00:00")]), *paths[1:]).awaitTermination()
+    days = list((tmp_path / "counts" / "batch_id=0").glob("stat_date=*"))
+    assert sorted(d.name for d in days) == [f"stat_date=2026-01-0{n}" for n in (1, 2, 3)] and all(len(list(d.glob("*.parquet"))) == 1 for d in days)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # every task of the counts stays
+    try:
+        i.write.mode("append").parquet(paths[0])
+        jobs.mart_stream(jobs.file_source(spark, paths[0], i.schema), history([("P1", "1000", "L1", "2026-01-01T00:00:00")]), *paths[1:]).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    days = list((tmp_path / "counts" / "batch_id=1").glob("stat_date=*"))
+    assert len(days) == 3 and all(len(list(d.glob("*.parquet"))) == 1 for d in days)
+    assert rows(lake.read_mart(spark, paths[2]).groupBy("stat_date").agg(F.sum("total_defects")), "sum(total_defects)") == [(40,)] * 3
 
 
-def test_facts_of_many_reads_are_joined_once(spark, facts_dir):
-    h, i = views.facts(spark, facts_dir)
-    assert all("/base-" in f for df in (h, i) for f in df.inputFiles()) and h.inputFiles()
-    assert rows(h) == rows(views.history(spark, facts_dir)) and rows(i) == rows(views.inspection(spark, facts_dir))
+def test_steps_of_many_products_are_not_joined(spark, history, inspection, monkeypatch):
+    h, i = history([("P1", "1000", "L1", "2026-01-01T00:00:00"), ("P2", "1000", "L1", "2026-01-01T00:00:00")]), inspection([("P1", "1000", "P1A1", "SPOT")])
+    monkeypatch.setattr("panelscope.operators.steps.FEW_KEYS", 0)
+    out = mart.build_glass_stats(i, h, ["2026-01-05"])
+    assert "LeftSemi" not in executed(out) and rows(out, "product_id", "equipment_line_id") == [("P1", "L1")]
 
 
 DAILY = [
@@ -130,3 +139,20 @@ def test_panels_of_an_upsert_are_merged_once(spark):
         ("P6", ["A1"], [8]),
         ("P7", ["A1"], [4]),
     ]
+
+
+@pytest.fixture
+def facts_dir(spark, tmp_path):
+    """Small orders and lineitem tables."""
+    spark.range(12).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    line = """SELECT id % 12 AS l_orderkey, id % 9 AS l_suppkey, id % 17 AS l_partkey, CAST(id % 3 AS INT) AS l_linenumber,
+      IF(id % 4 = 0, 'N', 'R') AS l_returnflag, 'F' AS l_linestatus, CAST(id % 30 AS DOUBLE) AS l_quantity,
+      TIMESTAMP_NTZ '1997-06-01 00:00:00' + make_dt_interval(CAST(id % 6 AS INT)) AS l_shipdate FROM range(90)"""
+    spark.sql(line).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_facts_of_many_reads_are_joined_once(spark, facts_dir):
+    h, i = views.facts(spark, facts_dir)
+    assert all("/base-" in f for df in (h, i) for f in df.inputFiles()) and h.inputFiles()
+    assert rows(h) == rows(views.history(spark, facts_dir)) and rows(i) == rows(views.inspection(spark, facts_dir))
