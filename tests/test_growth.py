@@ -88,6 +88,19 @@ def test_counts_of_a_day_come_from_few_tasks(spark, history, inspection, tmp_pat
     assert rows(lake.read_mart(spark, paths[2]).groupBy("stat_date").agg(F.sum("total_defects")), "sum(total_defects)") == [(40,)] * 3
 
 
+def test_days_of_a_small_batch_are_written_by_several_tasks(spark, history, inspection, tmp_path):
+    found = [(f"P{n}", "1000", f"P{n}A1", "SPOT", f"2026-{1 + n % 12:02d}-{1 + n % 28:02d}T00:00:00") for n in range(2000)]
+    i, paths = inspection(found), [str(tmp_path / p) for p in ("rows", "counts", "mart", "checkpoint")]
+    i.write.parquet(paths[0])
+    before = spark.conf.get(jobs.SMALL_TASKS[0])
+    jobs.mart_stream(jobs.file_source(spark, paths[0], i.schema), history([("P1", "1000", "L1", "2026-01-01T00:00:00")]), *paths[1:]).awaitTermination()
+    for table in ("counts", "mart"):
+        files = list((tmp_path / table).rglob("part-*.parquet"))
+        assert len(files) == 84 and len({f.name[:10] for f in files}) > 1  # a file per day, from more than one task
+    assert spark.conf.get(jobs.SMALL_TASKS[0]) == before
+    assert rows(lake.read_mart(spark, paths[2]).agg(F.sum("total_defects"))) == [(2000,)]
+
+
 def test_steps_of_many_products_are_not_joined(spark, history, inspection, monkeypatch):
     h, i = history([("P1", "1000", "L1", "2026-01-01T00:00:00"), ("P2", "1000", "L1", "2026-01-01T00:00:00")]), inspection([("P1", "1000", "P1A1", "SPOT")])
     monkeypatch.setattr("panelscope.operators.steps.FEW_KEYS", 0)
